@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontam, flac, langid, packing, pii, warc, wordpiece
+from palimpsest.llm import chat, decontam, flac, langid, packing, pii, suffixdedup, warc, wordpiece
 from palimpsest.llm.common import staged, table
 
 
@@ -54,11 +54,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), trees).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return flac.features(staged(flac.to_media(docs), "media"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_decontamination, op4_chat_format, op5_token_counts, op7_warc, op8_language_id, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_decontamination, op4_chat_format, op5_token_counts, op7_warc, op8_language_id, op9_suffix_dedup, op10_media)}
 
 ORACLE_SQL: dict[str, str] = {}
