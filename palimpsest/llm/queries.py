@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontam, flac, langid, packing, pii, suffixdedup, warc, wordpiece
+from palimpsest.llm import chat, decontam, flac, jaccard, langid, packing, pii, suffixdedup, warc, wordpiece
 from palimpsest.llm.common import staged, table
 
 
@@ -44,6 +44,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(docs, tokenizer_file("byte_bpe_50k.tiktoken")).drop("text")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.write_records(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
@@ -63,6 +67,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(staged(flac.to_media(docs), "media"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_decontamination, op4_chat_format, op5_token_counts, op7_warc, op8_language_id, op9_suffix_dedup, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_decontamination, op4_chat_format, op5_token_counts, op6_ngram_jaccard, op7_warc, op8_language_id, op9_suffix_dedup, op10_media)}
 
 ORACLE_SQL: dict[str, str] = {}
