@@ -7,16 +7,19 @@ found fragment by fragment and summed per pair.
 
 1. Texts with equal sets are one class. Frequent shingles are counted over all documents (whatever recurs within a
    batch); they only shape the order.
-2. A pair that links shares a shingle of both prefixes (the first n - ceil(t n) + 1 of the order). Of the classes
-   that share a prefix shingle, the most central one (fewest infrequent shingles) is the hub; each other one makes
-   one row with it, so a group gives a star and not all its pairs.
+2. A pair that links shares a shingle of both prefixes (the first n - ceil(t n) + 1 of the order). Few classes (up
+   to PAIRED) that share one are paired, and the shingles that two prefixes share are counted: a pair that shares no
+   others goes if its count cannot reach the overlap that the threshold asks for. Of many classes the most central
+   one (fewest infrequent shingles) is the hub; each other one makes one row with it, so a large group gives a star
+   and not all its pairs.
 3. Per fragment, each member's set is compared with its hub's: the difference (what one has and the other has not)
    is collected and summed over the fragments.
 4. Members within the threshold of their hub link to it and need no pairs among themselves. For those beyond it,
-   two members of a hub link when their differences from the hub differ little enough: the symmetric difference of
+   two members of a star link when their differences from the hub differ little enough: the symmetric difference of
    two sets is that of their differences. They are compared in blocks of BLOCK members, far ones against all.
 
-Every pair that links is in step 2's group of its shared shingle, so no link is lost, at any size of group.
+A pair that links either meets in a star of step 2 or shares all its common prefix shingles in small groups, where
+they are counted exactly, so no link is lost, at any size of group.
 
 Defined results: null, empty and white-space texts have no shingles and link with nothing; fewer than n words are
 one shingle; repeated rows are equal sets; a null id joins the component of an equal set and otherwise has none (null); an empty table gives an empty result; other columns do not matter.
@@ -35,9 +38,11 @@ from palimpsest.llm.common import flat_utf8, slabs, staged
 from palimpsest.llm.components import components
 
 #: Frequent shingles that take part in the order, the most frequent ones; others count as infrequent.
-FREQUENT = 200_000
+FREQUENT = 500_000
 #: A shingle that so many texts of a batch have is counted.
-RECURS = 4
+RECURS = 2
+#: Up to so many classes that share a prefix shingle are paired; more of them make a star.
+PAIRED = 16
 #: Shingles of the longest set that a fragment holds, about.
 FRAGMENT = 8192
 SALT_MEMBERS, BLOCK = 64, 128
@@ -136,7 +141,7 @@ def prefix_length(n: np.ndarray, threshold: int) -> np.ndarray:
 
 
 def _prefixes(n: int, threshold: int, held):
-    names = ["token", "central", "cls"]
+    names = ["token", "central", "cls", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = held.value
@@ -161,27 +166,76 @@ def _prefixes(n: int, threshold: int, held):
             own = np.arange(len(h)) - begin[owner] < prefix_length(size, threshold)[owner]
             token, who = h[order][own], owner[own]
             central = (rare * 1_000_000 // np.maximum(size, 1))[who]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(central, pa.int32()), pa.array(cls[mine][who])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(central, pa.int32()), pa.array(cls[mine][who]), pa.array(size[who], pa.int64())], names=names)
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token and centrality to (hub, member) pairs."""
-    last: tuple[int, int] | None = None
-    for b in batches:
-        token, cls = b.column("token").to_numpy(), b.column("cls").to_numpy()
-        if not len(token):
-            continue
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        hub = cls[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
-        if last and last[0] == token[0]:
-            head = len(token) if new[1:].sum() == 0 else int(np.flatnonzero(new[1:])[0]) + 1
-            hub[:head] = last[1]
-        last = int(token[-1]), int(hub[-1])
-        own = hub != cls
-        yield pa.RecordBatch.from_arrays([pa.array(hub[own]), pa.array(cls[own])], names=["hub", "member"])
+MEETINGS = "hub long, member long, n_hub long, n long, star boolean"
+
+
+def _meetings(paired: int):
+    """Rows sorted by token, centrality and class to pairs (small groups) and stars (large ones)."""
+    names = [c.split()[0] for c in MEETINGS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+
+        def made(*cols: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+
+        def met(token: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            size = np.diff(np.append(start, len(token)))
+            many = np.repeat(size > paired, size)
+            hub = np.repeat(start, size)
+            own = many & (hub != np.arange(len(token)))
+            yield made(cls[hub[own]], cls[own], n[hub[own]], n[own], np.ones(int(own.sum()), bool))
+            for d in range(1, paired):
+                i = np.flatnonzero((token[d:] == token[:-d]) & ~many[d:]) if len(token) > d else np.zeros(0, np.int64)
+                if not len(i):
+                    break
+                yield made(cls[i], cls[i + d], n[i], n[i + d], np.zeros(len(i), bool))
+
+        held = [np.zeros(0, np.int64)] * 3
+        running: tuple[int, int, int] | None = None  # token, hub and its size of a star that goes on
+        last: tuple[int, int] | None = None
+        for b in batches:
+            x = [b.column(c).to_numpy() for c in ("token", "cls", "n")]
+            if not len(x[0]):
+                continue
+            keep = np.ones(len(x[0]), bool)
+            keep[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
+            keep[0] = (x[0][0], x[1][0]) != last
+            last = int(x[0][-1]), int(x[1][-1])
+            x = [v[keep] for v in x]
+            if running:
+                more = x[0] == running[0]
+                k = int(more.sum())
+                if k:
+                    yield made(np.full(k, running[1]), x[1][more], np.full(k, running[2]), x[2][more], np.ones(k, bool))
+                    x = [v[~more] for v in x]
+                if len(x[0]):
+                    running = None
+            x = [np.concatenate(v) for v in zip(held, x)]
+            if not len(x[0]):
+                continue
+            cut = int(np.searchsorted(x[0] == x[0][-1], True)) if x[0][0] != x[0][-1] else 0
+            yield from met(*[v[:cut] for v in x])
+            held = [v[cut:] for v in x]
+            if len(held[0]) > paired:
+                yield from met(*held)
+                running = int(held[0][0]), int(held[1][0]), int(held[2][0])
+                held = [v[:0] for v in held]
+        yield from met(*held)
+
+    return run
+
+
+def _may_link(n, m, shared, threshold: int):
+    """Whether two sets whose prefixes share `shared` shingles can have the common part that the threshold asks for."""
+    rest = F.greatest(F.ceil(threshold * n / 100), F.ceil(threshold * m / 100)) - 1
+    return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & ((100 + threshold) * (shared + rest) >= threshold * (n + m))
 
 
 FRAGMENTS = "hub long, salt int, fragment int, role int, cls long, n long, tokens binary"
@@ -303,7 +357,7 @@ def _bounded(df: DataFrame, size) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, threshold: int = 80, paired: int = PAIRED) -> DataFrame:
     """(key, n_shingles, component_id) of every document; component_id is the least id reachable by links."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
@@ -313,9 +367,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     token = top["recurs"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((token[order], top["times"].to_numpy(np.int64)[order]))
-    prefixes = rows.where("id is not null").mapInArrow(_prefixes(n, threshold, held), "token long, central int, cls long")
-    stars = prefixes.repartition("token").sortWithinPartitions("token", "central", "cls").mapInArrow(_stars, "hub long, member long")
-    edges = staged(stars.distinct(), "edges")
+    prefixes = rows.where("id is not null").mapInArrow(_prefixes(n, threshold, held), "token long, central int, cls long, n long")
+    meetings = prefixes.repartition("token").sortWithinPartitions("token", "central", "cls").mapInArrow(_meetings(paired), MEETINGS)
+    edges = meetings.groupBy("hub", "member").agg(F.first("n_hub").alias("n_hub"), F.first("n").alias("n"), F.count("*").alias("shared"), F.max("star").alias("star"))
+    edges = edges.where(F.col("star") | _may_link(F.col("n"), F.col("n_hub"), F.col("shared"), threshold))
+    edges = staged(edges.select("hub", "member", "star"), "edges")
 
     members = edges.groupBy("hub").agg(F.count("*").alias("members"))
     salted = edges.join(members, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.least(F.lit(4096), F.ceil(F.col("members") / SALT_MEMBERS))).cast("int"))
@@ -337,8 +393,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     deltas = staged(deltas.withColumn("far", ~near), "deltas")
 
     links = deltas.where("not far").select(F.col("hub").alias("u"), F.col("member").alias("v"))
-    groups = deltas.groupBy("hub").agg(F.count("*").alias("all"), F.count_if("far").alias("n_far")).where("n_far > 0 and all > 1")
-    blocked = deltas.join(groups, "hub").withColumns({"blocks": F.ceil(F.col("all") / BLOCK).cast("int")})
+    stars = deltas.join(edges.where("star").select("hub", "member"), ["hub", "member"])
+    groups = stars.groupBy("hub").agg(F.count("*").alias("all"), F.count_if("far").alias("n_far")).where("n_far > 0 and all > 1")
+    blocked = stars.join(groups, "hub").withColumns({"blocks": F.ceil(F.col("all") / BLOCK).cast("int")})
     blocked = blocked.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     probes = blocked.where("far").select("hub", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "member", "n", "delta")
