@@ -171,49 +171,58 @@ def _prefixes(n: int, threshold: int, held):
     return run
 
 
-MEETINGS = "hub long, member long, n_hub long, n long, star boolean"
+MEETINGS = "hub long, member long, n_hub long, n long, kind int"
+PAIR, STAR, CROWD = 0, 1, 2
 
 
-def _meetings(paired: int):
-    """Rows sorted by token, centrality and class to pairs (small groups) and stars (large ones)."""
+def _meetings(paired: int, large: int):
+    """Rows sorted by token, centrality and class to pairs (small groups) and rows of the kind `large` of large ones:
+    STAR, (hub, member), or CROWD, (token, member, centrality, size), to be dealt anew."""
     names = [c.split()[0] for c in MEETINGS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
         def made(*cols: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-        def met(token: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def many_rows(token: np.ndarray, cls: np.ndarray, n: np.ndarray, central: np.ndarray, hub: np.ndarray, hub_n: np.ndarray) -> pa.RecordBatch:
+            if large == CROWD:
+                return made(token, cls, central, n, np.full(len(cls), CROWD))
+            own = hub != cls
+            return made(hub[own], cls[own], hub_n[own], n[own], np.full(int(own.sum()), STAR))
+
+        def met(token: np.ndarray, cls: np.ndarray, n: np.ndarray, central: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(token):
+                return
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.append(start, len(token)))
             many = np.repeat(size > paired, size)
-            hub = np.repeat(start, size)
-            own = many & (hub != np.arange(len(token)))
-            yield made(cls[hub[own]], cls[own], n[hub[own]], n[own], np.ones(int(own.sum()), bool))
+            hub = np.repeat(start, size)[many]
+            yield many_rows(token[many], cls[many], n[many], central[many], cls[hub], n[hub])
             for d in range(1, paired):
                 i = np.flatnonzero((token[d:] == token[:-d]) & ~many[d:]) if len(token) > d else np.zeros(0, np.int64)
                 if not len(i):
                     break
-                yield made(cls[i], cls[i + d], n[i], n[i + d], np.zeros(len(i), bool))
+                yield made(cls[i], cls[i + d], n[i], n[i + d], np.full(len(i), PAIR))
 
-        held = [np.zeros(0, np.int64)] * 3
-        running: tuple[int, int, int] | None = None  # token, hub and its size of a star that goes on
+        held = [np.zeros(0, np.int64)] * 4
+        running: tuple[int, int, int] | None = None  # token, hub and its size of a large group that goes on
         last: tuple[int, int] | None = None
         for b in batches:
-            x = [b.column(c).to_numpy() for c in ("token", "cls", "n")]
+            x = [b.column(c).to_numpy().astype(np.int64) for c in ("token", "cls", "n", "central")]
             if not len(x[0]):
                 continue
             keep = np.ones(len(x[0]), bool)
             keep[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
-            keep[0] = (x[0][0], x[1][0]) != last
+            keep[0] = (int(x[0][0]), int(x[1][0])) != last
             last = int(x[0][-1]), int(x[1][-1])
             x = [v[keep] for v in x]
             if running:
                 more = x[0] == running[0]
                 k = int(more.sum())
                 if k:
-                    yield made(np.full(k, running[1]), x[1][more], np.full(k, running[2]), x[2][more], np.ones(k, bool))
+                    yield many_rows(*[v[more] for v in x], np.full(k, running[1]), np.full(k, running[2]))
                     x = [v[~more] for v in x]
                 if len(x[0]):
                     running = None
@@ -271,10 +280,10 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each (hub, salt, fragment): the hub's row first, then its members."""
+    """Of each (hub, salt, fragment): the hub's row first, then its members; the difference itself only for stars."""
     now, base, base_n, before = None, np.zeros(0, np.uint64), 0, None
     for b in batches:
-        hubs, members, n, m, delta = [], [], [], [], []
+        hubs, members, n, m, star, count, delta = [], [], [], [], [], [], []
         for hub, salt, fragment, role, cls, size, raw in zip(*(b.column(c).to_pylist() for c in ("hub", "salt", "fragment", "role", "cls", "n", "tokens"))):
             tokens = np.frombuffer(raw, np.uint64)
             if (hub, salt, fragment, cls) == before:  # a repeated row
@@ -289,9 +298,12 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             members.append(cls)
             n.append(size)
             m.append(base_n)
-            delta.append(np.setxor1d(base, tokens, assume_unique=True).view(np.int64))
+            part = np.setxor1d(base, tokens, assume_unique=True).view(np.int64)
+            star.append(role == 2)
+            count.append(len(part))
+            delta.append(part if role == 2 else part[:0])
         if hubs:
-            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(members, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], names=["hub", "member", "n", "n_hub", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(members, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(star, pa.bool_()), pa.array(count, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], names=["hub", "member", "n", "n_hub", "star", "differ", "part"])
 
 
 def _within(differ, total, threshold: int):
@@ -368,15 +380,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((token[order], top["times"].to_numpy(np.int64)[order]))
     prefixes = rows.where("id is not null").mapInArrow(_prefixes(n, threshold, held), "token long, central int, cls long, n long")
-    meetings = prefixes.repartition("token").sortWithinPartitions("token", "central", "cls").mapInArrow(_meetings(paired), MEETINGS)
-    edges = meetings.groupBy("hub", "member").agg(F.first("n_hub").alias("n_hub"), F.first("n").alias("n"), F.count("*").alias("shared"), F.max("star").alias("star"))
+    def meet(rows_: DataFrame, large: int) -> DataFrame:
+        return rows_.repartition("token").sortWithinPartitions("token", "central", "cls").mapInArrow(_meetings(paired, large), MEETINGS)
+
+    # Large groups are dealt anew by size as well: sets that link are in the same or the next band of sizes.
+    first = staged(meet(prefixes, CROWD), "meetings")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / threshold)))
+    crowd = first.where(F.col("kind") == CROWD).select(F.col("hub").alias("token"), F.col("member").alias("cls"), F.col("n_hub").cast("int").alias("central"), "n")
+    crowd = crowd.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("token"), "central", "cls", "n")
+    meetings = first.where(F.col("kind") == PAIR).unionByName(meet(crowd, STAR))
+    edges = meetings.groupBy("hub", "member").agg(F.first("n_hub").alias("n_hub"), F.first("n").alias("n"), F.count("*").alias("shared"), (F.max("kind") == STAR).alias("star"))
     edges = edges.where(F.col("star") | _may_link(F.col("n"), F.col("n_hub"), F.col("shared"), threshold))
     edges = staged(edges.select("hub", "member", "star"), "edges")
 
     members = edges.groupBy("hub").agg(F.count("*").alias("members"))
     salted = edges.join(members, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.least(F.lit(4096), F.ceil(F.col("members") / SALT_MEMBERS))).cast("int"))
     salted = staged(salted, "salted")
-    wants = salted.select(F.col("member").alias("cls"), "hub", "salt", F.lit(1).alias("role")).unionByName(
+    wants = salted.select(F.col("member").alias("cls"), "hub", "salt", F.when(F.col("star"), 2).otherwise(1).alias("role")).unionByName(
         salted.select(F.col("hub").alias("cls"), "hub", "salt", F.lit(0).alias("role")).distinct()
     )
     wants = wants.groupBy("cls").agg(F.collect_list(F.struct("hub", "salt", "role")).alias("wants"))
@@ -387,15 +407,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     texts = rows.join(_bounded(wants, F.size("wants") * 24 + 32), "id")
     pieces = texts.mapInArrow(_fragments(n, max(1, -(-longest // FRAGMENT))), FRAGMENTS)
     ordered = pieces.repartition("hub", "salt", "fragment").sortWithinPartitions("hub", "salt", "fragment", "role", "cls")
-    parts = ordered.mapInArrow(_differences, "hub long, member long, n long, n_hub long, part array<long>")
-    deltas = parts.groupBy("hub", "member").agg(F.first("n").alias("n"), F.first("n_hub").alias("n_hub"), F.flatten(F.collect_list("part")).alias("delta"))
-    near = _within(F.size("delta"), F.col("n") + F.col("n_hub"), threshold)
-    deltas = staged(deltas.withColumn("far", ~near), "deltas")
+    parts = ordered.mapInArrow(_differences, "hub long, member long, n long, n_hub long, star boolean, differ long, part array<long>")
+    deltas = parts.groupBy("hub", "member").agg(
+        F.first("n").alias("n"), F.first("n_hub").alias("n_hub"), F.first("star").alias("star"), F.sum("differ").alias("differ"), F.flatten(F.collect_list("part")).alias("delta")
+    )
+    deltas = staged(deltas.withColumn("far", ~_within(F.col("differ"), F.col("n") + F.col("n_hub"), threshold)), "deltas")
 
     links = deltas.where("not far").select(F.col("hub").alias("u"), F.col("member").alias("v"))
-    stars = deltas.join(edges.where("star").select("hub", "member"), ["hub", "member"])
+    stars = deltas.where("star")
     groups = stars.groupBy("hub").agg(F.count("*").alias("all"), F.count_if("far").alias("n_far")).where("n_far > 0 and all > 1")
-    blocked = stars.join(groups, "hub").withColumns({"blocks": F.ceil(F.col("all") / BLOCK).cast("int")})
+    blocked = stars.join(_bounded(staged(groups, "groups"), F.lit(24)), "hub").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
     blocked = blocked.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     probes = blocked.where("far").select("hub", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "member", "n", "delta")
