@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.plans import base
-from palimpsest.plans import causal_queries, chat_queries, recall_queries, state_queries, world_queries  # noqa: F401  each module registers its queries
+from palimpsest.plans import causal_queries, chat_queries, recall_queries, state_queries, stream_queries, world_queries  # noqa: F401  each module registers its queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
