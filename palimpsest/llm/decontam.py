@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.common import fresh
+
 #: Benchmark text that one automaton may hold; a larger benchmark is scanned in blocks of about this size.
 BLOCK_BYTES = 32 << 20
 
@@ -87,43 +89,31 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[str,
     return [[(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()] for b in range(n)]
 
 
-SCANNED = "n_words long, runs array<struct<lo:long,hi:long>>, items array<string>"
-
-_built: dict[int, tuple[int, ahocorasick.Automaton]] = {}
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
-    """docs with a column `hit`: (n_words, n_hit, items array<string> in order, spans array<(start, end)> of the text).
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 10, into: str = "hit") -> DataFrame:
+    """docs with a column `into` (which replaces one of that name): (n_words, n_hit, items array<string> in order, spans array<(start, end)> of the text).
 
     A benchmark beyond BLOCK_BYTES is scanned block by block, each block against all rows.
     """
     spark = docs.sparkSession
     out = docs
-    for block in _blocks(benchmark, item, item_text):
-        held = spark.sparkContext.broadcast(block)
-        out = _scanned(out, held, text, n)
+    for i, block in enumerate(_blocks(benchmark, item, item_text)):
+        out = _scanned(out, spark.sparkContext.broadcast(block), text, n, into, i > 0)
     return out
 
 
-def _scanned(docs: DataFrame, held, text: str, n: int) -> DataFrame:
-    again = "hit" in docs.columns
+def _scanned(docs: DataFrame, held, text: str, n: int, into: str, again: bool) -> DataFrame:
     hit = T.StructType([
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
         T.StructField("runs", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))),
     ])
-    keep = [f for f in docs.schema.fields if f.name != "hit"]
-    schema = T.StructType([*keep, T.StructField("hit", hit)])
-    which = held.id if hasattr(held, "id") else id(held)
+    keep = [f for f in docs.schema.fields if f.name != into]
+    schema = T.StructType([*keep, T.StructField(into, hit)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = held._jid if getattr(held, "_jid", None) is not None else which
-        if key not in _built:
-            _built.clear()
-            _built[key] = automaton(held.value, n)
-        found = _built[key]
+        found = automaton(held.value, n)
         for batch in batches:
-            before = batch.column("hit").to_pylist() if again else [None] * batch.num_rows
+            before = batch.column(into).to_pylist() if again else [None] * batch.num_rows
             rows = []
             for value, old in zip(batch.column(text), before):
                 t = value.as_py()
@@ -161,4 +151,5 @@ def digest(items: list[str]) -> str:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = 10) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their own columns."""
-    return contamination(docs, benchmark, text, n=n).where("hit.n_hit = 0").select(*docs.columns)
+    (hit,) = fresh(docs.columns, "hit")
+    return contamination(docs, benchmark, text, n=n, into=hit).where(f"{hit}.n_hit = 0").select(*docs.columns)
