@@ -10,8 +10,9 @@ document and an earlier start). The work is dealt out so that equal strings alwa
    a key has different stretches, or one that overlaps itself, the first of each becomes a *candidate*.
 3. Candidates get their bytes back. For each group of keys the collection's Burrows-Wheeler transform and common
    prefixes are built by inserting one symbol of every string in each round, from the last to the first; suffixes
-   with a common prefix of `width` are equal windows, of which the earliest stays. A key with very many different
-   stretches is dealt anew by window, so no group grows with the corpus.
+   with a common prefix of `width` are equal windows, of which the earliest stays. The windows of a key with very many different
+   stretches are dealt anew by their own 128-bit digests, as stretches of one window, so no group grows with the
+   corpus.
 4. The repeated ranges of each document are merged and cut out of its bytes.
 
 The files of the column-wise method are Spark's shuffle files here; a round's columns are arrays of one batch of
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,7 @@ MAX_WINDOWS = 128
 #: Keys with more different stretches are dealt by window.
 WIDE_KEY = 192
 #: Strings whose order is built together, about.
-GROUP = 768
+GROUP = 512
 #: Tables up to so many bytes are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 NO_ID = -(2**63)
@@ -98,10 +100,9 @@ def stretches(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     # A stretch with two equal windows repeats at a short distance: each aligned substring in it recurs.
     loops = np.zeros(len(start), bool)
     anchor = np.arange(0, len(h), 64)
-    again = np.zeros(len(anchor), bool)
     padded = np.concatenate([h, np.arange(MAX_WINDOWS, dtype=np.uint64)])
-    for d in range(1, MAX_WINDOWS):
-        again |= padded[anchor + d] == h[anchor]
+    ahead = np.lib.stride_tricks.sliding_window_view(padded, MAX_WINDOWS)[anchor]
+    again = (ahead[:, 1:] == ahead[:, :1]).any(axis=1)
     if again.any():
         hot = anchor[again]
         loops = np.searchsorted(hot, start, "left") < np.searchsorted(hot, end - 1 + width - seed, "right")
@@ -117,14 +118,16 @@ def _stretch_rows(width: int):
     names = [c.split()[0] for c in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slabs(batches, "t", 1 << 22):
+        for b in slabs(batches, "t"):
+            b = b.take(pc.sort_indices(b.column("id")))
             raw, off = flat_utf8(b.column("t"))
             ids = b.column("id").to_numpy(zero_copy_only=False)
             at, start, windows, key, digest, loops = stretches(raw, off, width)
             if not len(at):
                 continue
             doc = ids[at]
-            order = np.lexsort((start, doc, digest, key))
+            # Rows are in the order of document and start; one stable sort brings equal stretches together.
+            order = np.argsort(key ^ (digest << np.uint64(1)), kind="stable")
             later = np.zeros(len(order), bool)
             o, p = order[1:], order[:-1]
             later[1:] = (key[o] == key[p]) & (digest[o] == digest[p]) & ((doc[o] != doc[p]) | (start[o] != start[p]))
@@ -143,7 +146,7 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     joined, last = False, None  # whether the held row's key began earlier; the last row's (key, digest, doc, start)
     for b in batches:
         x = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
-        yield b.filter(pa.array(x["kind"] == MARK))
+        yield _rows({n: v[x["kind"] == MARK] for n, v in x.items()}, names, MARK)
         x = {n: v[x["kind"] == STRETCH] for n, v in x.items()}
         n = len(x["key"])
         if not n:
@@ -179,20 +182,20 @@ def _rows(x: dict[str, np.ndarray], names: list[str], kind: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(x[n].astype(bool) if n == "loops" else x[n], t) for n, t in zip(names, kinds)], names=names)
 
 
-def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of the strings in order: owner, length, and the common prefix with the one before (at most 255).
+def suffix_order(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes of strings of symbols in order: owner, length, and the common prefix with the one before.
 
-    Column-wise construction: round t inserts the suffixes of length t. The symbol in front of a suffix, held in
-    the transform, says where the longer suffix goes: behind all smaller symbols and as many equal ones as stand
-    before it. Its common prefix is one more than the least between it and the last equal symbol.
+    data holds the symbols (uint16, not 0) of all strings, `size` their numbers of symbols (up to 254). Column-wise
+    construction: round t inserts the suffixes of length t. The symbol in front of a suffix, held in the transform,
+    says where the longer suffix goes: behind all smaller symbols and as many equal ones as stand before it. Its
+    common prefix is one more than the least between it and the last equal symbol.
     """
-    size = np.array([len(s) for s in strings], np.int64)
-    m = len(strings)
+    m = len(size)
     if m and size.max() > 254:
-        raise ValueError("strings of up to 254 bytes are ordered")
-    data = np.frombuffer(b"".join(strings) + b"\0", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255, 0 is free
+        raise ValueError("strings of up to 254 symbols are ordered")
+    data = np.append(data, np.uint16(0))
     end = np.cumsum(size)
-    ahead = lambda i, t: np.where(size[i] > t, data[np.maximum(end[i] - t - 1, 0)], 0).astype(np.uint8)
+    ahead = lambda i, t: np.where(size[i] > t, data[np.maximum(end[i] - t - 1, 0)], 0).astype(np.uint16)
     live = np.arange(m)
     front, lcp = ahead(live, 0), np.zeros(m, np.uint8)  # the transform; 0: nothing in front
     place = live  # of the newest suffix of each string in `live`
@@ -207,6 +210,8 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         still = size[live] >= t
         if not still.all():
             live, place = live[still], place[still]
+        by_place = np.argsort(place)  # neighbouring ranges follow each other
+        live, place = live[by_place], place[by_place]
         order, rank, none = ranked()
         at, sym = rank[place], front[place]
         go = m + at - none  # places in the longer list
@@ -226,7 +231,7 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         old = np.ones(len(front) + len(live), bool)
         old[go] = False
         for a, v in ((front, ahead(live, t)), (lcp, own)):
-            grown = np.empty(len(old), np.uint8)
+            grown = np.empty(len(old), a.dtype)
             grown[old], grown[go] = a, v
             front, lcp = lcp, grown
         lcp[go[has_next] + 1] = after
@@ -243,15 +248,27 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def repeated(strings: list[bytes], doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of every window of the strings that also starts earlier; strings have their own places."""
-    owner, length, lcp = suffix_order(strings)
-    size = np.array([len(s) for s in strings], np.int64)
-    equal = lcp >= width
+    """(document, start) of every window (of an even width) that also starts earlier; strings have their own places."""
+    if width % 2:
+        raise ValueError("the width is even")
+    n = np.array([len(x) for x in strings], np.int64)
+    raw = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16)
+    begin = np.cumsum(n) - n
+    # Symbols are pairs of bytes, which halves the rounds: each string counts twice, with and without its last byte,
+    # so that every window begins a suffix of whole pairs. UTF-8 has no byte 255, so 0 stays free.
+    pair = ((raw[:-1] << np.uint16(8)) | raw[1:]) + np.uint16(1) if len(raw) > 1 else raw[:0]
+    size = np.concatenate([n, np.maximum(n - 1, 0)]) // 2
+    first = np.concatenate([begin + n % 2, begin + (n + 1) % 2])
+    data = pair[np.repeat(first - np.cumsum(size) + size, size) + 2 * (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)) + np.repeat(np.cumsum(size) - size, size)]
+    twin, length, lcp = suffix_order(data, size)
+    owner = twin % max(len(n), 1)
+    byte = n[owner] - (twin >= len(n)) - 2 * length.astype(np.int64)  # where in its string the suffix starts
+    equal = lcp >= width // 2
     member = equal | np.append(equal[1:], False)
     at = np.flatnonzero(member)
     group = np.cumsum(~equal)[at]
     d = doc[owner[at]]
-    s = start[owner[at]] + size[owner[at]] - length[at]
+    s = start[owner[at]] + byte[at]
     order = np.lexsort((s, d, group))
     g, d, s = group[order], d[order], s[order]
     head = np.ones(len(g), bool)
@@ -290,32 +307,59 @@ def _marks(width: int):
     return run
 
 
+STRINGS = "kind int, key long, digest long, doc long, start long, windows int, loops boolean, bytes binary"
+STRING, WINDOW = 2, 0
+
+
+def _window_digests(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the windows that start at `at`, by two byte tables."""
+    power, inverse = _pow(len(raw) + 1)
+    out = []
+    for table in (_BYTE, _BYTE[::-1]):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[raw] * power[: len(raw)])])
+        out.append(_mix(_mix((sums[at + width] - sums[at]) * inverse[at])))
+    return out[0], out[1]
+
+
 def _with_bytes(width: int):
-    """Candidates of a document to strings: whole stretches, or single windows of wide keys (each once a batch)."""
-    names = ["key", "doc", "start", "bytes", "mark"]
+    """Candidates of a document to strings, or to single windows of wide keys (the first of each in a batch; the
+    others of the batch become marks)."""
+    names = [c.split()[0] for c in STRINGS.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+
+    def made(kind, key, digest, doc, start, raw=None) -> pa.RecordBatch:
+        n = len(doc)
+        cols = (kind, key, digest, doc, start, np.ones(n, np.int32), np.zeros(n, bool), [None] * n if raw is None else raw)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slabs(batches, "t"):
             raw, off = flat_utf8(b.column("t"))
-            raw = raw.tobytes()
-            out: list[tuple] = []
-            windows: dict[bytes, tuple[int, int]] = {}
-            for o, d, wants in zip(off, b.column("id").to_pylist(), b.column("wants").to_pylist()):
-                for w in wants:
-                    a = int(o) + w["start"]
-                    if not w["wide"]:
-                        out.append((w["key"], d, w["start"], raw[a : a + w["windows"] + width - 1], False))
-                        continue
-                    for i in range(w["windows"]):
-                        text, here = raw[a + i : a + i + width], (d, w["start"] + i)
-                        first = windows.setdefault(text, here)
-                        if here != first:
-                            windows[text] = min(first, here)
-                            out.append((0, *max(first, here), None, True))
-            for text, (d, s) in windows.items():
-                out.append((int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True), d, s, text, False))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=names)
+            wants = b.column("wants")
+            per = np.diff(wants.offsets.to_numpy())
+            flat = wants.flatten()
+            x = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "start", "windows", "wide")}
+            row = np.repeat(np.arange(len(per)), per)
+            doc, at = b.column("id").to_numpy(zero_copy_only=False)[row], off[row] + x["start"]
+            wide = x["wide"].astype(bool)
+            own = np.flatnonzero(~wide & (at + x["windows"] + width - 1 <= off[row + 1]))
+            if len(own):
+                text = raw.tobytes()
+                ends = at[own] + x["windows"][own] + width - 1
+                yield made(np.full(len(own), STRING), x["key"][own], np.zeros(len(own), np.int64), doc[own], x["start"][own], [text[i:j] for i, j in zip(at[own].tolist(), ends.tolist())])
+            own = np.flatnonzero(wide & (at + x["windows"] + width - 1 <= off[row + 1]))
+            if not len(own):
+                continue
+            k = x["windows"][own].astype(np.int64)
+            step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            key, digest = _window_digests(raw, np.repeat(at[own], k) + step, width)
+            doc, start = np.repeat(doc[own], k), np.repeat(x["start"][own], k) + step
+            order = np.lexsort((start, doc, digest, key))
+            key, digest, doc, start = key[order], digest[order], doc[order], start[order]
+            later = np.zeros(len(order), bool)
+            later[1:] = (key[1:] == key[:-1]) & (digest[1:] == digest[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+            spread = np.where(later, _mix(doc.astype(np.uint64) + start.astype(np.uint64)), key)  # marks only pass by
+            yield made(np.where(later, MARK, WINDOW), spread.view(np.int64), digest.view(np.int64), doc, start)
 
     return run
 
@@ -340,23 +384,22 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["id", "spans"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 100) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 100, wide_key: int = WIDE_KEY) -> DataFrame:
     """(id, spans array<(start, end)>) of the documents with repeated bytes: merged, in order, in UTF-8 bytes."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("t"))
     found = rows.where(F.octet_length("t") >= width).mapInArrow(_stretch_rows(width), FOUND)
     found = staged(found.repartition("key").sortWithinPartitions("key", "digest", "doc", "start").mapInArrow(_firsts, FOUND), "stretches")
     whole = found.where(F.col("kind") == MARK).select("doc", "start", "windows")
     candidates = found.where(F.col("kind") == STRETCH).select("key", "doc", "start", "windows")
-    wide = candidates.groupBy("key").count().where(F.col("count") > WIDE_KEY).select("key", F.lit(True).alias("wide"))
+    wide = candidates.groupBy("key").count().where(F.col("count") > wide_key).select("key", F.lit(True).alias("wide"))
     wide = _bounded(staged(wide, "wide"), F.lit(16))
     wants = candidates.join(wide, "key", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     wants = staged(wants.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("key", "start", "windows", "wide")).alias("wants")), "wants")
-    strings = rows.join(_bounded(wants, F.size("wants") * 40), "id").mapInArrow(_with_bytes(width), "key long, doc long, start long, bytes binary, mark boolean")
-    strings = staged(strings, "strings")
-    ordered = strings.where("not mark").select("key", "doc", "start", "bytes").distinct().repartition("key").sortWithinPartitions("key", "doc", "start")
-    single = ordered.mapInArrow(_marks(width), "doc long, start long, windows int")
-    passed = strings.where("mark").select("doc", "start", F.lit(1).alias("windows"))
-    marks = whole.unionByName(single).unionByName(passed)
+    strings = staged(rows.join(_bounded(wants, F.size("wants") * 40), "id").mapInArrow(_with_bytes(width), STRINGS), "strings")
+    narrow = strings.where(F.col("kind") == STRING).select("key", "doc", "start", "bytes").distinct().repartition("key").sortWithinPartitions("key", "doc", "start")
+    single = narrow.mapInArrow(_marks(width), "doc long, start long, windows int")
+    windows = strings.where(F.col("kind") != STRING).drop("bytes").repartition("key").sortWithinPartitions("key", "digest", "doc", "start").mapInArrow(_firsts, FOUND)
+    marks = whole.unionByName(single).unionByName(windows.where(F.col("kind") == MARK).select("doc", "start", "windows"))
     spans = marks.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + (width - 1)).alias("end"))).alias("spans"))
     return spans.mapInArrow(_merge, "id long, spans array<struct<start:long,end:long>>")
 
@@ -389,5 +432,5 @@ def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_i
     return rows.select("k", "t", "spans").mapInArrow(run, T.StructType(fields))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 100, keep_bytes: bool = False) -> DataFrame:
-    return cut(docs, staged(repeated_spans(docs, text, key, width), "spans"), text, key, keep_bytes)
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 100, keep_bytes: bool = False, wide_key: int = WIDE_KEY) -> DataFrame:
+    return cut(docs, staged(repeated_spans(docs, text, key, width, wide_key), "spans"), text, key, keep_bytes)
