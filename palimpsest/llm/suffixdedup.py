@@ -395,7 +395,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     wide = _bounded(staged(wide, "wide"), F.lit(16))
     wants = candidates.join(wide, "key", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     wants = staged(wants.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("key", "start", "windows", "wide")).alias("wants")), "wants")
-    strings = staged(rows.join(_bounded(wants, F.size("wants") * 40), "id").mapInArrow(_with_bytes(width), STRINGS), "strings")
+    strings = staged(rows.join(wants, "id").mapInArrow(_with_bytes(width), STRINGS), "strings")
     narrow = strings.where(F.col("kind") == STRING).select("key", "doc", "start", "bytes").distinct().repartition("key").sortWithinPartitions("key", "doc", "start")
     single = narrow.mapInArrow(_marks(width), "doc long, start long, windows int")
     windows = strings.where(F.col("kind") != STRING).drop("bytes").repartition("key").sortWithinPartitions("key", "digest", "doc", "start").mapInArrow(_firsts, FOUND)
