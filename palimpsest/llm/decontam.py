@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import fresh
+from palimpsest.llm.common import fresh, slabs
 
 #: Benchmark text that one automaton may hold; a larger benchmark is scanned in blocks of about this size.
 BLOCK_BYTES = 32 << 20
@@ -112,7 +112,7 @@ def _scanned(docs: DataFrame, held, text: str, n: int, into: str, again: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(held.value, n)
-        for batch in batches:
+        for batch in slabs(batches, text):
             before = batch.column(into).to_pylist() if again else [None] * batch.num_rows
             rows = []
             for value, old in zip(batch.column(text), before):
