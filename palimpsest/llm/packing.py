@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import staged
+from palimpsest.llm.common import slabs, staged
 
 #: Pieces of one length that share a salt, about; a part of this size is sorted by one task.
 PART_ROWS = 200_000
@@ -31,7 +31,7 @@ MIN_PARTS = 256
 #: Plans of more rows are joined by a shuffle instead of a broadcast.
 BROADCAST_PLAN_ROWS = 500_000
 #: Entries of a worker's word cache; a full cache starts anew, results do not depend on it.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
 PLAN_SCHEMA = "length long, lo long, hi long, seq_lo long, k long, offset long"
 
@@ -142,14 +142,18 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if self.plain.fullmatch(word) and "<|" not in word:
-            parts = self.cut.findall(word.lower())
+        if not self.plain.fullmatch(word) or "<|" in word:
+            ids = self.whole.encode(word, add_special_tokens=False).ids
+            out = np.array(ids, "<u4").tobytes()
+        elif (low := word.lower()) != word:
+            out = self[low]
+        elif word[-1] in ".,!?" and word[:-1].isalpha():  # letters and what follows them are cut apart anyway
+            out = self[word[:-1]] + self[word[-1]]
+        else:
+            parts = self.cut.findall(word)
             if not word.isascii():
                 parts = ["".join(map(self.letters.__getitem__, p)) for p in parts]
-            ids = [t.id for p in parts for t in self.model.tokenize(p)]
-        else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
+            out = np.array([t.id for p in parts for t in self.model.tokenize(p)], "<u4").tobytes()
         if len(word) <= 64:
             self[word] = out
         return out
@@ -174,7 +178,7 @@ def tokenized(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
         if path not in _words:
             _words[path] = WordIds(path)
         of = _words[path].of
-        for batch in batches:
+        for batch in slabs(batches, "t"):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, value in enumerate(batch.column("t")):
                 raw = of(value.as_py() or "") + end
