@@ -17,6 +17,7 @@ ties go to the language that sorts first; null ids are never learned from; repea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,9 @@ def contexts(raw: np.ndarray, off: np.ndarray, fold: bytes) -> np.ndarray:
     return code
 
 
+_places: dict[str, np.ndarray] = {}
+
+
 class Trees:
     """Frozen code lengths in bits. seen: sorted 4-symbol numbers; bits: their code lengths in each language;
     escape and shorter: for all other numbers, by context of three and by the last three symbols."""
@@ -83,7 +87,7 @@ class Trees:
             context = self.seen // SYMBOLS
             own = np.where(n > 0, -np.log2(np.maximum(n, 1) / np.maximum(total + kinds, 1)[context]), 0)
             self.bits[:, i] = np.where(n > 0, own, self.escape[context, i] + self.shorter[self.seen % SYMBOLS**3, i])
-        self.place: np.ndarray | None = None
+        self.name = uuid.uuid4().hex
 
     @staticmethod
     def _blend(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -93,11 +97,12 @@ class Trees:
 
     def lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length of each text in each language."""
-        if self.place is None:
-            self.place = np.full(SYMBOLS**4, -1, np.int32)
-            self.place[self.seen] = np.arange(len(self.seen), dtype=np.int32)
+        if self.name not in _places:  # a worker outlives its jobs: it keeps the table of the last model only
+            _places.clear()
+            _places[self.name] = np.full(SYMBOLS**4, -1, np.int32)
+            _places[self.name][self.seen] = np.arange(len(self.seen), dtype=np.int32)
         code = contexts(raw, off, self.fold)
-        at = self.place[code]
+        at = _places[self.name][code]
         bits = self.bits[at] if len(self.seen) else np.zeros((len(code), len(self.langs)), np.float32)
         new = np.flatnonzero(at < 0)
         bits[new] = self.escape[code[new] // SYMBOLS] + self.shorter[code[new] % SYMBOLS**3]
@@ -132,7 +137,6 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in slabs(batches, "text"):
-            codes, off = None, None
             raw, off = flat_utf8(b.column("text"))
             codes = contexts(raw, off, fold)
             langs = np.array(b.column("lang").to_pylist(), object)
