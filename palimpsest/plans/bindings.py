@@ -153,12 +153,18 @@ def state_responses(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("character_id", "state_id", F.concat_ws("|", "character_id", "state_id").alias("response_id"), F.when(broken, F.substring(body, 1, 20)).otherwise(body).alias("response"))
 
 
+#: Events in one response. Fixed value.
+IN_RESPONSE = 20
+
+
 def causal_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user's first twenty events and the relations between neighbours as JSON; every fifth relation names an
-    event that does not exist, every third has no strength."""
+    """All events of each user, twenty a response, and the relations between neighbours as JSON: (session_id, first,
+    response), first the number of the user's events in earlier responses. The last event of a response is related to
+    the first of the next one. Every fifth relation names an event that does not exist, every third has no strength."""
     order = Window.partitionBy("group_id").orderBy("ts", "event_id")
-    ev = causal_events(spark, sf).withColumn("n", F.row_number().over(order)).where("n <= 20").withColumn("next", F.lead("name").over(order))
+    ev = causal_events(spark, sf).withColumns({"n": F.row_number().over(order), "next": F.lead("name").over(order)})
+    ev = ev.withColumn("first", (F.floor((F.col("n") - 1) / IN_RESPONSE) * IN_RESPONSE).cast("int"))
     event = F.struct(F.col("name").alias("event_name"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("event_type"))
     relation = F.when(F.col("next").isNotNull(), F.struct(F.col("name").alias("cause_event"), F.when(F.col("event_id") % 5 == 0, "nowhere").otherwise(F.col("next")).alias("effect_event"), F.when(F.col("event_id") % 3 != 0, F.round(F.least(F.col("value"), F.lit(100.0)) / 100, 4)).alias("causal_strength")))
-    per = ev.groupBy(F.col("group_id").alias("session_id")).agg(F.array_sort(F.collect_list(F.struct("n", event.alias("e")))).getField("e").alias("events"), F.array_sort(F.collect_list(F.when(relation.isNotNull(), F.struct("n", relation.alias("r"))))).getField("r").alias("causal_relations"))
-    return per.select("session_id", F.to_json(F.struct("events", "causal_relations")).alias("response"))
+    per = ev.groupBy(F.col("group_id").alias("session_id"), "first").agg(F.array_sort(F.collect_list(F.struct("n", event.alias("e")))).getField("e").alias("events"), F.array_sort(F.collect_list(F.when(relation.isNotNull(), F.struct("n", relation.alias("r"))))).getField("r").alias("causal_relations"))
+    return per.select("session_id", "first", F.to_json(F.struct("events", "causal_relations")).alias("response"))

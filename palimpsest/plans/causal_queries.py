@@ -112,13 +112,13 @@ known AS (SELECT 'event_' || user_id || '_' || (k - 1) AS id, user_id AS session
 @query(_JSON + "SELECT user_id AS session_id, count(*) AS n_events, count(nx) AS n_relations FROM top GROUP BY 1")
 def o_s3_causal_response(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.causal_responses(spark, sf)
-    n = R.events(rows).groupBy("session_id").agg(F.count("*").alias("n_events"))
+    n = R.events(rows, first="first").groupBy("session_id").agg(F.count("*").alias("n_events"))
     return n.join(R.relations(rows).groupBy("session_id").agg(F.count("*").alias("n_relations")), "session_id")
 
 
 @query(_JSON + "SELECT user_id AS session_id, 'event_' || user_id || '_' || (k - 1) AS event_id, 'event ' || event_id AS name, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'action' END AS event_type, 'minor' AS significance, 'planned' AS status FROM top")
 def o_p18_event_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    return R.events(B.causal_responses(spark, sf)).select("session_id", "event_id", "name", "event_type", "significance", "status")
+    return R.events(B.causal_responses(spark, sf), first="first").select("session_id", "event_id", "name", "event_type", "significance", "status")
 
 
 _RESOLVED = _JSON + "SELECT rel.session_id, a.id AS src, b.id AS dst, coalesce(strength, 0.8)::DOUBLE AS strength, 'causes' AS relation_type, 0.8::DOUBLE AS evidence_level FROM rel JOIN known a ON a.session_id = rel.session_id AND a.name = 'event ' || rel.event_id JOIN known b ON b.session_id = rel.session_id AND b.name = rel.effect"
@@ -127,14 +127,14 @@ _RESOLVED = _JSON + "SELECT rel.session_id, a.id AS src, b.id AS dst, coalesce(s
 @query(_RESOLVED)
 def o_j8_resolution(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.causal_responses(spark, sf)
-    return G.resolved(R.relations(rows), R.events(rows)).select("session_id", "src", "dst", "strength", "relation_type", "evidence_level")
+    return G.resolved(R.relations(rows), R.events(rows, first="first")).select("session_id", "src", "dst", "strength", "relation_type", "evidence_level")
 
 
 @query(f"SELECT session_id, count(*) AS n_stored, any_value(n) AS n_given FROM ({_RESOLVED}) JOIN (SELECT session_id, count(*) AS n FROM ({_JSON} SELECT * FROM rel) GROUP BY 1) USING (session_id) GROUP BY 1")
 def o_g4_store_chain(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.causal_responses(spark, sf)
     given = R.relations(rows).groupBy("session_id").agg(F.count("*").alias("n_given"))
-    stored = written(G.resolved(R.relations(rows), R.events(rows)), "chains").groupBy("session_id").agg(F.count("*").alias("n_stored"))
+    stored = written(G.resolved(R.relations(rows), R.events(rows, first="first")), "chains").groupBy("session_id").agg(F.count("*").alias("n_stored"))
     return stored.join(given, "session_id")
 
 

@@ -33,9 +33,12 @@ def states(responses: DataFrame, key: str = "response_id", text: str = "response
     return rows.withColumn("ok", F.col("parsed") & whole).drop("parsed")
 
 
-def events(responses: DataFrame, key: str = "session_id", text: str = "response") -> DataFrame:
-    """Event rows with defaults and an id made of session and position."""
-    rows = parsed(responses, CAUSAL, text).select(key, F.posexplode("value.events").alias("pos", "e"))
+def events(responses: DataFrame, key: str = "session_id", text: str = "response", first: str | None = None) -> DataFrame:
+    """Event rows with defaults and an id made of session and position; where a session has several responses, `first`
+    names the column with the number of events before each."""
+    rows = parsed(responses, CAUSAL, text).select(key, *[first] * (first is not None), F.posexplode("value.events").alias("pos", "e"))
+    if first is not None:
+        rows = rows.withColumn("pos", F.col("pos") + F.col(first))
     number = F.concat(F.lit("Event "), F.col("pos").cast("string"))
     return rows.select(
         key, "pos", F.concat(F.lit("event_"), F.col(key).cast("string"), F.lit("_"), F.col("pos").cast("string")).alias("event_id"), F.coalesce("e.event_name", number).alias("name"),
