@@ -96,15 +96,24 @@ def _plain_char(c: str) -> str | None:
     return None
 
 
-_SUSPECT = re.compile(f"[{''.join(_LOOKALIKE)}{_ZERO_WIDTH}٠-٩۰-۹०-९！-～\U0001d400-\U0001d7ff①-⓪。｡﹒․﹫‐-–−]")
-_AT_DOT = re.compile(r"[(\[{<]\s*(?:at|dot|punto|punkt|point|arroba)\s*[)\]}>]|\b(?:at|arroba)\b|\bdot\b", re.IGNORECASE)
+# What _plain_char maps, and a few more; \d is any decimal digit.
+_SUSPECT = re.compile(f"[{''.join(_LOOKALIKE)}{_ZERO_WIDTH}\\d！-～\U0001d400-\U0001d7ff①-⓪。｡﹒․﹫\\xa0‐-–−]" + "(?<![0-9])")
 _WORD_AT = r"(?:\s*[(\[{<]\s*(?:at|arroba|@)\s*[)\]}>]\s*|\s+(?:at|arroba|@)\s+|@)"
 _WORD_DOT = r"(?:\s*[(\[{<]\s*(?:dot|punto|punkt|point|\.)\s*[)\]}>]\s*|\s+dot\s+|\.)"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\s*[(\[{{<]\s*dot\s*[)\]}}>]\s*|\s+dot\s+)[A-Za-z0-9_%+-]+)*)({_WORD_AT})([A-Za-z0-9-]+(?:{_WORD_DOT}[A-Za-z0-9-]+)+)", re.IGNORECASE)
 _BARE_AT, _BARE_DOT = re.compile(r"\s+(?:at|arroba)\s+", re.IGNORECASE), re.compile(r"[A-Za-z0-9]\s+dot\s+[A-Za-z]|[(\[{<]", re.IGNORECASE)
 _ONE_DOT = re.compile(r"\s*[(\[{<]\s*(?:dot|punto|punkt|point|\.)\s*[)\]}>]\s*|\s+dot\s+", re.IGNORECASE)
-_DIGIT = rf"(?:{'|'.join(_DIGIT_WORDS)}|[0-9]+)"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+|\+\s*)?{_DIGIT}(?:(?:[\s.,-]*(?:dot|point)[\s,-]+|[\s.()-]{{1,3}}){_DIGIT}){{3,}}(?![A-Za-z0-9])", re.IGNORECASE)
+_DIGIT_WORD = rf"(?:{'|'.join(_DIGIT_WORDS)})"
+_DIGIT = rf"(?:{_DIGIT_WORD}|[0-9]+)"
+_DIGIT_DOT = r"[\s.,-]*(?:dot|point)[\s,-]+"
+_DIGIT_GAP = rf"(?:{_DIGIT_DOT}|[\s.()-]{{1,3}})"
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+|\+\s*)?{_DIGIT}(?:{_DIGIT_GAP}{_DIGIT}){{3,}}(?![A-Za-z0-9])", re.IGNORECASE)
+# Signs of a disguise. Each is a part of every match of _DISGUISED, or of _SPELLED with a letter, that is rewritten:
+# a bracketed sign, a bare `dot`, or an @ between blanks (bare `at` counts only with one of the first two); a digit word
+# beside a digit or digit word, `plus` before one, or `dot` between digits.
+_BRACKETED = re.compile(r"[(\[{<]\s*(?:at|arroba|@|dot|punto|punkt|point|\.)\s*[)\]}>]", re.IGNORECASE)
+_BARE = re.compile(r"\s(?:dot|@)\s", re.IGNORECASE)
+_NEAR_DIGIT = re.compile(rf"{_DIGIT_WORD}{_DIGIT_GAP}{_DIGIT}|[0-9](?:{_DIGIT_GAP}{_DIGIT_WORD}|{_DIGIT_DOT}{_DIGIT})|plus[\s-]+{_DIGIT}", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\+|[^A-Za-z0-9+]+")
 
 
@@ -168,16 +177,17 @@ def _digits(m: Mapped) -> Mapped:
     return m.rewrite(edits) if edits else m
 
 
-def _spelled_words(low: str) -> int:
-    return sum(low.count(w) for w in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"))
+def _signs(text: str) -> tuple[bool, bool, bool]:
+    """Whether each transducer may change the text; false only where it cannot."""
+    suspect = not text.isascii() and _SUSPECT.search(text) is not None
+    low = text.lower()
+    at_dot = _BRACKETED.search(text) is not None or ("dot" in low or "@" in low) and _BARE.search(text) is not None
+    return suspect, at_dot, _NEAR_DIGIT.search(text) is not None
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans of the source that only the rewritten text shows."""
-    suspect = not text.isascii() and _SUSPECT.search(text) is not None
-    low = text.lower()
-    at_dot = "dot" in low or "(at" in low or "[at" in low or "{at" in low or "<at" in low or "( at" in low or "[ at" in low or "(arroba" in low or "[arroba" in low or "(punto" in low or "(punkt" in low or "(point" in low
-    spelled = _spelled_words(low) >= 4
+    suspect, at_dot, spelled = _signs(text)
     if not (suspect or at_dot or spelled):
         return []
     m = Mapped(text)
