@@ -76,11 +76,20 @@ def char_jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 0.0).otherwise(both / either)
 
 
+def words(c: Column) -> Column:
+    """The different lower-cased words of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), rf"(?U){SPACE}+"), lambda s: s != ""))
+
+
+def set_jaccard(x: Column, y: Column) -> Column:
+    """Jaccard of two arrays without repeats; 0 when either is empty."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / (F.size(x) + F.size(y) - both))
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     """Jaccard of the sets of lower-cased words; 0 when either is empty."""
-    x, y = (F.filter(F.split(F.lower(c), rf"(?U){SPACE}+"), lambda s: s != "") for c in (a, b))
-    both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / either)
+    return set_jaccard(words(a), words(b))
 
 
 def change_type(old: Column, new: Column) -> Column:

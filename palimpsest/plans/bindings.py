@@ -136,10 +136,10 @@ def causal_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, memories): embeddings with their documents' texts; queries are vec_id < 10."""
+    """(queries, memories): embeddings with their documents' texts; queries are those with vec_id % 50 = 0."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), F.coalesce("text", F.lit("")).alias("fact"))
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("label").alias("group_id"), "embedding").join(docs, "memory_id")
-    queries = rows.where("memory_id < 10").select(F.col("memory_id").alias("query_id"), "group_id", F.col("fact").alias("query"), "embedding")
+    queries = rows.where("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "group_id", F.col("fact").alias("query"), "embedding")
     return queries, rows
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +43,8 @@ def o_r3_memories_used(spark: SparkSession, sf: str) -> DataFrame:
 @query(_MEM + "SELECT query_id, memory_id, lexical AS similarity FROM (SELECT query_id, memory_id, round(lexical, 6) AS lexical FROM pairs)")
 def o_u5_word_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """The stated queries against all memories of their group."""
-    queries, memories = B.memories(spark, sf)
-    rows = memories.join(F.broadcast(queries.select("query_id", "group_id", "query")), "group_id").where("memory_id <> query_id")
-    return rows.select("query_id", "memory_id", F.round(T.word_jaccard(F.col("query"), F.col("fact")), 6).alias("similarity"))
+    scored = [p.select("query_id", "memory_id", F.round(T.set_jaccard(F.col("_x"), F.col("_y")), 6).alias("similarity")) for p in R.pairs(*B.memories(spark, sf))]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def _context(spark: SparkSession, sf: str) -> DataFrame:

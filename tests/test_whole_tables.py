@@ -1,9 +1,16 @@
 """Queries read whole tables: their rows equal those of DuckDB over all rows, where the SQL beside a query reads fewer."""
 
+import random
+from functools import reduce
+
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from palimpsest import registry
+from palimpsest.functions import text as T
+from palimpsest.operators import recall
 from tests.test_registry import SF, rows
 
 
@@ -22,3 +29,31 @@ def same(spark, name, sql, sf=SF):
 @pytest.mark.parametrize("name", ["o_s3_causal_response", "o_p18_event_defaults", "o_j8_resolution", "o_g4_store_chain"])
 def test_responses_hold_all_events(spark, name):
     same(spark, name, registry.oracle_sql()[name].replace("WHERE k <= 20", ""))
+
+
+@pytest.mark.parametrize("name", ["o_r1_memory_search", "o_w10_top_memories", "o_r3_memories_used", "o_u5_word_jaccard", "o_r2_context", "o_e1_end_to_end"])
+def test_searches_grow_with_the_table(spark, name):
+    assert "q.id < 10" in registry.oracle_sql()[name]
+    same(spark, name, registry.oracle_sql()[name].replace("q.id < 10", "q.id % 50 = 0"))
+
+
+def test_ranks_equal_brute_force(spark, monkeypatch):
+    """Groups beyond the ranks that are read off, equal vectors and texts, null vectors and blocks of queries."""
+    monkeypatch.setattr(recall, "BLOCK_QUERIES", 3)
+    r = random.Random(7)
+    cells = [(i, i % 7 // 6, " ".join(r.choices("abcdefgh", k=r.randint(0, 6))), r.choice([[1.0, 0.0], [0.0, 0.0], [r.random(), r.random() - 0.5]])) for i in range(1500)]
+    rows = spark.createDataFrame(cells, "memory_id long, group_id long, fact string, embedding array<float>").repartition(5)
+    queries = rows.where("memory_id % 150 = 0").withColumnsRenamed({"memory_id": "query_id", "fact": "query"})
+    got = {}
+    for x in recall.search(queries, rows, k=4).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.memory_id))
+    pairs = reduce(DataFrame.unionByName, recall.pairs(queries, rows))
+    pairs = pairs.select("query_id", "memory_id", F.round(recall.cosine(F.col("_q"), F.col("_m")), 9).alias("c"), F.round(T.set_jaccard(F.col("_x"), F.col("_y")), 9).alias("l")).collect()
+    assert len(pairs) == sum(g == h for i, g, _, _ in cells if i % 150 == 0 for j, h, _, _ in cells if i != j)
+    for q in {p.query_id for p in pairs}:
+        own = [p for p in pairs if p.query_id == q]
+        a = {p.memory_id: n for n, p in enumerate(sorted(own, key=lambda p: (p.c is None, -(p.c or 0), p.memory_id)), 1)}
+        b = {p.memory_id: n for n, p in enumerate(sorted(own, key=lambda p: (-p.l, p.memory_id)), 1)}
+        best = sorted(a, key=lambda m: (-round(1 / (60 + a[m]) + 1 / (60 + b[m]), 9), m))[:4]
+        assert sorted(got[q]) == list(enumerate(best, 1))
+    assert len(got) == 10
