@@ -93,8 +93,10 @@ SELECT tot.cid AS user_id, strftime(CAST(sid AS DATE) - k::INTEGER, '%Y-%m-%d')
 def o_t7_windowed_coherence(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     rows = B.psych_states(spark, sf).select("character_id", "observed_at", "traits", "dominant", "intensity", "stability")
-    end = rows.limit(1).select("character_id", F.lit("2024-03-01").cast("timestamp").alias("observed_at"), "traits", "dominant", "intensity", "stability")
-    _steps(f"{at}/in", rows.where("observed_at < '2024-01-16'"), rows.where("observed_at >= '2024-01-16'"), end)
+    # End rows at a time whose watermark lies past the windows of all states: one to move it, one more to make a batch under it.
+    last = rows.agg(F.max("observed_at").alias("last")).where("last is not null")
+    end = rows.limit(1).drop("observed_at").crossJoin(last).withColumn("observed_at", F.col("last") + F.expr("interval 9 days")).select(rows.columns)
+    _steps(f"{at}/in", rows.where("observed_at < '2024-01-16'"), rows.where("observed_at >= '2024-01-16'"), end, end)
     out = J.to_table(J.windowed_scores(J.source(spark, f"{at}/in", rows.schema)), f"{at}/out", f"{at}/check")
-    early = out.where("window_start < '2024-01-23'")  # closed by the last row's watermark
-    return early.select(F.col("character_id").alias("user_id"), F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("behavioral_consistency", 6).alias("behavioral_consistency"), "n_states")
+    real = out.crossJoin(F.broadcast(last)).where("window_start <= last")  # windows of end rows start later
+    return real.select(F.col("character_id").alias("user_id"), F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("behavioral_consistency", 6).alias("behavioral_consistency"), "n_states")

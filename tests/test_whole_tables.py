@@ -57,3 +57,16 @@ def test_ranks_equal_brute_force(spark, monkeypatch):
         best = sorted(a, key=lambda m: (-round(1 / (60 + a[m]) + 1 / (60 + b[m]), 9), m))[:4]
         assert sorted(got[q]) == list(enumerate(best, 1))
     assert len(got) == 10
+
+
+def test_windows_of_all_states_are_closed(spark):
+    cut = " WHERE CAST(sid AS DATE) - k::INTEGER < DATE '2024-01-23'"
+    sql = registry.oracle_sql()["o_t7_windowed_coherence"]
+    assert cut in sql
+    same(spark, "o_t7_windowed_coherence", sql.replace(cut, ""))
+
+
+def test_windows_of_later_dates_are_closed(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts") + F.expr("interval 400 days")).write.parquet(f"{tmp_path}/events.parquet")
+    name = "o_t7_windowed_coherence"
+    assert registry.queries()[name](spark, str(tmp_path)).count() == registry.queries()[name](spark, SF).count() > 0
