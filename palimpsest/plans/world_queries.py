@@ -203,7 +203,7 @@ def o_c3_normalize_ws(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, md5({_TRIM}) AS punct, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS ws FROM documents WHERE NOT contains(coalesce(text, ''), chr(10) || chr(10) || chr(10))")
 def o_c4_content_hash(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))).where(~F.contains("text", F.lit("\n\n\n")))
+    docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", T.content_hash(F.col("text")).alias("punct"), T.content_hash(F.col("text"), "ws").alias("ws"))
 
 
@@ -217,5 +217,5 @@ def o_c6_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, md5({_TRIM}) AS exact, md5(list_aggregate(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: {_MARK}), 'string_agg', chr(10))) AS structural FROM documents WHERE NOT contains(coalesce(text, ''), chr(10) || chr(10) || chr(10))")
 def o_c5_multi_hash(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))).where(~F.contains("text", F.lit("\n\n\n")))
+    docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", T.content_hashes(F.col("text")).alias("h")).select("doc_id", "h.exact", "h.structural")

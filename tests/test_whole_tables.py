@@ -1,5 +1,6 @@
 """Queries read whole tables: their rows equal those of DuckDB over all rows, where the SQL beside a query reads fewer."""
 
+import hashlib
 import random
 from functools import reduce
 
@@ -70,3 +71,15 @@ def test_windows_of_later_dates_are_closed(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts") + F.expr("interval 400 days")).write.parquet(f"{tmp_path}/events.parquet")
     name = "o_t7_windowed_coherence"
     assert registry.queries()[name](spark, str(tmp_path)).count() == registry.queries()[name](spark, SF).count() > 0
+
+
+def test_hashes_of_documents_with_blank_lines(spark, tmp_path):
+    texts = {1: "a\n\n\nb", 2: "a\n\nb", 3: "\n\n\n\n# t\n\n\n\n- x：\n", 4: None, 5: "plain"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    punct = {i: md5(t) for i, t in {1: "a\n\nb", 2: "a\n\nb", 3: "# t\n\n- x:", 4: "", 5: "plain"}.items()}
+    ws = {i: md5(" ".join((t or "").split())) for i, t in texts.items()}
+    marks = {i: md5(t) for i, t in {1: "text\n\n\ntext", 2: "text\n\ntext", 3: "\n\n\n\n#\n\n\n\n-\n", 4: "", 5: "text"}.items()}
+    get = lambda name: {r.doc_id: tuple(r)[1:] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    assert get("o_c4_content_hash") == {i: (punct[i], ws[i]) for i in texts}
+    assert get("o_c5_multi_hash") == {i: (punct[i], marks[i]) for i in texts}
