@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest.plans import bindings as B
 from palimpsest.plans.base import CHAT, PSYCH, WORLD, query
@@ -13,15 +16,26 @@ from palimpsest.plans.world_queries import T0
 from palimpsest.sources.tables import shared_dir
 from palimpsest.streaming import jobs as J
 
+T = TypeVar("T")
+#: More files than a step has.
+STEP_FILES = 1_000_000
+
 
 def _at(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _steps(path: str, *steps: DataFrame) -> None:
-    """One file for each step, written in order, so that a stream takes them in order."""
+def _steps(path: str, run: Callable[[], T], *steps: DataFrame) -> T:
+    """Writes each step as it is dealt and lets the stream take it, as one batch, before the next one; what the last run returns."""
     for df in steps:
-        df.coalesce(1).write.mode("append").parquet(path)
+        df.write.mode("append").parquet(path)
+        out = run()
+    return out
+
+
+def _source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All new files in one batch."""
+    return J.source(spark, path, schema, STEP_FILES)
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,8 +47,7 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
 def o_t1_world_stream(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     old, new = (e.select("session_id", "entry_id", "entry_type", "name", "content", "content_hash", F.col("doc_id").alias("pos")) for e in B.world_entries(spark, sf))
-    _steps(f"{at}/in", old, new)
-    J.run(J.sync_entries(J.source(spark, f"{at}/in", old.schema), f"{at}/store", f"{at}/check", T0))
+    _steps(f"{at}/in", lambda: J.run(J.sync_entries(_source(spark, f"{at}/in", old.schema), f"{at}/store", f"{at}/check", T0)), old, new)
     return J.store(spark, f"{at}/store", 1).groupBy("session_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -42,8 +55,7 @@ def o_t1_world_stream(spark: SparkSession, sf: str) -> DataFrame:
 def o_t2_chat_stream(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     old, new = (c.select("session_id", "turn", "content_hash") for c in B.chats(spark, sf))
-    _steps(f"{at}/in", old, new)
-    rows = J.to_table(J.chat_changes(J.source(J.configure(spark), f"{at}/in", old.schema)), f"{at}/out", f"{at}/check")
+    rows = _steps(f"{at}/in", lambda: J.to_table(J.chat_changes(_source(J.configure(spark), f"{at}/in", old.schema)), f"{at}/out", f"{at}/check"), old, new)
     first = old.select("session_id").distinct()
     # A session's first history is an append to nothing; what follows is the change in question.
     return rows.join(first, "session_id").where("not (change = 'append' and diff_index = 0)")
@@ -54,8 +66,7 @@ def o_t3_transition_stream(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     rows = B.psych_states(spark, sf).select("character_id", "state_id", "observed_at", "stability")
     half = F.col("state_id") < "2024-01-16"
-    _steps(f"{at}/in", rows.where(half), rows.where(~half))
-    out = J.to_table(J.transitions(J.source(J.configure(spark), f"{at}/in", rows.schema)), f"{at}/out", f"{at}/check")
+    out = _steps(f"{at}/in", lambda: J.to_table(J.transitions(_source(J.configure(spark), f"{at}/in", rows.schema)), f"{at}/out", f"{at}/check"), rows.where(half), rows.where(~half))
     return out.select(F.col("character_id").alias("user_id"), "from_state", "to_state", F.round("stability_change", 6).alias("stability_change"))
 
 
@@ -63,8 +74,7 @@ def o_t3_transition_stream(spark: SparkSession, sf: str) -> DataFrame:
 def o_t4_response_stream(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     rows = _messages(spark, sf).where("role = 'assistant'").select("session_id", F.concat(F.lit("Response "), F.col("turn").cast("string")).alias("name"), "content_hash", F.col("ts").alias("reference_time"))
-    _steps(f"{at}/in", rows)
-    J.run(J.episodes(J.source(spark, f"{at}/in", rows.schema), f"{at}/out", f"{at}/check"))
+    _steps(f"{at}/in", lambda: J.run(J.episodes(_source(spark, f"{at}/in", rows.schema), f"{at}/out", f"{at}/check")), rows)
     return spark.read.parquet(f"{at}/out").groupBy("session_id").agg(F.count_distinct("episode_id").alias("n"))
 
 
@@ -72,8 +82,7 @@ def o_t4_response_stream(spark: SparkSession, sf: str) -> DataFrame:
 def o_t5_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     rows = _messages(spark, sf)
-    _steps(f"{at}/in", rows)
-    out = J.to_table(J.distinct_content(J.source(spark, f"{at}/in", rows.schema)), f"{at}/out", f"{at}/check")
+    out = _steps(f"{at}/in", lambda: J.to_table(J.distinct_content(_source(spark, f"{at}/in", rows.schema)), f"{at}/out", f"{at}/check"), rows)
     return out.groupBy("session_id").agg(F.count("*").alias("n"))
 
 
@@ -81,9 +90,9 @@ def o_t5_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def o_t6_live_counters(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     rows = _messages(spark, sf)
-    _steps(f"{at}/in", rows.where("session_id % 2 = 0"), rows.where("session_id % 2 = 1"))
-    counters = J.live_counters(J.source(spark, f"{at}/in", rows.schema))
-    J.run(counters.writeStream.outputMode("update").option("checkpointLocation", f"{at}/check").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{at}/out/batch={n}")))
+    counters = lambda: J.live_counters(_source(spark, f"{at}/in", rows.schema))
+    even = F.coalesce(F.col("session_id") % 2 == 0, F.lit(False))
+    _steps(f"{at}/in", lambda: J.run(counters().writeStream.outputMode("update").option("checkpointLocation", f"{at}/check").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{at}/out/batch={n}"))), rows.where(even), rows.where(~even))
     out = spark.read.parquet(f"{at}/out")
     return out.groupBy("session_id").agg(F.max_by("n", "batch").alias("n"), F.max_by("n_roles", "batch").alias("n_roles"))
 
@@ -96,7 +105,7 @@ def o_t7_windowed_coherence(spark: SparkSession, sf: str) -> DataFrame:
     # End rows at a time whose watermark lies past the windows of all states: one to move it, one more to make a batch under it.
     last = rows.agg(F.max("observed_at").alias("last")).where("last is not null")
     end = rows.limit(1).drop("observed_at").crossJoin(last).withColumn("observed_at", F.col("last") + F.expr("interval 9 days")).select(rows.columns)
-    _steps(f"{at}/in", rows.where("observed_at < '2024-01-16'"), rows.where("observed_at >= '2024-01-16'"), end, end)
-    out = J.to_table(J.windowed_scores(J.source(spark, f"{at}/in", rows.schema)), f"{at}/out", f"{at}/check")
+    run = lambda: J.to_table(J.windowed_scores(_source(spark, f"{at}/in", rows.schema)), f"{at}/out", f"{at}/check")
+    out = _steps(f"{at}/in", run, rows.where("observed_at < '2024-01-16'"), rows.where("observed_at >= '2024-01-16'"), end, end)
     real = out.crossJoin(F.broadcast(last)).where("window_start <= last")  # windows of end rows start later
     return real.select(F.col("character_id").alias("user_id"), F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("behavioral_consistency", 6).alias("behavioral_consistency"), "n_states")
