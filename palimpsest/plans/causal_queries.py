@@ -103,7 +103,7 @@ def o_s5_causal_edge_sink(spark: SparkSession, sf: str) -> DataFrame:
     return written(B.causal_edges(spark, sf), "causal_edges").groupBy("group_id").agg(F.count("*").alias("n"), F.round(F.sum("strength"), 4).alias("total"))
 
 
-_JSON = f"""WITH {CAUSAL}, top AS (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY k) AS nx FROM (SELECT event_id, gid AS user_id, event_type, value, k FROM ce WHERE k <= 20)),
+_JSON = f"""WITH {CAUSAL}, top AS (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY k) AS nx FROM (SELECT event_id, gid AS user_id, event_type, value, k FROM ce)),
 rel AS (SELECT user_id AS session_id, k - 1 AS pos, event_id, nx, CASE WHEN event_id % 5 = 0 THEN 'nowhere' ELSE 'event ' || nx END AS effect, CASE WHEN event_id % 3 <> 0 THEN round(least(value, 100) / 100, 4) END AS strength FROM top WHERE nx IS NOT NULL),
 known AS (SELECT 'event_' || user_id || '_' || (k - 1) AS id, user_id AS session_id, 'event ' || event_id AS name FROM top)
 """

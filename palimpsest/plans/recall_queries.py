@@ -19,7 +19,7 @@ _MEM = r"""WITH words AS (SELECT doc_id, list_distinct(list_filter(regexp_split_
 mem AS (SELECT vec_id AS id, label AS gid, embedding::DOUBLE[] AS e, w, fact FROM embeddings JOIN words ON doc_id = vec_id),
 pairs AS (SELECT q.id AS query_id, m.id AS memory_id, m.fact, round(list_dot_product(q.e, m.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(m.e, m.e))), 9) AS cosine,
   round(CASE WHEN len(q.w) = 0 OR len(m.w) = 0 THEN 0 ELSE len(list_intersect(q.w, m.w)) / len(list_distinct(list_concat(q.w, m.w))) END, 9) AS lexical
-  FROM mem q JOIN mem m ON q.gid = m.gid AND q.id <> m.id WHERE q.id < 10),
+  FROM mem q JOIN mem m ON q.gid = m.gid AND q.id <> m.id WHERE q.id % 50 = 0),
 ranked AS (SELECT *, round(1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, memory_id)) + 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, memory_id)), 9) AS score FROM pairs),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM ranked)
 """

@@ -98,7 +98,7 @@ def o_t6_live_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {PSYCH}, b AS (SELECT cid, sid, CASE WHEN name IN ('joy', 'happiness') THEN 1.0 WHEN name IN ('optimistic', 'enthusiastic', 'anxious', 'aggressive', 'stubborn') THEN 0.9 ELSE 0.7 END AS s FROM tra QUALIFY row_number() OVER (PARTITION BY cid, sid ORDER BY v DESC, name) = 1)
-SELECT tot.cid AS user_id, strftime(CAST(sid AS DATE) - k::INTEGER, '%Y-%m-%d') AS window_start, round(avg(b.s), 6)::DOUBLE AS behavioral_consistency, count(*) AS n_states FROM tot JOIN b USING (cid, sid), range(7) t(k) WHERE CAST(sid AS DATE) - k::INTEGER < DATE '2024-01-23' GROUP BY 1, 2""")
+SELECT tot.cid AS user_id, strftime(CAST(sid AS DATE) - k::INTEGER, '%Y-%m-%d') AS window_start, round(avg(b.s), 6)::DOUBLE AS behavioral_consistency, count(*) AS n_states FROM tot JOIN b USING (cid, sid), range(7) t(k) GROUP BY 1, 2""")
 def o_t7_windowed_coherence(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     rows = B.psych_states(spark, sf).select("character_id", "observed_at", "traits", "dominant", "intensity", "stability")

@@ -189,9 +189,10 @@ def o_c7_entry_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TRIM = "trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))"
+_PUNCT = f"md5(translate(regexp_replace({_TRIM}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '：，。', ':,.'))"
 
 
-@query(f"SELECT doc_id, md5(translate(regexp_replace({_TRIM}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '：，。', ':,.')) AS hash FROM documents")
+@query(f"SELECT doc_id, {_PUNCT} AS hash FROM documents")
 def o_c2_normalize_punct(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize_content(F.coalesce("text", F.lit(""))).cast("binary")).alias("hash"))
 
@@ -201,7 +202,7 @@ def o_c3_normalize_ws(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize_content(F.coalesce("text", F.lit("")), "ws").cast("binary")).alias("hash"))
 
 
-@query(f"SELECT doc_id, md5({_TRIM}) AS punct, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS ws FROM documents WHERE NOT contains(coalesce(text, ''), chr(10) || chr(10) || chr(10))")
+@query(f"SELECT doc_id, {_PUNCT} AS punct, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS ws FROM documents")
 def o_c4_content_hash(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", T.content_hash(F.col("text")).alias("punct"), T.content_hash(F.col("text"), "ws").alias("ws"))
@@ -215,7 +216,7 @@ def o_c6_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.structural_fingerprint(F.coalesce("text", F.lit(""))).alias("fingerprint"))
 
 
-@query(f"SELECT doc_id, md5({_TRIM}) AS exact, md5(list_aggregate(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: {_MARK}), 'string_agg', chr(10))) AS structural FROM documents WHERE NOT contains(coalesce(text, ''), chr(10) || chr(10) || chr(10))")
+@query(f"SELECT doc_id, {_PUNCT} AS exact, md5(list_aggregate(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: {_MARK}), 'string_agg', chr(10))) AS structural FROM documents")
 def o_c5_multi_hash(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", T.content_hashes(F.col("text")).alias("h")).select("doc_id", "h.exact", "h.structural")

@@ -1,41 +1,16 @@
-"""Queries read whole tables: their rows equal those of DuckDB over all rows, where the SQL beside a query reads fewer."""
+"""Queries read whole tables, also where the given ones lack the hard cases."""
 
 import hashlib
 import random
 from functools import reduce
 
-import duckdb
-import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import registry
 from palimpsest.functions import text as T
 from palimpsest.operators import recall
-from tests.test_registry import SF, rows
-
-
-def whole(sql, sf=SF):
-    con = duckdb.connect()
-    for t in ("conversations", "documents", "embeddings", "events"):
-        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    return con.sql(sql)
-
-
-def same(spark, name, sql, sf=SF):
-    df, want = registry.queries()[name](spark, sf), whole(sql, sf)
-    assert rows(df.columns, map(tuple, df.collect())) == rows(want.columns, want.fetchall())
-
-
-@pytest.mark.parametrize("name", ["o_s3_causal_response", "o_p18_event_defaults", "o_j8_resolution", "o_g4_store_chain"])
-def test_responses_hold_all_events(spark, name):
-    same(spark, name, registry.oracle_sql()[name].replace("WHERE k <= 20", ""))
-
-
-@pytest.mark.parametrize("name", ["o_r1_memory_search", "o_w10_top_memories", "o_r3_memories_used", "o_u5_word_jaccard", "o_r2_context", "o_e1_end_to_end"])
-def test_searches_grow_with_the_table(spark, name):
-    assert "q.id < 10" in registry.oracle_sql()[name]
-    same(spark, name, registry.oracle_sql()[name].replace("q.id < 10", "q.id % 50 = 0"))
+from tests.test_registry import SF
 
 
 def test_ranks_equal_brute_force(spark, monkeypatch):
@@ -60,13 +35,6 @@ def test_ranks_equal_brute_force(spark, monkeypatch):
     assert len(got) == 10
 
 
-def test_windows_of_all_states_are_closed(spark):
-    cut = " WHERE CAST(sid AS DATE) - k::INTEGER < DATE '2024-01-23'"
-    sql = registry.oracle_sql()["o_t7_windowed_coherence"]
-    assert cut in sql
-    same(spark, "o_t7_windowed_coherence", sql.replace(cut, ""))
-
-
 def test_windows_of_later_dates_are_closed(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts") + F.expr("interval 400 days")).write.parquet(f"{tmp_path}/events.parquet")
     name = "o_t7_windowed_coherence"
