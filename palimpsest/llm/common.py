@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+_held: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """The object that `make` gives, kept in this worker until another key is asked for.
+
+    Python workers outlive tasks and stages: what one operator keeps must not add to what the next one needs.
+    """
+    if key not in _held:
+        _held.clear()
+        released()
+        _held[key] = make()
+    return _held[key]
+
+
+def released() -> None:
+    """Gives memory that is free in this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a task's worker gives free memory back."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return whole
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,3 +115,30 @@ def fresh(columns: list[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def blocks(raw: np.ndarray, space: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Cuts one text's bytes into ranges of about `limit` that end in front of white space (space: 256 flags), so that
+    no word is cut; a longer word is a range by itself."""
+    lo = 0
+    while lo < len(raw):
+        hi = lo + limit
+        while hi < len(raw):
+            found = np.flatnonzero(space[raw[hi : hi + 65536]])
+            if len(found):
+                hi += int(found[0])
+                break
+            hi += 65536
+        hi = min(hi, len(raw))
+        yield lo, hi
+        lo = hi
+
+
+def word_bounds(raw: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words of texts in a row; no word reaches over the end of a text."""
+    solid = ~space[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[off] = True
+    begin = np.flatnonzero(solid & (edge[:-1] | np.append(True, ~solid[:-1])))
+    end = np.flatnonzero(solid & (edge[1:] | np.append(~solid[1:], True))) + 1
+    return begin, end

@@ -18,20 +18,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import slabs, staged
+from palimpsest.llm.common import blocks, flat_utf8, fresh, held, slabs, staged, tidy
 
 #: Pieces of one length that share a salt, about; a part of this size is sorted by one task.
 PART_ROWS = 200_000
 MIN_PARTS = 256
 #: Plans of more rows are joined by a shuffle instead of a broadcast.
 BROADCAST_PLAN_ROWS = 500_000
-#: Entries of a worker's word cache; a full cache starts anew, results do not depend on it.
-CACHE_WORDS = 500_000
+#: Units that a worker knows the ids of; beyond that it starts anew, results do not depend on it.
+CACHE_UNITS = 600_000
+#: Text that is cut into units at once.
+BLOCK_BYTES = 2 << 20
+#: About this many ranges of ranks are joined with the plan's rows by an equality.
+RANK_RANGES = 200_000
 
 PLAN_SCHEMA = "length long, lo long, hi long, seq_lo long, k long, offset long"
 
@@ -85,43 +90,57 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096, order: tuple[str, ...] = ()) -> DataFrame:
     """Adds sequence_id and offset to rows of `length` 1..capacity; `order` makes the ranks repeatable.
 
-    pieces is read three times: hand in a table or the result of staged().
+    pieces is read three times: hand in a table or the result of staged(). Columns named sequence_id or offset are
+    replaced; other names are free.
     """
     spark = pieces.sparkSession
-    keys = [F.col(c) for c in order] or [F.col(length)]
+    keys = [F.col(f"`{c}`") for c in order] or [F.col(f"`{length}`")]
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    size, part, rank, start, within = fresh(pieces.columns, "_len", "_part", "_rank", "_start", "_range")
     n = pieces.count()
     parts = max(MIN_PARTS, -(-n // PART_ROWS))
-    salted = pieces.withColumns({"__len": F.col(length).cast("long"), "__part": F.pmod(F.xxhash64(*keys), F.lit(parts))})
-    counts = salted.groupBy("__len", "__part").agg(F.count("*").alias("__n"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("__len").agg(F.sum("__n")).collect()}  # at most `capacity` rows
+    width = max(256, -(-n // RANK_RANGES))  # ranks in a range
+    salted = pieces.withColumns({size: F.col(f"`{length}`").cast("long"), part: F.pmod(F.xxhash64(*keys), F.lit(parts))})
+    counts = salted.groupBy(size, part).agg(F.count("*").alias("n"))
+    histogram = {r[0]: r[1] for r in counts.groupBy(size).agg(F.sum("n")).collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(best_fit_plan(histogram, capacity), PLAN_SCHEMA)
-    before = Window.partitionBy("__len").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__len", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__len", "__part").orderBy(*keys)
+    before = Window.partitionBy(size).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(size, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
     ranked = (
-        salted.withColumn("__rank", F.row_number().over(within) - 1)
-        .join(starts, ["__len", "__part"])
-        .withColumn("__rank", F.col("__rank") + F.col("__start"))
+        salted.withColumn(rank, F.row_number().over(Window.partitionBy(size, part).orderBy(*keys)) - 1)
+        .join(starts, [size, part])
+        .withColumn(rank, F.col(rank) + F.col(start))
+        .withColumn(within, F.floor(F.col(rank) / width))
     )
-    plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns])
-    if len(histogram) and plan.count() <= BROADCAST_PLAN_ROWS:
+    # A row of the plan stands once for each range of ranks that it reaches into, so a piece meets only rows near its rank.
+    ends = F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))
+    plan = plan.select(F.col("length").alias(size), F.explode(ends).alias(within), F.struct("lo", "hi", "seq_lo", "k", "offset").alias(start))
+    if histogram and plan.count() <= BROADCAST_PLAN_ROWS:
         plan = F.broadcast(plan)
-    slot = F.col("__rank") - F.col("__p_lo")
-    return (
-        ranked.join(plan, (F.col("__len") == F.col("__p_length")) & (F.col("__rank") >= F.col("__p_lo")) & (F.col("__rank") < F.col("__p_hi")))
-        .withColumns({
-            "sequence_id": F.col("__p_seq_lo") + F.floor(slot / F.col("__p_k")).cast("long"),
-            "offset": F.col("__p_offset") + slot % F.col("__p_k") * F.col("__len"),
-        })
-        .select(*pieces.columns, "sequence_id", "offset")
-    )
-
-
-class WordIds(dict):
-    """White-space separated words to their ids as little-endian 32-bit bytes, by a tokenizer that drops white space.
-
-    Words of printable ASCII and Latin-1 are cut here as the tokenizer's own pattern cuts them and go to its model;
-    all others go through the whole tokenizer.
+    slot = F.col(rank) - F.col(f"{start}.lo")
+    found = ranked.drop(start).join(plan, [size, within]).where(F.col(rank).between(F.col(f"{start}.lo"), F.col(f"{start}.hi") - 1))
+    return found.select(
+        *[F.col(f"`{c}`") for c in kept],
+        (F.col(f"{start}.seq_lo") + F.floor(slot / F.col(f"{start}.k")).cast("long")).alias("sequence_id"),
+        (F.col(f"{start}.offset") + slot % F.col(f"{start}.k") * F.col(size)).alias("offset"),
+    )
+
+
+_BYTE_CLASS = np.full(256, 4, np.uint8)  # 0 white space, 1 letters, 2 digits, 3 other printable ASCII, 4 the rest
+_BYTE_CLASS[0x21:0x7F] = 3
+_BYTE_CLASS[0x30:0x3A] = 2
+_BYTE_CLASS[0x41:0x5B] = _BYTE_CLASS[0x61:0x7B] = 1
+_BYTE_CLASS[[0x20, 0x09, 0x0A, 0x0D]] = 0
+_LOWER = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b for b in range(256))
+_AFTER_MARK = np.isin(np.arange(256), np.frombuffer(b"stmrvldSTMRVLD", np.uint8))
+
+
+class WordIds:
+    """Ids of texts by a tokenizer that drops white space, lower-cases, and matches no piece over white space.
+
+    Texts are cut into units: words of printable ASCII and the letters U+00C0 to U+00FF as the tokenizer's own pattern cuts them, all others whole. Each
+    different unit of a slab of texts is looked up once, and the tokenizer reads only those that are not known from
+    earlier slabs. Units of ASCII and Latin-1 go to its model, all others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -129,41 +148,91 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.plain = regex.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\xFF]+")
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.odd = regex.compile(r"[\x0B\x0C\x1C-\x1F\x85\xA0  -     　]")
-        self.split = regex.compile(r"[ \t\r\n]+")
         letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: "".join(x for x, _ in letters.pre_tokenize_str(c)) for c in map(chr, range(0x21, 0x100))}
+        self.forget()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if not self.plain.fullmatch(word) or "<|" in word:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-            out = np.array(ids, "<u4").tobytes()
-        elif (low := word.lower()) != word:
-            out = self[low]
-        elif word[-1] in ".,!?" and word[:-1].isalpha():  # letters and what follows them are cut apart anyway
-            out = self[word[:-1]] + self[word[-1]]
-        else:
-            parts = self.cut.findall(word)
-            if not word.isascii():
-                parts = ["".join(map(self.letters.__getitem__, p)) for p in parts]
-            out = np.array([t.id for p in parts for t in self.model.tokenize(p)], "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def of(self, text: str) -> bytes:
-        words = [w for w in self.split.split(text) if w] if self.odd.search(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+    def forget(self) -> None:
+        self.known = pa.array([], pa.binary())
+        self.ids = np.zeros(0, np.uint32)
+        self.start = np.zeros(1, np.int64)
 
-
-_words: dict[str, WordIds] = {}
+    def unit(self, raw: bytes) -> list[int]:
+        word = raw.decode("utf-8", "surrogatepass")
+        if word.isalpha() and word.islower() and self.plain.fullmatch(word):
+            return [t.id for t in self.model.tokenize(word if raw.isascii() else "".join(map(self.letters.__getitem__, word)))]
+        if not self.plain.fullmatch(word) or "<|" in word:
+            return self.whole.encode(word, add_special_tokens=False).ids
+        parts = self.cut.findall(word.lower())
+        if not word.isascii():
+            parts = ["".join(map(self.letters.__getitem__, p)) for p in parts]
+        return [t.id for p in parts for t in self.model.tokenize(p)]
+
+    def _units(self, raw: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """All units in a row, and the number of units before each text."""
+        kind = _BYTE_CLASS[raw]
+        lead = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7))  # the letters from U+00C0 to U+00FF
+        kind[lead] = kind[lead + 1] = 1
+        solid = kind != 0
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[off] = True
+        first = solid & (edge[:-1] | np.concatenate([[True], ~solid[:-1]]))
+        special = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+        mark = np.flatnonzero((raw[:-1] == 0x27) & _AFTER_MARK[raw[1:]])
+        words = np.flatnonzero(first)
+        of = lambda at: np.searchsorted(words, at, "right") - 1
+        whole = np.zeros(len(words), bool)
+        whole[of(np.flatnonzero(kind == 4))] = True
+        whole[of(mark)] = True
+        whole[of(special)] = True
+        low = np.frombuffer(bytearray(raw.tobytes().translate(_LOWER)), np.uint8)
+        low[lead + 1] = np.where(low[lead + 1] < 0x9F, low[lead + 1] | 0x20, low[lead + 1])
+        for w in np.unique(of(special)):  # special tokens are matched as they are written
+            end = words[w + 1] if w + 1 < len(words) else len(raw)
+            low[words[w] : end] = raw[words[w] : end]
+        cut = np.concatenate([[False], kind[1:] != kind[:-1]]) | (kind == 2)
+        inner = np.flatnonzero(solid & cut & ~first)
+        inner = inner[~whole[of(inner)]]
+        first[inner] = True
+        begin = np.flatnonzero(first)
+        ends = np.append(np.cumsum(solid, dtype=np.int32)[begin] - 1, np.count_nonzero(solid)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(low[solid])])
+        return units, np.searchsorted(begin, off)
+
+    def of(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of ids before each text."""
+        units, before = self._units(raw, off)
+        if not len(units):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        coded = units.dictionary_encode()
+        mine = coded.dictionary
+        at = pc.fill_null(pc.index_in(mine, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        found = [self.unit(u) for u in mine.take(pa.array(new)).to_pylist()]
+        at[new] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, mine.take(pa.array(new))])
+        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.uint32)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(f) for f in found], dtype=np.int64)])
+        size, start = np.diff(self.start)[at], self.start[:-1][at]
+        index = coded.indices.to_numpy()
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(start[index] - ends[:-1], n) + np.arange(ends[-1])]
+        if len(self.known) > CACHE_UNITS:
+            self.forget()
+        return ids, ends[before]
+
+    def of_any(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `of`; a text beyond BLOCK_BYTES, which is a slab by itself, is read in blocks that end at white space."""
+        if len(off) != 2 or len(raw) <= BLOCK_BYTES:
+            return self.of(raw, off)
+        ids = [self.of(raw[lo:hi], np.array([0, hi - lo]))[0] for lo, hi in blocks(raw, _BYTE_CLASS == 0, BLOCK_BYTES)]
+        out = np.concatenate(ids)
+        return out, np.array([0, len(out)])
 
 
 def tokenized(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
@@ -172,31 +241,31 @@ def tokenized(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
     fields = [T.StructField(key, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if keep_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _words:
-            _words[path] = WordIds(path)
-        of = _words[path].of
-        for batch in slabs(batches, "t"):
-            rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, value in enumerate(batch.column("t")):
-                raw = of(value.as_py() or "") + end
-                for p, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    rows.append(i)
-                    piece.append(p)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if keep_ids:
-                        ids.append(np.frombuffer(part, "<i4"))
-            out = [batch.column("k").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        words = held(("words", path), lambda: WordIds(path))
+        for batch in slabs(batches, "t", BLOCK_BYTES):
+            ids, before = words.of_any(*flat_utf8(batch.column("t")))
+            total = np.diff(before) + 1
+            last = np.cumsum(total) - 1
+            whole = np.full(int(total.sum()), end_id, "<u4")
+            own = np.ones(len(whole), bool)
+            own[last] = False
+            whole[own] = ids
+            pieces = -(-total // capacity)
+            row = np.repeat(np.arange(len(total)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(total[row] - start, capacity)
+            at = (last - total + 1)[row] + start
+            raw = memoryview(whole.view(np.uint8))
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+            out = [batch.column("k").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             if keep_ids:
-                out.append(pa.array(ids, pa.list_(pa.int32())))
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(whole)), pa.int32()), pa.array(whole.view("<i4"))))
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), T.StructType(fields))
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
