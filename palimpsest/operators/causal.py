@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.tables import written
+
 #: Keyword of a condition and the prefix of its key in the scenario. Fixed values.
 KEYED = (("角色", "character_"), ("地点", "location_"))
 
@@ -16,18 +18,21 @@ KEYED = (("角色", "character_"), ("地点", "location_"))
 def trails(edges: DataFrame, starts: DataFrame, max_depth: int = 5, min_strength: float = 0.5, backward: bool = False) -> DataFrame:
     """start, depth, nodes array, edges array<struct> of all trails of 1..max_depth edges from starts(start).
 
-    A loop of max_depth joins; only ids and edge structs travel, and each level reads the pruned edges once more.
+    A loop of max_depth joins. The pruned edges and the trails of each depth are written to the shared folder, so that
+    a depth is planned and made once, from the one before it, and a lost executor repeats no earlier one.
     """
     near, far = ("dst", "src") if backward else ("src", "dst")
     own = F.struct("src", "dst", "relation_type", "strength", "conditions", "exceptions")
     step = edges.where(F.col("strength") >= min_strength).select(F.col(near).alias("_near"), F.col(far).alias("_far"), F.xxhash64("src", "dst", "relation_type").alias("_id"), own.alias("_edge"))
+    step = written(step, "steps")
     level = starts.select("start").join(step, F.col("start") == F.col("_near")).select("start", F.array("start", "_far").alias("nodes"), F.array("_id").alias("_ids"), F.array("_edge").alias("edges"))
-    out = level
+    out = level = written(level, "trails")
     for _ in range(max_depth - 1):
         tip = F.element_at("nodes", -1)
         level = level.join(step, (tip == F.col("_near")) & ~F.array_contains("_ids", F.col("_id"))).select(
             "start", F.concat("nodes", F.array("_far")).alias("nodes"), F.concat("_ids", F.array("_id")).alias("_ids"), F.concat("edges", F.array("_edge")).alias("edges")
         )
+        level = written(level, "trails")
         out = out.unionByName(level)
     return out.select("start", F.size("edges").alias("depth"), "nodes", "edges")
 
@@ -41,10 +46,11 @@ def active_ends(found: DataFrame, active: DataFrame) -> DataFrame:
 
 def materialized(found: DataFrame, events: DataFrame) -> DataFrame:
     """Trails with their events' attributes in order, attached once at the end."""
-    rows = found.withColumn("trail", F.xxhash64("start", "nodes", F.transform("edges", lambda e: e["relation_type"])))
-    steps = rows.select("trail", "start", "depth", "edges", F.posexplode("nodes").alias("pos", "event_id")).join(events.select("event_id", F.struct("event_id", "name", "event_type").alias("event")), "event_id", "left")
-    grouped = steps.groupBy("trail").agg(F.first("start").alias("start"), F.first("depth").alias("depth"), F.first("edges").alias("edges"), F.array_sort(F.collect_list(F.struct("pos", "event"))).getField("event").alias("events"))
-    return grouped
+    kinds = F.transform("edges", lambda e: e["relation_type"])  # with the nodes these tell a trail from all others
+    steps = found.select("start", "nodes", kinds.alias("kinds"), "depth", "edges", F.posexplode("nodes").alias("pos", "event_id"))
+    steps = steps.join(events.select("event_id", F.struct("event_id", "name", "event_type").alias("event")), "event_id", "left")
+    grouped = steps.groupBy("start", "nodes", "kinds").agg(F.first("depth").alias("depth"), F.first("edges").alias("edges"), F.array_sort(F.collect_list(F.struct("pos", "event"))).getField("event").alias("events"))
+    return grouped.drop("kinds")
 
 
 def _name(c: Column, word: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.operators import shred
 
 KEYS = ("session_id", "entry_id")
 
@@ -32,31 +33,52 @@ def property_changes(old: Column, new: Column) -> Column:
 def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
     """added, removed, modified and unchanged in one full outer join; both sides have one row an id.
 
-    Texts are compared only where hashes differ. Columns: session_id, entry_id, change, old, new (structs), diff.
+    Columns: session_id, entry_id, change, old, new (structs), diff (its fields are null but for modified entries).
+    Properties and similarities are taken behind the join, of modified entries only, and only if they are asked for.
     """
-    fields = ("entry_type", "name", "content", "content_hash", "properties")
+    fields = ("entry_type", "name", "content", "content_hash")
     sides = [df.select(*KEYS, F.struct(*fields).alias(side)) for df, side in ((old, "old"), (new, "new"))]
     rows = sides[0].join(sides[1], list(KEYS), "full_outer")
     change = (
         F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
         .when(F.col("old.content_hash").eqNullSafe(F.col("new.content_hash")), "unchanged").otherwise("modified")
     )
-    rows = rows.withColumn("change", change)
-    return rows.withColumn("diff", F.when(F.col("change") == "modified", entry_difference()))
-
-
-def entry_difference() -> Column:
-    a, b = F.col("old.content"), F.col("new.content")
-    return F.struct(
-        (~F.col("old.name").eqNullSafe(F.col("new.name"))).alias("name_changed"), (~a.eqNullSafe(b)).alias("content_changed"),
-        property_changes(F.col("old.properties"), F.col("new.properties")).alias("properties_changed"),
-        F.when(~a.eqNullSafe(b), T.change_type(a, b)).alias("change_type"), F.when(~a.eqNullSafe(b), 1 - T.char_jaccard(a, b)).otherwise(0.0).alias("change_percentage"),
+    return with_difference(rows.withColumn("change", change))
+
+
+def with_difference(rows: DataFrame) -> DataFrame:
+    """Adds `diff` to rows with change, old and new."""
+    modified = F.col("change") == "modified"
+    a, b = (F.when(modified, F.col(f"{side}.content")) for side in ("old", "new"))
+    differ = modified & ~a.eqNullSafe(b)
+    rows = rows.withColumn("_similarity", T.char_jaccard(a, b))
+    change = F.when(differ, 1 - F.col("_similarity"))
+    props = [shred.entry_properties(F.when(modified, F.col(f"{side}.entry_type")), c) for side, c in (("old", a), ("new", b))]
+    diff = F.struct(
+        F.when(modified, ~F.col("old.name").eqNullSafe(F.col("new.name"))).alias("name_changed"), F.when(modified, differ).alias("content_changed"), F.when(modified, property_changes(*props)).alias("properties_changed"),
+        F.when(differ, T.change_type(a, b, change)).alias("change_type"), F.when(modified, F.coalesce(change, F.lit(0.0))).alias("change_percentage"),
     )
+    return rows.withColumn("diff", diff).drop("_similarity")
 
 
 def next_snapshot(feed: DataFrame) -> DataFrame:
     """The new state after a change feed: everything but what was removed."""
-    return feed.where("change <> 'removed'").select(*KEYS, "new.*")
+    rows = feed.where("change <> 'removed'").select(*KEYS, "new.*")
+    return rows.withColumn("properties", shred.entry_properties(F.col("entry_type"), F.col("content")))
+
+
+def world_state(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The entries after a change and the version of their session's state: one more than that of the old one, which
+    its entries carry as state_version; a session without an old state begins with 1."""
+    versions = old.groupBy("session_id").agg(F.max("state_version").alias("_before"))
+    rows = next_snapshot(change_feed(old, new)).join(versions, "session_id", "left")
+    return rows.withColumn("state_version", F.coalesce("_before", F.lit(0)) + 1).drop("_before")
+
+
+def hash_index(state: DataFrame) -> DataFrame:
+    """entry_id by content hash of a state; of entries with one hash the last one that was changed is not known, so the
+    greatest id counts."""
+    return state.groupBy("session_id", "content_hash").agg(F.max("entry_id").alias("entry_id"), F.count("*").alias("n_entries"))
 
 
 def message_diff(old: DataFrame, new: DataFrame, key: str = "session_id") -> DataFrame:

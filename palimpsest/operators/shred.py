@@ -94,11 +94,18 @@ def dialog_turns(prompts: DataFrame, key: str = "session_id", prompt: str = "pro
 
 
 def shredded(prompts: DataFrame, key: str = "session_id", prompt: str = "prompt") -> DataFrame:
-    """Per prompt the counts of what the three tables hold, and its length."""
-    base = prompts.select(key, F.length(prompt).cast("long").alias("original_length"))
-    for name, rows in (("n_instructions", instructions(prompts, key, prompt)), ("n_narratives", narratives(prompts, key, prompt)), ("n_turns", dialog_turns(prompts, key, prompt))):
-        base = base.join(rows.groupBy(key).agg(F.count("*").alias(name)), key, "left")
-    return base.fillna(0, ["n_instructions", "n_narratives", "n_turns"])
+    """Per prompt the counts of what the three tables hold, and its length: one projection, no shuffle."""
+    kinds = {kind: [t[0] for t in TAGS if t[1] == kind] for kind in ("instruction", "narrative", "dialog")}
+    (world,) = [t[0] for t in TAGS if t[2] == "world_info"]
+    total = lambda items, size: F.aggregate(items, F.lit(0), lambda n, x: n + size(x))
+    own = lambda s, kind: F.filter(s, lambda x: x["tag"].isin(kinds[kind]))
+    counts = T.bound(sections(F.col(prompt)), lambda s: T.bound(remainder(F.col(prompt)), lambda rest: F.struct(
+        F.size(own(s, "instruction")).alias("n_instructions"),
+        (total(own(s, "narrative"), lambda x: F.when(x["tag"] == world, F.size(blocks(x["body"]))).otherwise(1)) + F.when((rest != "") & ~is_dialog(rest), 1).otherwise(0)).alias("n_narratives"),
+        (total(own(s, "dialog"), lambda x: F.size(turns(x["body"]))) + F.when(is_dialog(rest), F.size(turns(rest))).otherwise(0)).alias("n_turns"),
+    )))
+    rows = prompts.select(key, F.length(prompt).cast("long").alias("original_length"), counts.alias("_n"))
+    return rows.select(key, "original_length", *[F.coalesce(F.col(f"_n.{c}").cast("long"), F.lit(0)).alias(c) for c in ("n_instructions", "n_narratives", "n_turns")])
 
 
 _ENTRY = (("地点", "location"), ("角色", "character"), ("概念", "concept"))
@@ -118,19 +125,35 @@ def entries(texts: DataFrame, text: str = "text", mode: str = "punct") -> DataFr
     rows = rows.withColumns({"entry_type": kind, "name": name, "source": source})
     return rows.withColumns({
         "entry_id": T.entry_id(F.col("entry_type"), F.col("name"), mode), "content_hash": T.content_hash(F.col("content"), mode),
-        "properties": F.when(F.col("entry_type") == "general", F.create_map().cast("map<string,string>")).otherwise(properties(F.col("content"))),
+        "properties": entry_properties(F.col("entry_type"), F.col("content")),
     })
 
 
+def entry_properties(kind: Column, content: Column) -> Column:
+    """The properties of an entry; general ones have none."""
+    return F.when(kind == "general", F.create_map().cast("map<string,string>")).otherwise(properties(content))
+
+
+#: `key: value`, a key being what stands between white space or colons. Looks behind only so that no word is tried twice.
+_PAIR = r"(?<![^\s:])([^\s:]++):\s*([^\n]+)"
+
+
 def properties(content: Column) -> Column:
-    """`["..."]` hits as primary_description, attribute_1, ...; then `key: value` pairs; the last of a key wins."""
+    """`["..."]` hits as primary_description, attribute_1, ...; then `key: value` pairs; the last of a key wins.
+
+    Each pattern is run once a text, and the last of a key is found by sorting.
+    """
     hits = F.regexp_extract_all(content, F.lit(r'\["([^"]+)"\]'), 1)
     named = F.transform(hits, lambda v, i: F.struct(F.when(i == 0, F.lit("primary_description")).otherwise(F.concat(F.lit("attribute_"), i.cast("string"))).alias("key"), v.alias("value")))
-    pair = F.lit(r"([^\s:]+):\s*([^\n]+)")
-    pairs = F.zip_with(F.regexp_extract_all(content, pair, 1), F.regexp_extract_all(content, pair, 2), lambda k, v: F.struct(T.strip(k).alias("key"), T.strip(v).alias("value")))
-    both = F.concat(named, pairs)
-    last = F.filter(both, lambda e, i: ~F.exists(F.slice(both, i + 2, F.greatest(F.size(both), F.lit(1))), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    pairs = F.transform(F.regexp_extract_all(content, F.lit(_PAIR), 0), lambda p: F.struct(F.substring_index(p, ":", 1).alias("key"), T.strip(p.substr(F.instr(p, ":") + 1, F.length(p))).alias("value")))
+    placed = F.transform(F.concat(named, pairs), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))
+
+    def last(s: Column) -> Column:
+        own = F.filter(s, lambda e, i: ~F.coalesce(F.get(s, i + 1)["key"] == e["key"], F.lit(False)))
+        back = F.array_sort(F.transform(own, lambda e: F.struct(e["at"].alias("at"), e["key"].alias("key"), e["value"].alias("value"))))
+        return F.map_from_entries(F.transform(back, lambda e: F.struct(e["key"], e["value"])))
+
+    return T.bound(F.array_sort(placed), last)
 
 
 MESSAGE = r"(?U)(?d)^(User|Assistant|[A-Za-z一-龥]+):\s*(.+)$"

@@ -73,7 +73,11 @@ def rationality(emotions: Column, traits: Column, stability: Column, digits: int
 
 def differences(states: DataFrame, digits: int | None = None) -> DataFrame:
     """Consecutive states: character_id, from_state, to_state, observed_at, emotion_changes, trait_changes, stability_change."""
-    rows = previous(states).where("prev is not null")
+    return compared(previous(states).where("prev is not null"), digits)
+
+
+def compared(rows: DataFrame, digits: int | None = None) -> DataFrame:
+    """The differences of states that have `prev`."""
     return rows.select(
         "character_id", F.col("prev.state_id").alias("from_state"), F.col("state_id").alias("to_state"), "observed_at",
         emotion_changes(F.col("prev.emotions"), F.col("emotions"), digits).alias("emotion_changes"),
@@ -84,8 +88,13 @@ def differences(states: DataFrame, digits: int | None = None) -> DataFrame:
 
 def transitions(states: DataFrame, trigger: str = "对话", digits: int | None = None) -> DataFrame:
     """Differences with type, reason, rationality and description of each transition."""
+    return described(differences(states, digits), trigger, digits)
+
+
+def described(changes: DataFrame, trigger: str = "对话", digits: int | None = None) -> DataFrame:
+    """Differences to transition records."""
     e, t, s = F.col("emotion_changes"), F.col("trait_changes"), F.col("stability_change")
-    rows = differences(states, digits).withColumns({
+    rows = changes.withColumns({
         "transition_type": transition_type(e, t, s), "transition_reason": transition_reason(e, t, s), "rationality_score": rationality(e, t, s, digits), "trigger_event": F.lit(trigger),
     })
     return rows.withColumn("description", transition_description())
@@ -143,9 +152,29 @@ def behavior_consistency(states: DataFrame) -> DataFrame:
     return states.groupBy("character_id").agg(F.avg(behavior_score()).alias("behavioral_consistency"))
 
 
+def memory_score(intensity: Column, stability: Column, digits: int | None = None) -> Column:
+    """Of mean values."""
+    i, s = _rounded(intensity, digits), _rounded(stability, digits)
+    return F.when((i > 0.7) & (s < 0.5), 0.6).when((i > 0.5) & (s < 0.7), 0.8).otherwise(0.9)
+
+
 def memory_rationality(states: DataFrame, digits: int | None = None) -> DataFrame:
-    i, s = _rounded(F.avg("intensity"), digits), _rounded(F.avg("stability"), digits)
-    return states.groupBy("character_id").agg(F.when((i > 0.7) & (s < 0.5), 0.6).when((i > 0.5) & (s < 0.7), 0.8).otherwise(0.9).alias("memory_rationality"))
+    return states.groupBy("character_id").agg(memory_score(F.avg("intensity"), F.avg("stability"), digits).alias("memory_rationality"))
+
+
+def stored(states: DataFrame, key: str = "character_id") -> DataFrame:
+    """What storing each state answers: state_id, episode_id, episode_name, source_description, success and error.
+
+    states: key, observed_at, ok (false for a state that could not be read), body. Only good ones get an episode.
+    """
+    who = F.col(key).cast("string")
+    ok = F.coalesce(F.col("ok"), F.lit(False)) & F.col("observed_at").isNotNull()
+    seconds = F.unix_seconds("observed_at").cast("string")
+    episode = F.sha2(F.concat_ws("|", who, seconds, F.coalesce("body", F.lit(""))).cast("binary"), 256)
+    return states.select(
+        *states.columns, F.when(ok, F.concat(F.lit("psych_state_"), who, F.lit("_"), seconds)).alias("stored_id"), F.when(ok, episode).alias("episode_id"),
+        F.concat(F.lit("Psychological State - "), who).alias("episode_name"), F.concat(F.lit("psychological_state:"), who).alias("source_description"), ok.alias("success"), F.when(~ok, "unreadable state").alias("error"),
+    )
 
 
 def coherence(states: DataFrame, as_of: str, days: int = 7, limit: int = 100, digits: int | None = None) -> DataFrame:

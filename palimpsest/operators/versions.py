@@ -49,23 +49,33 @@ def active(store: DataFrame, as_of: str) -> DataFrame:
 
 def sync(store: DataFrame, feed: DataFrame, at: str) -> DataFrame:
     """The store after a change feed: removed entries are closed as deleted, modified ones superseded by a new
-    version, added ones opened. One pass over the store and one join with the changes."""
+    version, added ones opened. One pass over the store, one over the feed, and one join on the keys, whose shuffle
+    the ranking of versions shares; a new version goes out beside the newest one of its entry."""
     t = F.lit(at).cast("timestamp")
-    last = Window.partitionBy(*KEYS)
+    own = Window.partitionBy(*KEYS)
     changes = feed.where("change <> 'unchanged'").select(*KEYS, "change", F.col("new").alias("_new"))
-    rows = store.withColumn("_last", F.max("version").over(last)).join(changes.select(*KEYS, "change"), list(KEYS), "left")
+    ranked = store.withColumns({"_last": F.max("version").over(own), "_n": F.row_number().over(own.orderBy(F.desc("version"), F.desc("valid_from")))})
+    rows = ranked.withColumn("_kept", F.lit(True)).join(changes, list(KEYS), "full_outer")
     closing = F.col("change").isin("removed", "modified") & F.col("valid_until").isNull()
-    next_id = F.sha2(F.concat_ws("|", "session_id", "entry_id", (F.col("_last") + 1).cast("string"), t.cast("string")).cast("binary"), 256)
-    closed = rows.withColumns({
+    closed = {c: F.col(c) for c in store.columns} | {
         "status": F.when(closing, F.when(F.col("change") == "removed", "deleted").otherwise("superseded")).otherwise(F.col("status")),
         "status_reason": F.when(closing & (F.col("change") == "removed"), "removed_by_user").otherwise(F.col("status_reason")),
-        "superseded_by": F.when(closing & (F.col("change") == "modified"), next_id).otherwise(F.col("superseded_by")),
+        "superseded_by": F.when(closing & (F.col("change") == "modified"), _next_id(t)).otherwise(F.col("superseded_by")),
         "valid_until": F.when(closing, t).otherwise(F.col("valid_until")),
-    }).select(*store.columns)
-    top = store.groupBy(*KEYS).agg(F.max("version").alias("_last"))
-    opened = changes.where("change in ('added', 'modified')").join(top, list(KEYS), "left")
-    opened = opened.select(*KEYS, "_new.entry_type", "_new.name", "_new.content", "_new.content_hash", (F.coalesce("_last", F.lit(0)) + 1).cast("long").alias("version"), t.alias("valid_from"))
-    return closed.unionByName(_open(opened).select(*store.columns))
+    }
+    fields = ("entry_type", "name", "content", "content_hash")
+    opened = {c: F.lit(None).cast(store.schema[c].dataType) for c in store.columns} | {c: F.col(f"_new.{c}") for c in fields} | {k: F.col(k) for k in KEYS}
+    opened |= {"version": (F.coalesce("_last", F.lit(0)) + 1).cast("long"), "valid_from": t, "status": F.lit("active"), "episode_id": _next_id(t)}
+    as_row = lambda cells: F.struct(*[v.cast(store.schema[c].dataType).alias(c) for c, v in cells.items()])
+    new = F.col("change").isin("added", "modified") & (F.coalesce("_n", F.lit(1)) == 1)
+    both = F.array_compact(F.array(F.when(F.col("_kept"), as_row(closed)), F.when(new, as_row(opened))))
+    return rows.select(F.explode(both).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in store.columns])
+
+
+def _next_id(t: Column) -> Column:
+    """The episode_id of the version after the last one."""
+    version = (F.coalesce(F.col("_last"), F.lit(0)) + 1).cast("string")
+    return F.sha2(F.concat_ws("|", F.col("session_id").cast("string"), F.col("entry_id").cast("string"), version, t.cast("string")).cast("binary"), 256)
 
 
 def sync_totals(feed: DataFrame) -> DataFrame:
@@ -84,9 +94,38 @@ def intervals(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("valid_until", F.lead("valid_from").over(order))
 
 
+#: Longest piece of a name that names are looked up by.
+GRAM = 6
+
+
+def _grams(name: Column, sizes: list[int]) -> Column:
+    """The different substrings of the given sizes."""
+    def of(q: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(name) - q + 1)
+        return F.when(F.length(name) >= q, F.transform(places, lambda i: name.substr(i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, sizes))))
+
+
 def fuzzy_match(store: DataFrame, changes: DataFrame) -> DataFrame:
-    """Active versions whose name contains a changed entry's name, within the same session and type (a hash join on
-    these, the rest as its condition)."""
-    a, b = store.where("valid_until is null").alias("a"), changes.select("session_id", "entry_type", F.col("name").alias("wanted")).alias("b")
-    same = (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.entry_type") == F.col("b.entry_type"))
-    return a.join(b, same & F.col("a.name").contains(F.col("b.wanted"))).select("a.*", "b.wanted")
+    """Active versions whose name contains a changed entry's name (`wanted`), within the same session and type.
+
+    The different names are joined through pieces of up to GRAM characters: a wanted name meets only those that have its
+    rarest piece, and `contains` decides. An empty name is in every one; null names match nothing.
+    """
+    same = ["session_id", "entry_type"]
+    active_rows = store.where("valid_until is null")
+    names = active_rows.select(*same, "name").where("name is not null").distinct()
+    wanted = changes.select(*same, F.col("name").alias("wanted")).where("wanted is not null").distinct()
+    sizes = sorted(r[0] for r in wanted.where("wanted <> ''").select(F.least(F.length("wanted"), F.lit(GRAM))).distinct().collect())  # at most GRAM
+    found = names.withColumn("wanted", F.lit("")).join(wanted.where("wanted = ''"), [*same, "wanted"])
+    if sizes:
+        pieces = names.select(*same, "name", F.explode(_grams(F.col("name"), sizes)).alias("_gram"))
+        counts = pieces.groupBy(*same, "_gram").agg(F.count("*").alias("_n"))
+        size = F.least(F.length("wanted"), F.lit(GRAM))
+        own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("wanted") - size + 1), lambda i: F.col("wanted").substr(i, size)))
+        tried = wanted.where("wanted <> ''").select(*same, "wanted", F.explode(own).alias("_gram")).join(counts, [*same, "_gram"])
+        rarest = tried.groupBy(*same, "wanted").agg(F.min(F.struct("_n", "_gram")).getField("_gram").alias("_gram"))
+        met = pieces.join(rarest, [*same, "_gram"]).where(F.col("name").contains(F.col("wanted")))
+        found = found.unionByName(met.select(*found.columns))
+    return active_rows.join(found, [*same, "name"]).select(*store.columns, "wanted")

@@ -105,6 +105,16 @@ def prompts(spark: SparkSession, sf: str) -> DataFrame:
     return per.select("session_id", prompt.alias("prompt"))
 
 
+def earlier_worlds(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference text of each session's request before, (session_id, text): another town for odd sessions, a hero
+    described otherwise for every third; every eleventh session has none."""
+    sessions = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id")).distinct().where("session_id % 11 <> 0")
+    s = F.col("session_id")
+    town, hero = ((s + s % 2) % 7).cast("string"), (s % 5).cast("string")
+    text = F.concat(F.lit('地点("town_'), town, F.lit('")["a quiet place"]\n\n角色("hero_'), hero, F.lit('")["'), F.when(s % 3 == 1, "a shy one").otherwise("a brave one"), F.lit('"]'))
+    return sessions.select("session_id", text.alias("text"))
+
+
 def causal_events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.col("user_id").alias("group_id"), "ts", F.col("event_type"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("name"), "value")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.operators import analysis as A
 from palimpsest.operators import changes as C
 from palimpsest.operators import messages as M
 from palimpsest.operators import shred
@@ -113,9 +114,15 @@ def o_p12_chat_messages(spark: SparkSession, sf: str) -> DataFrame:
     return shred.chat_messages(body, text="body").select("session_id", F.col("turn_number").cast("long").alias("turn_number"), "role", "content_hash", "message_id")
 
 
-@query(_P + "SELECT session_id, count(*) AS n_episodes, count(location) + count(hero) AS n_named FROM narr GROUP BY 1")
+@query(_P + """, named AS (SELECT DISTINCT session_id, coalesce(location, hero) AS name FROM narr WHERE coalesce(location, hero) IS NOT NULL)
+SELECT session_id, (SELECT count(*) FROM narr x WHERE x.session_id = pr.session_id) AS episodes_added, (SELECT count(*) FROM named x WHERE x.session_id = pr.session_id) AS entities_extracted,
+  (SELECT count(*) FROM named x WHERE x.session_id = pr.session_id) AS relationships_created FROM pr""")
 def o_a1_ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return shred.narratives(prompts(spark, sf)).groupBy("session_id").agg(F.count("*").alias("n_episodes"), F.sum(F.when(F.col("block_type") == "world_info", F.size("metadata")).otherwise(0)).alias("n_named"))
+    """Narratives as episodes, the places and characters that they name as entities, and who is named in which episode
+    as relations."""
+    rows = written(shred.narratives(prompts(spark, sf)), "narratives")
+    named = rows.select("session_id", "section", "block", F.explode(F.map_filter("metadata", lambda k, _: k.isin("location", "character"))).alias("kind", "name"))
+    return A.ingest_stats(rows, named.select("session_id", "kind", "name").distinct(), named.distinct())
 
 
 @query(_P + "SELECT session_id, CASE WHEN block_type = 'world_info' THEN 'World Info - ' || coalesce(location, 'Unknown') ELSE 'General Content - 2024-02-01 00:00:00' END AS episode_name, 'text' AS kind FROM narr")
@@ -126,12 +133,27 @@ def o_p15_narrative_names(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("session_id", versions.narrative_name(F.lit("2024-02-01 00:00:00")).alias("episode_name"), versions.narrative_kind().alias("kind"))
 
 
-@query(_P.rstrip() + ", l AS (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY pos) AS dialog FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS k FROM turns) WHERE k <= 5 GROUP BY 1) SELECT session_id, length(dialog) AS dialog_chars, 'Character: ' || session_id AS head FROM l")
+def _parts(parts: tuple[str, ...], *values: str) -> str:
+    """SQL of a prompt."""
+    cells = [f"coalesce(nullif({v}, ''), '{A.UNKNOWN}')" for v in values]
+    return " || ".join([x for p, c in zip(parts, cells) for x in (f"'{p}'", c)] + [f"'{parts[-1]}'"])
+
+
+_HEROES = """'"hero_' || (session_id % 5) || '"'"""
+
+
+@query(_P.rstrip() + f""", l AS (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY pos) AS dialog FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS k FROM turns) WHERE k <= 5 GROUP BY 1)
+SELECT session_id, 'state' AS kind, md5({_parts(A.STATE_PARTS, _HEROES, "''", "dialog")}) AS prompt, count(*) AS n FROM l GROUP BY ALL
+UNION ALL SELECT session_id, 'causal', md5({_parts(A.CAUSAL_PARTS, "content", _HEROES, "location", "''")}), count(*) FROM narr GROUP BY ALL""")
 def o_p19_analysis_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompt texts for an offline batch scorer; the query returns the variable parts."""
-    turns = shred.dialog_turns(prompts(spark, sf)).select("session_id", F.col("pos").alias("turn"), "role", F.col("content").alias("text"))
-    rows = M.recent_dialog(turns, "session_id").withColumn("prompt", F.format_string("Character: %s\nDialog:\n%s", "session_id", "dialog"))
-    return rows.select("session_id", F.length(F.substring_index("prompt", "\nDialog:\n", -1)).cast("long").alias("dialog_chars"), F.substring_index("prompt", "\n", 1).alias("head"))
+    """Digests of the texts for an offline batch scorer: one for the dialog of a session, one for each narrative."""
+    rows = written(prompts(spark, sf), "prompts")
+    narratives = shred.narratives(rows).select("session_id", "content", F.try_element_at("metadata", F.lit("location")).alias("place"), F.try_element_at("metadata", F.lit("character")).alias("who"))
+    heroes = narratives.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("who")), ", ").alias("heroes"))
+    turns = shred.dialog_turns(rows).select("session_id", F.col("pos").alias("turn"), "role", F.col("content").alias("text"))
+    state = M.recent_dialog(turns, "session_id").join(heroes, "session_id", "left").select("session_id", F.lit("state").alias("kind"), A.state_prompt(F.col("heroes"), F.col("dialog")).alias("prompt"))
+    causal = narratives.join(heroes, "session_id", "left").select("session_id", F.lit("causal").alias("kind"), A.causal_prompt(F.col("content"), F.col("heroes"), F.col("place"), F.lit("")).alias("prompt"))
+    return state.unionByName(causal).groupBy("session_id", "kind", F.md5(F.col("prompt").cast("binary")).alias("prompt")).agg(F.count("*").alias("n"))
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,19 +203,10 @@ def o_a10_characters(spark: SparkSession, sf: str) -> DataFrame:
     return M.characters(_spoken(spark, sf), "conv_id").withColumn("characters", F.array_join("characters", ","))
 
 
-_USAGE = r"""u AS (SELECT conv_id, coalesce(sum(w) FILTER (role <> 'assistant'), 0)::BIGINT AS prompt_tokens, coalesce(sum(w) FILTER (role = 'assistant'), 0)::BIGINT AS completion_tokens
+USAGE = r"""u AS (SELECT conv_id, coalesce(sum(w) FILTER (role <> 'assistant'), 0)::BIGINT AS prompt_tokens, coalesce(sum(w) FILTER (role = 'assistant'), 0)::BIGINT AS completion_tokens
   FROM (SELECT conv_id, role, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS w FROM conversations) GROUP BY 1)"""
 
 
-@query(f"WITH {_USAGE} SELECT *, prompt_tokens + completion_tokens AS total_tokens FROM u")
+@query(f"WITH {USAGE} SELECT *, prompt_tokens + completion_tokens AS total_tokens FROM u")
 def o_a13_usage(spark: SparkSession, sf: str) -> DataFrame:
     return M.usage(_messages(spark, sf), "conv_id")
-
-
-@query(f"WITH {_USAGE}, a AS (SELECT conv_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT conv_id, 'chatcmpl-' || md5(conv_id::VARCHAR) AS id, content, prompt_tokens + completion_tokens AS total_tokens, 5 AS memories_used FROM u JOIN a USING (conv_id)")
-def o_s7_completions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _messages(spark, sf)
-    answers = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("content")).withColumn("memories_used", F.lit(5))
-    back = written(M.completions(M.usage(rows, "conv_id"), answers, "conv_id", "any", 1700000000), "completions", kind="json")
-    at = lambda p: F.get_json_object("completion", p)
-    return back.select("conv_id", at("$.id").alias("id"), at("$.choices[0].message.content").alias("content"), at("$.usage.total_tokens").cast("long").alias("total_tokens"), at("$.extra.memories_used").cast("int").alias("memories_used"))

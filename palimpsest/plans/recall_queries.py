@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.operators import changes as C
 from palimpsest.operators import messages as M
 from palimpsest.operators import quality as Q
 from palimpsest.operators import recall as R
 from palimpsest.operators import shred, versions
+from palimpsest.operators import states as S
 from palimpsest.plans import bindings as B
-from palimpsest.plans.base import PROMPT, query
+from palimpsest.plans.base import CHAT, PROMPT, PSYCH, query
+from palimpsest.plans.chat_queries import USAGE
+from palimpsest.plans.world_queries import T0, T1
+from palimpsest.sources.tables import written
 
 _MEM = r"""WITH words AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS w, coalesce(text, '') AS fact FROM documents),
 mem AS (SELECT vec_id AS id, label AS gid, embedding::DOUBLE[] AS e, w, fact FROM embeddings JOIN words ON doc_id = vec_id),
@@ -47,37 +52,83 @@ def o_u5_word_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, scored)
 
 
-def _context(spark: SparkSession, sf: str) -> DataFrame:
-    prompts = B.prompts(spark, sf)
+def _context(spark: SparkSession, sf: str, prompts: DataFrame, found: DataFrame) -> DataFrame:
     turns = shred.dialog_turns(prompts)
     last = M.last_user_message(B.table(spark, sf, "conversations"), "conv_id").where("error is null").select(F.col("conv_id").alias("session_id"), F.lit("user").alias("role"), F.col("text").alias("content"))
-    found = R.search(*B.memories(spark, sf)).withColumn("session_id", F.col("query_id"))
-    return R.context(shred.instructions(prompts), turns, last, R.memory_summary(found, "session_id"))
+    return R.context(shred.instructions(prompts), turns, last, R.memory_summary(found.withColumn("session_id", F.col("query_id")), "session_id"))
 
 
-_CONTEXT = _MEM.replace("WITH ", f"WITH {PROMPT}, ", 1) + """, summary AS (SELECT query_id AS session_id, string_agg('- ' || fact, chr(10) ORDER BY rank) AS s FROM best WHERE rank <= 5 GROUP BY 1),
+def _measured(rows: DataFrame) -> DataFrame:
+    system = F.when(F.col("messages")[0]["role"] == "system", F.length(F.col("messages")[0]["content"])).otherwise(0)
+    return rows.select("session_id", system.cast("long").alias("system_chars"), F.size("messages").cast("long").alias("n_messages"), F.element_at("messages", -1)["content"].alias("last_content"))
+
+
+_CONTEXT_PARTS = _MEM.replace("WITH ", f"WITH {PROMPT}, ", 1) + """, summary AS (SELECT query_id AS session_id, string_agg('- ' || fact, chr(10) ORDER BY rank) AS s FROM best WHERE rank <= 5 GROUP BY 1),
 head AS (SELECT session_id, coalesce(system, '') || coalesce(chr(10) || chr(10) || '相关记忆：' || chr(10) || s, '') AS sys FROM pr LEFT JOIN summary USING (session_id)),
 lastu AS (SELECT conv_id AS session_id, arg_max(text, turn) FILTER (role = 'user') AS content FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0)
-SELECT session_id, length(sys) AS system_chars, (CASE WHEN sys = '' THEN 0 ELSE 1 END + least(5, (SELECT count(*) FROM turns t WHERE t.session_id = head.session_id)) + 1)::BIGINT AS n_messages, content AS last_content FROM head JOIN lastu USING (session_id)
+"""
+_CONTEXT = _CONTEXT_PARTS + """SELECT session_id, length(sys) AS system_chars, (CASE WHEN sys = '' THEN 0 ELSE 1 END + least(5, (SELECT count(*) FROM turns t WHERE t.session_id = head.session_id)) + 1)::BIGINT AS n_messages, content AS last_content FROM head JOIN lastu USING (session_id)
 """
 
 
 @query(_CONTEXT)
 def o_r2_context(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _context(spark, sf)
-    system = F.when(F.col("messages")[0]["role"] == "system", F.length(F.col("messages")[0]["content"])).otherwise(0)
-    return rows.select("session_id", system.cast("long").alias("system_chars"), F.size("messages").cast("long").alias("n_messages"), F.element_at("messages", -1)["content"].alias("last_content"))
+    return _measured(_context(spark, sf, written(B.prompts(spark, sf), "prompts"), R.search(*B.memories(spark, sf))))
+
+
+@query(_MEM.rstrip() + f""", {USAGE}, a AS (SELECT conv_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1)
+SELECT conv_id, 'chatcmpl-' || md5(conv_id::VARCHAR) AS id, content, prompt_tokens + completion_tokens AS total_tokens, (SELECT count(*) FROM best WHERE rank <= 10 AND query_id = conv_id)::INTEGER AS memories_used FROM u JOIN a USING (conv_id)""")
+def o_s7_completions(spark: SparkSession, sf: str) -> DataFrame:
+    """Completion records as JSON, written and read back; the memories used are those that the search found."""
+    rows = B.table(spark, sf, "conversations")
+    used = R.memories_used(R.search(*B.memories(spark, sf))).select(F.col("query_id").alias("conv_id"), F.col("memories_used").cast("int").alias("memories_used"))
+    answers = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("content")).join(used, "conv_id", "left").fillna(0, ["memories_used"])
+    back = written(M.completions(M.usage(rows, "conv_id"), answers, "conv_id", "any", 1700000000), "completions", kind="json")
+    at = lambda p: F.get_json_object("completion", p)
+    return back.select("conv_id", at("$.id").alias("id"), at("$.choices[0].message.content").alias("content"), at("$.usage.total_tokens").cast("long").alias("total_tokens"), at("$.extra.memories_used").cast("int").alias("memories_used"))
+
+
+_E1 = _CONTEXT_PARTS.replace("WITH ", f"WITH {PSYCH}, {CHAT}, ", 1) + """, past AS (SELECT DISTINCT conv_id AS s FROM conversations WHERE conv_id % 11 <> 0),
+ow AS (SELECT s, 'location:town_' || ((s + s % 2) % 7) AS e, 'a quiet place' AS t FROM past UNION ALL SELECT s, 'character:hero_' || (s % 5), CASE WHEN s % 3 = 1 THEN 'a shy one' ELSE 'a brave one' END FROM past),
+nw AS (SELECT session_id AS s, 'location:town_' || (session_id % 7) AS e, 'a quiet place' AS t FROM pr UNION ALL SELECT session_id, 'character:hero_' || (session_id % 5), 'a brave one' FROM pr),
+wf AS (SELECT coalesce(ow.s, nw.s) AS session_id, CASE WHEN ow.s IS NULL THEN 'added' WHEN nw.s IS NULL THEN 'removed' WHEN ow.t = nw.t THEN 'unchanged' ELSE 'modified' END AS k FROM ow FULL JOIN nw ON ow.s = nw.s AND ow.e = nw.e),
+wd AS (SELECT session_id, count(*) FILTER (k = 'added') AS n_added, count(*) FILTER (k = 'removed') AS n_removed, count(*) FILTER (k = 'modified') AS n_modified, count(*) FILTER (k = 'unchanged') AS n_unchanged, count(*) FILTER (k <> 'removed') AS n_active,
+  count(*) + count(*) FILTER (k = 'modified') AS n_versions, (CASE WHEN session_id % 11 = 0 THEN 1 ELSE 2 END)::BIGINT AS state_version FROM wf GROUP BY 1),
+last_move AS (SELECT cid, arg_max(kind, sid) AS transition_type, arg_max(score, sid) AS rationality_score, count(*) AS n_transitions FROM trn GROUP BY 1)
+SELECT session_id, (SELECT count(*) FROM narr x WHERE x.session_id = head.session_id) AS n_episodes, (SELECT count(*) FROM turns t WHERE t.session_id = head.session_id) AS n_turns, n_added, n_removed, n_modified, n_unchanged, n_active, n_versions, state_version,
+  chat.change AS chat_change, chat.d AS chat_diff_index, transition_type, rationality_score, coalesce(n_transitions, 0) AS n_transitions, (SELECT count(*) FROM best WHERE rank <= 10 AND query_id = head.session_id) AS memories_used, length(sys) AS system_chars,
+  (CASE WHEN sys = '' THEN 0 ELSE 1 END + least(5, (SELECT count(*) FROM turns t WHERE t.session_id = head.session_id)) + 1)::BIGINT AS n_messages
+FROM head JOIN lastu USING (session_id) LEFT JOIN wd USING (session_id) LEFT JOIN chat USING (session_id) LEFT JOIN last_move ON cid = session_id
+"""
 
 
-@query(_CONTEXT.replace("SELECT session_id, length(sys)", "SELECT session_id, (SELECT count(*) FROM narr n WHERE n.session_id = head.session_id) AS n_episodes, (SELECT count(*) FROM turns t WHERE t.session_id = head.session_id) AS n_turns, length(sys)").replace(", content AS last_content", ""))
+@query(_E1)
 def o_e1_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts to tables, episodes, recalled memories and the assembled context, all sessions at once."""
-    prompts = B.prompts(spark, sf)
-    narratives = shred.narratives(prompts).withColumn("episode_name", versions.narrative_name(F.lit(B.AS_OF)))
-    episodes = narratives.groupBy("session_id").agg(F.count("episode_name").alias("n_episodes"))
-    turns = shred.dialog_turns(prompts).groupBy("session_id").agg(F.count("*").alias("n_turns"))
-    rows = o_r2_context(spark, sf).drop("last_content")
-    return rows.join(episodes, "session_id", "left").join(turns, "session_id", "left").fillna(0, ["n_episodes", "n_turns"])
+    """All sessions' requests at once: prompts to tables, the change of the reference entries and its sync into the store
+    of versions, the change of the chat, the character's last transition, recalled memories and the assembled context.
+
+    The character of a session is the user of its number.
+    """
+    prompts = written(B.prompts(spark, sf), "prompts")
+    key = ["session_id"]
+    texts = shred.tagged(prompts).where("type = 'world_info'").select("session_id", F.col("body").alias("text"))
+    old, new = (C.first_of_id(shred.entries(t)) for t in (B.earlier_worlds(spark, sf), texts))
+    feed = written(C.change_feed(old, new).select(*C.KEYS, "change", "old", "new"), "feed")
+    counts = versions.change_counts(feed)
+    state = C.next_snapshot(feed).groupBy(*key).agg(F.count("*").alias("n_active")).join(old.select(*key).distinct().withColumn("_had", F.lit(1)), "session_id", "left")
+    store = versions.sync(versions.initial(old, T0), feed, T1)
+    store = store.groupBy(*key).agg(F.count("*").alias("n_versions"))
+    chat = C.chat_changes(*B.chats(spark, sf)).select("session_id", F.col("change").alias("chat_change"), F.col("diff_index").alias("chat_diff_index"))
+    moves = S.transitions(B.psych_states(spark, sf), digits=B.DIGITS).groupBy(F.col("character_id").alias("session_id")).agg(
+        F.max_by("transition_type", "observed_at").alias("transition_type"), F.max_by("rationality_score", "observed_at").alias("rationality_score"), F.count("*").alias("n_transitions"))
+    found = written(R.search(*B.memories(spark, sf)), "recalled_memories")
+    used = R.memories_used(found).withColumnRenamed("query_id", "session_id")
+    shredded = shred.shredded(prompts).select("session_id", F.col("n_narratives").alias("n_episodes"), "n_turns")
+    rows = _measured(_context(spark, sf, prompts, found)).drop("last_content")
+    for part in (shredded, counts, state, store, chat, moves, used):
+        rows = rows.join(part, "session_id", "left")
+    rows = rows.withColumn("state_version", F.coalesce("_had", F.lit(0)).cast("long") + 1).fillna(0, ["n_transitions", "memories_used"])
+    return rows.select("session_id", "n_episodes", "n_turns", *[F.col(c).alias(f"n_{c}") for c in ("added", "removed", "modified", "unchanged")], "n_active", "n_versions", "state_version", "chat_change", "chat_diff_index", "transition_type", F.round("rationality_score", 6).alias("rationality_score"), "n_transitions", "memories_used", "system_chars", "n_messages")
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))"

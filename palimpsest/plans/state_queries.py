@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import epoch_text
 from palimpsest.operators import states as S
-from palimpsest.plans.base import PSYCH, query
-from palimpsest.plans.bindings import AS_OF, DIGITS, psych_states
+from palimpsest.plans.base import PSYCH, REASON, query
+from palimpsest.plans.bindings import AS_OF, DIGITS, psych_states, state_responses, table
+from palimpsest.sources import responses
 from palimpsest.sources.tables import written
 
 _P = f"WITH {PSYCH} "
@@ -48,15 +50,7 @@ def o_c12_transition_type(spark: SparkSession, sf: str) -> DataFrame:
     return S.transitions(psych_states(spark, sf), digits=DIGITS).groupBy("transition_type").agg(F.count("*").alias("n"))
 
 
-_REASON = """, parts AS (
-  SELECT cid, sid, 1 AS g, name, CASE WHEN abs(delta) > 0.3 THEN '情绪''' || name || '''显著' || CASE WHEN delta > 0 THEN '增强' ELSE '减弱' END WHEN abs(delta) > 0.1 THEN '情绪''' || name || '''' || CASE WHEN delta > 0 THEN '增强' ELSE '减弱' END END AS t FROM emoc
-  UNION ALL SELECT cid, sid, 2, name, CASE WHEN abs(delta) > 0.2 THEN '特质''' || name || '''强度显著' || CASE WHEN delta > 0 THEN '增强' ELSE '减弱' END END FROM trac
-  UNION ALL SELECT cid, sid, 3, '', CASE WHEN abs(ds) > 0.2 THEN '心理稳定性' || CASE WHEN ds > 0 THEN '提升' ELSE '下降' END END FROM tr),
-reasons AS (SELECT cid, sid, string_agg(t, '; ' ORDER BY g, name) AS reason FROM parts WHERE t IS NOT NULL GROUP BY cid, sid)
-"""
-
-
-@query(_P.rstrip() + _REASON + "SELECT trn.cid AS user_id, trn.sid AS to_state, coalesce(reason, '自然演化') AS transition_reason FROM trn LEFT JOIN reasons USING (cid, sid)")
+@query(_P.rstrip() + REASON + "SELECT trn.cid AS user_id, trn.sid AS to_state, coalesce(reason, '自然演化') AS transition_reason FROM trn LEFT JOIN reasons USING (cid, sid)")
 def o_c13_transition_reason(spark: SparkSession, sf: str) -> DataFrame:
     return _id(S.transitions(psych_states(spark, sf), digits=DIGITS)).select("user_id", "to_state", "transition_reason")
 
@@ -66,12 +60,12 @@ def o_a9_transition_rationality(spark: SparkSession, sf: str) -> DataFrame:
     return _id(S.transitions(psych_states(spark, sf), digits=DIGITS)).select("user_id", "to_state", F.round("rationality_score", 6).alias("rationality_score"))
 
 
-@query(_P.rstrip() + _REASON + "SELECT trn.cid AS user_id, psid AS from_state, trn.sid AS to_state, kind AS transition_type, coalesce(reason, '自然演化') AS transition_reason, score AS rationality_score FROM trn LEFT JOIN reasons USING (cid, sid)")
+@query(_P.rstrip() + REASON + "SELECT trn.cid AS user_id, psid AS from_state, trn.sid AS to_state, kind AS transition_type, coalesce(reason, '自然演化') AS transition_reason, score AS rationality_score FROM trn LEFT JOIN reasons USING (cid, sid)")
 def o_d9_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return _id(S.transitions(psych_states(spark, sf), digits=DIGITS)).select("user_id", "from_state", "to_state", "transition_type", "transition_reason", F.round("rationality_score", 6).alias("rationality_score"))
 
 
-@query(_P.rstrip() + _REASON + """SELECT trn.cid AS user_id, trn.sid AS to_state, '转移类型: ' || kind || chr(10) || '触发事件: 对话' || chr(10) || '转移原因: ' || coalesce(reason, '自然演化') AS head,
+@query(_P.rstrip() + REASON + """SELECT trn.cid AS user_id, trn.sid AS to_state, '转移类型: ' || kind || chr(10) || '触发事件: 对话' || chr(10) || '转移原因: ' || coalesce(reason, '自然演化') AS head,
   '转移时间: ' || trn.sid || 'T00:00:00' || chr(10) || '从状态: ' || psid || chr(10) || '到状态: ' || trn.sid AS tail FROM trn LEFT JOIN reasons USING (cid, sid)""")
 def o_p17_transition_description(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.split("description", "\n")
@@ -142,10 +136,25 @@ def o_a8_coherence(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", "n_states", *[F.round(v, 6).alias(k) for k, v in names.items()])
 
 
-@query(_P + "SELECT cid AS user_id, 'psychological_state:' || cid AS source_description, count(*) AS n FROM tot GROUP BY 1, 2")
+_STORED = _P + """, y AS (SELECT cid, sid, (cid + CAST(substr(sid, 9, 2) AS INTEGER)) % 97 = 0 AS broken FROM tot)
+SELECT cid AS user_id, sid AS state_id, CASE WHEN NOT broken THEN 'psych_state_' || cid || '_' || CAST(epoch(CAST(sid AS TIMESTAMP)) AS BIGINT) END AS stored_id, 'psychological_state:' || cid AS source_description, NOT broken AS success,
+  CASE WHEN broken THEN 'unreadable state' END AS error, CASE WHEN NOT broken THEN 1 ELSE 0 END AS n_episodes FROM y"""
+
+
+@query(_STORED)
 def o_d10_state_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = psych_states(spark, sf).select("character_id", "observed_at", S.state_description().alias("body"), F.concat(F.lit("psychological_state:"), F.col("character_id").cast("string")).alias("source_description"))
-    return written(rows, "state_episodes").groupBy(F.col("character_id").alias("user_id"), "source_description").agg(F.count("*").alias("n"))
+    """Responses with states, stored as episodes; n_episodes is read back from the sink."""
+    own = F.split("response_id", r"\|")
+    rows = responses.states(state_responses(spark, sf)).select(
+        own[0].cast("long").alias("character_id"), own[1].alias("state_id"), own[1].cast("timestamp").alias("observed_at"), "ok",
+        F.map_from_entries(F.transform("emotional_mix", lambda e: F.struct(e["emotion_type"], e["intensity"]))).alias("emotions"), F.transform_values("trait_manifestations", lambda _, t: t["strength"]).alias("traits"),
+        F.col("dominant_emotion").alias("dominant"), F.col("stability_score").alias("stability"), F.col("intensity_level").alias("intensity"), F.col("arousal_level").alias("arousal"),
+    )
+    answers = S.stored(rows.withColumn("body", F.when(F.col("ok"), S.state_description())))
+    kept = written(answers.where("success").select("episode_id", "episode_name", "body", "source_description", "observed_at", "character_id"), "state_episodes")
+    found = kept.groupBy("episode_id").agg(F.count("*").cast("int").alias("n_episodes"))
+    rows = answers.join(found, "episode_id", "left")
+    return rows.select(F.col("character_id").alias("user_id"), "state_id", "stored_id", "source_description", "success", "error", F.coalesce("n_episodes", F.lit(0)).alias("n_episodes"))
 
 
 @query(_P + "SELECT sid AS state_id, stability FROM tot WHERE cid = 7")
@@ -155,24 +164,24 @@ def o_f3_source_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
-    rows = psych_states(spark, sf)
-    characters = rows.select("character_id").distinct()
-    return characters.join(rows, "character_id").select("character_id", "state_id", F.col("observed_at").alias("relation_started"))
+    """States of the characters that are known: users who signed up."""
+    characters = table(spark, sf, "events").where("event_type = 'signup'").select(F.col("user_id").alias("character_id")).distinct()
+    return psych_states(spark, sf).join(characters, "character_id", "left_semi").select("character_id", "state_id", F.col("observed_at").alias("relation_started"))
 
 
-@query(_P + "SELECT cid AS user_id, count(*) AS n_states, min(sid) AS first_state FROM tot GROUP BY 1")
+_KNOWN = "cid IN (SELECT user_id FROM events WHERE event_type = 'signup')"
+
+
+@query(_P + f"SELECT cid AS user_id, count(*) AS n_states, min(sid) AS first_state FROM tot WHERE {_KNOWN} GROUP BY 1")
 def o_j12_state_attach(spark: SparkSession, sf: str) -> DataFrame:
     return _links(spark, sf).groupBy(F.col("character_id").alias("user_id")).agg(F.count("*").alias("n_states"), F.min("state_id").alias("first_state"))
 
 
-@query(_P + "SELECT cid AS user_id, sid AS state_id FROM tot")
+@query(_P + f"SELECT cid AS user_id, sid AS state_id FROM tot WHERE {_KNOWN}")
 def o_s6_state_link_sink(spark: SparkSession, sf: str) -> DataFrame:
     return written(_links(spark, sf), "state_links").select(F.col("character_id").alias("user_id"), "state_id")
 
 
-@query("SELECT event_id, strftime(to_timestamp(1700000000 + event_id * 61), '%Y-%m-%d %H:%M:%S') AS at_text FROM events".replace("to_timestamp(1700000000 + event_id * 61)", "make_timestamp((1700000000 + event_id * 61) * 1000000)"))
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at_text FROM events")
 def o_c11_epoch_text(spark: SparkSession, sf: str) -> DataFrame:
-    from palimpsest.functions.text import epoch_text
-    from palimpsest.plans.bindings import table
-
-    return table(spark, sf, "events").select("event_id", epoch_text(F.lit(1700000000) + F.col("event_id") * 61).alias("at_text"))
+    return table(spark, sf, "events").select("event_id", epoch_text(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at_text"))

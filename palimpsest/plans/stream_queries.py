@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from palimpsest.plans import bindings as B
-from palimpsest.plans.base import CHAT, PSYCH, WORLD, query
+from palimpsest.plans.base import CHAT, PSYCH, REASON, WORLD, query
 from palimpsest.plans.world_queries import T0
 from palimpsest.sources.tables import shared_dir
 from palimpsest.streaming import jobs as J
@@ -61,13 +61,13 @@ def o_t2_chat_stream(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(first, "session_id").where("not (change = 'append' and diff_index = 0)")
 
 
-@query(f"WITH {PSYCH} SELECT cid AS user_id, psid AS from_state, sid AS to_state, round(stability - pstab, 6) AS stability_change FROM nxt")
+@query(f"WITH {PSYCH} {REASON} SELECT trn.cid AS user_id, psid AS from_state, trn.sid AS to_state, ds AS stability_change, kind AS transition_type, coalesce(reason, '自然演化') AS transition_reason, score AS rationality_score FROM trn LEFT JOIN reasons USING (cid, sid)")
 def o_t3_transition_stream(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
-    rows = B.psych_states(spark, sf).select("character_id", "state_id", "observed_at", "stability")
+    rows = B.psych_states(spark, sf).select("character_id", "state_id", "observed_at", "emotions", "traits", "stability")
     half = F.col("state_id") < "2024-01-16"
-    out = _steps(f"{at}/in", lambda: J.to_table(J.transitions(_source(J.configure(spark), f"{at}/in", rows.schema)), f"{at}/out", f"{at}/check"), rows.where(half), rows.where(~half))
-    return out.select(F.col("character_id").alias("user_id"), "from_state", "to_state", F.round("stability_change", 6).alias("stability_change"))
+    out = _steps(f"{at}/in", lambda: J.to_table(J.transitions(_source(J.configure(spark), f"{at}/in", rows.schema), digits=B.DIGITS), f"{at}/out", f"{at}/check"), rows.where(half), rows.where(~half))
+    return out.select(F.col("character_id").alias("user_id"), "from_state", "to_state", "stability_change", "transition_type", "transition_reason", F.round("rationality_score", 6).alias("rationality_score"))
 
 
 @query("SELECT conv_id AS session_id, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1")
@@ -98,14 +98,16 @@ def o_t6_live_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {PSYCH}, b AS (SELECT cid, sid, CASE WHEN name IN ('joy', 'happiness') THEN 1.0 WHEN name IN ('optimistic', 'enthusiastic', 'anxious', 'aggressive', 'stubborn') THEN 0.9 ELSE 0.7 END AS s FROM tra QUALIFY row_number() OVER (PARTITION BY cid, sid ORDER BY v DESC, name) = 1)
-SELECT tot.cid AS user_id, strftime(CAST(sid AS DATE) - k::INTEGER, '%Y-%m-%d') AS window_start, round(avg(b.s), 6)::DOUBLE AS behavioral_consistency, count(*) AS n_states FROM tot JOIN b USING (cid, sid), range(7) t(k) GROUP BY 1, 2""")
+, tw AS (SELECT cid, w, avg(greatest(0, 1 - 2 * v)) FILTER (n > 1) AS s FROM (SELECT cid, strftime(CAST(sid AS DATE) - k::INTEGER, '%Y-%m-%d') AS w, name, var_pop(v) AS v, count(*) AS n FROM tra, range(7) t(k) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+sw AS (SELECT tot.cid, strftime(CAST(sid AS DATE) - k::INTEGER, '%Y-%m-%d') AS w, avg(b.s) AS s, round(avg(intensity), 6) AS i, round(avg(stability), 6) AS st, count(*) AS n FROM tot JOIN b USING (cid, sid), range(7) t(k) GROUP BY 1, 2)
+SELECT cid AS user_id, w AS window_start, round(coalesce(tw.s, 1), 6)::DOUBLE AS trait_consistency, round(sw.s, 6)::DOUBLE AS behavioral_consistency, (CASE WHEN i > 0.7 AND st < 0.5 THEN 0.6 WHEN i > 0.5 AND st < 0.7 THEN 0.8 ELSE 0.9 END)::DOUBLE AS memory_rationality, n AS n_states FROM sw LEFT JOIN tw USING (cid, w)""")
 def o_t7_windowed_coherence(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     rows = B.psych_states(spark, sf).select("character_id", "observed_at", "traits", "dominant", "intensity", "stability")
     # End rows at a time whose watermark lies past the windows of all states: one to move it, one more to make a batch under it.
     last = rows.agg(F.max("observed_at").alias("last")).where("last is not null")
     end = rows.limit(1).drop("observed_at").crossJoin(last).withColumn("observed_at", F.col("last") + F.expr("interval 9 days")).select(rows.columns)
-    run = lambda: J.to_table(J.windowed_scores(_source(spark, f"{at}/in", rows.schema)), f"{at}/out", f"{at}/check")
+    run = lambda: J.to_table(J.windowed_scores(_source(spark, f"{at}/in", rows.schema), digits=B.DIGITS), f"{at}/out", f"{at}/check")
     out = _steps(f"{at}/in", run, rows.where("observed_at < '2024-01-16'"), rows.where("observed_at >= '2024-01-16'"), end, end)
     real = out.crossJoin(F.broadcast(last)).where("window_start <= last")  # windows of end rows start later
-    return real.select(F.col("character_id").alias("user_id"), F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("behavioral_consistency", 6).alias("behavioral_consistency"), "n_states")
+    return real.select(F.col("character_id").alias("user_id"), F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("trait_consistency", 6).alias("trait_consistency"), F.round("behavioral_consistency", 6).alias("behavioral_consistency"), "memory_rationality", "n_states")

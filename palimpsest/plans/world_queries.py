@@ -91,9 +91,14 @@ def o_u1_id_sets(spark: SparkSession, sf: str) -> DataFrame:
     return old.select("entry_id").intersect(new.select("entry_id"))
 
 
-@query(_W + "SELECT session_id, entry_id, md5(content) AS content_hash, 2 AS state_version FROM n")
+@query(_W + """, before AS (SELECT session_id, max(doc_id % 3 + 1) AS version FROM o GROUP BY 1)
+SELECT n.session_id, entry_id, md5(content) AS content_hash, coalesce(version, 0) + 1 AS state_version, max(entry_id) OVER (PARTITION BY n.session_id, md5(content)) AS indexed_id FROM n LEFT JOIN before USING (session_id)""")
 def o_d1_world_state(spark: SparkSession, sf: str) -> DataFrame:
-    return C.next_snapshot(_feed(spark, sf)).select("session_id", "entry_id", "content_hash", F.lit(2).alias("state_version"))
+    """The state after the change with its version, and the entry that its hash index gives for each hash."""
+    old, new = (C.first_of_id(e) for e in world_entries(spark, sf))
+    state = written(C.world_state(old.withColumn("state_version", F.col("doc_id") % 3 + 1), new).select("session_id", "entry_id", "content_hash", "state_version"), "world_state")
+    index = C.hash_index(state).select("session_id", "content_hash", F.col("entry_id").alias("indexed_id"))
+    return state.join(index, ["session_id", "content_hash"])
 
 
 _STORE = _W.rstrip() + """, store AS (

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from pyspark.sql.types import StructType
 
 from palimpsest.operators import changes, versions
+from palimpsest.operators import states as S
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,41 +29,57 @@ def source(spark: SparkSession, path: str, schema: StructType, files_per_trigger
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-# Snapshots of reference entries: the state is a table with one folder a batch, the newest of which counts.
+# Snapshots of reference entries: the state is a table in buckets of sessions, and a manifest a batch that says in which
+# batch each bucket was written last.
 
+#: Buckets of a store. Fixed for its life.
+BUCKETS = 64
 
-def sync_entries(entries: DataFrame, store_path: str, checkpoint: str, at: str = "2024-01-01 00:00:00") -> DataStreamWriter:
-    """Each batch holds whole new snapshots of some sessions; the store is compared, synced and written anew.
 
-    The store of batch n is the folder batch=n, so a repeated batch writes the same folder again and never applies
-    its changes twice.
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+
+
+def sync_entries(entries: DataFrame, store_path: str, checkpoint: str, at: str = "2024-01-01 00:00:00", buckets: int = BUCKETS) -> DataStreamWriter:
+    """Each batch holds whole new snapshots of some sessions; these are compared with the store and synced.
+
+    Only buckets with sessions of the batch are read and written; all others stay where they are. A repeated batch
+    starts from the same manifest and writes the same folders again, so it never applies its changes twice.
     """
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = changes.first_of_id(batch).persist()
-        old = _before(spark, store_path, number)
+        touched = {r[0] for r in _bucketed(new, buckets).select("bucket").distinct().collect()}  # at most `buckets`
+        before = _manifest(spark, store_path, number - 1)
+        old = _read(spark, store_path, {b: n for b, n in before.items() if b in touched})
         if old is None:
             out = versions.initial(new, at)
         else:
-            touched = old.join(new.select("session_id").distinct(), "session_id", "left_semi")
-            open_now = touched.where("valid_until is null").withColumn("properties", F.create_map().cast("map<string,string>"))
-            feed = changes.change_feed(open_now, new.withColumn("properties", F.create_map().cast("map<string,string>")))
-            time = (F.lit(at).cast("timestamp") + F.make_dt_interval(days=F.lit(number))).cast("string")
-            moment = spark.range(1).select(time.alias("t")).first()[0]
-            rest = old.join(new.select("session_id").distinct(), "session_id", "left_anti")
-            out = rest.unionByName(versions.sync(touched, feed, moment))
-        out.write.mode("overwrite").parquet(f"{store_path}/batch={number}")
+            sessions = new.select("session_id").distinct()
+            mine = old.join(sessions, "session_id", "left_semi")
+            feed = changes.change_feed(mine.where("valid_until is null"), new)
+            moment = spark.range(1).select((F.lit(at).cast("timestamp") + F.make_dt_interval(days=F.lit(number))).cast("string")).first()[0]
+            out = old.join(sessions, "session_id", "left_anti").unionByName(versions.sync(mine, feed, moment))
+        _bucketed(out, buckets).repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{store_path}/data/batch={number}")
+        after = before | {b: number for b in touched}
+        spark.createDataFrame(sorted(after.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{store_path}/manifest/batch={number}")
         new.unpersist()
 
     return entries.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
-def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    return spark.read.parquet(f"{path}/batch={number - 1}") if number else None
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """The batch that wrote each bucket, as of batch `number`: at most as many rows as there are buckets."""
+    return {r[0]: r[1] for r in spark.read.parquet(f"{path}/manifest/batch={number}").collect()} if number >= 0 else {}
+
+
+def _read(spark: SparkSession, path: str, where: dict[int, int]) -> DataFrame | None:
+    return spark.read.parquet(*[f"{path}/data/batch={n}/bucket={b}" for b, n in sorted(where.items())]) if where else None
 
 
 def store(spark: SparkSession, path: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/batch={number}")
+    """The store as batch `number` left it."""
+    return _read(spark, path, _manifest(spark, path, number))
 
 
 # Chat histories: the list of hashes of each session is in the state store.
@@ -107,28 +124,36 @@ def chat_changes(messages: DataFrame) -> DataFrame:
 
 
 class Transitions(StatefulProcessor):
-    """Rows (character_id, state_id, observed_at, stability) to consecutive pairs, by time within a batch."""
+    """Rows (character_id, observed_at, state_id, state as text) to consecutive pairs, by time within a batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state_id string, stability double")
+        self.last = handle.getValueState("last", "state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["observed_at", "state_id"])
-        last = self.last.get() if self.last.exists() else None
-        out = []
-        for state, stability in zip(new["state_id"], new["stability"]):
-            if last is not None:
-                out.append((key[0], last[0], state, stability - last[1]))
-            last = (state, float(stability))
-        self.last.update(last)
-        yield pd.DataFrame(out, columns=["character_id", "from_state", "to_state", "stability_change"])
+        new = pd.concat(list(rows)).sort_values(["observed_at", "state_id"])["state"].tolist()
+        before = [self.last.get()[0]] if self.last.exists() else []
+        both = before + new
+        self.last.update((both[-1],))
+        yield pd.DataFrame({"character_id": key[0], "prev": both[:-1], "state": both[1:]})
 
     def close(self) -> None:
         pass
 
 
-def transitions(states: DataFrame) -> DataFrame:
-    return states.groupBy("character_id").transformWithStateInPandas(Transitions(), "character_id long, from_state string, to_state string, stability_change double", "Append", "None")
+STATE = "state_id string, micros long, emotions map<string, double>, traits map<string, double>, stability double"
+
+
+def transitions(states: DataFrame, trigger: str = "对话", digits: int | None = None) -> DataFrame:
+    """The transition records of the batch operator, for each state that has one before it.
+
+    The last state of a character is kept as text, so the stateful step only pairs rows; all else is column expressions.
+    """
+    text = F.to_json(F.struct("state_id", F.unix_micros("observed_at").alias("micros"), "emotions", "traits", "stability"))
+    rows = states.select("character_id", "observed_at", "state_id", text.alias("state"))
+    pairs = rows.groupBy("character_id").transformWithStateInPandas(Transitions(), "character_id long, prev string, state string", "Append", "None")
+    pairs = pairs.select("character_id", F.from_json("prev", STATE).alias("prev"), F.from_json("state", STATE).alias("s"))
+    pairs = pairs.select("character_id", "s.state_id", F.timestamp_micros("s.micros").alias("observed_at"), "s.emotions", "s.traits", "s.stability", "prev")
+    return S.described(S.compared(pairs, digits), trigger, digits)
 
 
 # Stateless and built-in ones.
@@ -150,14 +175,23 @@ def live_counters(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.count("*").alias("n"), F.approx_count_distinct("role").alias("n_roles"))
 
 
-def windowed_scores(states: DataFrame, window: str = "7 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Behaviour and memory scores by character and sliding window (the slide is our addition)."""
-    from palimpsest.operators.states import behavior_score
+def windowed_scores(states: DataFrame, window: str = "7 days", slide: str = "1 day", delay: str = "1 day", digits: int | None = None) -> DataFrame:
+    """Trait, behaviour and memory scores by character and sliding window (the slide is our addition).
 
-    i, s = F.avg("intensity"), F.avg("stability")
-    rows = states.withWatermark("observed_at", delay).withColumn("_b", behavior_score())
-    rows = rows.groupBy("character_id", F.window("observed_at", window, slide)).agg(F.avg("_b").alias("behavioral_consistency"), F.when((i > 0.7) & (s < 0.5), 0.6).when((i > 0.5) & (s < 0.7), 0.8).otherwise(0.9).alias("memory_rationality"), F.count("*").alias("n_states"))
-    return rows.select("character_id", F.col("window.start").alias("window_start"), "behavioral_consistency", "memory_rationality", "n_states")
+    First by trait, beside one row of each state without a trait, then over a window's traits: two aggregations with
+    partial results, so no group of states is collected.
+    """
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"))
+    traits = F.explode(F.concat(F.array(none), F.map_entries("traits"))).alias("t")
+    rows = states.withWatermark("observed_at", delay).withColumn("_b", S.behavior_score()).select("character_id", "observed_at", "intensity", "stability", "_b", traits)
+    per = rows.groupBy("character_id", F.window("observed_at", window, slide), F.col("t.key").alias("trait")).agg(
+        F.avg("_b").alias("_b"), F.avg("intensity").alias("_i"), F.avg("stability").alias("_s"), F.var_pop("t.value").alias("_v"), F.count("*").alias("_n"))
+    state = lambda c: F.max(F.when(F.col("trait").isNull(), F.col(c)))
+    spread = F.when(F.col("trait").isNotNull() & (F.col("_n") > 1), F.greatest(F.lit(0.0), 1 - 2 * F.col("_v")))
+    out = per.groupBy("character_id", "window").agg(F.avg(spread).alias("_t"), state("_b").alias("_b"), state("_i").alias("_i"), state("_s").alias("_s"), state("_n").alias("_n"))
+    return out.select(
+        "character_id", F.col("window.start").alias("window_start"), F.coalesce("_t", F.lit(1.0)).alias("trait_consistency"), F.col("_b").alias("behavioral_consistency"),
+        S.memory_score(F.col("_i"), F.col("_s"), digits).alias("memory_rationality"), F.col("_n").alias("n_states"))
 
 
 def run(writer: DataStreamWriter) -> None:
