@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import blocks, flat_utf8, fresh, held, slabs, staged, tidy
+from palimpsest.llm.common import blocks, flat_utf8, fresh, held, in_arrow, slabs, staged
 
 #: Pieces of one length that share a salt, about; a part of this size is sorted by one task.
 PART_ROWS = 200_000
@@ -265,7 +265,7 @@ def tokenized(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(whole)), pa.int32()), pa.array(whole.view("<i4"))))
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(tidy(run), T.StructType(fields))
+    return in_arrow(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")), run, T.StructType(fields))
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:

@@ -1,15 +1,17 @@
 """Personal data in plain and disguised form, with spans of the original text.
 
-Base detectors read the text as it is. A text with signs of a disguise is rewritten by transducers (homoglyphs and
-zero-width characters, `(at)` and `dot` in words, spelled digits), each of which keeps for every character it
-writes the source span it comes from; the same detectors then read the rewritten text, and what they find is mapped
-back to code points of the source. Spans found only that way are added; base spans stay.
+Base detectors read the text as it is. A text with signs of a disguise is rewritten by transducers, each of which reads
+it once from left to right and keeps for every character it writes the source span it comes from: homoglyphs and
+zero-width characters; `(at)` and `dot` in words; spelled digits; and the last two after one another. The same
+detectors then read what was written, and what they find is mapped back to code points of the source. Spans found only
+that way are added; base spans stay.
 
-Bare `at` counts only where the domain has a bare `dot` as well, and spelled digits only in runs, so that prose with
-these words is left alone.
+Bare `at` counts only where the domain has a disguised `dot` as well, and spelled digits only in runs, so that prose
+with these words is left alone. All work is linear in a text's length. Signs are looked for in whole batches first, with
+patterns that only pass too much.
 
 Defined results: null text is empty and has no spans; repeated rows are treated alike; very long texts are read
-whole; an empty table gives an empty result.
+whole; an empty table gives an empty result; input columns named as the added ones are replaced, other names are free.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import slabs
+from palimpsest.llm.common import fresh, in_arrow, slabs
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -89,127 +93,213 @@ def _plain_char(c: str) -> str | None:
     if unicodedata.category(c) == "Nd":
         return str(unicodedata.digit(c))
     code = ord(c)
-    if 0xFF01 <= code <= 0xFF5E or 0x1D400 <= code <= 0x1D7FF or 0x2460 <= code <= 0x24EA or c in "。｡﹒․﹫ ‐‑‒–−":
+    if 0xFF01 <= code <= 0xFF5E or 0x1D400 <= code <= 0x1D7FF or 0x2460 <= code <= 0x24EA or c in "。｡﹒․﹫ ‐‑‒–−":
         n = unicodedata.normalize("NFKC", c)
         n = {"。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-"}.get(c, n)
         return n if len(n) == 1 and n.isascii() else None
     return None
 
 
-# What _plain_char maps, and a few more; \d is any decimal digit.
-_SUSPECT = re.compile(f"[{''.join(_LOOKALIKE)}{_ZERO_WIDTH}\\d！-～\U0001d400-\U0001d7ff①-⓪。｡﹒․﹫\\xa0‐-–−]" + "(?<![0-9])")
-_WORD_AT = r"(?:\s*[(\[{<]\s*(?:at|arroba|@)\s*[)\]}>]\s*|\s+(?:at|arroba|@)\s+|@)"
-_WORD_DOT = r"(?:\s*[(\[{<]\s*(?:dot|punto|punkt|point|\.)\s*[)\]}>]\s*|\s+dot\s+|\.)"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\s*[(\[{{<]\s*dot\s*[)\]}}>]\s*|\s+dot\s+)[A-Za-z0-9_%+-]+)*)({_WORD_AT})([A-Za-z0-9-]+(?:{_WORD_DOT}[A-Za-z0-9-]+)+)", re.IGNORECASE)
-_BARE_AT, _BARE_DOT = re.compile(r"\s+(?:at|arroba)\s+", re.IGNORECASE), re.compile(r"[A-Za-z0-9]\s+dot\s+[A-Za-z]|[(\[{<]", re.IGNORECASE)
-_ONE_DOT = re.compile(r"\s*[(\[{<]\s*(?:dot|punto|punkt|point|\.)\s*[)\]}>]\s*|\s+dot\s+", re.IGNORECASE)
-_DIGIT_WORD = rf"(?:{'|'.join(_DIGIT_WORDS)})"
-_DIGIT = rf"(?:{_DIGIT_WORD}|[0-9]+)"
-_DIGIT_DOT = r"[\s.,-]*(?:dot|point)[\s,-]+"
-_DIGIT_GAP = rf"(?:{_DIGIT_DOT}|[\s.()-]{{1,3}})"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+|\+\s*)?{_DIGIT}(?:{_DIGIT_GAP}{_DIGIT}){{3,}}(?![A-Za-z0-9])", re.IGNORECASE)
-# Signs of a disguise. Each is a part of every match of _DISGUISED, or of _SPELLED with a letter, that is rewritten:
-# a bracketed sign, a bare `dot`, or an @ between blanks (bare `at` counts only with one of the first two); a digit word
-# beside a digit or digit word, `plus` before one, or `dot` between digits.
-_BRACKETED = re.compile(r"[(\[{<]\s*(?:at|arroba|@|dot|punto|punkt|point|\.)\s*[)\]}>]", re.IGNORECASE)
-_BARE = re.compile(r"\s(?:dot|@)\s", re.IGNORECASE)
-_NEAR_DIGIT = re.compile(rf"{_DIGIT_WORD}{_DIGIT_GAP}{_DIGIT}|[0-9](?:{_DIGIT_GAP}{_DIGIT_WORD}|{_DIGIT_DOT}{_DIGIT})|plus[\s-]+{_DIGIT}", re.IGNORECASE)
+class _Plain(dict):
+    """For str.translate: what _plain_char says, asked once a character."""
+
+    def __missing__(self, code: int) -> str | int:
+        plain = None if code < 128 else _plain_char(chr(code))
+        self[code] = code if plain is None else plain
+        return self[code]
+
+
+_PLAIN = _Plain()
+_OTHER_DIGITS = "".join(c for c in map(chr, range(128, 0x20000)) if unicodedata.category(c) == "Nd")
+# What _plain_char maps, and a few more.
+SUSPECT_SIGN = f"[{''.join(_LOOKALIKE)}{_ZERO_WIDTH}{_OTHER_DIGITS}！-～\U0001d400-\U0001d7ff①-⓪。｡﹒․﹫\xa0‐-–−]"
+_SUSPECT = re.compile(SUSPECT_SIGN)
+
+# A joint is what stands between two words of an address. Blanks are tried from the first one only.
+_OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
+_ATS, _DOTS = r"at|arroba|@", r"dot|punto|punkt|point|\."
+_JOINT = re.compile(
+    rf"(?P<at>(?<!\s)\s*+{_OPEN}\s*+(?:{_ATS})\s*+{_CLOSE}\s*+|(?<!\s)\s++(?:{_ATS})\s++|@)|(?P<dot>(?<!\s)\s*+{_OPEN}\s*+(?:{_DOTS})\s*+{_CLOSE}\s*+|(?<!\s)\s++dot\s++|\.)", re.IGNORECASE)
+_LOCAL_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_DOMAIN_WORD = re.compile(r"[A-Za-z0-9-]++")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\+|[^A-Za-z0-9+]+")
+_NARROW, _BEFORE_DOT, _AFTER_DOT, _AFTER_PLUS = re.compile(r"[\s.()-]{1,3}"), re.compile(r"[\s.,-]+"), re.compile(r"[\s,-]+"), re.compile(r"[\s-]+")
+_WORD, _VALUE = re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]+")
+#: Spelled or written numbers that make a run.
+RUN = 4
+
+# Signs of a disguise, for RE2: each is a part of every text that a transducer changes.
+_B = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_W = f"(?:{'|'.join(_DIGIT_WORDS)})"
+_GAP = rf"(?:[\s\x0b\x1c-\x1f\x85\p{{Z}}.,-]*(?:dot|point)[\s\x0b\x1c-\x1f\x85\p{{Z}},-]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}.()-]{{1,3}})"
+AT_DOT_SIGN = rf"{_OPEN}{_B}*(?:{_ATS}|{_DOTS}){_B}*{_CLOSE}|{_B}(?:dot|@){_B}"
+DIGIT_SIGN = rf"{_W}{_GAP}(?:{_W}|[0-9])|[0-9]{_GAP}{_W}|[0-9][\s\x0b\x1c-\x1f\x85\p{{Z}}.,-]*(?:dot|point)[\s\x0b\x1c-\x1f\x85\p{{Z}},-]+[0-9]|plus(?:{_B}|-)+(?:{_W}|[0-9])"
+# And of base spans.
+BASE_SIGN = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}|\+[0-9]"
 
 
 class Mapped:
     """A text with the source span of each of its characters."""
 
-    def __init__(self, text: str, start: list[int] | range | None = None, end: list[int] | range | None = None):
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
         self.text = text
-        self.start = range(len(text)) if start is None else start
-        self.end = range(1, len(text) + 1) if end is None else end
+        self.start, self.end = start, end  # None: as in the source
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Mapped:
         """Replaces [a, b) by a string for each edit, in order; all of the string comes from the source of [a, b)."""
-        text, start, end, done = [], [], [], 0
-        for a, b, new in edits:
-            text += [self.text[done:a], new]
-            start += [*self.start[done:a], *[self.start[a]] * len(new)]
-            end += [*self.end[done:a], *[self.end[b - 1]] * len(new)]
-            done = b
-        text.append(self.text[done:])
-        return Mapped("".join(text), [*start, *self.start[done:]], [*end, *self.end[done:]])
+        if not edits:
+            return self
+        a, b = np.array([e[0] for e in edits]), np.array([e[1] for e in edits])
+        cut = np.append(0, b)  # where kept ranges begin
+        size = np.zeros(2 * len(edits) + 1, np.int64)
+        size[::2], size[1::2] = np.append(a, len(self.text)) - cut, [len(e[2]) for e in edits]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        first, last, step = np.zeros_like(size), np.zeros_like(size), np.zeros_like(size)
+        first[::2], last[::2], step[::2] = cut, cut, 1
+        first[1::2], last[1::2] = a, b - 1
+        at *= np.repeat(step, size)
+        start, end = np.repeat(first, size) + at, np.repeat(last, size) + at
+        parts = [x for (p, q, new), c in zip(edits, cut.tolist()) for x in (self.text[c:p], new)]
+        text = "".join([*parts, self.text[edits[-1][1] :]])
+        return Mapped(text, start if self.start is None else self.start[start], end + 1 if self.end is None else self.end[end])
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+        return (a, b) if self.start is None else (int(self.start[a]), int(self.end[b - 1]))
 
 
-def _homoglyphs(m: Mapped) -> Mapped:
-    edits = [(x.start(), x.end(), p) for x in _SUSPECT.finditer(m.text) if (p := _plain_char(x[0])) is not None]
-    return m.rewrite(edits) if edits else m
+def _homoglyphs(text: str) -> Mapped:
+    plain = text.translate(_PLAIN)
+    if len(plain) == len(text):
+        return Mapped(plain)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = np.flatnonzero(~np.isin(codes, [ord(c) for c in _ZERO_WIDTH]))
+    return Mapped(plain, start, start + 1)
 
 
 def _at_dot(m: Mapped) -> Mapped:
-    edits: list[tuple[int, int, str]] = []
-    for x in _DISGUISED.finditer(m.text):
-        local, at, domain = x.span(1), x.span(2), x.span(3)
-        if x[2] == "@" and not _ONE_DOT.search(x[0]):
+    """Addresses around each joint that means @: to the left and right as far as words and dots go. No walk crosses
+    another @, so all walks together read the text twice at most."""
+    text, edits, done = m.text, [], 0
+    joints = [(x.start(), x.end(), x.lastgroup) for x in _JOINT.finditer(text)]
+    if all(b - a == 1 for a, b, _ in joints):
+        return m  # nothing but plain signs
+    for q, (at, after, kind) in enumerate(joints):
+        if kind != "at":
             continue
-        if _BARE_AT.fullmatch(x[2]) and not _BARE_DOT.search(x[3]):
+        left, lo, begin = [], q - 1, at
+        while True:
+            while begin > done and text[begin - 1] in _LOCAL_WORD:
+                begin -= 1
+            if begin == (left[-1][0] if left else at):
+                begin = left.pop()[1] if left else at  # a dot with no word before it is none of the address
+                break
+            if lo < 0 or joints[lo][2] != "dot" or joints[lo][1] != begin or joints[lo][0] < done:
+                break
+            left.append(joints[lo])
+            begin, lo = joints[lo][0], lo - 1
+        if begin == at:
             continue
-        edits += [(d.start() + local[0], d.end() + local[0], ".") for d in _ONE_DOT.finditer(x[1])]
-        edits.append((*at, "@"))
-        edits += [(d.start() + domain[0], d.end() + domain[0], ".") for d in _ONE_DOT.finditer(x[3])]
-    return m.rewrite(edits) if edits else m
+        right, hi, word = [], q + 1, _DOMAIN_WORD.match(text, after)
+        end = word.end() if word else after
+        while word and hi < len(joints) and joints[hi][2] == "dot" and joints[hi][0] == end and (more := _DOMAIN_WORD.match(text, joints[hi][1])):
+            right.append(joints[hi])
+            end, hi = more.end(), hi + 1
+        if not right:
+            continue
+        disguised_dot = any(text[a:b] != "." for a, b, _ in right)
+        sign = text[at:after]
+        if sign == "@" and not disguised_dot and all(text[a:b] == "." for a, b, _ in left):
+            continue  # plain
+        if sign[0].isspace() and sign.strip().lower() in ("at", "arroba") and not disguised_dot:
+            continue
+        edits += [(a, b, "." if k == "dot" else "@") for a, b, k in [*reversed(left), joints[q], *right] if b - a > 1]
+        done = end
+    return m.rewrite(edits)
 
 
 def _digits(m: Mapped) -> Mapped:
-    edits: list[tuple[int, int, str]] = []
-    for x in _SPELLED.finditer(m.text):
-        if not any(c.isalpha() for c in x[0]):
+    """Runs of spelled or written numbers; between them white space, hyphens and the like mean nothing."""
+    tokens = [(x.start(), x.end(), x[0].lower()) for x in _TOKEN.finditer(m.text)]
+    n, edits = len(tokens), []
+    word = lambda i: tokens[i][2] if i < n else ""
+    value = lambda i: i < n and (tokens[i][2] in _DIGIT_WORDS or tokens[i][2].isdecimal())
+    i = 0
+    while i < n:
+        if not value(i) or i and _alnum(word(i - 1)):
+            i += 1
             continue
-        for t in _TOKEN.finditer(x[0]):
-            a, b, w = t.start() + x.start(), t.end() + x.start(), t[0].lower()
-            if w in _DIGIT_WORDS:
-                edits.append((a, b, _DIGIT_WORDS[w]))
-            elif w == "plus":
-                edits.append((a, b, "+"))
-            elif w in ("dot", "point"):
-                edits.append((a, b, "."))
-            elif not t[0][0].isalnum() and w != "+":
-                edits.append((a, b, ""))  # between spelled digits white space and hyphens mean nothing
-    return m.rewrite(edits) if edits else m
-
-
-def _signs(text: str) -> tuple[bool, bool, bool]:
-    """Whether each transducer may change the text; false only where it cannot."""
-    suspect = not text.isascii() and _SUSPECT.search(text) is not None
-    low = text.lower()
-    at_dot = _BRACKETED.search(text) is not None or ("dot" in low or "@" in low) and _BARE.search(text) is not None
-    return suspect, at_dot, _NEAR_DIGIT.search(text) is not None
-
-
-def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans of the source that only the rewritten text shows."""
-    suspect, at_dot, spelled = _signs(text)
-    if not (suspect or at_dot or spelled):
-        return []
+        ends = [i]  # places of the run's values
+        while True:
+            j = ends[-1] + 1
+            if _NARROW.fullmatch(word(j)) and value(j + 1):
+                ends.append(j + 1)
+                continue
+            j += bool(_BEFORE_DOT.fullmatch(word(j)))
+            if word(j) in ("dot", "point") and _AFTER_DOT.fullmatch(word(j + 1)) and value(j + 2):
+                ends.append(j + 2)
+                continue
+            break
+        following = ends[-1] + 1
+        while ends and _alnum(word(ends[-1] + 1)):
+            ends.pop()
+        if len(ends) >= RUN:
+            first = i
+            if i >= 2 and word(i - 2) == "plus" and _AFTER_PLUS.fullmatch(word(i - 1)):
+                first = i - 2
+            elif i >= 1 and word(i - 1) == "+":
+                first = i - 1
+            elif i >= 2 and word(i - 2) == "+" and word(i - 1).isspace():
+                first = i - 2
+            run = tokens[first : ends[-1] + 1]
+            if any(w.isalpha() for _, _, w in run):
+                for a, b, w in run:
+                    new = _DIGIT_WORDS.get(w) or {"plus": "+", "dot": ".", "point": "."}.get(w)
+                    if new is None and not w.isdecimal() and w != "+":
+                        new = "." if w == "." else ""
+                    if new is not None:
+                        edits.append((a, b, new))
+        i = following
+    return m.rewrite(edits)
+
+
+def _alnum(w: str) -> bool:
+    return bool(_WORD.fullmatch(w) or _VALUE.fullmatch(w))
+
+
+def disguised(text: str, base: list[Span], suspect: bool = True, at_dot: bool = True, spelled: bool = True) -> list[Span]:
+    """Spans of the source that only the rewritten text shows; flags: the signs that were seen."""
     m = Mapped(text)
+    forms = []
+    suspect = suspect and not text.isascii() and _SUSPECT.search(text) is not None
     if suspect:
-        m = _homoglyphs(m)
-    found: list[Span] = []
-    forms = [m] if suspect else []
-    if at_dot or suspect:
-        forms.append(_at_dot(m))
-    if spelled or suspect:
-        forms.append(_digits(m))
-    own = set(base)
+        m = _homoglyphs(text)
+        forms.append(m)
+    one = _at_dot(m) if at_dot or suspect else m
+    two = _digits(m) if spelled or suspect else m
+    forms += [x for x in (one, two) if x is not m]
+    if two is not m and (at_dot or suspect):
+        forms.append(_at_dot(two))
+    found = set()
     for form in forms:
         for kind, a, b in detect(form.text):
             s, e = form.source(a, b)
-            if (kind, s, e) in own or text[s:e] == form.text[a:b]:
-                continue
-            if any(k == kind and x <= s and e <= y for k, x, y in own):
-                continue
-            own.add((kind, s, e))
-            found.append((kind, s, e))
-    return found
+            if text[s:e] != form.text[a:b]:
+                found.add((kind, s, e))
+    out: list[Span] = []
+    reach: dict[str, int] = {}
+    own = set(base)
+    for kind, s, e in sorted(own | found, key=lambda x: (x[1], -x[2])):  # what lies in a span of its kind is not told again
+        if (kind, s, e) not in own and e > reach.get(kind, 0):
+            out.append((kind, s, e))
+        reach[kind] = max(e, reach.get(kind, 0))
+    return out
+
+
+def signs(texts: pa.Array) -> list[tuple[bool, bool, bool, bool]]:
+    """Of each text whether it may hold base spans, characters that stand for others, disguised addresses, spelled
+    numbers; false only where it holds none."""
+    any_of = lambda p, fold=True: pc.match_substring_regex(texts, p, ignore_case=fold).to_pylist()
+    return list(zip(any_of(BASE_SIGN, False), any_of(SUSPECT_SIGN, False), any_of(AT_DOT_SIGN), any_of(DIGIT_SIGN)))
 
 
 def ordered(spans: list[Span]) -> list[Span]:
@@ -242,23 +332,29 @@ def find(docs: DataFrame, text: str = "text", redacted: str | None = None) -> Da
     added = [T.StructField(c, T.LongType()) for c in counts] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())]
     if redacted:
         added.append(T.StructField(redacted, T.StringType()))
-    names = {a.name for a in added}
-    keep = [f for f in docs.schema.fields if f.name not in names]
+    names = {a.name.lower() for a in added}
+    keep = [f for f in docs.schema.fields if f.name.lower() not in names]
+    (body,) = fresh([f.name for f in keep], "_t")
     schema = T.StructType([*keep, *added])
+    nothing = [0] * 4 + [hashlib.sha256(b"").hexdigest(), "", 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slabs(batches, "__t"):
+        for b in slabs(batches, body):
+            texts = pc.fill_null(b.column(body), "")
             cols: list[list] = [[] for _ in added]
-            for v in b.column("__t"):
-                t = v.as_py() or ""
-                base = detect(t)
-                more = disguised(t, base)
-                row = [sum(k == x for x, _, _ in base) for k in KINDS] + [hashlib.sha256(written(base).encode()).hexdigest(), written(base + more), len(more)]
-                if redacted:
-                    row.append(redact(t, base + more))
+            for v, (plain, other, at_dot, spelled) in zip(texts, signs(texts)):
+                if not (plain or other or at_dot or spelled):
+                    row = nothing + [v.as_py()] * bool(redacted)
+                else:
+                    t = v.as_py()
+                    base = detect(t) if plain else []
+                    more = disguised(t, base, other, at_dot, spelled) if other or at_dot or spelled else []
+                    row = [sum(k == x for x, _, _ in base) for k in KINDS] + [hashlib.sha256(written(base).encode()).hexdigest(), written(base + more), len(more)]
+                    if redacted:
+                        row.append(redact(t, base + more))
                 for c, x in zip(cols, row):
                     c.append(x)
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=schema.names)
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).cast("string").alias("__t")).mapInArrow(run, schema)
+    return in_arrow(docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").cast("string").alias(body)), run, schema)

@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips or held-out accuracy, on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -209,6 +210,53 @@ def test_language_id(spark):
     assert {x.lang_pred for x in langid.identify(none, langid.train(none)).collect()} == {"und"}
 
 
+def brute_bits(sample, text):
+    """Code length of a text under contexts of 3, 2, 1 and 0 bytes counted on the sample, byte by byte."""
+    counts = [{} for _ in range(4)]
+    for t in sample:
+        for i in range(len(t)):
+            for k in range(4):
+                context = (bytes(3) + t[:i])[-k:] if k else b""
+                counts[k].setdefault(context, {}).setdefault(t[i], 0)
+                counts[k][context][t[i]] += 1
+    total = 0.0
+    for i, b in enumerate(text):
+        for k in (3, 2, 1, 0):
+            seen = counts[k].get((bytes(3) + text[:i])[-k:] if k else b"", {})
+            room = sum(seen.values()) + len(seen)
+            if b in seen:
+                total -= math.log2(seen[b] / room)
+                break
+            total -= math.log2(len(seen) / room) if seen else 0
+        else:
+            total += 8
+    return total
+
+
+def test_code_lengths_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    r = random.Random(5)
+    make = lambda abc: "".join(r.choices(abc, k=r.choice([0, 1, 2, 3, 9, 40]))).encode()
+    for _ in range(20):
+        samples = {"x": [make("abé") for _ in range(6)], "y": [make("bc\0漢") for _ in range(6)]}
+        counts = {}
+        for name, texts in samples.items():
+            off = np.cumsum([0, *map(len, texts)])
+            counts[name] = np.unique(langid.contexts(np.frombuffer(b"".join(texts), np.uint8), off), return_counts=True)
+        trees = langid.Trees(["x", "y"], counts)
+        texts = [make("abcé漢\0z") for _ in range(9)]
+        got = trees.lengths(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        assert np.allclose(got, [[brute_bits(samples[name], t) for name in ("x", "y")] for t in texts], rtol=1e-5, atol=1e-4)
+
+
+def test_language_id_repeats_ties_and_clashes(spark):
+    rows = [(i, t, lang, 0.5, "t") for i, (t, lang) in enumerate([("same words", "b"), ("same words", "a")] * 8 + [("same words", None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, _t string")
+    out = langid.identify(df, langid.train(df)).collect()
+    assert {(x.lang_pred, x._t) for x in out} == {("a", "t")} and all(abs(x.score - 0.5) < 1e-6 for x in out)
+    assert langid.identify(df.limit(0), langid.train(df.limit(0))).count() == 0
+
+
 def test_flac_streams():
     r = np.random.default_rng(1)
     t = np.arange(9000)
