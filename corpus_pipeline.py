@@ -1,12 +1,16 @@
 """A corpus-cleaning pipeline of five stages over `documents`: language, near copies, benchmark, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and all documents that its predecessor kept; all but the last return the
-columns of documents.
+columns of documents, in which only what a stage says it changes is changed. Other columns may have any name.
+
+Defined results: a null text is empty: it has no letter, so the first stage drops it; a null doc_id is kept (near
+duplicates link it like any other, but only documents with ids go); repeated rows go or stay alike; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontam, jaccard, langid, packing, pii
@@ -17,10 +21,21 @@ from palimpsest.llm.queries import tokenizer_file
 BROADCAST_IDS = 1_000_000
 
 
+def _beside(docs: DataFrame) -> DataFrame:
+    """text, and all other columns in one that no operator's column can clash with."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others"))
+
+
+def _back(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs, some of them changed."""
+    same = {c: F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns}
+    return rows.select(*[changed.get(c, same[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter go. A missing lang gets the prediction."""
-    found = langid.identify(docs, langid.train(docs)).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(_beside(docs), langid.train(docs)).where("lang_pred <> 'und'")
+    return _back(found, docs, lang=F.coalesce("others.lang", "lang_pred"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +43,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(docs.select("doc_id", "text"))
     gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +53,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; personal data in their texts, plain or disguised, is replaced by [KIND]."""
-    found = pii.find(docs, redacted="redacted")
+    found = pii.find(_beside(docs), redacted="redacted")
     changed = F.col("spans") != ""
     text = F.when(changed, F.col("redacted")).otherwise(F.col("text"))
-    return found.withColumns({"text": text, "n_chars": F.when(changed, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    return _back(found, docs, text=text, n_chars=F.when(changed, F.length("redacted")).otherwise(F.col("others.n_chars")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
