@@ -7,7 +7,8 @@ headers (CRC-8), frames (CRC-16) and whole streams (MD5) are verified. Every fra
 found without decoding those before them, and PCM blocks carry their sample offsets.
 
 Bytes become samples through a fixed companding table (frequent bytes of text get small amplitudes), named in an
-APPLICATION block; it is a permutation, so nothing is lost.
+APPLICATION block; it is a permutation, so nothing is lost. Long streams are coded and decoded a group of frames at a
+time, so the memory beside a text and its stream is bounded.
 
 Defined results: null text is empty and becomes one block of 64 zero bytes; equal texts give equal bytes; repeated
 rows and other columns do not matter; an empty table gives an empty result. A stream whose checksums do not fit
@@ -26,9 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import flat_utf8, slabs
+from palimpsest.llm.common import flat_utf8, in_arrow, slabs
 
 BLOCK, RATE, PAD = 4096, 8000, 64
+#: Samples, and bytes of frames, that are coded or decoded at once (whole frames).
+GROUP_SAMPLES, GROUP_BYTES = 512 * 4096, 2 << 20
+#: Seek points in a metadata block, whose size has 24 bits.
+MOST_POINTS = 900_000
+#: No frame that is read is longer.
+FRAME_BYTES = 1 << 17
 APPLICATION = b"bytA\x01"
 #: Companding table, version 1 (fixed values): bytes in the order of falling frequency in prose, the others by number.
 _FIRST = b" enatiorshldceuhmpgfbwvyqkjxz.,\nETAIONSRHLDCUMPG\xc3\xa9\xa8\xa0\xaa\xb3\xad\xb6\xbc\xa4\x9f0123456789!?-"
@@ -107,9 +114,10 @@ def _frames(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return owner, number, first, np.minimum(BLOCK, lengths[owner] - number * BLOCK)
 
 
-def encode(samples: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """One FLAC stream for each run of `lengths` 8-bit samples (-128..127); no run is empty."""
+def _coded(samples: np.ndarray, lengths: np.ndarray, before: int = 0) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The frames of all runs of samples in a row, their owners, sizes and sample counts; `before` frames went ahead."""
     owner, number, first, n = _frames(lengths)
+    number = number + before
     x = samples.astype(np.int32)
     of_frame = np.repeat(np.arange(len(n), dtype=np.int32), n)
     inside = np.arange(len(x), dtype=np.int32) - first.astype(np.int32)[of_frame]
@@ -184,20 +192,41 @@ def encode(samples: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     sums = crc16(out, at, ends - 2)
     out[ends - 2], out[ends - 1] = sums >> 8, sums & 0xFF
 
-    streams, pcm, begin_sample = [], x.astype(np.int8), np.cumsum(lengths) - lengths
-    of = np.searchsorted(owner, np.arange(len(lengths) + 1))
-    for d, m in enumerate(lengths):
-        a, b = of[d], of[d + 1]
-        s, m = int(begin_sample[d]), int(m)
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(size[a:b].min()).to_bytes(3, "big") + int(size[a:b].max()).to_bytes(3, "big")
-        info += ((RATE << 44) | (7 << 36) | m).to_bytes(8, "big") + hashlib.md5(pcm[s : s + m].tobytes()).digest()
-        seek = b"".join(struct.pack(">QQH", int(first[f]) - s, int(at[f] - at[a]), int(n[f])) for f in range(a, b))
-        blocks = ((0, info), (3, seek), (2, APPLICATION))
-        head = b"fLaC" + b"".join(bytes([t | (0x80 if i == 2 else 0)]) + len(v).to_bytes(3, "big") + v for i, (t, v) in enumerate(blocks))
-        streams.append(head + out[at[a] : ends[b - 1]].tobytes())
+    return out.tobytes(), owner, size, n
+
+
+def encode(samples: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """One FLAC stream for each run of `lengths` 8-bit samples (-128..127); no run is empty."""
+    streams, end = [], np.cumsum(lengths)
+    d = 0
+    while d < len(lengths):
+        lo = int(end[d] - lengths[d])
+        to = max(int(np.searchsorted(end, lo + GROUP_SAMPLES, "right")), d + 1)
+        if to == d + 1:  # one run, perhaps a long one
+            steps = range(lo, int(end[d]), GROUP_SAMPLES)
+            parts = [_coded(samples[a : min(a + GROUP_SAMPLES, int(end[d]))], np.array([min(GROUP_SAMPLES, int(end[d]) - a)]), (a - lo) // BLOCK) for a in steps]
+            streams.append(_stream(samples[lo : int(end[d])], b"".join(p[0] for p in parts), *[np.concatenate([p[i] for p in parts]) for i in (2, 3)]))
+        else:
+            raw, owner, size, n = _coded(samples[lo : int(end[to - 1])], lengths[d:to])
+            of, at = np.searchsorted(owner, np.arange(to - d + 1)), np.append(0, np.cumsum(size))
+            for i in range(to - d):
+                a, b = of[i], of[i + 1]
+                streams.append(_stream(samples[int(end[d + i] - lengths[d + i]) : int(end[d + i])], raw[at[a] : at[b]], size[a:b], n[a:b]))
+        d = to
     return streams
 
 
+def _stream(samples: np.ndarray, frames: bytes, size: np.ndarray, n: np.ndarray) -> bytes:
+    """Head with a seek point for each frame, and the frames."""
+    info = struct.pack(">HH", BLOCK, BLOCK) + int(size.min()).to_bytes(3, "big") + int(size.max()).to_bytes(3, "big")
+    info += ((RATE << 44) | (7 << 36) | len(samples)).to_bytes(8, "big") + hashlib.md5(samples.astype(np.int8).tobytes()).digest()
+    points = [struct.pack(">QQH", *p) for p in zip((np.cumsum(n) - n).tolist(), (np.cumsum(size) - size).tolist(), n.tolist())]
+    tables = [b"".join(points[i : i + MOST_POINTS]) for i in range(0, len(points), MOST_POINTS)]
+    blocks = ((0, info), *[(3, t) for t in tables], (2, APPLICATION))
+    head = b"fLaC" + b"".join(bytes([t | (0x80 if t == 2 else 0)]) + len(v).to_bytes(3, "big") + v for t, v in blocks)
+    return head + frames
+
+
 class _Bits:
     """Big-endian bit fields at many places of one byte array, and the next 1 bit from any place on."""
 
@@ -384,7 +413,7 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
             block = s[p + 4 : p + 4 + size]
             info = block if kind == 0 else info
             if kind == 3:
-                points = [q for q in struct.iter_unpack(">QQH", block) if q[0] != 2**64 - 1]
+                points += [q for q in struct.iter_unpack(">QQH", block) if q[0] != 2**64 - 1]
             p += 4 + size
             if last:
                 break
@@ -392,25 +421,33 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
         if (packed >> 36) & 0xFF != 7:
             raise ValueError("only 8-bit mono streams are read")
         heads.append((packed & (1 << 36) - 1, info[18:34], points, at, at + len(s) - p))
-        body.append(s[p:])
+        body.append(memoryview(s)[p:])
         at += len(s) - p
     data = np.frombuffer(b"".join(body), np.uint8)
     blocks: list[list[tuple[int, np.ndarray]]] = [[] for _ in streams]
-    todo = [(d, lo + q[1], q[0]) for d, (_, _, points, lo, _) in enumerate(heads) for q in points]
+    stop = [h[4] for h in heads]
     complete = [sum(q[2] for q in h[2]) == h[0] for h in heads]
-    todo = [t for t in todo if complete[t[0]]] + [(d, h[3], 0) for d, h in enumerate(heads) if not complete[d] and h[0]]
-    while todo:
-        got, _, ends = _decode_frames(data, np.array([t[1] for t in todo], np.int64))
-        after = []
-        for (d, _, offset), x, end in zip(todo, got, ends):
-            blocks[d].append((offset, x))
-            if not complete[d] and offset + len(x) < heads[d][0]:
-                after.append((d, int(end), offset + len(x)))
-        todo = after
+    todo = sorted((lo + q[1], d, q[0]) for d, (_, _, points, lo, _) in enumerate(heads) if complete[d] for q in points)
+    starts = np.array([t[0] for t in todo], np.int64)
+    i = 0
+    while i < len(todo):  # groups of frames whose places are known
+        j = max(int(np.searchsorted(starts, starts[i] + GROUP_BYTES)), i + 1)
+        got, _, _ = _decode_frames(data[starts[i] : starts[j] if j < len(todo) else len(data)], starts[i:j] - starts[i])
+        for (_, d, offset), x in zip(todo[i:j], got):
+            blocks[d].append((offset, x.astype(np.int8)))
+        i = j
+    for d, h in enumerate(heads):  # without seek points each frame says where the next one begins
+        at, offset = h[3], 0
+        while not complete[d] and offset < h[0]:
+            (x,), _, (end,) = _decode_frames(data[at : min(at + FRAME_BYTES, stop[d])], np.zeros(1, np.int64))
+            blocks[d].append((offset, x.astype(np.int8)))
+            at, offset = at + int(end), offset + len(x)
     for found, (total, md5, *_) in zip(blocks, heads):
         found.sort(key=lambda b: b[0])
-        pcm = np.concatenate([x for _, x in found] or [np.zeros(0, np.int32)]).astype(np.int8)
-        if len(pcm) != total or md5 != bytes(16) and hashlib.md5(pcm.tobytes()).digest() != md5:
+        sums = hashlib.md5()
+        for _, x in found:
+            sums.update(x.tobytes())
+        if sum(len(x) for _, x in found) != total or md5 != bytes(16) and sums.digest() != md5:
             raise ValueError("a stream's samples do not have its digest")
     return blocks
 
@@ -424,11 +461,14 @@ def to_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             full = np.maximum(-(-n // PAD), 1) * PAD
             start = np.cumsum(full) - full
             padded = np.zeros(int(full.sum()), np.uint8)
-            padded[np.repeat(start - off[:-1], n) + np.arange(len(raw))] = raw
+            if len(n) == 1:  # perhaps a long one
+                padded[: len(raw)] = raw
+            else:
+                padded[np.repeat(start - off[:-1], n) + np.arange(len(raw))] = raw
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n, pa.int64()), pa.array(encode(TO_SAMPLE[padded], full), pa.binary())], names=[key, "n_bytes", "media"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
+    return in_arrow(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")), run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[list[tuple[int, np.ndarray]]]]]:
@@ -441,12 +481,28 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sample_offset, n_samples, pcm): decoded signed 8-bit blocks, each to be found by its sample offset."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, found in _decoded(batches):
-            rows = [(i, o, len(x), x.astype(np.int8).tobytes()) for i, blocks in enumerate(found) for o, x in blocks]
+            rows = [(i, o, len(x), x.tobytes()) for i, blocks in enumerate(found) for o, x in blocks]
             i, o, n, pcm = zip(*rows) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(i, pa.int64())), pa.array(o, pa.int64()), pa.array(n, pa.int64()), pa.array(pcm, pa.binary())], names=[key, "sample_offset", "n_samples", "pcm"])
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(F.col(key).alias("k"), "media").mapInArrow(run, f"`{key}` {kind}, sample_offset long, n_samples long, pcm binary")
+    return in_arrow(media.select(F.col(key).alias("k"), "media"), run, f"`{key}` {kind}, sample_offset long, n_samples long, pcm binary")
+
+
+def _measured(media: bytes, blocks: list[np.ndarray]) -> tuple:
+    """The feature columns of one stream, block by block."""
+    sums, tail, before = hashlib.sha256(), b"", None
+    n = peak = total = energy = flips = 0
+    for x in blocks:
+        payload = TO_BYTE[x.astype(np.int16) + 128].tobytes()
+        sums.update(payload)
+        tail = (tail + payload)[-PAD:]
+        wide = x.astype(np.int64)
+        low = wide < 0
+        flips += int(np.count_nonzero(low[1:] != low[:-1])) + int(before is not None and len(x) and before != low[0])
+        before = low[-1]
+        n, peak, total, energy = n + len(x), max(peak, int(np.abs(wide).max())), total + int(wide.sum()), energy + int((wide * wide).sum())
+    return n, sums.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), f"{n}:{peak}:{total}:{energy}:{flips}"
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -460,14 +516,11 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch, stored, found in _decoded(batches):
             cols: list[list] = [[] for _ in range(6)]
             for m, blocks in zip(stored, found):
-                x = np.concatenate([b for _, b in blocks])
-                payload = TO_BYTE[x + 128].tobytes()
-                flips = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"{len(x)}:{int(np.abs(x).max())}:{int(x.sum(dtype=np.int64))}:{int((x.astype(np.int64) ** 2).sum())}:{flips}")
+                row = _measured(m, [b for _, b in blocks])
                 for c, v in zip(cols, row):
                     c.append(v)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n_bytes"), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=names)
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(F.col(key).alias("k"), "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, {FEATURES}")
+    return in_arrow(media.select(F.col(key).alias("k"), "n_bytes", "media"), run, f"`{key}` {kind}, n_bytes long, {FEATURES}")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import flat_utf8, slabs, staged
+from palimpsest.llm.common import flat_utf8, held, in_arrow, slabs, staged
 from palimpsest.llm.components import components
 
 #: Frequent shingles that take part in the order, the most frequent ones; others count as infrequent.
@@ -52,17 +52,23 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b for b in range(256))
 _R = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that a worker keeps: those of a slab.
+POWERS = (1 << 21) + 1
 _BYTE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, r in enumerate((_R, pow(_R, -1, 2**64))):
-            p = np.full(n, r, np.uint64)
+    """n powers of the multiplier and of its inverse."""
+    def made() -> tuple[np.ndarray, ...]:
+        out = []
+        for r in (_R, pow(_R, -1, 2**64)):
+            p = np.full(max(n, POWERS), r, np.uint64)
             p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+            out.append(np.cumprod(p))
+        return tuple(out)
+
+    power, inverse = held("powers", made) if n <= POWERS else made()
+    return power[:n], inverse[:n]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -175,9 +181,9 @@ MEETINGS = "hub long, member long, n_hub long, n long, kind int"
 PAIR, STAR, CROWD = 0, 1, 2
 
 
-def _meetings(paired: int, large: int):
-    """Rows sorted by token, centrality and class to pairs (small groups) and rows of the kind `large` of large ones:
-    STAR, (hub, member), or CROWD, (token, member, centrality, size), to be dealt anew."""
+def _meetings(paired: int):
+    """Rows sorted by token, centrality and class to pairs (small groups) and CROWD rows of large ones, (token, member,
+    centrality, size), to be dealt anew."""
     names = [c.split()[0] for c in MEETINGS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +192,8 @@ def _meetings(paired: int, large: int):
         def made(*cols: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-        def many_rows(token: np.ndarray, cls: np.ndarray, n: np.ndarray, central: np.ndarray, hub: np.ndarray, hub_n: np.ndarray) -> pa.RecordBatch:
-            if large == CROWD:
-                return made(token, cls, central, n, np.full(len(cls), CROWD))
-            own = hub != cls
-            return made(hub[own], cls[own], hub_n[own], n[own], np.full(int(own.sum()), STAR))
+        def many_rows(token: np.ndarray, cls: np.ndarray, n: np.ndarray, central: np.ndarray) -> pa.RecordBatch:
+            return made(token, cls, central, n, np.full(len(cls), CROWD))
 
         def met(token: np.ndarray, cls: np.ndarray, n: np.ndarray, central: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(token):
@@ -198,8 +201,7 @@ def _meetings(paired: int, large: int):
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.append(start, len(token)))
             many = np.repeat(size > paired, size)
-            hub = np.repeat(start, size)[many]
-            yield many_rows(token[many], cls[many], n[many], central[many], cls[hub], n[hub])
+            yield many_rows(token[many], cls[many], n[many], central[many])
             for d in range(1, paired):
                 i = np.flatnonzero((token[d:] == token[:-d]) & ~many[d:]) if len(token) > d else np.zeros(0, np.int64)
                 if not len(i):
@@ -207,7 +209,7 @@ def _meetings(paired: int, large: int):
                 yield made(cls[i], cls[i + d], n[i], n[i + d], np.full(len(i), PAIR))
 
         held = [np.zeros(0, np.int64)] * 4
-        running: tuple[int, int, int] | None = None  # token, hub and its size of a large group that goes on
+        running: int | None = None  # token of a large group that goes on
         last: tuple[int, int] | None = None
         for b in batches:
             x = [b.column(c).to_numpy().astype(np.int64) for c in ("token", "cls", "n", "central")]
@@ -218,11 +220,10 @@ def _meetings(paired: int, large: int):
             keep[0] = (int(x[0][0]), int(x[1][0])) != last
             last = int(x[0][-1]), int(x[1][-1])
             x = [v[keep] for v in x]
-            if running:
-                more = x[0] == running[0]
-                k = int(more.sum())
-                if k:
-                    yield many_rows(*[v[more] for v in x], np.full(k, running[1]), np.full(k, running[2]))
+            if running is not None:
+                more = x[0] == running
+                if more.any():
+                    yield many_rows(*[v[more] for v in x])
                     x = [v[~more] for v in x]
                 if len(x[0]):
                     running = None
@@ -234,7 +235,7 @@ def _meetings(paired: int, large: int):
             held = [v[cut:] for v in x]
             if len(held[0]) > paired:
                 yield from met(*held)
-                running = int(held[0][0]), int(held[1][0]), int(held[2][0])
+                running = int(held[0][0])
                 held = [v[:0] for v in held]
         yield from met(*held)
 
@@ -373,22 +374,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     """(key, n_shingles, component_id) of every document; component_id is the least id reachable by links."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    seen = staged(rows.mapInArrow(_sets(n), "id long, n_shingles long, cls long, recurs long"), "sets")
+    seen = staged(in_arrow(rows, _sets(n), "id long, n_shingles long, cls long, recurs long"), "sets")
     sets = seen.where("recurs is null").drop("recurs")
     top = seen.where("recurs is not null").groupBy("recurs").agg(F.sum("n_shingles").alias("times")).orderBy(F.desc("times"), "recurs").limit(FREQUENT).toPandas()
     token = top["recurs"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((token[order], top["times"].to_numpy(np.int64)[order]))
-    prefixes = rows.where("id is not null").mapInArrow(_prefixes(n, threshold, held), "token long, central int, cls long, n long")
-    def meet(rows_: DataFrame, large: int) -> DataFrame:
-        return rows_.repartition("token").sortWithinPartitions("token", "central", "cls").mapInArrow(_meetings(paired, large), MEETINGS)
-
-    # Large groups are dealt anew by size as well: sets that link are in the same or the next band of sizes.
-    first = staged(meet(prefixes, CROWD), "meetings")
+    prefixes = in_arrow(rows.where("id is not null"), _prefixes(n, threshold, held), "token long, central int, cls long, n long")
+    first = staged(in_arrow(prefixes.repartition("token").sortWithinPartitions("token", "central", "cls"), _meetings(paired), MEETINGS), "meetings")
+    # Large groups are dealt anew by size as well: sets that link are in the same or the next band of sizes. The hub of
+    # each is a grouped minimum; its members meet it where they lie, so no task takes a whole group.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / threshold)))
     crowd = first.where(F.col("kind") == CROWD).select(F.col("hub").alias("token"), F.col("member").alias("cls"), F.col("n_hub").cast("int").alias("central"), "n")
     crowd = crowd.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("token"), "central", "cls", "n")
-    meetings = first.where(F.col("kind") == PAIR).unionByName(meet(crowd, STAR))
+    hubs = staged(crowd.groupBy("token").agg(F.min(F.struct("central", "cls", "n")).alias("h")), "hubs")
+    stars = crowd.join(_bounded(hubs, F.lit(32)), "token").where("cls <> h.cls")
+    stars = stars.select(F.col("h.cls").alias("hub"), F.col("cls").alias("member"), F.col("h.n").alias("n_hub"), "n", F.lit(STAR).alias("kind"))
+    meetings = first.where(F.col("kind") == PAIR).unionByName(stars)
     edges = meetings.groupBy("hub", "member").agg(F.first("n_hub").alias("n_hub"), F.first("n").alias("n"), F.count("*").alias("shared"), (F.max("kind") == STAR).alias("star"))
     edges = edges.where(F.col("star") | _may_link(F.col("n"), F.col("n_hub"), F.col("shared"), threshold))
     edges = staged(edges.select("hub", "member", "star"), "edges")
@@ -405,9 +407,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     longest = reps.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     wants = staged(wants.join(reps.where("id is not null").select("cls", "id"), "cls"), "wants")
     texts = rows.join(_bounded(wants, F.size("wants") * 24 + 32), "id")
-    pieces = texts.mapInArrow(_fragments(n, max(1, -(-longest // FRAGMENT))), FRAGMENTS)
+    pieces = in_arrow(texts, _fragments(n, max(1, -(-longest // FRAGMENT))), FRAGMENTS)
     ordered = pieces.repartition("hub", "salt", "fragment").sortWithinPartitions("hub", "salt", "fragment", "role", "cls")
-    parts = ordered.mapInArrow(_differences, "hub long, member long, n long, n_hub long, star boolean, differ long, part array<long>")
+    parts = in_arrow(ordered, _differences, "hub long, member long, n long, n_hub long, star boolean, differ long, part array<long>")
     deltas = parts.groupBy("hub", "member").agg(
         F.first("n").alias("n"), F.first("n_hub").alias("n_hub"), F.first("star").alias("star"), F.sum("differ").alias("differ"), F.flatten(F.collect_list("part")).alias("delta")
     )
@@ -422,7 +424,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     probes = blocked.where("far").select("hub", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "member", "n", "delta")
     others = blocked.select("hub", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "member", "n", "delta")
     far = probes.unionByName(others).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side", "member")
-    links = staged(links.unionByName(far.mapInArrow(_far_links(threshold), "u long, v long")), "links")
+    links = staged(links.unionByName(in_arrow(far, _far_links(threshold), "u long, v long")), "links")
     names = reps.select("cls", "id")
     ends = links.join(names.withColumnRenamed("cls", "u").withColumnRenamed("id", "x"), "u").join(names.withColumnRenamed("cls", "v").withColumnRenamed("id", "y"), "v")
     found = components(ends, "x", "y")

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import flat_utf8, slabs, staged
+from palimpsest.llm.common import flat_utf8, held, in_arrow, slabs, staged
 
 SEED = 24
 MAX_WINDOWS = 128
 #: Keys with more different stretches are dealt by window.
 WIDE_KEY = 192
-#: Strings whose order is built together, about.
-GROUP = 512
+#: Bytes of strings whose order is built together, about: with those of one more key, symbols are numbered in 16 bits.
+GROUP_BYTES = 20_000
 #: Tables up to so many bytes are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 NO_ID = -(2**63)
@@ -50,16 +50,22 @@ NO_ID = -(2**63)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BYTE = np.random.default_rng(20240901).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that a worker keeps: those of a slab.
+POWERS = (1 << 21) + 1
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, r in enumerate((_R, _R_INV)):
-            p = np.full(n, r)
+    """n powers of the multiplier and of its inverse."""
+    def made() -> tuple[np.ndarray, ...]:
+        out = []
+        for r in (_R, _R_INV):
+            p = np.full(max(n, POWERS), r, np.uint64)
             p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+            out.append(np.cumprod(p))
+        return tuple(out)
+
+    power, inverse = held("powers", made) if n <= POWERS else made()
+    return power[:n], inverse[:n]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -185,7 +191,7 @@ def _rows(x: dict[str, np.ndarray], names: list[str], kind: int) -> pa.RecordBat
 def suffix_order(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of strings of symbols in order: owner, length, and the common prefix with the one before.
 
-    data holds the symbols (uint16, not 0) of all strings, `size` their numbers of symbols (up to 254). Column-wise
+    data holds the symbols (unsigned, not 0) of all strings, `size` their numbers of symbols (up to 254). Column-wise
     construction: round t inserts the suffixes of length t. The symbol in front of a suffix, held in the transform,
     says where the longer suffix goes: behind all smaller symbols and as many equal ones as stand before it. Its
     common prefix is one more than the least between it and the last equal symbol.
@@ -193,9 +199,9 @@ def suffix_order(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     m = len(size)
     if m and size.max() > 254:
         raise ValueError("strings of up to 254 symbols are ordered")
-    data = np.append(data, np.uint16(0))
+    data = np.append(data, data.dtype.type(0))
     end = np.cumsum(size)
-    ahead = lambda i, t: np.where(size[i] > t, data[np.maximum(end[i] - t - 1, 0)], 0).astype(np.uint16)
+    ahead = lambda i, t: np.where(size[i] > t, data[np.maximum(end[i] - t - 1, 0)], 0).astype(data.dtype)
     live = np.arange(m)
     front, lcp = ahead(live, 0), np.zeros(m, np.uint8)  # the transform; 0: nothing in front
     place = live  # of the newest suffix of each string in `live`
@@ -248,22 +254,27 @@ def suffix_order(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def repeated(strings: list[bytes], doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of every window (of an even width) that also starts earlier; strings have their own places."""
-    if width % 2:
-        raise ValueError("the width is even")
+    """(document, start) of every window that also starts earlier; strings have their own places."""
+    unit = next(u for u in (4, 2, 1) if width % u == 0)
     n = np.array([len(x) for x in strings], np.int64)
-    raw = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16)
+    raw = np.frombuffer(b"".join(strings), np.uint8)
     begin = np.cumsum(n) - n
-    # Symbols are pairs of bytes, which halves the rounds: each string counts twice, with and without its last byte,
-    # so that every window begins a suffix of whole pairs. UTF-8 has no byte 255, so 0 stays free.
-    pair = ((raw[:-1] << np.uint16(8)) | raw[1:]) + np.uint16(1) if len(raw) > 1 else raw[:0]
-    size = np.concatenate([n, np.maximum(n - 1, 0)]) // 2
-    first = np.concatenate([begin + n % 2, begin + (n + 1) % 2])
-    data = pair[np.repeat(first - np.cumsum(size) + size, size) + 2 * (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)) + np.repeat(np.cumsum(size) - size, size)]
+    # Symbols are `unit` bytes, which shortens the rounds: each string counts `unit` times, without its last 0, 1, ...
+    # bytes, so that every window begins a suffix of whole symbols. They are numbered from 1 in their order.
+    places = max(len(raw) - unit + 1, 0)
+    packed = np.zeros(places, np.uint32)
+    for i in range(unit):
+        packed = (packed << np.uint32(8)) | raw[i : i + places]
+    kinds, symbol = np.unique(packed, return_inverse=True)
+    symbol = (symbol + 1).astype(np.uint16 if len(kinds) < 65535 else np.uint32)
+    size = np.concatenate([np.maximum(n - j, 0) // unit for j in range(unit)])
+    first = np.concatenate([begin + np.maximum(n - j, 0) % unit for j in range(unit)])
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    data = symbol[np.repeat(first, size) + unit * step]
     twin, length, lcp = suffix_order(data, size)
     owner = twin % max(len(n), 1)
-    byte = n[owner] - (twin >= len(n)) - 2 * length.astype(np.int64)  # where in its string the suffix starts
-    equal = lcp >= width // 2
+    byte = n[owner] - twin // max(len(n), 1) - unit * length.astype(np.int64)  # where in its string the suffix starts
+    equal = lcp >= width // unit
     member = equal | np.append(equal[1:], False)
     at = np.flatnonzero(member)
     group = np.cumsum(~equal)[at]
@@ -294,15 +305,17 @@ def _marks(width: int):
             last = np.append(first[1:], len(d)) - 1
             return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(s[first]), pa.array((s[last] - s[first] + 1) if len(d) else s[first], pa.int32())], names=names)
 
-        held: list[tuple] = []
+        rows: list[tuple] = []
+        size = 0
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "start", "bytes"))):
-                if len(held) >= GROUP and row[0] != held[-1][0]:
-                    yield close(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield close(held)
+                if size >= GROUP_BYTES and row[0] != rows[-1][0]:
+                    yield close(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[3])
+        if rows:
+            yield close(rows)
 
     return run
 
@@ -387,21 +400,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 100, wide_key: int = WIDE_KEY) -> DataFrame:
     """(id, spans array<(start, end)>) of the documents with repeated bytes: merged, in order, in UTF-8 bytes."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("t"))
-    found = rows.where(F.octet_length("t") >= width).mapInArrow(_stretch_rows(width), FOUND)
-    found = staged(found.repartition("key").sortWithinPartitions("key", "digest", "doc", "start").mapInArrow(_firsts, FOUND), "stretches")
+    found = in_arrow(rows.where(F.octet_length("t") >= width), _stretch_rows(width), FOUND)
+    found = staged(in_arrow(found.repartition("key").sortWithinPartitions("key", "digest", "doc", "start"), _firsts, FOUND), "stretches")
     whole = found.where(F.col("kind") == MARK).select("doc", "start", "windows")
     candidates = found.where(F.col("kind") == STRETCH).select("key", "doc", "start", "windows")
     wide = candidates.groupBy("key").count().where(F.col("count") > wide_key).select("key", F.lit(True).alias("wide"))
     wide = _bounded(staged(wide, "wide"), F.lit(16))
     wants = candidates.join(wide, "key", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     wants = staged(wants.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("key", "start", "windows", "wide")).alias("wants")), "wants")
-    strings = staged(rows.join(wants, "id").mapInArrow(_with_bytes(width), STRINGS), "strings")
+    strings = staged(in_arrow(rows.join(wants, "id"), _with_bytes(width), STRINGS), "strings")
     narrow = strings.where(F.col("kind") == STRING).select("key", "doc", "start", "bytes").distinct().repartition("key").sortWithinPartitions("key", "doc", "start")
-    single = narrow.mapInArrow(_marks(width), "doc long, start long, windows int")
-    windows = strings.where(F.col("kind") != STRING).drop("bytes").repartition("key").sortWithinPartitions("key", "digest", "doc", "start").mapInArrow(_firsts, FOUND)
+    single = in_arrow(narrow, _marks(width), "doc long, start long, windows int")
+    windows = in_arrow(strings.where(F.col("kind") != STRING).drop("bytes").repartition("key").sortWithinPartitions("key", "digest", "doc", "start"), _firsts, FOUND)
     marks = whole.unionByName(single).unionByName(windows.where(F.col("kind") == MARK).select("doc", "start", "windows"))
     spans = marks.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + (width - 1)).alias("end"))).alias("spans"))
-    return spans.mapInArrow(_merge, "id long, spans array<struct<start:long,end:long>>")
+    return in_arrow(spans, _merge, "id long, spans array<struct<start:long,end:long>>")
 
 
 def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id", keep_bytes: bool = False) -> DataFrame:
@@ -429,7 +442,7 @@ def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_i
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("k"), *[pa.array(c, t) for c, t in zip(cols, kinds)][: 4 + keep_bytes]], names=[f.name for f in fields])
 
-    return rows.select("k", "t", "spans").mapInArrow(run, T.StructType(fields))
+    return in_arrow(rows.select("k", "t", "spans"), run, T.StructType(fields))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 100, keep_bytes: bool = False, wide_key: int = WIDE_KEY) -> DataFrame:

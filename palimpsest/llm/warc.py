@@ -1,21 +1,22 @@
 """WARC archives as a table of chunks.
 
 A record is the run of its rows (record_no, chunk_no, n_chunks, data): the data of an archive file's records, one
-after the other, is a WARC file. Payloads beyond CHUNK bytes take several rows, so neither writing nor reading back
-holds a record as a whole beyond the source's own row: a reader of chunks carries an incremental digest from row to
-row. Records of one row (nearly all) are parsed by column expressions alone; only the rows of oversized records are
-brought together.
+after the other, is a WARC file. Payloads beyond `chunk` bytes take several rows and never stand in one value again
+beside the source's own: the writer takes a running digest over slices of the source's bytes and hands out one chunk
+after the other, a reader of chunks carries an incremental digest from row to row. Records of one row (nearly all) are
+written and parsed by column expressions alone; only the rows of oversized records are brought together.
 
 Of records with equal payloads (digest and size) of at least min_bytes, that with the smallest page_id is a
 `response`, the others are `revisit` records without payload that refer to it.
 
 Defined results: null html is an empty payload; a null page_id never serves as target and comes back as null; rows
 with the same id and payload are all responses; a null url is `about:blank`; line ends and other control characters
-in urls are percent-encoded; an empty table gives an empty archive.
+in urls are percent-encoded; an empty table gives an empty archive; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import staged
+from palimpsest.llm.common import in_arrow, staged
 
 CHUNK = 1 << 16
-#: Revisit pairs (16 bytes each) up to this many are broadcast; more are joined by a shuffle.
-BROADCAST_PAIRS = 1_000_000
+#: Rows of first records and of revisits up to this many are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Parts that the records of one digest are dealt in where that join is shuffled.
+SALTS = 32
 CRLF = "\r\n"
 GAP = CRLF + CRLF
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -43,56 +46,114 @@ def _binary(c: Column) -> Column:
     return c.cast("binary")
 
 
-def write_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, chunk: int = CHUNK, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """The chunk table of all pages' records, written to the shared folder."""
-    rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), _binary(F.coalesce(F.col(html).cast("string"), F.lit(""))).alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
-    small = rows.where((F.col("n") >= min_bytes) & F.col("id").isNotNull()).select("id", "digest", "n")
-    firsts = small.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    revisits = staged(small.join(firsts, ["digest", "n"]).where("id > first").select("id", "first").distinct(), "revisits")
-    # Rows without an id may be copies as well, but cannot be found again by it: they are responses.
-    if revisits.count() <= BROADCAST_PAIRS:
-        revisits = F.broadcast(revisits)
-    twice = small.groupBy("id").count().where("count > 1").select("id")  # an id with several payloads needs its digest in the key
-    rows = rows.join(revisits, "id", "left") if twice.isEmpty() else rows.join(
-        staged(small.join(firsts, ["digest", "n"]).where("id > first").select("id", "digest", "n", "first").distinct(), "revisits"), ["id", "digest", "n"], "left")
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, digest, n) of oversized payloads, by a running digest over slices."""
+    for b in batches:
+        digests = [_running_digest(memoryview(v.as_buffer())) for v in b.column("payload")]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests, pa.string()), b.column("n")], names=["id", "digest", "n"])
+
+
+def _running_digest(raw: memoryview) -> str:
+    sha = hashlib.sha1()
+    for at in range(0, len(raw), CHUNK):
+        sha.update(raw[at : at + CHUNK])
+    return sha.hexdigest()
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, which was written, for a broadcast if its size allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+
+def _revisits(prints: DataFrame) -> DataFrame:
+    """(id, digest, n, first) of the records that have a first one with a smaller id."""
+    firsts = prints.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    firsts = staged(firsts, "firsts")
+    if firsts.count() <= BROADCAST_ROWS:
+        joined = prints.join(F.broadcast(firsts), ["digest", "n"])
+    else:  # an empty page may be a third of all
+        dealt = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(dealt, ["digest", "n", "salt"])
+    return staged(joined.where("id > first").select("id", "digest", "n", "first").distinct(), "revisits")
+
+
+def _head(digest: Column, first: Column, again: Column, date: str) -> Column:
+    """The record's own header lines and those of its HTTP block, as text."""
     def line(name: str, value: Column) -> list[Column]:
         return [F.lit(f"{name}: "), value, F.lit(CRLF)]
 
-    again = F.col("first").isNotNull()
     safe = F.coalesce(F.col("url"), F.lit("about:blank"))
     for c, code in (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"), ("\0", "%00")):
         safe = F.when(safe.rlike(r"[\x00\r\n]"), F.replace(safe, F.lit(c), F.lit(code))).otherwise(safe) if c == "%" else F.replace(safe, F.lit(c), F.lit(code))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(GAP))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    block = F.octet_length("http") + F.when(again, 0).otherwise(F.col("n"))
-    head = F.concat(
+    block = F.octet_length(http) + F.when(again, 0).otherwise(F.col("n"))
+    return F.concat(
         F.lit(f"WARC/1.0{CRLF}"),
         *line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         *line("WARC-Record-ID", name(F.col("id"))),
         *line("WARC-Date", F.lit(date)),
         *line("WARC-Target-URI", safe),
-        *line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
-        F.when(again, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest{CRLF}"), *line("WARC-Refers-To", name(F.col("first"))))).otherwise(F.lit("")),
+        *line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        F.when(again, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest{CRLF}"), *line("WARC-Refers-To", name(first)))).otherwise(F.lit("")),
         *line("Content-Type", F.lit("application/http; msgtype=response")),
         *line("Content-Length", block.cast("string")),
-        F.lit(CRLF), F.col("http"),
+        F.lit(CRLF), http,
     )
-    body = F.when(again, F.lit(b"")).otherwise(F.col("payload"))
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / F.lit(float(chunk)))).cast("int")
-    data = F.concat(
-        F.when(F.col("chunk_no") == 0, _binary(F.col("head"))).otherwise(F.lit(b"")),
-        F.substring(F.col("body"), F.col("chunk_no") * chunk + 1, F.lit(chunk)),
-        F.when(F.col("chunk_no") == F.col("n_chunks") - 1, _binary(F.lit(GAP))).otherwise(F.lit(b"")),
-    )
-    out = (
-        rows.withColumn("http", http).select(F.monotonically_increasing_id().alias("record_no"), head.alias("head"), body.alias("body"))
-        .withColumn("n_chunks", n_chunks)
-        .withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .select("record_no", "chunk_no", "n_chunks", data.alias("data"))
-    )
-    return staged(out, "warc")
+
+
+ROWS = "record_no long, chunk_no int, n_chunks int, data binary"
+# What stands in the header lines of an oversized record until its digest is known; urls have no such character.
+_DIGEST, _FIRST = "\0d", "\0f"
+
+
+def _chunks_of(chunk: int):
+    """Oversized records to their rows, one chunk after the other."""
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def row(no: int, i: int, n: int, *data: memoryview | bytes) -> pa.RecordBatch:
+        cells = [pa.array([no]), pa.array([i], pa.int32()), pa.array([n], pa.int32()), pa.array([b"".join(data)], pa.binary())]
+        return pa.RecordBatch.from_arrays(cells, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for no, fresh_head, again_head, firsts, payload in zip(*(b.column(c) for c in ("record_no", "fresh", "again", "firsts", "payload"))):
+                raw = memoryview(payload.as_buffer())
+                digest = _running_digest(raw)
+                b32 = base64.b32encode(bytes.fromhex(digest)).decode()
+                first = next((x["first"] for x in firsts.as_py() or () if x["digest"] == digest and x["n"] == len(raw)), None)
+                if first is not None:
+                    yield row(no.as_py(), 0, 1, again_head.as_py().replace(_DIGEST, b32).replace(_FIRST, str(first)).encode(), GAP.encode())
+                    continue
+                n = -(-len(raw) // chunk)
+                for i in range(n):
+                    head = fresh_head.as_py().replace(_DIGEST, b32).encode() if i == 0 else b""
+                    yield row(no.as_py(), i, n, head, raw[i * chunk : (i + 1) * chunk], GAP.encode() if i == n - 1 else b"")
+
+    return run
+
+
+def write_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, chunk: int = CHUNK, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """The chunk table of all pages' records, written to the shared folder."""
+    cell = lambda c, kind: F.col(f"`{c}`").cast(kind)
+    rows = pages.select(cell(key, "long").alias("id"), cell(url, "string").alias("url"), _binary(F.coalesce(cell(html, "string"), F.lit(""))).alias("payload"))
+    rows = rows.withColumn("n", F.octet_length("payload").cast("long"))
+    small, large = rows.where(F.col("n") <= chunk).withColumn("digest", F.sha1("payload")), rows.where(F.col("n") > chunk)
+    # Rows without an id may be copies as well, but cannot be found again by it: they are responses.
+    may = (F.col("n") >= min_bytes) & F.col("id").isNotNull()
+    prints = small.where(may).select("id", "digest", "n").unionByName(in_arrow(large.where(may).select("id", "payload", "n"), _fingerprints, "id long, digest string, n long"))
+    revisits = _revisits(staged(prints, "fingerprints"))
+
+    again = F.col("first").isNotNull()
+    head = _head(base32(F.col("digest")), F.col("first"), again, date)
+    data = F.concat(_binary(head), F.when(again, F.lit(b"")).otherwise(F.col("payload")), _binary(F.lit(GAP)))
+    one = small.join(_bounded(revisits.where(F.col("n") <= chunk)), ["id", "digest", "n"], "left")
+    one = one.select(F.monotonically_increasing_id().alias("record_no"), F.lit(0).alias("chunk_no"), F.lit(1).alias("n_chunks"), data.alias("data"))
+    firsts = revisits.where(F.col("n") > chunk).groupBy("id").agg(F.collect_list(F.struct("digest", "n", "first")).alias("firsts"))
+    many = large.join(_bounded(staged(firsts, "firsts")), "id", "left")
+    heads = [_head(F.lit(_DIGEST), F.lit(_FIRST), F.lit(x), date).alias(name) for name, x in (("fresh", False), ("again", True))]
+    many = many.select((-1 - F.monotonically_increasing_id()).alias("record_no"), *heads, "firsts", "payload")
+    return staged(one.unionByName(in_arrow(many, _chunks_of(chunk), ROWS)), "warc")
 
 
 READ = "head string, http string, payload_bytes long, digest string, whole boolean"
@@ -122,7 +183,7 @@ def _oversized(chunks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()))], names=[c.split()[0] for c in READ.split(", ")])
 
     ordered = chunks.where("n_chunks > 1").repartition("record_no").sortWithinPartitions("record_no", "chunk_no")
-    return ordered.select("chunk_no", "n_chunks", "data").mapInArrow(run, READ)
+    return in_arrow(ordered.select("chunk_no", "n_chunks", "data"), run, READ)
 
 
 def _field(name: str) -> Column:

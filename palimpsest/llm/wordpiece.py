@@ -6,10 +6,11 @@ of popped counts along one pass over its bytes, without building a piece. The au
 by side, one byte of each in a step, and each different word of a batch is counted once.
 
 A text is cut at white space (space, tab, line ends, VT, FF); a word is matched with the word mark in front. A
-word that cannot be covered by the vocabulary counts as one unknown piece.
+word that cannot be covered by the vocabulary counts as one unknown piece. Long texts are read in blocks of whole
+words, long words one byte after the other.
 
-Defined results: null, empty and white-space texts have no words and no pieces; repeated rows and other columns
-do not matter; an empty table gives an empty result.
+Defined results: null, empty and white-space texts have no words and no pieces; repeated rows do not matter; an empty
+table gives an empty result; input columns named as the added ones are replaced, other names are free.
 """
 
 from __future__ import annotations
@@ -20,14 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import slabs
+from palimpsest.llm.common import blocks, flat_utf8, fresh, held, in_arrow, slabs, word_bounds
 
 MARK = b" "
+#: Words whose counts a worker knows; beyond that it starts anew.
 CACHE_WORDS = 400_000
+#: Longer words are not run side by side with others.
+LONG_WORD = 1024
+BLOCK_BYTES = 2 << 20
+_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -74,8 +81,34 @@ class Automaton:
         for b, u in children[0].items():
             self.root[b] = u
 
+    def count(self, word: bytes) -> int:
+        """Greedy longest-match length of one word, byte by byte; -1 if it has none."""
+        if not hasattr(self, "edges"):
+            self.edges = dict(zip(self.key.tolist(), self.to.tolist()))
+            self.links = list(zip(self.fail.tolist(), self.popped.tolist()))
+        edges, links, node, n = self.edges, self.links, 0, 0
+        for b in word:
+            while (to := edges.get(node << 8 | b)) is None:
+                link, more = links[node]
+                if link < 0:
+                    return -1
+                node, n = link, n + more
+            node = to
+        while node:
+            link, more = links[node]
+            if link < 0:
+                return -1
+            node, n = link, n + more
+        return n
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Greedy longest-match lengths; -1 for a word that has none."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        out = self._side_by_side([b"" if len(w) > LONG_WORD else w for w in words] if long else words)
+        out[long] = [self.count(words[i]) for i in long]
+        return out
+
+    def _side_by_side(self, words: list[bytes]) -> np.ndarray:
         n = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-n, kind="stable")
         start = (np.cumsum(n) - n)[order]
@@ -124,29 +157,53 @@ def greedy(word: bytes, pieces: set[bytes]) -> int:
     return n
 
 
-_automata: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
+class Counter:
+    """Counts of texts by an automaton that each different word is put to once."""
+
+    def __init__(self, path: str):
+        self.automaton = Automaton(vocabulary(path))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.value = pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+
+    def of(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows (words, pieces, unknown words) of all texts in a row."""
+        begin, end = word_bounds(raw, off, _SPACE)
+        place = np.searchsorted(begin, off)
+        ends = np.append(0, np.cumsum(end - begin))
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(raw[~_SPACE[raw]])])
+        coded = words.dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        mine = coded.dictionary.take(pa.array(new))
+        at[new] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, mine])
+        self.value = np.append(self.value, self.automaton.counts([MARK + w for w in mine.to_pylist()]))
+        n = self.value[at][coded.indices.to_numpy()]
+        total = [np.append(0, np.cumsum(x)) for x in (np.ones(len(n), np.int64), np.abs(n), n < 0)]
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+        return np.stack([np.diff(t[place]) for t in total])
+
+    def of_any(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """As `of`; a text beyond BLOCK_BYTES, which is a slab by itself, is read in blocks."""
+        if len(off) != 2 or len(raw) <= BLOCK_BYTES:
+            return self.of(raw, off)
+        return sum(self.of(raw[lo:hi], np.array([0, hi - lo])) for lo, hi in blocks(raw, _SPACE, BLOCK_BYTES))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with n_words, n_tokens (unknown words count as one) and n_unknown (long)."""
     names = ["n_words", "n_tokens", "n_unknown"]
-    keep = [f for f in docs.schema.fields if f.name not in names]
+    keep = [f for f in docs.schema.fields if f.name.lower() not in names]
+    (body,) = fresh([f.name for f in keep], "_t")
     schema = T.StructType([*keep, *[T.StructField(x, T.LongType()) for x in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _automata:
-            _automata[path] = Automaton(vocabulary(path)), {}
-        automaton, known = _automata[path]
-        for b in slabs(batches, "__t"):
-            words = [(v.as_py() or "").encode("utf-8", "surrogatepass").split() for v in b.column("__t")]
-            new = list({w for ws in words for w in ws if w not in known})
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list({w for ws in words for w in ws})
-            known.update(zip(new, automaton.counts([MARK + w for w in new]).tolist()))
-            got = [list(map(known.__getitem__, ws)) for ws in words]
-            unknown = [g.count(-1) for g in got]
-            cols = [len(ws) for ws in words], [sum(g) + 2 * u for g, u in zip(got, unknown)], unknown
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], *[pa.array(c, pa.int64()) for c in cols]], names=schema.names)
-
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).cast("string").alias("__t")).mapInArrow(run, schema)
+        counter = held(("pieces", path), lambda: Counter(path))
+        for b in slabs(batches, body, BLOCK_BYTES):
+            got = counter.of_any(*flat_utf8(b.column(body)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(c, pa.int64()) for c in got]], names=schema.names)
+
+    return in_arrow(docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").cast("string").alias(body)), run, schema)
