@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 
+#: What an address looks like as a whole. Fixed value.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 
 #: Allowed ranges of request parameters and scores (lowest, highest; None: open). Fixed values.

@@ -16,19 +16,25 @@ RRF = 60
 BLOCK_QUERIES, BLOCK_BYTES = 2000, 16 << 20
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Null for a vector of zeros; norms that are at hand need not be taken again for each pair."""
+    return _dot(a, b) / F.nullif((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b), F.lit(0.0))
 
 
 def pairs(queries: DataFrame, memories: DataFrame, prepare: Callable[[Column], Column] = words) -> list[DataFrame]:
-    """Each query with all other memories of its group, in blocks of queries: (query_id, memory_id, _q, _m, _x, _y),
-    the vectors and the prepared texts of both. A block is broadcast, so each memory is met where it lies, however many
+    """Each query with all other memories of its group, in blocks of queries: (query_id, memory_id, _q, _m, _nq,
+    _nm, _x, _y), the vectors, their norms and the prepared texts of both. A block is broadcast, so each memory is met where it lies, however many
     share its group; the queries' number and bytes are measured first."""
-    q = queries.select("query_id", "group_id", F.col("embedding").alias("_q"), prepare(F.col("query")).alias("_x"))
-    m = memories.select("memory_id", "group_id", F.col("embedding").alias("_m"), prepare(F.col("fact")).alias("_y"))
+    q = queries.select("query_id", "group_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_nq"), prepare(F.col("query")).alias("_x"))
+    m = memories.select("memory_id", "group_id", F.col("embedding").alias("_m"), norm(F.col("embedding")).alias("_nm"), prepare(F.col("fact")).alias("_y"))
     number, held = queries.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(F.octet_length("query"), F.lit(0)) + 4 * F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()
     n = max(1, -(-number // BLOCK_QUERIES), -(-held // BLOCK_BYTES))
     blocks = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)] if n > 1 else [q]
@@ -43,30 +49,35 @@ def search(queries: DataFrame, memories: DataFrame, k: int = 10, prepare: Callab
 
     No task sorts a group. Of each similarity the `top` best memories of a query are found in parts and merged; the k
     first of either have a score above 1 / (RRF + k), which bounds what others are worth a look. For these, a rank beyond
-    `top` is counted over all memories, in parts that are added up. All ranks are exact.
+    `top` is counted over all memories, in parts that are added up. All ranks are exact. Pairs are scored once, and once
+    more only if a rank has to be counted.
     """
     top = 4 * (RRF + k)
     out = None
     for block in pairs(queries, memories, prepare):
         ids = ["query_id", "memory_id"]
-        value = {"cosine": F.round(cosine(F.col("_q"), F.col("_m")), digits), "lexical": F.round(scorer(F.col("_x"), F.col("_y")), digits)}
-        first = lambda c, rank: block.select(*ids, value[c].alias(c)).withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "memory_id"))).where(F.col(rank) <= top).drop(c)
-        bound = sum(1 / (RRF + F.coalesce(c, F.lit(top + 1))) for c in ("_a", "_b"))
-        near = first("cosine", "_a").join(first("lexical", "_b"), ids, "full").where(bound > 1 / (RRF + k) - 10.0**-digits)
-        near = written(block.join(F.broadcast(near), ids).select(*ids, "_a", "_b", *[v.alias(c) for c, v in value.items()]), "recalled")
+        value = {"cosine": F.round(cosine(F.col("_q"), F.col("_m"), F.col("_nq"), F.col("_nm")), digits), "lexical": F.round(scorer(F.col("_x"), F.col("_y")), digits)}
+        sides = {"_a": "cosine", "_b": "lexical"}
+        both = F.explode(F.array(*[F.struct(F.lit(r).alias("side"), F.col(c).alias("value")) for r, c in sides.items()])).alias("s")
+        scored = block.select(*ids, *[v.alias(c) for c, v in value.items()]).select(*ids, *value, both)
+        order = Window.partitionBy("query_id", "s.side").orderBy(F.desc("s.value"), "memory_id")
+        best = scored.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top)
+        near = best.groupBy(*ids).agg(*[F.first(c).alias(c) for c in value], *[F.max(F.when(F.col("s.side") == r, F.col("_rank"))).alias(r) for r in sides])
+        bound = sum(1 / (RRF + F.coalesce(c, F.lit(top + 1))) for c in sides)
+        near = written(near.where(bound > 1 / (RRF + k) - 10.0**-digits), "recalled")
         # What stands before a memory whose rank is not known: the rows that precede it in the order of the window.
         key = lambda c: F.struct(F.when(F.col(c).isNull(), float("inf")).when(F.isnan(c), float("-inf")).otherwise(-F.col(c)).alias("v"), F.col("memory_id").alias("id"))
         ahead = lambda x, y: (x["v"] < y["v"]) | ((x["v"] == y["v"]) & (x["id"] < y["id"]))
-        sides = {"_a": "cosine", "_b": "lexical"}
         asked = near.groupBy("query_id").agg(*[F.array_sort(F.collect_list(F.when(F.col(r).isNull(), key(c)))).alias(f"{r}s") for r, c in sides.items()]).where("size(_as) + size(_bs) > 0")
-        at = lambda r, c: F.struct(F.lit(r).alias("r"), F.size(F.filter(f"{r}s", lambda x: ahead(x, key(c)))).alias("p"), F.size(f"{r}s").alias("n"))
-        rows = block.join(F.broadcast(asked), "query_id").withColumns(value)
-        counts = rows.select("query_id", F.explode(F.array(*[at(r, c) for r, c in sides.items()])).alias("s")).where("s.p < s.n").groupBy("query_id", "s.r", "s.p").agg(F.count("*").alias("c"))
-        counts = counts.withColumn("c", F.sum("c").over(Window.partitionBy("query_id", "r").orderBy("p")))
-        for r in sides:
-            unknown = asked.select("query_id", F.posexplode(f"{r}s").alias("p", "x")).select("query_id", "p", F.col("x.id").alias("memory_id"))
-            known = unknown.join(counts.where(F.col("r") == r), ["query_id", "p"]).select(*ids, F.col("c").cast("int").alias("_r"))
-            near = near.join(known, ids, "left").withColumn(r, F.coalesce(r, "_r")).drop("_r")
+        if not near.where("_a is null or _b is null").isEmpty():
+            at = lambda r, c: F.struct(F.lit(r).alias("r"), F.size(F.filter(f"{r}s", lambda x: ahead(x, key(c)))).alias("p"), F.size(f"{r}s").alias("n"))
+            rows = block.join(F.broadcast(asked), "query_id").withColumns(value)
+            counts = rows.select("query_id", F.explode(F.array(*[at(r, c) for r, c in sides.items()])).alias("s")).where("s.p < s.n").groupBy("query_id", "s.r", "s.p").agg(F.count("*").alias("c"))
+            counts = counts.withColumn("c", F.sum("c").over(Window.partitionBy("query_id", "r").orderBy("p")))
+            for r in sides:
+                unknown = asked.select("query_id", F.posexplode(f"{r}s").alias("p", "x")).select("query_id", "p", F.col("x.id").alias("memory_id"))
+                known = unknown.join(counts.where(F.col("r") == r), ["query_id", "p"]).select(*ids, F.col("c").cast("int").alias("_r"))
+                near = near.join(known, ids, "left").withColumn(r, F.coalesce(r, "_r")).drop("_r")
         near = near.withColumn("score", F.round(1 / (RRF + F.col("_a")) + 1 / (RRF + F.col("_b")), digits))
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))).where(F.col("rank") <= k)
         out = near if out is None else out.unionByName(near)

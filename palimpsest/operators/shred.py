@@ -15,8 +15,10 @@ TAGS = (
     ("互动历史", "dialog", "dialog", None),
     ("补充资料", "narrative", "supplementary", None),
 )
+#: A tagged section, and the blank lines between blocks. Fixed values.
 SECTION = r"<([^>/]+)>([\s\S]*?)</\1>"
 BLOCK_GAP = r"(?U)\n(?:[\s\x1c-\x1f&&[^\n]]*\n)+"
+#: Signs of a dialog. Fixed value.
 DIALOG = "User:|Assistant:"
 
 
@@ -108,6 +110,7 @@ def shredded(prompts: DataFrame, key: str = "session_id", prompt: str = "prompt"
     return rows.select(key, "original_length", *[F.coalesce(F.col(f"_n.{c}").cast("long"), F.lit(0)).alias(c) for c in ("n_instructions", "n_narratives", "n_turns")])
 
 
+#: How entries of each kind begin. Fixed values.
 _ENTRY = (("地点", "location"), ("角色", "character"), ("概念", "concept"))
 _PROFILE = r"(?d)^Character_Profile_of:\s*([^\n]+)"
 
@@ -134,7 +137,7 @@ def entry_properties(kind: Column, content: Column) -> Column:
     return F.when(kind == "general", F.create_map().cast("map<string,string>")).otherwise(properties(content))
 
 
-#: `key: value`, a key being what stands between white space or colons. Looks behind only so that no word is tried twice.
+#: `key: value`. Fixed value: a key being what stands between white space or colons. Looks behind only so that no word is tried twice.
 _PAIR = r"(?<![^\s:])([^\s:]++):\s*([^\n]+)"
 
 
@@ -156,6 +159,7 @@ def properties(content: Column) -> Column:
     return T.bound(F.array_sort(placed), last)
 
 
+#: A line of a chat. Fixed value.
 MESSAGE = r"(?U)(?d)^(User|Assistant|[A-Za-z一-龥]+):\s*(.+)$"
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The thresholds, weights and labels of this module are fixed values.
 CALM, LIVELY = ("joy", "happiness"), ("optimistic", "enthusiastic", "anxious", "aggressive", "stubborn")
 
 

@@ -47,7 +47,7 @@ def o_g2_trace_backward(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("start", F.col("depth").cast("long").alias("depth"), _path("nodes").alias("path"))
 
 
-@query(_trails(2, 0.5, "1") + "SELECT start, list_aggregate(list_transform(nodes, lambda x: (SELECT 'event ' || x)), 'string_agg', '|') AS names, strength AS last_strength FROM t".replace("(SELECT 'event ' || x)", "'event ' || x"))
+@query(_trails(2, 0.5, "1") + "SELECT start, list_aggregate(list_transform(nodes, lambda x: 'event ' || x), 'string_agg', '|') AS names, strength AS last_strength FROM t")
 def o_g3_path_materialisation(spark: SparkSession, sf: str) -> DataFrame:
     found = G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 2, 0.5)
     rows = G.materialized(found, B.causal_events(spark, sf))

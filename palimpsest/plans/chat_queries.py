@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from palimpsest.operators import messages as M
 from palimpsest.operators import shred
 from palimpsest.plans.base import CHAT, PROMPT, query, trimmed
 from palimpsest.plans.bindings import chats, flat, prompts, table
-from palimpsest.sources.tables import written
+from palimpsest.sources.responses import read_messages
+from palimpsest.sources.tables import shared_dir, written
 
 _C, _P = f"WITH {CHAT} ", f"WITH {PROMPT} "
 
@@ -160,12 +163,14 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations")
 
 
-@query("SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, length(text) AS n_chars FROM conversations")
 def o_s1_message_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Requests with message arrays as JSON, written, scanned with an explicit schema and exploded."""
-    rows = _messages(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
-    back = written(rows, "requests", kind="json").select("conv_id", F.explode("messages").alias("m"))
-    return back.select("conv_id", "m.turn", "m.role", F.length("m.text").cast("long").alias("n_chars"))
+    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    rows = _messages(spark, sf).groupBy("conv_id").agg(messages.alias("messages")).select(F.concat(F.lit("req-"), F.col("conv_id").cast("string")).alias("request_id"), F.col("conv_id").cast("string").alias("session_id"), "messages")
+    path = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    return read_messages(spark, path).select(F.col("session_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'hdr-' || conv_id WHEN 1 THEN 'body-' || conv_id WHEN 2 THEN CASE WHEN bool_or(role = 'system') THEN 'sys-' || conv_id ELSE 'sess-' || md5(conv_id::VARCHAR) END ELSE 'sess-' || md5(conv_id::VARCHAR) END AS session_id FROM conversations GROUP BY conv_id")

@@ -65,19 +65,24 @@ def o_d9_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return _id(S.transitions(psych_states(spark, sf), digits=DIGITS)).select("user_id", "from_state", "to_state", "transition_type", "transition_reason", F.round("rationality_score", 6).alias("rationality_score"))
 
 
-@query(_P.rstrip() + REASON + """SELECT trn.cid AS user_id, trn.sid AS to_state, '转移类型: ' || kind || chr(10) || '触发事件: 对话' || chr(10) || '转移原因: ' || coalesce(reason, '自然演化') AS head,
-  '转移时间: ' || trn.sid || 'T00:00:00' || chr(10) || '从状态: ' || psid || chr(10) || '到状态: ' || trn.sid AS tail FROM trn LEFT JOIN reasons USING (cid, sid)""")
+def _two(c: str) -> str:
+    """SQL of a number with two decimals, halves rounded up."""
+    return f"round({c}::DECIMAL(18, 6), 2)::DECIMAL(18, 2)::VARCHAR"
+
+
+@query(_P.rstrip() + REASON + f"""SELECT trn.cid AS user_id, trn.sid AS to_state, '转移类型: ' || kind || chr(10) || '触发事件: 对话' || chr(10) || '转移原因: ' || coalesce(reason, '自然演化') || chr(10) || '合理性得分: ' || {_two("score")} || chr(10)
+  || '转移时间: ' || trn.sid || 'T00:00:00' || chr(10) || '从状态: ' || psid || chr(10) || '到状态: ' || trn.sid AS description FROM trn LEFT JOIN reasons USING (cid, sid)""")
 def o_p17_transition_description(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.split("description", "\n")
-    return _id(S.transitions(psych_states(spark, sf), digits=DIGITS)).select("user_id", "to_state", F.array_join(F.slice(lines, 1, 3), "\n").alias("head"), F.array_join(F.slice(lines, 5, 3), "\n").alias("tail"))
+    return _id(S.transitions(psych_states(spark, sf), digits=DIGITS)).select("user_id", "to_state", "description")
+
+
+_LISTED = "(SELECT string_agg(name || '(' || {two} || ')', ', ' ORDER BY name) FROM (SELECT name, v FROM {table} x WHERE x.cid = dom.cid AND x.sid = dom.sid ORDER BY name LIMIT 5))"
 
 
-@query(_P + "SELECT cid AS user_id, sid AS state_id, dominant, (SELECT string_agg(name, ', ' ORDER BY name) FROM (SELECT name FROM emo e WHERE e.cid = dom.cid AND e.sid = dom.sid ORDER BY name LIMIT 5)) AS emotions FROM dom")
+@query(_P + f"""SELECT cid AS user_id, sid AS state_id, '主导情绪: ' || dominant || chr(10) || '情绪混合: ' || {_LISTED.format(two=_two("v"), table="emo")} || chr(10) || '特质表现: ' || {_LISTED.format(two=_two("v"), table="tra")} || chr(10)
+  || '稳定性: ' || {_two("stability")} || ', 强度: ' || {_two("intensity")} || ', 唤醒: ' || {_two("arousal")} AS description FROM dom JOIN tot USING (cid, sid)""")
 def o_p16_state_description(spark: SparkSession, sf: str) -> DataFrame:
-    rows = psych_states(spark, sf).withColumn("d", S.state_description())
-    lines = F.split("d", "\n")
-    names = F.regexp_replace(F.regexp_replace(F.element_at(lines, 2), "情绪混合: ", ""), r"\([0-9.]+\)", "")
-    return _id(rows).select("user_id", "state_id", F.regexp_replace(F.element_at(lines, 1), "主导情绪: ", "").alias("dominant"), names.alias("emotions"))
+    return _id(psych_states(spark, sf)).select("user_id", "state_id", S.state_description().alias("description"))
 
 
 @query(_P + f"SELECT cid AS user_id, sid AS state_id FROM tot WHERE {_WINDOW}")

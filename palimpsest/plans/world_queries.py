@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from palimpsest.operators import changes as C
 from palimpsest.operators import shred, versions
 from palimpsest.plans.base import WORLD, query
 from palimpsest.plans.bindings import table, world_entries, world_texts
-from palimpsest.sources.tables import written
+from palimpsest.sources.responses import append
+from palimpsest.sources.tables import shared_dir, written
 
 _W = f"WITH {WORLD} "
 T0, T1 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
@@ -34,12 +37,16 @@ def o_p10_entry_parse(spark: SparkSession, sf: str) -> DataFrame:
     return shred.entries(world_texts(spark, sf)[1]).select("doc_id", "session_id", "entry_type", "name", "entry_id", "content_hash", "source")
 
 
-@query(_W + r"""SELECT doc_id, CASE WHEN kind <> 'general' AND inner_content <> '' AND NOT contains(inner_content, '"') THEN inner_content END AS primary_description,
-  CASE WHEN kind <> 'general' THEN nullif(regexp_extract(content, '([^\s:]+):\s*([^\n]+)', 1), '') END AS pair_key FROM n WHERE inner_content <> ''""")
+_PAIRED = """CASE WHEN kind <> 'general' THEN nullif(regexp_extract({content}, '([^\\s:]+):\\s*([^\\n]+)', {group}), '') END"""
+
+
+@query(_W + rf"""SELECT doc_id, CASE WHEN kind <> 'general' AND inner_content <> '' THEN inner_content END AS primary_description, {_PAIRED.format(content="content", group=1)} AS pair_key, trim({_PAIRED.format(content="content", group=2)}) AS pair_value,
+  (CASE WHEN kind = 'general' THEN 0 ELSE (inner_content <> '')::INTEGER + ({_PAIRED.format(content="content", group=1)} IS NOT NULL)::INTEGER END)::INTEGER AS n_properties FROM n""")
 def o_p11_properties(spark: SparkSession, sf: str) -> DataFrame:
     rows = shred.entries(world_texts(spark, sf)[1])
     keys = F.filter(F.map_keys("properties"), lambda k: ~(k == "primary_description") & ~k.startswith("attribute_"))
-    return rows.select("doc_id", F.try_element_at("properties", F.lit("primary_description")).alias("primary_description"), F.try_element_at(keys, F.lit(1)).alias("pair_key"))
+    key = F.try_element_at(keys, F.lit(1))
+    return rows.select("doc_id", F.try_element_at("properties", F.lit("primary_description")).alias("primary_description"), key.alias("pair_key"), F.try_element_at("properties", key).alias("pair_value"), F.size("properties").alias("n_properties"))
 
 
 @query(_W + "SELECT entry_id, session_id FROM feed WHERE change = 'added'")
@@ -72,10 +79,14 @@ def o_u4_char_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return _feed(spark, sf).where("change = 'modified'").select("session_id", "entry_id", F.round(T.char_jaccard(F.col("old.content"), F.col("new.content")), 6).alias("similarity"))
 
 
-@query(_W + "SELECT o.session_id, o.entry_id, 'primary_description' AS key, nullif(o.inner_content, '') AS old_value, nullif(n.inner_content, '') AS new_value FROM o JOIN n USING (session_id, entry_id) WHERE o.kind <> 'general' AND o.inner_content <> n.inner_content")
+@query(_W + rf""", p AS (SELECT o.session_id, o.entry_id, nullif(o.inner_content, '') AS od, nullif(n.inner_content, '') AS nd, {_PAIRED.format(content="o.content", group=1).replace("kind", "o.kind")} AS ok, trim({_PAIRED.format(content="o.content", group=2).replace("kind", "o.kind")}) AS ov,
+  {_PAIRED.format(content="n.content", group=1).replace("kind", "n.kind")} AS nk, trim({_PAIRED.format(content="n.content", group=2).replace("kind", "n.kind")}) AS nv FROM o JOIN n USING (session_id, entry_id) WHERE o.kind <> 'general' AND o.content <> n.content)
+SELECT session_id, entry_id, 'primary_description' AS key, od AS old_value, nd AS new_value FROM p WHERE od IS DISTINCT FROM nd
+UNION ALL SELECT session_id, entry_id, ok, ov, CASE WHEN nk = ok THEN nv END FROM p WHERE ok IS NOT NULL AND ov IS DISTINCT FROM CASE WHEN nk = ok THEN nv END
+UNION ALL SELECT session_id, entry_id, nk, NULL, nv FROM p WHERE nk IS NOT NULL AND nk IS DISTINCT FROM ok""")
 def o_j9_property_diff(spark: SparkSession, sf: str) -> DataFrame:
     rows = _feed(spark, sf).where("change = 'modified'").select("session_id", "entry_id", F.explode("diff.properties_changed").alias("key", "v"))
-    return rows.where("key = 'primary_description'").select("session_id", "entry_id", "key", F.col("v.old").alias("old_value"), F.col("v.new").alias("new_value"))
+    return rows.select("session_id", "entry_id", "key", F.col("v.old").alias("old_value"), F.col("v.new").alias("new_value"))
 
 
 @query(_W + "SELECT side, session_id, entry_id, md5(content) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY side, session_id, entry_id ORDER BY doc_id) AS k FROM r) WHERE k = 1")
@@ -161,7 +172,11 @@ def o_p15_episode_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_STORE + "SELECT session_id, status, count(*) AS n FROM store GROUP BY 1, 2")
 def o_s4_episode_append(spark: SparkSession, sf: str) -> DataFrame:
-    return written(_synced(spark, sf), "episodes", ("status",)).groupBy("session_id", "status").agg(F.count("*").alias("n"))
+    """First versions appended to the table of episodes, then those of the sync."""
+    path, rows = f"{shared_dir(spark)}/episodes-{uuid.uuid4().hex}", _synced(spark, sf)
+    for part in (rows.where("version = 1"), rows.where("version > 1")):
+        append(part, path, ("status",))
+    return spark.read.schema(rows.schema).parquet(path).groupBy("session_id", "status").agg(F.count("*").alias("n"))
 
 
 @query(_W + "SELECT o.session_id, o.entry_id, n.name AS wanted FROM n JOIN feed USING (session_id, entry_id) JOIN o ON o.session_id = n.session_id AND o.kind = n.kind AND contains(o.name, n.name) WHERE feed.change = 'modified'")
@@ -180,17 +195,25 @@ def o_a14_change_counts(spark: SparkSession, sf: str) -> DataFrame:
     return versions.change_counts(_feed(spark, sf))
 
 
-@query(_W + "SELECT doc_id, name AS normalized FROM n")
+# The head of a text as a padded name. White space as scripting languages strip it.
+_HEAD = "substr(coalesce(text, ''), 1, 60)"
+_FOLD = rf"trim(regexp_replace(lower('  ' || {_HEAD} || '！ '), '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+', ' ', 'g'))"
+_NAME = rf"regexp_replace(translate({_FOLD}, '：（）【】', ':()[]'), '[^\x{{4e00}}-\x{{9fff}}a-zA-Z0-9 :(),.\-_]', '', 'g')"
+
+
+def _heads(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.substring(F.coalesce("text", F.lit("")), 1, 60)
+    return table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("kind"), F.concat(F.lit("  "), head, F.lit("！ ")).alias("name"))
+
+
+@query(f"SELECT doc_id, {_NAME} AS normalized FROM documents")
 def o_c1_normalize_name(spark: SparkSession, sf: str) -> DataFrame:
-    rows = shred.entries(world_texts(spark, sf)[1])
-    return rows.select("doc_id", T.normalize_name(F.concat(F.lit("  "), F.upper("name"), F.lit("！ "))).alias("normalized"))
+    return _heads(spark, sf).select("doc_id", T.normalize_name(F.col("name")).alias("normalized"))
 
 
-@query(_W + "SELECT doc_id, kind || ':' || name AS id_punct, kind || ':' || name AS id_ws FROM n")
+@query(rf"SELECT doc_id, coalesce(lang, '') || ':' || {_NAME} AS id_punct, coalesce(lang, '') || ':' || regexp_replace({_FOLD}, '[^\p{{L}}\p{{N}}_]', '', 'g') AS id_ws FROM documents")
 def o_c7_entry_id(spark: SparkSession, sf: str) -> DataFrame:
-    rows = shred.entries(world_texts(spark, sf)[1])
-    padded = F.concat(F.lit(" "), "name", F.lit(" "))
-    return rows.select("doc_id", T.entry_id(F.col("entry_type"), padded).alias("id_punct"), T.entry_id(F.col("entry_type"), padded, "ws").alias("id_ws"))
+    return _heads(spark, sf).select("doc_id", T.entry_id(F.col("kind"), F.col("name")).alias("id_punct"), T.entry_id(F.col("kind"), F.col("name"), "ws").alias("id_ws"))
 
 
 _TRIM = "trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))"

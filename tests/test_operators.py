@@ -7,7 +7,7 @@ from palimpsest.functions import text as T
 from palimpsest.operators import causal, changes, quality, shred, states, versions
 from palimpsest.streaming.jobs import classify
 
-FULL = '<核心指导>\n你是助手\n</核心指导>\n<相关资料>\n地点("基沃托斯")["城市"]\n地点("夏莱")["办公室"]\n角色("未花")["学生"]\n角色("优香")["会计"]\n</相关资料>\n<互动历史>\nUser: 你好\nAssistant: 您好\nUser: 走吗\nAssistant: 走吧\n</互动历史>'
+FULL = '<核心指导>\n你是助手\n</核心指导>\n<相关资料>\n地点("北港")["城市"]\n地点("石桥")["办公室"]\n角色("小林")["学生"]\n角色("阿禾")["会计"]\n</相关资料>\n<互动历史>\nUser: 你好\nAssistant: 您好\nUser: 走吗\nAssistant: 走吧\n</互动历史>'
 
 
 @pytest.mark.parametrize("prompt,expected", [
@@ -22,7 +22,7 @@ def test_shred_counts(spark, prompt, expected):
 def test_shred_details(spark):
     df = spark.createDataFrame([(1, FULL), (2, "plain")], "session_id long, prompt string")
     first, second = shred.narratives(df).orderBy("session_id").collect()
-    assert first.metadata["location"] == '"基沃托斯"' and first.confidence == 1.0
+    assert first.metadata["location"] == '"北港"' and first.confidence == 1.0
     assert (second.content, second.block_type, second.confidence) == ("plain", "general", 0.8)
     assert shred.instructions(df).first().priority == 0
     nested = spark.createDataFrame([(1, "<相关资料><核心指导>内容</核心指导></相关资料>")], "session_id long, prompt string")
@@ -36,16 +36,16 @@ def entries(spark, text):
 
 
 def test_entries_and_properties(spark):
-    row = entries(spark, '地点("夏莱")["办公室"]["大"]\nkey: a\nkey: b').first()
-    assert (row.entry_type, row.name, row.entry_id) == ("location", "夏莱", "location:夏莱")
+    row = entries(spark, '地点("石桥")["办公室"]["大"]\nkey: a\nkey: b').first()
+    assert (row.entry_type, row.name, row.entry_id) == ("location", "石桥", "location:石桥")
     assert row.properties == {"primary_description": "办公室", "attribute_1": "大", "key": "b"}
-    assert entries(spark, "Character_Profile_of: 未花\nx").first().source == "character_profile"
+    assert entries(spark, "Character_Profile_of: 小林\nx").first().source == "character_profile"
     assert entries(spark, "some line\nmore").first().name == "some line"
     assert entries(spark, "").count() == 0
 
 
 @pytest.mark.parametrize("old,new,expected", [
-    ('地点("a")["x"]', "", {"removed": 1}), ("", '地点("a")["x"]', {"added": 1}), ('地点("夏莱")["旧"]', '地点("夏莱")["新的描述"]', {"modified": 1}), ('地点("a")["x"]', '地点("a")["x"]', {"unchanged": 1}),
+    ('地点("a")["x"]', "", {"removed": 1}), ("", '地点("a")["x"]', {"added": 1}), ('地点("石桥")["旧"]', '地点("石桥")["新的描述"]', {"modified": 1}), ('地点("a")["x"]', '地点("a")["x"]', {"unchanged": 1}),
 ])
 def test_change_feed(spark, old, new, expected):
     feed = changes.change_feed(entries(spark, old), entries(spark, new))
@@ -111,19 +111,19 @@ def test_trails_on_a_cycle(spark):
     assert forward == backward
 
 
-@pytest.mark.parametrize("conditions,scenario,met", [([], {}, True), (["角色:未花"], {"character_未花": "x"}, False), (["角色 未花"], {"character_未花": "x"}, True), (["状态 ok"], {"state_ok": "true"}, True), (["时间 noon"], {}, True), (["other"], {}, True)])
+@pytest.mark.parametrize("conditions,scenario,met", [([], {}, True), (["角色:小林"], {"character_小林": "x"}, False), (["角色 小林"], {"character_小林": "x"}, True), (["状态 ok"], {"state_ok": "true"}, True), (["时间 noon"], {}, True), (["other"], {}, True)])
 def test_conditions(spark, conditions, scenario, met):
     df = spark.createDataFrame([(conditions, scenario)], "c array<string>, s map<string,string>")
     assert df.select(causal.conditions_met(F.col("c"), F.col("s"))).first()[0] == met
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("测试  内容", "测试 内容", " 夏莱 ", "a b", "b c", "")], "a string, b string, n string, x string, y string, e string")
+    df = spark.createDataFrame([("测试  内容", "测试 内容", " 石桥 ", "a b", "b c", "")], "a string, b string, n string, x string, y string, e string")
     row = df.select(
         (T.content_hash(F.col("a"), "ws") == T.content_hash(F.col("b"), "ws")).alias("ws"), (T.content_hash(F.col("a")) == T.content_hash(F.col("b"))).alias("punct"), T.entry_id(F.lit("location"), F.col("n"), "ws").alias("id"),
         T.word_jaccard(F.col("x"), F.col("y")).alias("j"), T.word_jaccard(F.col("x"), F.col("e")).alias("none"), T.char_jaccard(F.col("e"), F.col("e")).alias("empty"), T.structural_fingerprint(F.lit("# t\n- a\n\nword")).alias("f"),
     ).first()
-    assert (row.ws, row.punct, row.id, round(row.j, 6), row.none, row.empty, row.f) == (True, False, "location:夏莱", 0.333333, 0.0, 0.0, "#\n-\n\ntext")
+    assert (row.ws, row.punct, row.id, round(row.j, 6), row.none, row.empty, row.f) == (True, False, "location:石桥", 0.333333, 0.0, 0.0, "#\n-\n\ntext")
 
 
 def test_quarantine(spark):
