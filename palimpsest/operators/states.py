@@ -139,7 +139,12 @@ def trait_consistency(states: DataFrame) -> DataFrame:
 def emotion_rationality(states: DataFrame, digits: int | None = None) -> DataFrame:
     rows = differences(states, digits)
     top = F.coalesce(F.array_max(F.transform("emotion_changes", lambda e: F.abs(e["delta"]))), F.lit(0.0))
-    return rows.groupBy("character_id").agg(F.avg(F.when(top < 0.3, 1.0).when(top < 0.6, 0.7).otherwise(0.4)).alias("emotional_rationality"))
+    return rows.groupBy("character_id").agg(F.avg(_change_score(top)).alias("emotional_rationality"))
+
+
+def _change_score(top: Column) -> Column:
+    """Of the largest change of an emotion."""
+    return F.when(top < 0.3, 1.0).when(top < 0.6, 0.7).otherwise(0.4)
 
 
 def behavior_score() -> Column:
@@ -180,10 +185,19 @@ def stored(states: DataFrame, key: str = "character_id") -> DataFrame:
 
 def coherence(states: DataFrame, as_of: str, days: int = 7, limit: int = 100, digits: int | None = None) -> DataFrame:
     """The four scores and their weighted sum for every character with states in the window; one state gives 1.0."""
-    rows = history(look_back(states, as_of, days), limit)
-    out = rows.groupBy("character_id").agg(F.count("*").alias("n_states"))
-    for part in (trait_consistency(rows), emotion_rationality(rows, digits), behavior_consistency(rows), memory_rationality(rows, digits)):
-        out = out.join(part, "character_id", "left")
+    rows = previous(history(look_back(states, as_of, days), limit).drop("rank"))
+    top = F.coalesce(F.array_max(F.transform(emotion_changes(F.col("prev.emotions"), F.col("emotions"), digits), lambda e: F.abs(e["delta"]))), F.lit(0.0))
+    rows = rows.withColumns({"_e": F.when(F.col("prev").isNotNull(), _change_score(top)), "_b": behavior_score()})
+    # One row of each state without a trait beside those by trait: all scores come from one pass, on the partitions by
+    # character that the windows have made.
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"))
+    rows = rows.select("character_id", "intensity", "stability", "_e", "_b", F.explode(F.concat(F.array(none), F.map_entries("traits"))).alias("t"))
+    per = rows.groupBy("character_id", F.col("t.key").alias("trait")).agg(*[F.avg(c).alias(c) for c in ("_e", "_b", "intensity", "stability")], F.var_pop("t.value").alias("_v"), F.count("*").alias("_n"))
+    state = lambda c: F.max(F.when(F.col("trait").isNull(), F.col(c)))
+    spread = F.when(F.col("trait").isNotNull() & (F.col("_n") > 1), F.greatest(F.lit(0.0), 1 - 2 * F.col("_v")))
+    out = per.groupBy("character_id").agg(
+        state("_n").alias("n_states"), F.avg(spread).alias("trait_consistency"), state("_e").alias("emotional_rationality"), state("_b").alias("behavioral_consistency"),
+        memory_score(state("intensity"), state("stability"), digits).alias("memory_rationality"))
     names = ("trait_consistency", "emotional_rationality", "behavioral_consistency", "memory_rationality")
     out = out.withColumns({c: F.when(F.col("n_states") < 2, 1.0).otherwise(F.coalesce(c, F.lit(1.0))) for c in names})
     total = sum((w * F.col(c) for w, c in zip((0.3, 0.3, 0.2, 0.2), names)), F.lit(0.0))
