@@ -38,10 +38,10 @@ def trails(edges: DataFrame, starts: DataFrame, max_depth: int = 5, min_strength
 
 
 def active_ends(found: DataFrame, active: DataFrame) -> DataFrame:
-    """Trails whose first and last nodes are active events (event_id)."""
-    ids = active.select("event_id")
-    first = found.join(ids.withColumnRenamed("event_id", "start"), "start", "left_semi")
-    return first.withColumn("_last", F.element_at("nodes", -1)).join(ids.withColumnRenamed("event_id", "_last"), "_last", "left_semi").drop("_last")
+    """Trails whose first and last nodes are active events (event_id) of one session (group_id)."""
+    first, last = (active.select(F.col("event_id").alias(name), F.col("group_id").alias(f"{name}_group")) for name in ("start", "_last"))
+    rows = found.withColumn("_last", F.element_at("nodes", -1)).join(first, "start").join(last, "_last").where("start_group <=> _last_group")
+    return rows.drop("_last", "start_group", "_last_group")
 
 
 def materialized(found: DataFrame, events: DataFrame) -> DataFrame:

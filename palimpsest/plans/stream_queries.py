@@ -51,14 +51,12 @@ def o_t1_world_stream(spark: SparkSession, sf: str) -> DataFrame:
     return J.store(spark, f"{at}/store", 1).groupBy("session_id", "status").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CHAT} SELECT session_id, change, d AS diff_index, len(nl)::BIGINT AS n_messages FROM chat WHERE len(ol) > 0 AND len(nl) > 0")
+@query(f"""WITH {CHAT} SELECT session_id, len(ol)::BIGINT AS n_before, change, d AS diff_index, len(nl)::BIGINT AS n_messages FROM chat WHERE len(nl) > 0
+UNION ALL SELECT session_id, 0, 'append', 0, len(ol) FROM chat WHERE len(ol) > 0""")
 def o_t2_chat_stream(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     old, new = (c.select("session_id", "turn", "content_hash") for c in B.chats(spark, sf))
-    rows = _steps(f"{at}/in", lambda: J.to_table(J.chat_changes(_source(J.configure(spark), f"{at}/in", old.schema)), f"{at}/out", f"{at}/check"), old, new)
-    first = old.select("session_id").distinct()
-    # A session's first history is an append to nothing; what follows is the change in question.
-    return rows.join(first, "session_id").where("not (change = 'append' and diff_index = 0)")
+    return _steps(f"{at}/in", lambda: J.to_table(J.chat_changes(_source(J.configure(spark), f"{at}/in", old.schema)), f"{at}/out", f"{at}/check"), old, new)
 
 
 @query(f"WITH {PSYCH} {REASON} SELECT trn.cid AS user_id, psid AS from_state, trn.sid AS to_state, ds AS stability_change, kind AS transition_type, coalesce(reason, '自然演化') AS transition_reason, score AS rationality_score FROM trn LEFT JOIN reasons USING (cid, sid)")

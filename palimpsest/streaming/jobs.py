@@ -96,7 +96,7 @@ class ChatDiff(StatefulProcessor):
         old = list(self.hashes.get()[0]) if self.hashes.exists() else []
         change, at = classify(old, new)
         self.hashes.update((new,))
-        yield pd.DataFrame({"session_id": [key[0]], "change": [change], "diff_index": pd.array([at], "Int64"), "n_messages": [len(new)]})
+        yield pd.DataFrame({"session_id": [key[0]], "n_before": [len(old)], "change": [change], "diff_index": pd.array([at], "Int64"), "n_messages": [len(new)]})
 
     def close(self) -> None:
         pass
@@ -117,7 +117,7 @@ def classify(old: list[str], new: list[str]) -> tuple[str, int | None]:
 
 
 def chat_changes(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("session_id").transformWithStateInPandas(ChatDiff(), "session_id long, change string, diff_index long, n_messages long", "Append", "None")
+    return messages.groupBy("session_id").transformWithStateInPandas(ChatDiff(), "session_id long, n_before long, change string, diff_index long, n_messages long", "Append", "None")
 
 
 # Character states: the last one of each character is in the state store.
