@@ -11,8 +11,11 @@ from palimpsest.llm.common import staged
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) of all nodes of the edges; component is the least node that can be reached (longs).
 
-    Each round is written to the shared folder. Null ends and loops are left out; repeated edges count once. A node
-    with very many edges is grouped with partial minima and joined by a join whose large partitions Spark splits.
+    Each round is written to the shared folder. A node with very many edges is grouped with partial minima and joined by
+    a join whose large partitions Spark splits.
+
+    Defined results: null ends and loops are left out and name no node; repeated edges count once; ids are compared as
+    numbers, so there are no ties; no edges give no rows; other columns do not matter.
     """
     now = staged(_ordered(edges.select(F.col(u).cast("long").alias("a"), F.col(v).cast("long").alias("b"))), "stars")
     state = _state(now)

@@ -76,12 +76,12 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes)),
-hits AS (SELECT doc_id, p, n, item_id FROM at JOIN win USING (n, s)),
+placed AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes)),
+hits AS (SELECT doc_id, p, n, item_id FROM placed JOIN win USING (n, s)),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY 1),
 who AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN who USING (doc_id)""".replace("\nat AS", "\nplaced AS").replace("FROM at JOIN", "FROM placed JOIN"),
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN who USING (doc_id)""",
     "op4_chat_format": r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 e AS (SELECT *, regexp_matches(text, '<\\*\|') AS hard FROM r),
@@ -102,4 +102,12 @@ q AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, h, min(page_i
 parts AS (SELECT *, [('0x' || substr(h, k, 10))::UBIGINT for k in [1, 11, 21, 31]] AS v FROM q)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> (35 - 5 * i)) & 31)::INTEGER + 1, 1) for i in range(8)], '') for x in v], '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS intact FROM parts""",
+    "op9_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200)),
+again AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, (coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, TRUE))::INTEGER AS fresh FROM again)),
+spans AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM runs GROUP BY doc_id, g),
+ends AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans),
+cuts AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM ends JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cuts USING (doc_id)""",
 }
