@@ -15,26 +15,28 @@ from palimpsest.sources.tables import written
 KEYED = (("角色", "character_"), ("地点", "location_"))
 
 
-def trails(edges: DataFrame, starts: DataFrame, max_depth: int = 5, min_strength: float = 0.5, backward: bool = False) -> DataFrame:
+def trails(edges: DataFrame, starts: DataFrame, max_depth: int = 5, min_strength: float = 0.5, backward: bool = False, keep: str = "all") -> DataFrame:
     """start, depth, nodes array, edges array<struct> of all trails of 1..max_depth edges from starts(start).
 
-    A loop of max_depth joins. The pruned edges and the trails of each depth are written to the shared folder, so that
+    keep: `all` edges of a trail, the `last` one only, or `none`; without need they should not travel. A loop of max_depth
+    joins. The pruned edges and the trails of each depth are written to the shared folder, so that
     a depth is planned and made once, from the one before it, and a lost executor repeats no earlier one.
     """
     near, far = ("dst", "src") if backward else ("src", "dst")
     own = F.struct("src", "dst", "relation_type", "strength", "conditions", "exceptions")
     step = edges.where(F.col("strength") >= min_strength).select(F.col(near).alias("_near"), F.col(far).alias("_far"), F.xxhash64("src", "dst", "relation_type").alias("_id"), own.alias("_edge"))
     step = written(step, "steps")
-    level = starts.select("start").join(step, F.col("start") == F.col("_near")).select("start", F.array("start", "_far").alias("nodes"), F.array("_id").alias("_ids"), F.array("_edge").alias("edges"))
+    level = starts.select("start").join(step, F.col("start") == F.col("_near")).select("start", F.array("start", "_far").alias("nodes"), F.array("_id").alias("_ids"), *[F.array("_edge").alias("edges")] * (keep != "none"))
     out = level = written(level, "trails")
+    more = [F.concat("edges", F.array("_edge")).alias("edges")] if keep == "all" else [F.array("_edge").alias("edges")] if keep == "last" else []
     for _ in range(max_depth - 1):
         tip = F.element_at("nodes", -1)
         level = level.join(step, (tip == F.col("_near")) & ~F.array_contains("_ids", F.col("_id"))).select(
-            "start", F.concat("nodes", F.array("_far")).alias("nodes"), F.concat("_ids", F.array("_id")).alias("_ids"), F.concat("edges", F.array("_edge")).alias("edges")
+            "start", F.concat("nodes", F.array("_far")).alias("nodes"), F.concat("_ids", F.array("_id")).alias("_ids"), *more
         )
         level = written(level, "trails")
         out = out.unionByName(level)
-    return out.select("start", F.size("edges").alias("depth"), "nodes", "edges")
+    return out.select("start", F.size("_ids").alias("depth"), "nodes", *["edges"] * (keep != "none"))
 
 
 def active_ends(found: DataFrame, active: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def probability(strength: Column, met: Column, hit: Column) -> Column:
 
 def consequences(edges: DataFrame, starts: DataFrame, scenario: Column, max_depth: int = 3, min_strength: float = 0.6) -> DataFrame:
     """One row a trail: its last event, the probability by its last edge, steps, and the rank from its start."""
-    found = trails(edges, starts, max_depth, min_strength)
+    found = trails(edges, starts, max_depth, min_strength, keep="last")
     last = F.element_at("edges", -1)
     rows = found.select("start", "nodes", F.element_at("nodes", -1).alias("event_id"), F.col("depth").alias("steps"), last.alias("_last"))
     rows = rows.withColumns({"conditions_met": conditions_met(F.col("_last.conditions"), scenario), "exception_hit": exception_hit(F.col("_last.exceptions"), scenario)})

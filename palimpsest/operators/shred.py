@@ -35,7 +35,9 @@ def remainder(prompt: Column) -> Column:
 
 def blocks(text: Column) -> Column:
     """Groups of lines between blank lines, each stripped, none empty."""
-    return F.filter(F.transform(F.split(T.strip(text), BLOCK_GAP), T.strip), lambda b: b != "")
+    whole = T.strip(text)
+    parts = F.when(whole.contains("\n"), F.split(whole, BLOCK_GAP)).otherwise(F.array(whole))
+    return F.filter(F.transform(parts, T.strip), lambda b: b != "")
 
 
 def metadata(block: Column) -> Column:
@@ -119,8 +121,9 @@ def entries(texts: DataFrame, text: str = "text", mode: str = "punct") -> DataFr
     """Reference text to entries: the input's other columns, pos, entry_type, name, entry_id, content, content_hash,
     properties, source. Text without entries gives no row."""
     rows = texts.select(*[c for c in texts.columns if c != text], F.posexplode(blocks(F.col(text))).alias("pos", "content"))
-    found = {kind: F.regexp_extract("content", rf'^{word}\("([^"]+)"\)', 1) for word, kind in _ENTRY}
-    profile = T.strip(F.regexp_extract("content", _PROFILE, 1))
+    begins = lambda sign, pattern: F.when(F.col("content").startswith(sign), F.regexp_extract("content", pattern, 1)).otherwise("")
+    found = {kind: begins(f'{word}("', rf'^{word}\("([^"]+)"\)') for word, kind in _ENTRY}
+    profile = T.strip(begins("Character_Profile_of:", _PROFILE))
     kind, name, source = F.lit("general"), F.substring(F.substring_index("content", "\n", 1), 1, 50), F.lit("general")
     kind, name, source = F.when(profile != "", "character").otherwise(kind), F.when(profile != "", profile).otherwise(name), F.when(profile != "", "character_profile").otherwise(source)
     for k, value in reversed(found.items()):

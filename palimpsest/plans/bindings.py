@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def flat(c: Column) -> Column:
     """A text as one line without double quotes."""
-    return F.trim(F.translate(F.coalesce(c, F.lit("")), '\n"', " '"))
+    return F.trim(T.replaced(F.coalesce(c, F.lit("")), (("\n", " "), ('"', "'"))))
 
 
 def psych_states(spark: SparkSession, sf: str) -> DataFrame:

@@ -31,19 +31,19 @@ def _path(c: str) -> F.Column:
 
 @query(_trails(3, 0.5, "1") + "SELECT start, depth::BIGINT AS depth, list_aggregate(list_transform(nodes, lambda x: x::VARCHAR), 'string_agg', '>') AS path FROM t")
 def o_g1_trace_forward(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.active_ends(G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 3, 0.5), B.causal_events(spark, sf))
+    found = G.active_ends(G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 3, 0.5, keep="none"), B.causal_events(spark, sf))
     return found.select("start", F.col("depth").cast("long").alias("depth"), _path("nodes").alias("path"))
 
 
 @query(_trails(5, 0.5, "1") + "SELECT depth::BIGINT AS depth, count(*) AS n, sum(tip)::BIGINT AS tips FROM t GROUP BY 1")
 def o_g1_trace_depth5(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 5, 0.5)
+    found = G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 5, 0.5, keep="none")
     return found.groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.sum(F.element_at("nodes", -1)).alias("tips"))
 
 
 @query(_trails(3, 0.5, "1", True) + "SELECT start, depth::BIGINT AS depth, list_aggregate(list_transform(nodes, lambda x: x::VARCHAR), 'string_agg', '>') AS path FROM t")
 def o_g2_trace_backward(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 3, 0.5, backward=True)
+    found = G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 3, 0.5, backward=True, keep="none")
     return found.select("start", F.col("depth").cast("long").alias("depth"), _path("nodes").alias("path"))
 
 
@@ -61,7 +61,7 @@ def o_f5_strength_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CAUSAL} SELECT a.src AS a, a.dst AS b, e.dst AS c FROM edges a JOIN edges e ON e.src = a.dst WHERE a.strength >= 0.9 AND e.strength >= 0.9")
 def o_j11_path_step(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 2, 0.9).where("depth = 2")
+    found = G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 2, 0.9, keep="none").where("depth = 2")
     return found.select(F.col("nodes")[0].alias("a"), F.col("nodes")[1].alias("b"), F.col("nodes")[2].alias("c"))
 
 
