@@ -381,16 +381,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((token[order], top["times"].to_numpy(np.int64)[order]))
     prefixes = in_arrow(rows.where("id is not null"), _prefixes(n, threshold, held), "token long, central int, cls long, n long")
-    first = staged(in_arrow(prefixes.repartition("token").sortWithinPartitions("token", "central", "cls"), _meetings(paired), MEETINGS), "meetings")
-    # Large groups are dealt anew by size as well: sets that link are in the same or the next band of sizes. The hub of
-    # each is a grouped minimum; its members meet it where they lie, so no task takes a whole group.
+    def meet(rows_: DataFrame) -> DataFrame:
+        return in_arrow(rows_.repartition("token").sortWithinPartitions("token", "central", "cls"), _meetings(paired), MEETINGS)
+
+    first = staged(meet(prefixes), "meetings")
+    # Large groups are dealt anew by size as well: sets that link are in the same or the next band of sizes. Of what is
+    # still large the hub is a grouped minimum, and the members meet it where they lie, so no task takes a whole group.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / threshold)))
     crowd = first.where(F.col("kind") == CROWD).select(F.col("hub").alias("token"), F.col("member").alias("cls"), F.col("n_hub").cast("int").alias("central"), "n")
     crowd = crowd.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("token"), "central", "cls", "n")
-    hubs = staged(crowd.groupBy("token").agg(F.min(F.struct("central", "cls", "n")).alias("h")), "hubs")
-    stars = crowd.join(_bounded(hubs, F.lit(32)), "token").where("cls <> h.cls")
+    hubs = crowd.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("central", "cls", "n")).alias("h"))
+    hubs = _bounded(staged(hubs.where(F.col("rows") > paired), "hubs"), F.lit(40))
+    stars = crowd.join(hubs, "token").where("cls <> h.cls")
     stars = stars.select(F.col("h.cls").alias("hub"), F.col("cls").alias("member"), F.col("h.n").alias("n_hub"), "n", F.lit(STAR).alias("kind"))
-    meetings = first.where(F.col("kind") == PAIR).unionByName(stars)
+    few = meet(crowd.join(hubs.select("token"), "token", "left_anti"))
+    meetings = first.where(F.col("kind") == PAIR).unionByName(few).unionByName(stars)
     edges = meetings.groupBy("hub", "member").agg(F.first("n_hub").alias("n_hub"), F.first("n").alias("n"), F.count("*").alias("shared"), (F.max("kind") == STAR).alias("star"))
     edges = edges.where(F.col("star") | _may_link(F.col("n"), F.col("n_hub"), F.col("shared"), threshold))
     edges = staged(edges.select("hub", "member", "star"), "edges")
