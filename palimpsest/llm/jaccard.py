@@ -181,9 +181,9 @@ MEETINGS = "hub long, member long, n_hub long, n long, kind int"
 PAIR, STAR, CROWD = 0, 1, 2
 
 
-def _meetings(paired: int):
-    """Rows sorted by token, centrality and class to pairs (small groups) and CROWD rows of large ones, (token, member,
-    centrality, size), to be dealt anew."""
+def _meetings(paired: int, large: int):
+    """Rows sorted by token, centrality and class to pairs (small groups) and rows of the kind `large` of large ones:
+    STAR, (hub, member), or CROWD, (token, member, centrality, size), to be dealt anew."""
     names = [c.split()[0] for c in MEETINGS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +192,11 @@ def _meetings(paired: int):
         def made(*cols: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-        def many_rows(token: np.ndarray, cls: np.ndarray, n: np.ndarray, central: np.ndarray) -> pa.RecordBatch:
-            return made(token, cls, central, n, np.full(len(cls), CROWD))
+        def many_rows(token: np.ndarray, cls: np.ndarray, n: np.ndarray, central: np.ndarray, hub: np.ndarray, hub_n: np.ndarray) -> pa.RecordBatch:
+            if large == CROWD:
+                return made(token, cls, central, n, np.full(len(cls), CROWD))
+            own = hub != cls
+            return made(hub[own], cls[own], hub_n[own], n[own], np.full(int(own.sum()), STAR))
 
         def met(token: np.ndarray, cls: np.ndarray, n: np.ndarray, central: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(token):
@@ -201,7 +204,8 @@ def _meetings(paired: int):
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.append(start, len(token)))
             many = np.repeat(size > paired, size)
-            yield many_rows(token[many], cls[many], n[many], central[many])
+            hub = np.repeat(start, size)[many]
+            yield many_rows(token[many], cls[many], n[many], central[many], cls[hub], n[hub])
             for d in range(1, paired):
                 i = np.flatnonzero((token[d:] == token[:-d]) & ~many[d:]) if len(token) > d else np.zeros(0, np.int64)
                 if not len(i):
@@ -209,7 +213,7 @@ def _meetings(paired: int):
                 yield made(cls[i], cls[i + d], n[i], n[i + d], np.full(len(i), PAIR))
 
         held = [np.zeros(0, np.int64)] * 4
-        running: int | None = None  # token of a large group that goes on
+        running: tuple[int, int, int] | None = None  # token, hub and its size of a large group that goes on
         last: tuple[int, int] | None = None
         for b in batches:
             x = [b.column(c).to_numpy().astype(np.int64) for c in ("token", "cls", "n", "central")]
@@ -220,10 +224,11 @@ def _meetings(paired: int):
             keep[0] = (int(x[0][0]), int(x[1][0])) != last
             last = int(x[0][-1]), int(x[1][-1])
             x = [v[keep] for v in x]
-            if running is not None:
-                more = x[0] == running
-                if more.any():
-                    yield many_rows(*[v[more] for v in x])
+            if running:
+                more = x[0] == running[0]
+                k = int(more.sum())
+                if k:
+                    yield many_rows(*[v[more] for v in x], np.full(k, running[1]), np.full(k, running[2]))
                     x = [v[~more] for v in x]
                 if len(x[0]):
                     running = None
@@ -235,7 +240,7 @@ def _meetings(paired: int):
             held = [v[cut:] for v in x]
             if len(held[0]) > paired:
                 yield from met(*held)
-                running = int(held[0][0])
+                running = int(held[0][0]), int(held[1][0]), int(held[2][0])
                 held = [v[:0] for v in held]
         yield from met(*held)
 
@@ -381,21 +386,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((token[order], top["times"].to_numpy(np.int64)[order]))
     prefixes = in_arrow(rows.where("id is not null"), _prefixes(n, threshold, held), "token long, central int, cls long, n long")
-    def meet(rows_: DataFrame) -> DataFrame:
-        return in_arrow(rows_.repartition("token").sortWithinPartitions("token", "central", "cls"), _meetings(paired), MEETINGS)
+    def meet(rows_: DataFrame, large: int) -> DataFrame:
+        return in_arrow(rows_.repartition("token").sortWithinPartitions("token", "central", "cls"), _meetings(paired, large), MEETINGS)
 
-    first = staged(meet(prefixes), "meetings")
-    # Large groups are dealt anew by size as well: sets that link are in the same or the next band of sizes. Of what is
-    # still large the hub is a grouped minimum, and the members meet it where they lie, so no task takes a whole group.
+    # Large groups are dealt anew by size as well: sets that link are in the same or the next band of sizes.
+    first = staged(meet(prefixes, CROWD), "meetings")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / threshold)))
     crowd = first.where(F.col("kind") == CROWD).select(F.col("hub").alias("token"), F.col("member").alias("cls"), F.col("n_hub").cast("int").alias("central"), "n")
     crowd = crowd.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("token", "band").alias("token"), "central", "cls", "n")
-    hubs = crowd.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("central", "cls", "n")).alias("h"))
-    hubs = _bounded(staged(hubs.where(F.col("rows") > paired), "hubs"), F.lit(40))
-    stars = crowd.join(hubs, "token").where("cls <> h.cls")
-    stars = stars.select(F.col("h.cls").alias("hub"), F.col("cls").alias("member"), F.col("h.n").alias("n_hub"), "n", F.lit(STAR).alias("kind"))
-    few = meet(crowd.join(hubs.select("token"), "token", "left_anti"))
-    meetings = first.where(F.col("kind") == PAIR).unionByName(few).unionByName(stars)
+    meetings = first.where(F.col("kind") == PAIR).unionByName(meet(crowd, STAR))
     edges = meetings.groupBy("hub", "member").agg(F.first("n_hub").alias("n_hub"), F.first("n").alias("n"), F.count("*").alias("shared"), (F.max("kind") == STAR).alias("star"))
     edges = edges.where(F.col("star") | _may_link(F.col("n"), F.col("n_hub"), F.col("shared"), threshold))
     edges = staged(edges.select("hub", "member", "star"), "edges")
