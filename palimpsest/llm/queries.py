@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontam, flac, jaccard, langid, packing, pii, suffixdedup, warc, wordpiece
+from palimpsest.llm import centroids, chat, collocations, decontam, flac, jaccard, langid, packing, pii, suffixdedup, warc, wordpiece
 from palimpsest.llm.common import staged, table
 
 
@@ -67,10 +67,24 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(staged(flac.to_media(docs), "media"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_decontamination, op4_chat_format, op5_token_counts, op6_ngram_jaccard, op7_warc, op8_language_id, op9_suffix_dedup, op10_media)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(*centroids.clustered(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_decontamination, op4_chat_format, op5_token_counts, op6_ngram_jaccard, op7_warc, op8_language_id, op9_suffix_dedup, op10_media, op12_collocations, op13_centroids)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x{{7F}}]+')"
+#: Assigns all vectors v to the nearest of the centroids c{i} (rows of c and the numbers w).
+_NEAREST = """SELECT id, vec_id, v, c, d FROM (SELECT id, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - w[i]) * (v[i] - w[i])))::BIGINT AS d FROM v, c{i})
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1"""
+#: The next centroids: exact floors of the means of the assigned vectors, empty clusters as they were.
+_MOVED = """SELECT o.c, coalesce(m.w, o.w) AS w FROM c{i} o LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS w
+  FROM (SELECT c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i}, range(1, 65) AS t(i) GROUP BY 1, 2) GROUP BY c) m ON m.c = o.c"""
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -110,4 +124,21 @@ spans AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM runs GROUP BY doc
 ends AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans),
 cuts AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM ends JOIN d USING (doc_id) GROUP BY 1)
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cuts USING (doc_id)""",
+    "op12_collocations": rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY 1),
+f AS (SELECT lang, k AS words, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) AS t(k)) GROUP BY 1, 2, 3 HAVING f >= 100),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+cuts AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, words - m + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS m FROM c)) GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000""",
+    "op13_centroids": f"""WITH v AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS w FROM v QUALIFY c < 16),
+"""
+    + ",\n".join(f"a{i} AS ({_NEAREST.format(i=i)}),\nc{i + 1} AS ({_MOVED.format(i=i)})" for i in range(3))
+    + f""",
+a3 AS ({_NEAREST.format(i=3)})
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a3 JOIN c3 USING (c)""",
 }
