@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import centroids, chat, collocations, decontam, flac, jaccard, langid, packing, pii, suffixdedup, warc, wordpiece
+from palimpsest.llm import centroids, chat, collocations, decontam, flac, jaccard, langid, packing, pii, suffixdedup, toxicity, warc, wordpiece
 from palimpsest.llm.common import staged, table
 
 
@@ -67,6 +67,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(staged(flac.to_media(docs), "media"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -75,7 +81,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(*centroids.clustered(table(spark, sf_dir, "embeddings")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_decontamination, op4_chat_format, op5_token_counts, op6_ngram_jaccard, op7_warc, op8_language_id, op9_suffix_dedup, op10_media, op12_collocations, op13_centroids)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_pii, op3_decontamination, op4_chat_format, op5_token_counts, op6_ngram_jaccard, op7_warc, op8_language_id, op9_suffix_dedup, op10_media, op11_toxicity, op12_collocations, op13_centroids)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x{{7F}}]+')"
