@@ -1,7 +1,8 @@
 """Phrase collocation mining: frequent word n-grams per language, found by summaries and counted exactly.
 
 1. Summaries. Each n-gram is a 64-bit key (language included) that belongs to one hash partition. A task adds up the keys
-   of its texts and sends them, sorted and packed by partition. A partition merges what it gets in a Misra-Gries summary:
+   of its texts and sends 32 bits of each, sorted and packed by partition (two that are equal there are counted as one,
+   so both may survive). A partition merges what it gets in a Misra-Gries summary:
    beyond its capacity, more than its mass divided by the threshold, the counter that would be the first one too many is
    taken off all counters. What has been taken off altogether is known, stays below the threshold (a summary that would
    pass it, since one n-gram alone weighs more than the others, gets more room instead), and so every n-gram that is
@@ -38,6 +39,8 @@ from palimpsest.llm.common import flat_utf8, held, in_arrow, slabs, staged
 
 #: Counters of a summary, unless MAX_PARTS partitions of them are too few.
 CAPACITY, MAX_PARTS = 1 << 17, 20_000
+#: Hash partitions that a task of a summary gets, so that tasks get about the same.
+PARTS = 4
 #: Largest bitmap of survivors.
 BITS = 1 << 27
 #: Different n-grams that a task holds before it sends them on.
@@ -121,15 +124,18 @@ class Bitmap:
         for part, bits in rows:
             self.bits[part * width // 8 : (part + 1) * width // 8] = np.frombuffer(bits, np.uint8)
 
-    @staticmethod
-    def places(key: np.ndarray, parts: int, width: int) -> np.ndarray:
-        return (key // np.uint64(parts)) % np.uint64(width)
-
     def has(self, key: np.ndarray) -> np.ndarray:
-        at = (key % np.uint64(self.parts)) * np.uint64(self.width) + self.places(key, self.parts, self.width)
+        part, short = dealt(key, self.parts)
+        at = part * np.uint64(self.width) + short % np.uint64(self.width)
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def dealt(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash partition of keys, and the 32 bits of them that stand for the key within it."""
+    n = np.uint64(parts)
+    return key % n, (key // n) & np.uint64(0xFFFFFFFF)
+
+
 def grams(w: Words, orders: range, known: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(n, places, keys) of the n-grams whose words (known[0]), pairs (known[1]) and n-grams (known[2]) are known; a step
     for which no bitmap is given yet asks nothing."""
@@ -203,20 +209,23 @@ def _langs(b: pa.RecordBatch) -> list[str]:
 
 
 def _sent(orders: range, known: object, parts: int):
-    """Keys with counts, as binary, by part."""
-    names = ["part", "keys", "times"]
+    """By part: sorted 32-bit keys, a byte for each count below 255 and all higher counts one after the other."""
+    names = ["part", "keys", "times", "high"]
 
     def packed(key: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        key, times = added(key, times)
-        part = key % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        key, times, part = key[order], times[order], part[order]
+        part, short = dealt(key, parts)
+        both, times = added(part << np.uint64(32) | short, times)
+        part, short = both >> np.uint64(32), both.astype(np.uint32)
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         ends = np.append(cut[1:], len(part))
+        low = np.minimum(times, 255).astype(np.uint8)
+        high = np.concatenate([[0], np.cumsum(times >= 255)])
+        large = times[times >= 255]
         return pa.RecordBatch.from_arrays([
             pa.array(part[cut].astype(np.int32)),
-            pa.array([key[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-            pa.array([times[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+            pa.array([short[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+            pa.array([low[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+            pa.array([large[high[a] : high[b]].tobytes() for a, b in zip(cut, ends)], pa.binary()),
         ], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,17 +250,18 @@ def _sent(orders: range, known: object, parts: int):
     return run
 
 
-def _merged(parts: int, width: int, capacity: int, threshold: int):
+def _merged(width: int, capacity: int, threshold: int):
     """One summary for all that comes to a task; the survivors as a bitmap for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(capacity, threshold)
         for b in batches:
-            for keys, times in zip(b.column("keys"), b.column("times")):
-                summary.add(np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(times.as_buffer(), np.int64))
+            for part, keys, low, high in zip(b.column("part").to_pylist(), *[b.column(c) for c in ("keys", "times", "high")]):
+                times = np.frombuffer(low.as_buffer(), np.uint8).astype(np.int64)
+                times[times == 255] = np.frombuffer(high.as_buffer(), np.int64)
+                summary.add(np.uint64(part << 32) | np.frombuffer(keys.as_buffer(), np.uint32).astype(np.uint64), times)
         key = summary.survivors()
-        part = key % np.uint64(parts)
-        at = Bitmap.places(key, parts, width)
+        part, at = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)) % np.uint64(width)
         for p in np.unique(part):
             flags = np.zeros(width, bool)
             flags[at[part == p]] = True
@@ -260,21 +270,26 @@ def _merged(parts: int, width: int, capacity: int, threshold: int):
     return run
 
 
-def survivors(texts: DataFrame, orders: range, known: object, mass: int, threshold: int, capacity: int = CAPACITY) -> Bitmap:
-    """The n-grams of these orders that may occur `threshold` times; mass: at least the number of all n-grams."""
+def planned(mass: int, threshold: int, capacity: int) -> tuple[int, int]:
+    """Tasks and the counters of each, together more than mass / threshold."""
     room = mass // threshold + 1
     tasks = min(max(-(-room // capacity), 1), MAX_PARTS)
-    per = max(capacity, room // tasks + 1)
-    parts = 8 * tasks
-    bits = min(max(1 << (16 * room - 1).bit_length(), 1 << 16), BITS)
+    return tasks, max(capacity, room // tasks + 1)
+
+
+def survivors(texts: DataFrame, orders: range, known: object, mass: int, threshold: int, capacity: int = CAPACITY) -> Bitmap:
+    """The n-grams of these orders that may occur `threshold` times; mass: at least the number of all n-grams."""
+    tasks, per = planned(mass, threshold, capacity)
+    parts = PARTS * tasks
+    bits = min(max(1 << (16 * per * tasks - 1).bit_length(), 1 << 16), BITS)
     width = max(bits // parts // 8 * 8, 8)
-    sent = in_arrow(texts, _sent(orders, known, parts), "part int, keys binary, times binary").repartition(tasks, "part")
-    return Bitmap(parts, width, in_arrow(sent, _merged(parts, width, per, threshold), "part int, bits binary").collect())
+    sent = in_arrow(texts, _sent(orders, known, parts), "part int, keys binary, times binary, high binary").repartition(tasks, "part")
+    return Bitmap(parts, width, in_arrow(sent, _merged(width, per, threshold), "part int, bits binary").collect())
 
 
-def _counted(orders: range, known: object):
-    """Exact counts of a task's known n-grams as text; words 0 holds the number of all words."""
-    names = ["lang", "words", "phrase", "n"]
+def _counted(orders: range, known: object, parts: int):
+    """Exact counts of a task's known n-grams as text, by language and part, one to a line; the empty one stands for all words."""
+    names = ["part", "lang", "phrases", "times"]
 
     def texts(w: Words, n: int, at: np.ndarray) -> list[str]:
         raw = w.low.tobytes()
@@ -291,10 +306,16 @@ def _counted(orders: range, known: object):
         total: dict[str, int] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = list(seen.values())
-            for lo in range(0, len(rows), 1 << 16):
-                part = rows[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.string()), pa.array([r[3] for r in part], pa.int64())], names=names)
+            by: dict[tuple[int, str], list] = {}
+            for k, (lang, text, n) in seen.items():
+                by.setdefault((k % parts, lang), []).append((text, n))
+            for lang, n in total.items():
+                by.setdefault((zlib.crc32(lang.encode()) % parts, lang), []).append(("", n))
+            total.clear()
+            seen.clear()
+            for (part, lang), found in by.items():
+                times = np.array([n for _, n in found], np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lang], pa.string()), pa.array(["\n".join(t for t, _ in found)], pa.string()), pa.array([times], pa.binary())], names=names)
 
         for b in slabs(batches, "t", SLAB):
             w = words(*flat_utf8(b.column("t")), _langs(b))
@@ -306,15 +327,29 @@ def _counted(orders: range, known: object):
                 new = np.array([i for i, k in enumerate(key) if k not in seen], np.int64)
                 where = at[first[new]] if len(new) else new
                 for i, text, lang in zip(new.tolist(), texts(w, n, where), w.lang[where].tolist() if len(new) else []):
-                    seen[key[i]] = [lang, n, text, 0]
+                    seen[key[i]] = [lang, text, 0]
                 for k, c in zip(key, times):
-                    seen[k][3] += c
+                    seen[k][2] += c
             if len(seen) > FLUSH // 8:
                 yield from out()
-                seen.clear()
         yield from out()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([0] * len(total), pa.int32()), pa.array([""] * len(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=names)
+
+    return run
+
+
+def _summed(threshold: int):
+    """Adds up counts of phrases that come to a task; those below the threshold are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], int] = {}
+        for b in batches:
+            for lang, phrases, times in zip(b.column("lang").to_pylist(), b.column("phrases").to_pylist(), b.column("times")):
+                for text, n in zip(phrases.split("\n"), np.frombuffer(times.as_buffer(), np.int64).tolist()):
+                    found[lang, text] = found.get((lang, text), 0) + n
+        rows = [(lang, text.count(" ") + 1 if text else 0, text, n) for (lang, text), n in found.items() if n >= threshold or not text]
+        for lo in range(0, len(rows), 1 << 16):
+            columns = zip(*rows[lo : lo + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "words", "phrase", "n"])
 
     return run
 
@@ -330,9 +365,9 @@ def frequent(df: DataFrame, text: str = "text", lang: str = "lang", longest: int
     for orders in (range(1, 2), range(2, 3), range(3, longest + 1))[: min(longest, 3)]:
         shared = context.broadcast(list(maps)) if maps else None
         maps.append(survivors(texts, orders, shared, mass * len(orders), threshold, capacity))
-    counts = in_arrow(texts, _counted(range(1, longest + 1), context.broadcast(maps)), "lang string, words int, phrase string, n long")
-    total = counts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return staged(total.where((F.col("words") == 0) | (F.col("n") >= threshold)), "phrases")
+    tasks, _ = planned(mass * longest, threshold, capacity)
+    counts = in_arrow(texts, _counted(range(1, longest + 1), context.broadcast(maps), PARTS * tasks), "part int, lang string, phrases string, times binary")
+    return staged(in_arrow(counts.repartition(tasks, "part"), _summed(threshold), "lang string, words int, phrase string, n long"), "phrases")
 
 
 def _wide(c: Column) -> Column:
