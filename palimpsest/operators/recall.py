@@ -29,8 +29,8 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return _dot(a, b) / F.nullif((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b), F.lit(0.0))
 
 
-def pairs(queries: DataFrame, memories: DataFrame, prepare: Callable[[Column], Column] = words) -> list[DataFrame]:
-    """Each query with all other memories of its group, in blocks of queries: (query_id, memory_id, _q, _m, _nq,
+def pairs(queries: DataFrame, memories: DataFrame, prepare: Callable[[Column], Column] = words, grouped: bool = True) -> list[DataFrame]:
+    """Each query with all other memories of its group (or of all groups), in blocks of queries: (query_id, memory_id, _q, _m, _nq,
     _nm, _x, _y), the vectors, their norms and the prepared texts of both. A block is broadcast, so each memory is met where it lies, however many
     share its group; the queries' number and bytes are measured first."""
     q = queries.select("query_id", "group_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_nq"), prepare(F.col("query")).alias("_x"))
@@ -38,11 +38,15 @@ def pairs(queries: DataFrame, memories: DataFrame, prepare: Callable[[Column], C
     number, held = queries.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(F.octet_length("query"), F.lit(0)) + 4 * F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()
     n = max(1, -(-number // BLOCK_QUERIES), -(-held // BLOCK_BYTES))
     blocks = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)] if n > 1 else [q]
-    return [m.join(F.broadcast(b), "group_id").where(F.col("memory_id") != F.col("query_id")).drop("group_id") for b in blocks]
+    other = F.col("memory_id") != F.col("query_id")
+    if not grouped:
+        return [m.drop("group_id").join(F.broadcast(b.drop("group_id")), other) for b in blocks]
+    return [m.join(F.broadcast(b), "group_id").where(other).drop("group_id") for b in blocks]
 
 
-def search(queries: DataFrame, memories: DataFrame, k: int = 10, prepare: Callable[[Column], Column] = words, scorer: Callable[[Column, Column], Column] = set_jaccard, digits: int = 9) -> DataFrame:
-    """The k best memories of each query within its group, by fused ranks of cosine and lexical similarity.
+def search(queries: DataFrame, memories: DataFrame, k: int = 10, prepare: Callable[[Column], Column] = words, scorer: Callable[[Column, Column], Column] = set_jaccard, digits: int = 9, grouped: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """The k best memories of each query within its group, by fused ranks of cosine and lexical similarity; all groups'
+    memories unless `grouped`. `also` names columns of memories that come with them.
 
     queries(query_id, group_id, query, embedding) are scored against all memories(memory_id, group_id, fact, embedding)
     in blocks (`pairs`). Similarities are rounded to `digits` before they are ranked; ties go to the smaller memory_id.
@@ -54,7 +58,7 @@ def search(queries: DataFrame, memories: DataFrame, k: int = 10, prepare: Callab
     """
     top = 4 * (RRF + k)
     out = None
-    for block in pairs(queries, memories, prepare):
+    for block in pairs(queries, memories, prepare, grouped):
         ids = ["query_id", "memory_id"]
         value = {"cosine": F.round(cosine(F.col("_q"), F.col("_m"), F.col("_nq"), F.col("_nm")), digits), "lexical": F.round(scorer(F.col("_x"), F.col("_y")), digits)}
         sides = {"_a": "cosine", "_b": "lexical"}
@@ -81,7 +85,29 @@ def search(queries: DataFrame, memories: DataFrame, k: int = 10, prepare: Callab
         near = near.withColumn("score", F.round(1 / (RRF + F.col("_a")) + 1 / (RRF + F.col("_b")), digits))
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))).where(F.col("rank") <= k)
         out = near if out is None else out.unionByName(near)
-    return out.join(memories.select("memory_id", "fact"), "memory_id").select("query_id", "memory_id", "fact", "cosine", "lexical", "score", "rank")
+    return out.join(memories.select("memory_id", "fact", *also), "memory_id").select("query_id", "memory_id", "fact", "cosine", "lexical", "score", "rank", *also)
+
+
+def similar(queries: DataFrame, memories: DataFrame, top: int = 100, prepare: Callable[[Column], Column] = words, scorer: Callable[[Column, Column], Column] = set_jaccard, digits: int = 9, grouped: bool = True) -> DataFrame:
+    """(query_id, memory_id, leg, rank): the `top` best memories of each query by cosine and by lexical similarity, from
+    one pass over the pairs; ties go to the smaller memory_id."""
+    out = None
+    for block in pairs(queries, memories, prepare, grouped):
+        value = {"cosine": F.round(cosine(F.col("_q"), F.col("_m"), F.col("_nq"), F.col("_nm")), digits), "lexical": F.round(scorer(F.col("_x"), F.col("_y")), digits)}
+        legs = F.explode(F.array(*[F.struct(F.lit(n).alias("leg"), v.alias("value")) for n, v in value.items()])).alias("s")
+        rows = block.select("query_id", "memory_id", legs).select("query_id", "memory_id", "s.leg", "s.value")
+        order = Window.partitionBy("query_id", "leg").orderBy(F.desc("value"), "memory_id")
+        best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("value")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def fused(legs: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
+    """The k best memories of each query by the sum of 1 / (RRF + rank) over the legs that found them: (query_id, memory_id,
+    n_legs, score, rank), from legs(query_id, memory_id, leg, rank)."""
+    rows = legs.groupBy("query_id", "memory_id").agg(F.count("*").alias("n_legs"), F.round(F.sum(1 / (RRF + F.col("rank"))), digits).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def memories_used(found: DataFrame) -> DataFrame:

@@ -153,6 +153,23 @@ def memories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return queries, rows
 
 
+def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, memories) without texts: all embeddings, and those with vec_id % 50 = 0."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("label").alias("group_id"), "embedding")
+    return rows.where("memory_id % 50 = 0").withColumnRenamed("memory_id", "query_id"), rows
+
+
+#: What counts as an entity that a text names. Fixed value.
+ENTITY = "[A-Z][a-z]{3,}"
+
+
+def mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """(memory_id, group_id, entity): the capitalised words of memories."""
+    _, rows = memories(spark, sf)
+    names = F.regexp_extract_all("fact", F.lit(f"({ENTITY})"), F.lit(1))
+    return rows.select("memory_id", "group_id", F.explode(F.array_distinct(names)).alias("entity"))
+
+
 def state_responses(spark: SparkSession, sf: str) -> DataFrame:
     """States as JSON text: every third without stability, every 97th cut short."""
     rows = psych_states(spark, sf)

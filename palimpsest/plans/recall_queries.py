@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import changes as C
+from palimpsest.operators import memory_graph as MG
+from palimpsest.operators import memory_index as MI
 from palimpsest.operators import messages as M
 from palimpsest.operators import quality as Q
 from palimpsest.operators import recall as R
@@ -35,6 +37,64 @@ def o_r1_memory_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.search(*B.memories(spark, sf)).select("query_id", "memory_id", F.round("cosine", 6).alias("cosine"), F.round("lexical", 6).alias("lexical"), F.col("rank").cast("long").alias("rank"))
 
 
+_PAIR = r"""round(list_dot_product(q.e, m.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(m.e, m.e))), 9) AS cosine,
+  round(CASE WHEN len(q.w) = 0 OR len(m.w) = 0 THEN 0 ELSE len(list_intersect(q.w, m.w)) / len(list_distinct(list_concat(q.w, m.w))) END, 9) AS lexical"""
+_FACTS = r"""WITH words AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS w, coalesce(text, '') AS fact FROM documents),
+mem AS (SELECT vec_id AS id, label AS gid, embedding::DOUBLE[] AS e, w, fact FROM embeddings JOIN words ON doc_id = vec_id)
+"""
+
+
+@query(f"""{_FACTS.rstrip()}, pairs AS (SELECT q.id AS query_id, m.id AS memory_id, {_PAIR} FROM mem q JOIN mem m ON q.id <> m.id WHERE q.id % 50 = 0),
+ranked AS (SELECT *, round(1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, memory_id)) + 1 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, memory_id)), 9) AS score FROM pairs)
+SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank, strftime(TIMESTAMP '2024-01-01' + to_hours(memory_id), '%Y-%m-%d %H') AS created FROM ranked QUALIFY rank <= 10""")
+def o_r1_all_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Search without the session filter; a memory comes with its time of creation (an hour for each id)."""
+    queries, memories = B.memories(spark, sf)
+    memories = memories.withColumn("created_at", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("memory_id").cast("int")))
+    found = R.search(queries, memories, grouped=False, also=("created_at",))
+    return found.select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), F.date_format("created_at", "yyyy-MM-dd HH").alias("created"))
+
+
+_WALK = f"""{_FACTS.rstrip()}, men AS (SELECT DISTINCT id, gid, unnest(regexp_extract_all(fact, '{B.ENTITY}')) AS e FROM mem),
+named AS (SELECT gid, e, count(*) AS n FROM men GROUP BY 1, 2), names AS (SELECT id, count(*) AS n FROM men GROUP BY 1),
+start AS (SELECT id AS q, gid, e, 1 / count(*) OVER (PARTITION BY id) AS p FROM men WHERE id % 50 = 0),
+m1 AS (SELECT q, gid, men.id, sum(p / named.n) AS p FROM start JOIN named USING (gid, e) JOIN men USING (gid, e) GROUP BY 1, 2, 3),
+e2 AS (SELECT q, gid, e, sum(p) AS p FROM (SELECT q, gid, e, 0.3::DOUBLE * p AS p FROM start UNION ALL SELECT q, m1.gid, men.e, 0.7::DOUBLE * p / names.n FROM m1 JOIN men USING (id) JOIN names USING (id)) GROUP BY 1, 2, 3),
+m2 AS (SELECT q AS query_id, men.id AS memory_id, round(sum(p / named.n), 12) AS mass FROM e2 JOIN named USING (gid, e) JOIN men USING (gid, e) GROUP BY 1, 2),
+graph AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mass DESC, memory_id) AS rank FROM m2 WHERE query_id <> memory_id)
+"""
+
+
+def _walked(spark: SparkSession, sf: str) -> DataFrame:
+    named = written(B.mentions(spark, sf), "named")
+    return MG.walk(named.where("memory_id % 50 = 0").withColumnRenamed("memory_id", "query_id"), named)
+
+
+@query(_WALK + "SELECT query_id, memory_id, rank, round(mass, 9) AS mass FROM graph WHERE rank <= 10")
+def o_r1_graph_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten memories that walks from a query's entities reach most."""
+    return MG.leg(_walked(spark, sf), 10).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), F.round("mass", 9).alias("mass"))
+
+
+@query(f"""{_WALK.rstrip()}, pairs AS (SELECT q.id AS query_id, m.id AS memory_id, {_PAIR} FROM mem q JOIN mem m ON q.gid = m.gid AND q.id <> m.id WHERE q.id % 50 = 0),
+legs AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, memory_id) AS rank FROM pairs
+  UNION ALL SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, memory_id) FROM pairs UNION ALL SELECT query_id, memory_id, rank FROM graph),
+total AS (SELECT query_id, memory_id, count(*) AS n_legs, round(sum(1 / (60 + rank)), 9) AS score FROM legs WHERE rank <= 100 GROUP BY 1, 2)
+SELECT query_id, memory_id, n_legs, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM total QUALIFY rank <= 10""")
+def o_r1_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors, words and the graph: the hundred best of each, fused."""
+    graph = MG.leg(_walked(spark, sf), 100).select("query_id", "memory_id", F.lit("graph").alias("leg"), "rank")
+    found = R.fused(R.similar(*B.memories(spark, sf)).unionByName(graph))
+    return found.select("query_id", "memory_id", "n_legs", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def o_r1_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """What the index finds of the ten nearest memories of all sessions, and how many memories it scores, for each query."""
+    queries, memories = B.vectors(spark, sf)
+    return MI.recall(MI.calibrated(MI.build(memories), grouped=False), queries, memories, grouped=False)
+
+
 @query(_MEM + "SELECT query_id, memory_id, rank FROM best WHERE rank <= 5")
 def o_w10_top_memories(spark: SparkSession, sf: str) -> DataFrame:
     return R.search(*B.memories(spark, sf), k=5).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
