@@ -119,8 +119,10 @@ def state_description() -> Column:
 
 
 def look_back(states: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """States of the `days` up to a time, those that were no longer valid then left out if there is a `valid_until`."""
     end = F.lit(as_of).cast("timestamp")
-    return states.where((F.col("observed_at") <= end) & (F.col("observed_at") >= end - F.make_dt_interval(days=F.lit(days))))
+    rows = states.where((F.col("observed_at") <= end) & (F.col("observed_at") >= end - F.make_dt_interval(days=F.lit(days))))
+    return rows.where(F.col("valid_until").isNull() | (F.col("valid_until") > end)) if "valid_until" in states.columns else rows
 
 
 def history(states: DataFrame, limit: int = 50) -> DataFrame:
@@ -198,7 +200,52 @@ def coherence(states: DataFrame, as_of: str, days: int = 7, limit: int = 100, di
     out = per.groupBy("character_id").agg(
         state("_n").alias("n_states"), F.avg(spread).alias("trait_consistency"), state("_e").alias("emotional_rationality"), state("_b").alias("behavioral_consistency"),
         memory_score(state("intensity"), state("stability"), digits).alias("memory_rationality"))
+    return _overall(out)
+
+
+def _overall(out: DataFrame) -> DataFrame:
+    """Scores that are not known, or of one state only, are 1; and their weighted sum."""
     names = ("trait_consistency", "emotional_rationality", "behavioral_consistency", "memory_rationality")
     out = out.withColumns({c: F.when(F.col("n_states") < 2, 1.0).otherwise(F.coalesce(c, F.lit(1.0))) for c in names})
     total = sum((w * F.col(c) for w, c in zip((0.3, 0.3, 0.2, 0.2), names)), F.lit(0.0))
     return out.withColumn("overall", F.when(F.col("n_states") < 2, 1.0).otherwise(total))
+
+
+def rolling_coherence(states: DataFrame, days: int = 7, digits: int | None = None, span: int = 28) -> DataFrame:
+    """A row for every state: the scores of its character's states of the `days` up to it, as `coherence` gives them as of
+    its time (without a limit on their number).
+
+    Range frames over moments that add up (counts, sums, sums of squares by trait) take the place of a window read whole
+    for each state. A trait that a state does not show keeps its moments from the states before: all traits of a
+    character's span stand beside each of its states. Time is cut into spans of `span` days, at least `days`, and states of
+    the last `days` of a span stand in the next one too, so a character's history is many groups. Of states at one time
+    each sees all. States without character or time have no row.
+    """
+    if span < days:
+        raise ValueError("a span must be at least as long as the window")
+    second, width = 86400, days * 86400
+    rows = states.where("character_id is not null and observed_at is not null").withColumn("_t", F.unix_seconds(F.col("observed_at").cast("timestamp")))
+    own = F.floor(F.col("_t") / (span * second))
+    late = (own + 1) * (span * second) - F.col("_t") <= width
+    copies = F.array_compact(F.array(F.struct(own.alias("span"), F.lit(True).alias("own")), F.when(late, F.struct((own + 1).alias("span"), F.lit(False).alias("own")))))
+    rows = rows.select("character_id", "state_id", "observed_at", "emotions", "traits", "dominant", "intensity", "stability", "_t", F.explode(copies).alias("_in"))
+    group = Window.partitionBy("character_id", "_in.span")
+    order = group.orderBy("_t", "state_id")
+    top = F.coalesce(F.array_max(F.transform(emotion_changes(F.col("_prev.emotions"), F.col("emotions"), digits), lambda e: F.abs(e["delta"]))), F.lit(0.0))
+    rows = rows.withColumns({"_prev": F.lag(F.struct("emotions")).over(order), "_r": F.row_number().over(order), "_names": F.array_distinct(F.flatten(F.collect_set(F.map_keys("traits")).over(group)))})
+    rows = rows.withColumns({"_e": F.when(F.col("_prev").isNotNull(), _change_score(top)), "_b": behavior_score()})
+    frame = group.orderBy("_t").rangeBetween(-width, 0)
+    n = F.count("*").over(frame)
+    # The first state of a window has no state before it there.
+    first = F.coalesce(F.min_by("_e", F.struct("_t", "state_id")).over(frame), F.lit(0.0))
+    rows = rows.withColumns({
+        "n_states": n, "emotional_rationality": (F.coalesce(F.sum("_e").over(frame), F.lit(0.0)) - first) / F.nullif(n - 1, F.lit(0)), "behavioral_consistency": F.avg("_b").over(frame),
+        "memory_rationality": memory_score(F.avg("intensity").over(frame), F.avg("stability").over(frame), digits),
+    })
+    kept = ("character_id", "state_id", "observed_at", "n_states", "emotional_rationality", "behavioral_consistency", "memory_rationality")
+    shown = rows.select(*kept, "_in", "_r", "_t", "traits", F.explode_outer("_names").alias("trait")).withColumn("_v", F.try_element_at("traits", F.col("trait")))
+    of_trait = Window.partitionBy("character_id", "_in.span", "trait").orderBy("_t").rangeBetween(-width, 0)
+    count, mean, square = F.count("_v").over(of_trait), F.avg("_v").over(of_trait), F.avg(F.col("_v") * F.col("_v")).over(of_trait)
+    spread = F.when(count > 1, F.greatest(F.lit(0.0), 1 - 2 * F.greatest(square - mean * mean, F.lit(0.0))))
+    out = shown.withColumn("_s", spread).where("_in.own").groupBy("character_id", "_in.span", "_r").agg(F.avg("_s").alias("trait_consistency"), *[F.first(c).alias(c) for c in kept[1:]])
+    return _overall(out).select(*kept[:4], "trait_consistency", *kept[4:], "overall")

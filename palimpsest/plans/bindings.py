@@ -170,6 +170,25 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("memory_id", "group_id", F.explode(F.array_distinct(names)).alias("entity"))
 
 
+def version_history(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as versions of entries over January: (session_id, entry_id, version, valid_from, valid_until), one to four
+    versions of each entry, the last one open or, for every ninth entry, deleted on the 25th. Sessions are those of `messages_at`."""
+    docs = table(spark, sf, "documents").select((F.col("doc_id") % SESSIONS).alias("session_id"), F.col("doc_id").alias("entry_id"))
+    rows = docs.select("*", F.explode(F.sequence(F.lit(0), (F.col("entry_id") % 4).cast("int"))).alias("v"))
+    begins = lambda v: F.lit("2023-12-30").cast("timestamp") + F.make_dt_interval(hours=(F.col("entry_id") % 50 + v * (60 + F.col("entry_id") % 77)).cast("int"))
+    ends = F.when(F.col("v") < F.col("entry_id") % 4, begins(F.col("v") + 1)).when(F.col("entry_id") % 9 == 0, F.lit("2024-01-25").cast("timestamp"))
+    return rows.select("session_id", "entry_id", (F.col("v") + 1).cast("long").alias("version"), begins(F.col("v")).alias("valid_from"), ends.alias("valid_until"))
+
+
+#: Sessions of `version_history` and `messages_at`. Fixed value.
+SESSIONS = 200
+
+
+def messages_at(spark: SparkSession, sf: str) -> DataFrame:
+    """events as messages: (event_id, session_id, ts)."""
+    return table(spark, sf, "events").select("event_id", (F.col("user_id") % SESSIONS).alias("session_id"), "ts")
+
+
 def state_responses(spark: SparkSession, sf: str) -> DataFrame:
     """States as JSON text: every third without stability, every 97th cut short."""
     rows = psych_states(spark, sf)

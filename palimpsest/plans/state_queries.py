@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import epoch_text
 from palimpsest.operators import states as S
+from palimpsest.operators import temporal
 from palimpsest.plans.base import PSYCH, REASON, query
 from palimpsest.plans.bindings import AS_OF, DIGITS, psych_states, state_responses, table
 from palimpsest.sources import responses
@@ -100,6 +101,14 @@ def o_j13_tracked_state(spark: SparkSession, sf: str) -> DataFrame:
     return psych_states(spark, sf).groupBy(F.col("character_id").alias("user_id")).agg(F.max_by("state_id", "observed_at").alias("state_id"))
 
 
+@query(_P + "SELECT event_id, s.sid AS state_id, s.stability FROM events e ASOF LEFT JOIN (SELECT cid, sid, stability, CAST(sid AS TIMESTAMP) + INTERVAL 1 DAY AS seen FROM tot) s ON e.user_id = s.cid AND e.ts >= s.seen")
+def o_j13_state_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The state that is known of a user when an event comes, for each event; a day's state is known when the day ends."""
+    known = psych_states(spark, sf).withColumn("observed_at", F.col("observed_at") + F.make_dt_interval(days=F.lit(1)))
+    events = table(spark, sf, "events").select("event_id", F.col("user_id").alias("character_id"), F.col("ts").alias("requested_at"))
+    return temporal.as_of(events, known).select("event_id", "state.state_id", "state.stability")
+
+
 _A4 = "SELECT cid, avg(greatest(0, 1 - 2 * v)) AS s FROM (SELECT cid, name, var_pop(v) AS v, count(*) AS n FROM tra GROUP BY 1, 2) WHERE n > 1 GROUP BY 1"
 _A5 = "SELECT cid, avg(CASE WHEN coalesce(et, 0) < 0.3 THEN 1.0 WHEN et < 0.6 THEN 0.7 ELSE 0.4 END) AS s FROM tr GROUP BY 1"
 _A6 = "SELECT cid, avg(CASE WHEN name IN ('joy', 'happiness') THEN 1.0 WHEN name IN ('optimistic', 'enthusiastic', 'anxious', 'aggressive', 'stubborn') THEN 0.9 ELSE 0.7 END) AS s FROM (SELECT cid, sid, name FROM tra QUALIFY row_number() OVER (PARTITION BY cid, sid ORDER BY v DESC, name) = 1) GROUP BY 1"
@@ -141,6 +150,24 @@ def o_a8_coherence(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", "n_states", *[F.round(v, 6).alias(k) for k, v in names.items()])
 
 
+_SEVEN = "RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW"
+
+
+@query(_P + f""", behaved AS (SELECT cid, sid, CASE WHEN name IN ('joy', 'happiness') THEN 1.0 WHEN name IN ('optimistic', 'enthusiastic', 'anxious', 'aggressive', 'stubborn') THEN 0.9 ELSE 0.7 END AS b FROM tra QUALIFY row_number() OVER (PARTITION BY cid, sid ORDER BY v DESC, name) = 1),
+moved AS (SELECT cid, sid, CASE WHEN coalesce(et, 0) < 0.3 THEN 1.0 WHEN et < 0.6 THEN 0.7 ELSE 0.4 END AS e FROM tr),
+st AS (SELECT tot.cid, tot.sid, CAST(tot.sid AS TIMESTAMP) AS t, intensity, stability, b::DOUBLE AS b, e::DOUBLE AS e FROM tot JOIN behaved USING (cid, sid) LEFT JOIN moved USING (cid, sid)),
+whole AS (SELECT cid, sid, count(*) OVER w AS n, sum(e) OVER w - coalesce(first_value(e) OVER w, 0) AS e, avg(b) OVER w AS b, round(avg(intensity) OVER w, 6) AS i, round(avg(stability) OVER w, 6) AS s FROM st WINDOW w AS (PARTITION BY cid ORDER BY t {_SEVEN})),
+grid AS (SELECT st.cid, st.sid, count(v) OVER w AS n, var_pop(v) OVER w AS v FROM st JOIN (SELECT DISTINCT cid, name FROM tra) x ON x.cid = st.cid LEFT JOIN tra ON tra.cid = st.cid AND tra.sid = st.sid AND tra.name = x.name WINDOW w AS (PARTITION BY st.cid, x.name ORDER BY t {_SEVEN})),
+a AS (SELECT cid, sid, avg(greatest(0, 1 - 2 * v)) FILTER (n > 1) AS s FROM grid GROUP BY 1, 2),
+scores AS (SELECT cid, sid, n, CASE WHEN n < 2 THEN 1 ELSE coalesce(a.s, 1) END AS t, CASE WHEN n < 2 THEN 1 ELSE e / (n - 1) END AS e, CASE WHEN n < 2 THEN 1 ELSE b END AS b, CASE WHEN n < 2 THEN 1 WHEN i > 0.7 AND whole.s < 0.5 THEN 0.6 WHEN i > 0.5 AND whole.s < 0.7 THEN 0.8 ELSE 0.9 END AS m FROM whole JOIN a USING (cid, sid))
+SELECT cid AS user_id, sid AS state_id, n AS n_states, round(t, 5)::DOUBLE AS trait_score, round(e, 5)::DOUBLE AS emotion_score, round(b, 5)::DOUBLE AS behavior_score, m::DOUBLE AS memory_score, round(0.3 * t + 0.3 * e + 0.2 * b + 0.2 * m, 5)::DOUBLE AS overall FROM scores""")
+def o_a8_rolling_coherence(spark: SparkSession, sf: str) -> DataFrame:
+    """The coherence of each user's last seven days at every one of its states."""
+    rows = _id(S.rolling_coherence(psych_states(spark, sf), digits=DIGITS))
+    names = {"trait_score": "trait_consistency", "emotion_score": "emotional_rationality", "behavior_score": "behavioral_consistency", "overall": "overall"}
+    return rows.select("user_id", "state_id", "n_states", F.col("memory_rationality").alias("memory_score"), *[F.round(v, 5).alias(k) for k, v in names.items()])
+
+
 _STORED = _P + """, y AS (SELECT cid, sid, (cid + CAST(substr(sid, 9, 2) AS INTEGER)) % 97 = 0 AS broken FROM tot)
 SELECT cid AS user_id, sid AS state_id, CASE WHEN NOT broken THEN 'psych_state_' || cid || '_' || CAST(epoch(CAST(sid AS TIMESTAMP)) AS BIGINT) END AS stored_id, 'psychological_state:' || cid AS source_description, NOT broken AS success,
   CASE WHEN broken THEN 'unreadable state' END AS error, CASE WHEN NOT broken THEN 1 ELSE 0 END AS n_episodes FROM y"""

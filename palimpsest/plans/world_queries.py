@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import changes as C
-from palimpsest.operators import shred, versions
+from palimpsest.operators import shred, temporal, versions
 from palimpsest.plans.base import WORLD, query
-from palimpsest.plans.bindings import table, world_entries, world_texts
+from palimpsest.plans.bindings import SESSIONS, messages_at, table, version_history, world_entries, world_texts
 from palimpsest.sources.responses import append
 from palimpsest.sources.tables import shared_dir, written
 
@@ -150,6 +150,26 @@ def o_f1_active_versions(spark: SparkSession, sf: str) -> DataFrame:
     return versions.active(_synced(spark, sf), "2024-03-01 00:00:00").select("session_id", "entry_id", "version")
 
 
+_HISTORY = f"""SELECT doc_id % {SESSIONS} AS session_id, doc_id AS entry_id, v + 1 AS version, TIMESTAMP '2023-12-30' + to_hours(doc_id % 50 + v * (60 + doc_id % 77)) AS since,
+  CASE WHEN v < doc_id % 4 THEN TIMESTAMP '2023-12-30' + to_hours(doc_id % 50 + (v + 1) * (60 + doc_id % 77)) WHEN doc_id % 9 = 0 THEN TIMESTAMP '2024-01-25' END AS until
+  FROM (SELECT doc_id, unnest(range(0, doc_id % 4 + 1)) AS v FROM documents)"""
+
+
+@query(f"SELECT event_id, entry_id, version FROM events JOIN ({_HISTORY}) h ON h.session_id = user_id % {SESSIONS} AND since <= ts AND (until IS NULL OR ts < until)")
+def o_f1_versions_at(spark: SparkSession, sf: str) -> DataFrame:
+    """The versions of its session's entries that hold when a message comes, for each message."""
+    return temporal.holding(messages_at(spark, sf), version_history(spark, sf), ["session_id"], "ts").select("event_id", "entry_id", "version")
+
+
+@query(f"SELECT entry_id, version, count(event_id) AS n, min(ts)::VARCHAR AS first FROM ({_HISTORY}) h LEFT JOIN events ON h.session_id = user_id % {SESSIONS} AND since <= ts AND (until IS NULL OR ts < until) GROUP BY 1, 2")
+def o_w11_interval_use(spark: SparkSession, sf: str) -> DataFrame:
+    """How many messages each version's interval holds, and the first of them."""
+    versions_ = version_history(spark, sf)
+    used = temporal.holding(messages_at(spark, sf), versions_, ["session_id"], "ts").groupBy("entry_id", "version").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+    rows = versions_.select("entry_id", "version").join(used, ["entry_id", "version"], "left")
+    return rows.select("entry_id", "version", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("first").cast("string").alias("first"))
+
+
 @query(_STORE + "SELECT entry_id, version::BIGINT AS version FROM store WHERE session_id = 'src3'")
 def o_f2_session_isolation(spark: SparkSession, sf: str) -> DataFrame:
     return written(_synced(spark, sf), "store", ("session_id",)).where("session_id = 'src3'").select("entry_id", "version")
