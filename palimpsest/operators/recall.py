@@ -120,18 +120,20 @@ def memory_summary(found: DataFrame, key: str = "query_id", k: int = 5) -> DataF
 
 
 def context(instructions: DataFrame, dialog: DataFrame, last: DataFrame, summaries: DataFrame, key: str = "session_id", recent: int = 5) -> DataFrame:
-    """Per session array<struct(role, content)>: system (first instruction and memories), recent turns, last message.
+    """(key, messages, error) of every session of `last`: array<struct(role, content)> of system (first instruction and
+    memories), recent turns and last message; null where there is an error, which is passed on.
 
-    instructions(key, pos, content), dialog(key, pos, role, content), last(key, role, content), summaries(key, summary).
+    instructions(key, pos, content), dialog(key, pos, role, content), last(key, role, content, error), summaries(key, summary).
     """
     first = instructions.groupBy(key).agg(F.min_by("content", "pos").alias("_first"))
     newest = Window.partitionBy(key).orderBy(F.desc("pos"))
     turns = dialog.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= recent)
     turns = turns.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))), lambda t: F.struct(F.lower(t["role"]).alias("role"), t["content"].alias("content"))).alias("_turns"))
-    rows = last.select(key, F.struct("role", "content").alias("_last"))
+    rows = last.select(key, F.struct("role", "content").alias("_last"), "error")
     for part in (first, turns, summaries):
         rows = rows.join(part, key, "left")
     memory = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", F.concat(F.lit("\n\n相关记忆：\n"), "summary")).otherwise("")
     system = F.concat(F.coalesce("_first", F.lit("")), memory)
     head = F.when(system != "", F.array(F.struct(F.lit("system").alias("role"), system.alias("content")))).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
-    return rows.select(key, F.concat(head, F.coalesce("_turns", F.array().cast("array<struct<role:string,content:string>>")), F.array("_last")).alias("messages"))
+    whole = F.concat(head, F.coalesce("_turns", F.array().cast("array<struct<role:string,content:string>>")), F.array("_last"))
+    return rows.select(key, F.when(F.col("error").isNull(), whole).alias("messages"), "error")

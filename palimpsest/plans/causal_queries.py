@@ -113,7 +113,7 @@ known AS (SELECT 'event_' || user_id || '_' || (k - 1) AS id, user_id AS session
 def o_s3_causal_response(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.causal_responses(spark, sf)
     n = R.events(rows, first="first").groupBy("session_id").agg(F.count("*").alias("n_events"))
-    return n.join(R.relations(rows).groupBy("session_id").agg(F.count("*").alias("n_relations")), "session_id")
+    return n.join(R.relations(rows).groupBy("session_id").agg(F.count("*").alias("n_relations")), "session_id", "left").fillna(0, ["n_relations"])
 
 
 @query(_JSON + "SELECT user_id AS session_id, 'event_' || user_id || '_' || (k - 1) AS event_id, 'event ' || event_id AS name, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'action' END AS event_type, 'minor' AS significance, 'planned' AS status FROM top")
@@ -130,12 +130,14 @@ def o_j8_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return G.resolved(R.relations(rows), R.events(rows, first="first")).select("session_id", "src", "dst", "strength", "relation_type", "evidence_level")
 
 
-@query(f"SELECT session_id, count(*) AS n_stored, any_value(n) AS n_given FROM ({_RESOLVED}) JOIN (SELECT session_id, count(*) AS n FROM ({_JSON} SELECT * FROM rel) GROUP BY 1) USING (session_id) GROUP BY 1")
+@query(f"""SELECT user_id AS session_id, coalesce(n_stored, 0) AS n_stored, coalesce(n_given, 0) AS n_given FROM (SELECT DISTINCT user_id FROM events)
+LEFT JOIN (SELECT session_id AS user_id, count(*) AS n_stored FROM ({_RESOLVED}) GROUP BY 1) USING (user_id) LEFT JOIN (SELECT session_id AS user_id, count(*) AS n_given FROM ({_JSON} SELECT * FROM rel) GROUP BY 1) USING (user_id)""")
 def o_g4_store_chain(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.causal_responses(spark, sf)
     given = R.relations(rows).groupBy("session_id").agg(F.count("*").alias("n_given"))
+    sessions = rows.select("session_id").distinct()
     stored = written(G.resolved(R.relations(rows), R.events(rows, first="first")), "chains").groupBy("session_id").agg(F.count("*").alias("n_stored"))
-    return stored.join(given, "session_id")
+    return sessions.join(stored, "session_id", "left").join(given, "session_id", "left").fillna(0, ["n_stored", "n_given"])
 
 
 _STATE = f"WITH {PSYCH}, x AS (SELECT *, day_of AS d FROM (SELECT *, CAST(substr(sid, 9, 2) AS INTEGER) AS day_of FROM tot JOIN dom USING (cid, sid))), y AS (SELECT *, (cid + d) % 97 = 0 AS broken FROM x) "

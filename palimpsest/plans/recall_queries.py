@@ -114,21 +114,23 @@ def o_u5_word_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 def _context(spark: SparkSession, sf: str, prompts: DataFrame, found: DataFrame) -> DataFrame:
     turns = shred.dialog_turns(prompts)
-    last = M.last_user_message(B.table(spark, sf, "conversations"), "conv_id").where("error is null").select(F.col("conv_id").alias("session_id"), F.lit("user").alias("role"), F.col("text").alias("content"))
+    last = M.last_user_message(B.table(spark, sf, "conversations"), "conv_id").select(F.col("conv_id").alias("session_id"), F.lit("user").alias("role"), F.col("text").alias("content"), "error")
     return R.context(shred.instructions(prompts), turns, last, R.memory_summary(found.withColumn("session_id", F.col("query_id")), "session_id"))
 
 
 def _measured(rows: DataFrame) -> DataFrame:
     system = F.when(F.col("messages")[0]["role"] == "system", F.length(F.col("messages")[0]["content"])).otherwise(0)
-    return rows.select("session_id", system.cast("long").alias("system_chars"), F.size("messages").cast("long").alias("n_messages"), F.element_at("messages", -1)["content"].alias("last_content"))
+    fine = F.col("messages").isNotNull()
+    return rows.select("session_id", F.when(fine, system).cast("long").alias("system_chars"), F.when(fine, F.size("messages")).cast("long").alias("n_messages"), F.when(fine, F.element_at("messages", -1)["content"]).alias("last_content"), "error")
 
 
 _CONTEXT_PARTS = _MEM.replace("WITH ", f"WITH {PROMPT}, ", 1) + """, summary AS (SELECT query_id AS session_id, string_agg('- ' || fact, chr(10) ORDER BY rank) AS s FROM best WHERE rank <= 5 GROUP BY 1),
 head AS (SELECT session_id, coalesce(system, '') || coalesce(chr(10) || chr(10) || '相关记忆：' || chr(10) || s, '') AS sys FROM pr LEFT JOIN summary USING (session_id)),
-lastu AS (SELECT conv_id AS session_id, arg_max(text, turn) FILTER (role = 'user') AS content FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0)
-"""
-_CONTEXT = _CONTEXT_PARTS + """SELECT session_id, length(sys) AS system_chars, (CASE WHEN sys = '' THEN 0 ELSE 1 END + least(5, (SELECT count(*) FROM turns t WHERE t.session_id = head.session_id)) + 1)::BIGINT AS n_messages, content AS last_content FROM head JOIN lastu USING (session_id)
+lastu AS (SELECT conv_id AS session_id, arg_max(text, turn) FILTER (role = 'user') AS content, CASE WHEN count(*) FILTER (role = 'user') = 0 THEN 'no user message' END AS error FROM conversations GROUP BY 1)
 """
+_SIZES = """CASE WHEN error IS NULL THEN length(sys) END AS system_chars,
+  CASE WHEN error IS NULL THEN (CASE WHEN sys = '' THEN 0 ELSE 1 END + least(5, (SELECT count(*) FROM turns t WHERE t.session_id = head.session_id)) + 1)::BIGINT END AS n_messages, error"""
+_CONTEXT = _CONTEXT_PARTS + f"SELECT session_id, {_SIZES}, content AS last_content FROM head JOIN lastu USING (session_id)"
 
 
 @query(_CONTEXT)
@@ -156,8 +158,7 @@ wd AS (SELECT session_id, count(*) FILTER (k = 'added') AS n_added, count(*) FIL
   count(*) + count(*) FILTER (k = 'modified') AS n_versions, (CASE WHEN session_id % 11 = 0 THEN 1 ELSE 2 END)::BIGINT AS state_version FROM wf GROUP BY 1),
 last_move AS (SELECT cid, arg_max(kind, sid) AS transition_type, arg_max(score, sid) AS rationality_score, count(*) AS n_transitions FROM trn GROUP BY 1)
 SELECT session_id, (SELECT count(*) FROM narr x WHERE x.session_id = head.session_id) AS n_episodes, (SELECT count(*) FROM turns t WHERE t.session_id = head.session_id) AS n_turns, n_added, n_removed, n_modified, n_unchanged, n_active, n_versions, state_version,
-  chat.change AS chat_change, chat.d AS chat_diff_index, transition_type, rationality_score, coalesce(n_transitions, 0) AS n_transitions, (SELECT count(*) FROM best WHERE rank <= 10 AND query_id = head.session_id) AS memories_used, length(sys) AS system_chars,
-  (CASE WHEN sys = '' THEN 0 ELSE 1 END + least(5, (SELECT count(*) FROM turns t WHERE t.session_id = head.session_id)) + 1)::BIGINT AS n_messages
+  chat.change AS chat_change, chat.d AS chat_diff_index, transition_type, rationality_score, coalesce(n_transitions, 0) AS n_transitions, (SELECT count(*) FROM best WHERE rank <= 10 AND query_id = head.session_id) AS memories_used, """ + _SIZES + """
 FROM head JOIN lastu USING (session_id) LEFT JOIN wd USING (session_id) LEFT JOIN chat USING (session_id) LEFT JOIN last_move ON cid = session_id
 """
 
@@ -188,7 +189,7 @@ def o_e1_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     for part in (shredded, counts, state, store, chat, moves, used):
         rows = rows.join(part, "session_id", "left")
     rows = rows.withColumn("state_version", F.coalesce("_had", F.lit(0)).cast("long") + 1).fillna(0, ["n_transitions", "memories_used"])
-    return rows.select("session_id", "n_episodes", "n_turns", *[F.col(c).alias(f"n_{c}") for c in ("added", "removed", "modified", "unchanged")], "n_active", "n_versions", "state_version", "chat_change", "chat_diff_index", "transition_type", F.round("rationality_score", 6).alias("rationality_score"), "n_transitions", "memories_used", "system_chars", "n_messages")
+    return rows.select("session_id", "n_episodes", "n_turns", *[F.col(c).alias(f"n_{c}") for c in ("added", "removed", "modified", "unchanged")], "n_active", "n_versions", "state_version", "chat_change", "chat_diff_index", "transition_type", F.round("rationality_score", 6).alias("rationality_score"), "n_transitions", "memories_used", "system_chars", "n_messages", "error")
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))"

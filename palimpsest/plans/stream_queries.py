@@ -63,7 +63,7 @@ def o_t2_chat_stream(spark: SparkSession, sf: str) -> DataFrame:
 def o_t3_transition_stream(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
     rows = B.psych_states(spark, sf).select("character_id", "state_id", "observed_at", "emotions", "traits", "stability")
-    half = F.col("state_id") < "2024-01-16"
+    half = F.coalesce(F.col("state_id") < "2024-01-16", F.lit(False))
     out = _steps(f"{at}/in", lambda: J.to_table(J.transitions(_source(J.configure(spark), f"{at}/in", rows.schema), digits=B.DIGITS), f"{at}/out", f"{at}/check"), rows.where(half), rows.where(~half))
     return out.select(F.col("character_id").alias("user_id"), "from_state", "to_state", "stability_change", "transition_type", "transition_reason", F.round("rationality_score", 6).alias("rationality_score"))
 
@@ -106,6 +106,7 @@ def o_t7_windowed_coherence(spark: SparkSession, sf: str) -> DataFrame:
     last = rows.agg(F.max("observed_at").alias("last")).where("last is not null")
     end = rows.limit(1).drop("observed_at").crossJoin(last).withColumn("observed_at", F.col("last") + F.expr("interval 9 days")).select(rows.columns)
     run = lambda: J.to_table(J.windowed_scores(_source(spark, f"{at}/in", rows.schema), digits=B.DIGITS), f"{at}/out", f"{at}/check")
-    out = _steps(f"{at}/in", run, rows.where("observed_at < '2024-01-16'"), rows.where("observed_at >= '2024-01-16'"), end, end)
+    half = F.coalesce(F.col("observed_at") < F.lit("2024-01-16").cast("timestamp"), F.lit(False))
+    out = _steps(f"{at}/in", run, rows.where(half), rows.where(~half), end, end)
     real = out.crossJoin(F.broadcast(last)).where("window_start <= last")  # windows of end rows start later
     return real.select(F.col("character_id").alias("user_id"), F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("trait_consistency", 6).alias("trait_consistency"), F.round("behavioral_consistency", 6).alias("behavioral_consistency"), "memory_rationality", "n_states")
