@@ -19,8 +19,8 @@ The files of the column-wise method are Spark's shuffle files here; a round's co
 strings, each at most width + MAX_WINDOWS - 1 bytes long, so the number of rounds is bounded.
 
 Defined results: null text is empty; documents shorter than `width` lose nothing; a null id sorts before all
-others; rows with the same id and text are one document; ties do not occur otherwise; an empty table gives an empty
-result; other columns do not matter.
+others; rows with the same id (or none) and text are one document, with different texts they are different documents in the
+order of their SHA-256; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -397,9 +397,35 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["id", "spans"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 100, wide_key: int = WIDE_KEY) -> DataFrame:
-    """(id, spans array<(start, end)>) of the documents with repeated bytes: merged, in order, in UTF-8 bytes."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("t"))
+def numbered(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(k, id, t): key, number and text of every row. Numbers follow the order of the keys, a null one first, and rows with
+    one key have one number if their texts are equal and different ones (in the order of the texts' digests) if not.
+
+    The key is the number where no key has several texts, which is asked first; else (key, digest) is sorted into ranges
+    and counted through, and the texts are written once with their numbers.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
+    own = F.coalesce(F.col("k").cast("long"), F.lit(NO_ID))
+    digest = F.sha2(F.coalesce("t", F.lit("")).cast("binary"), 256)
+    several = rows.groupBy(own.alias("id")).agg((F.min(digest) != F.max(digest)).alias("several")).where("several")
+    if several.isEmpty():
+        return rows.select("k", own.alias("id"), "t")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [own, "d"]
+    kinds = rows.select("k", digest.alias("d")).distinct().repartitionByRange(n, *order).withColumn("r", F.spark_partition_id())
+    kinds = staged(kinds.withColumn("n", F.row_number().over(Window.partitionBy("r").orderBy(*order))), "numbers")
+    before, offsets = 0, []
+    for r, size in sorted(kinds.groupBy("r").count().collect()):  # a row for each range
+        offsets.append((r, before))
+        before += size
+    kinds = kinds.join(F.broadcast(docs.sparkSession.createDataFrame(offsets, "r int, before long")), "r").select(F.col("k").alias("k2"), "d", (F.col("n") + F.col("before")).alias("id"))
+    rows = rows.withColumn("d", digest)
+    return staged(rows.join(kinds, (rows["d"] == kinds["d"]) & rows["k"].eqNullSafe(kinds["k2"])).select("k", "id", "t"), "numbered")
+
+
+def repeated_spans(rows: DataFrame, width: int = 100, wide_key: int = WIDE_KEY) -> DataFrame:
+    """(id, spans array<(start, end)>) of the `numbered` texts with repeated bytes: merged, in order, in UTF-8 bytes."""
+    rows = rows.select("id", "t")
     found = in_arrow(rows.where(F.octet_length("t") >= width), _stretch_rows(width), FOUND)
     found = staged(in_arrow(found.repartition("key").sortWithinPartitions("key", "digest", "doc", "start"), _firsts, FOUND), "stretches")
     whole = found.where(F.col("kind") == MARK).select("doc", "start", "windows")
@@ -417,11 +443,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     return in_arrow(spans, _merge, "id long, spans array<struct<start:long,end:long>>")
 
 
-def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id", keep_bytes: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every document without its spans."""
+def cut(rows: DataFrame, spans: DataFrame, key: str = "doc_id", keep_bytes: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every one of the `numbered` texts without its spans."""
     spans = _bounded(spans, F.size("spans") * 16 + 16)
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("t")).join(spans, "id", "left")
-    fields = [T.StructField(key, docs.schema[key].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
+    kind = rows.schema["k"].dataType
+    rows = rows.join(spans, "id", "left")
+    fields = [T.StructField(key, kind), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept", T.BinaryType())] * keep_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,4 +473,5 @@ def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_i
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 100, keep_bytes: bool = False, wide_key: int = WIDE_KEY) -> DataFrame:
-    return cut(docs, staged(repeated_spans(docs, text, key, width, wide_key), "spans"), text, key, keep_bytes)
+    rows = numbered(docs, text, key)
+    return cut(rows, staged(repeated_spans(rows, width, wide_key), "spans"), key, keep_bytes)

@@ -80,3 +80,24 @@ def test_edge_cases(spark):
     t = "".join(chr(97 + i * 7 % 26) + chr(97 + i * i % 23) for i in range(80))
     got = deduplicated(spark.createDataFrame([(5, t, "", ""), (5, t, "", ""), (None, t, "", "")], SCHEMA)).collect()
     assert sorted(((r[0], r[2]) for r in got), key=str) == sorted([(None, 0), (5, 160), (5, 160)], key=str)
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choices("abcdefgh ", k=r.randint(120, 400))) for _ in range(30)]
+    texts += [texts[0] + texts[1], texts[2][:110] * 2, texts[3] + "!" + texts[3]]
+    rows = [(r.choice([None, None, 7, 7, 8, -(2**63), i]), t, "a", "b") for i, t in enumerate(texts)] + [(7, texts[0], "a", "b"), (7, texts[0], "a", "b"), (None, None, "a", "b"), (9, "", "a", "b")]
+    got = deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    number = {x: n for n, x in enumerate(sorted({(-(2**63) if i is None else i, digest(t), i) for i, t, *_ in rows}, key=lambda x: (x[0], x[1], x[2] is not None)))}
+    kinds = {(number[-(2**63) if i is None else i, digest(t), i], t) for i, t, *_ in rows}
+    expected = {n: rest for n, *rest in brute(sorted(kinds, key=lambda x: x[0]))}
+    want = sorted(repr((i, *expected[number[-(2**63) if i is None else i, digest(t), i]])) for i, t, *_ in rows)
+    assert sorted(repr(tuple(x)) for x in got) == want
+
+
+def test_unrelated_rows_without_an_id_keep_their_bytes(spark):
+    r = random.Random(10)
+    p, other = ("".join(r.choices("abcdefghijk", k=150)) for _ in range(2))
+    got = {(x.doc_id, x.n_bytes, x.n_removed) for x in deduplicated(spark.createDataFrame([(None, p + "|" + p, "", ""), (None, other * 1 + "z", "", ""), (5, "other", "", "")], SCHEMA)).collect()}
+    assert got == {(None, 301, 150), (None, 151, 0), (5, 5, 0)}
