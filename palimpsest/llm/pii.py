@@ -124,6 +124,9 @@ _LOCAL_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 _DOMAIN_WORD = re.compile(r"[A-Za-z0-9-]++")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\+|[^A-Za-z0-9+]+")
 _NARROW, _BEFORE_DOT, _AFTER_DOT, _AFTER_PLUS = re.compile(r"[\s.()-]{1,3}"), re.compile(r"[\s.,-]+"), re.compile(r"[\s,-]+"), re.compile(r"[\s-]+")
+_OPENED, _CLOSED = re.compile(rf"\s*+{_OPEN}\s*+"), re.compile(rf"\s*+{_CLOSE}\s*+")
+_BRACKETED_DOT = re.compile(rf"\s*+{_OPEN}\s*+\.\s*+{_CLOSE}\s*+")
+_DOT_WORDS = ("dot", "point", "punto", "punkt")
 _WORD, _VALUE = re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]+")
 #: Spelled or written numbers that make a run.
 RUN = 4
@@ -133,7 +136,7 @@ _B = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 _W = f"(?:{'|'.join(_DIGIT_WORDS)})"
 _GAP = rf"(?:[\s\x0b\x1c-\x1f\x85\p{{Z}}.,-]*(?:dot|point)[\s\x0b\x1c-\x1f\x85\p{{Z}},-]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}.()-]{{1,3}})"
 AT_DOT_SIGN = rf"{_OPEN}{_B}*(?:{_ATS}|{_DOTS}){_B}*{_CLOSE}|{_B}(?:dot|@){_B}"
-DIGIT_SIGN = rf"{_W}{_GAP}(?:{_W}|[0-9])|[0-9]{_GAP}{_W}|[0-9][\s\x0b\x1c-\x1f\x85\p{{Z}}.,-]*(?:dot|point)[\s\x0b\x1c-\x1f\x85\p{{Z}},-]+[0-9]|plus(?:{_B}|-)+(?:{_W}|[0-9])"
+DIGIT_SIGN = rf"{_W}{_GAP}(?:{_W}|[0-9])|[0-9]{_GAP}{_W}|[0-9][\s\x0b\x1c-\x1f\x85\p{{Z}}.,-]*(?:dot|point)[\s\x0b\x1c-\x1f\x85\p{{Z}},-]+[0-9]|plus(?:{_B}|-)+(?:{_W}|[0-9])|(?:{_W}|[0-9]){_B}*{_OPEN}{_B}*(?:{_DOTS}){_B}*{_CLOSE}{_B}*(?:{_W}|[0-9])"
 # And of base spans.
 BASE_SIGN = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}|\+[0-9]"
 
@@ -228,12 +231,19 @@ def _digits(m: Mapped) -> Mapped:
         if not value(i) or i and _alnum(word(i - 1)):
             i += 1
             continue
-        ends = [i]  # places of the run's values
+        ends, bracketed = [i], False  # places of the run's values
         while True:
             j = ends[-1] + 1
+            if _BRACKETED_DOT.fullmatch(word(j)) and value(j + 1):
+                ends.append(j + 1)
+                bracketed = True
+                continue
             if _NARROW.fullmatch(word(j)) and value(j + 1):
                 ends.append(j + 1)
                 continue
+            if _OPENED.fullmatch(word(j)) and word(j + 1) in _DOT_WORDS and _CLOSED.fullmatch(word(j + 2)) and value(j + 3):
+                ends.append(j + 3)
+                continue
             j += bool(_BEFORE_DOT.fullmatch(word(j)))
             if word(j) in ("dot", "point") and _AFTER_DOT.fullmatch(word(j + 1)) and value(j + 2):
                 ends.append(j + 2)
@@ -251,11 +261,11 @@ def _digits(m: Mapped) -> Mapped:
             elif i >= 2 and word(i - 2) == "+" and word(i - 1).isspace():
                 first = i - 2
             run = tokens[first : ends[-1] + 1]
-            if any(w.isalpha() for _, _, w in run):
+            if bracketed or any(w.isalpha() for _, _, w in run):
                 for a, b, w in run:
-                    new = _DIGIT_WORDS.get(w) or {"plus": "+", "dot": ".", "point": "."}.get(w)
+                    new = _DIGIT_WORDS.get(w) or ("+" if w == "plus" else "." if w in _DOT_WORDS else None)
                     if new is None and not w.isdecimal() and w != "+":
-                        new = "." if w == "." else ""
+                        new = "." if w == "." or _BRACKETED_DOT.fullmatch(w) else ""
                     if new is not None:
                         edits.append((a, b, new))
         i = following

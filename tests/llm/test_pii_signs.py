@@ -12,7 +12,7 @@ from palimpsest.llm import pii
 
 @pytest.mark.parametrize("kind,text", [
     *[("email", t) for t in ("alice[@]example[.]com", "bob(@)mail.org", "eve@host(.)com", "x@host[punto]com", "x@host[point]com", "x{ at }y.com", "x( arroba )y.com", "ann @ host.org")],
-    *[("phone", t) for t in ("+1 415 five five five 1234", "plus 1 415 555 1234", "+߁ ߄߁߅ ߅߅߅ ߁߂߃߄")], ("ip", "192 dot 168 dot 1 dot 1"), ("card", "oh one 0000 0000 0000 0009"),
+    *[("phone", t) for t in ("+1 415 five five five 1234", "plus 1 415 555 1234", "+߁ ߄߁߅ ߅߅߅ ߁߂߃߄")], *[("ip", t) for t in ("192 dot 168 dot 1 dot 1", "192[.]168[.]1[.]1", "192(dot)168(dot)1(dot)1", "192(.)168 [ . ] 1 {punto} 1", "one[.]0[.]0<.>1")], ("card", "oh one 0000 0000 0000 0009"),
 ])
 def test_disguise_is_read(kind, text):
     assert (kind, 0, len(text)) in pii.disguised(text, pii.detect(text))
@@ -32,7 +32,7 @@ def test_signs_lose_nothing():
     assert sum(map(bool, quick)) > 100
 
 
-@pytest.mark.parametrize("unit", ["x dot ", "one dot ", "a at b ", "a@", "1 ", "1.", "+1 (", "five\n", "(at)", " " * 7, "і", "​", "a.b@c.d ", "one two ", "(  ", "x at y dot "])
+@pytest.mark.parametrize("unit", ["x dot ", "one dot ", "a at b ", "a@", "1 ", "1.", "+1 (", "five\n", "(at)", " " * 7, "і", "​", "a.b@c.d ", "one two ", "(  ", "x at y dot ", "1[.]", "1 (dot) ", "1[", "1(dot"])
 def test_time_is_linear(unit):
     text = unit * ((1 << 20) // len(unit))
     began = time.process_time()
