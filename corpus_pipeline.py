@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and all documents that its predecessor kept; all but the last return the
 columns of documents, in which only what a stage says it changes is changed. Other columns may have any name.
 
-Defined results: a null text is empty: it has no letter, so the first stage drops it; a null doc_id is kept (near
-duplicates link it like any other, but only documents with ids go); repeated rows go or stay alike; an empty table gives
+Defined results: a null text is empty: it has no letter, so the first stage drops it; a null doc_id is kept (of
+near duplicates only documents with ids are compared and go); repeated rows go or stay alike; an empty table gives
 an empty result.
 """
 
