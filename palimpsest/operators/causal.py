@@ -6,6 +6,8 @@ repeats no edge; nodes may recur. Edges are pruned by strength before the first
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,28 +17,79 @@ from palimpsest.sources.tables import written
 KEYED = (("角色", "character_"), ("地点", "location_"))
 
 
-def trails(edges: DataFrame, starts: DataFrame, max_depth: int = 5, min_strength: float = 0.5, backward: bool = False, keep: str = "all") -> DataFrame:
-    """start, depth, nodes array, edges array<struct> of all trails of 1..max_depth edges from starts(start).
+def _steps(edges: DataFrame, min_strength: float) -> DataFrame:
+    """The strong edges, written: every level of both directions reads them."""
+    own = F.struct("src", "dst", "relation_type", "strength", "conditions", "exceptions")
+    return written(edges.where(F.col("strength") >= min_strength).select("src", "dst", F.xxhash64("src", "dst", "relation_type").alias("_id"), own.alias("_edge")), "steps")
 
-    keep: `all` edges of a trail, the `last` one only, or `none`; without need they should not travel. A loop of max_depth
-    joins. The pruned edges and the trails of each depth are written to the shared folder, so that
-    a depth is planned and made once, from the one before it, and a lost executor repeats no earlier one.
-    """
+
+def _levels(steps: DataFrame, starts: DataFrame, max_depth: int, backward: bool, keep: str) -> list[DataFrame]:
+    """Trails of 1, 2, ... max_depth edges: start, nodes, _ids (of edges, in the order they were met) and edges.
+
+    Levels from the second one on are written, but for the last, so that a level is planned and made once, from the
+    one before it, and a lost executor repeats no earlier one."""
     near, far = ("dst", "src") if backward else ("src", "dst")
-    own = F.struct("src", "dst", "relation_type", "strength", "conditions", "exceptions")
-    step = edges.where(F.col("strength") >= min_strength).select(F.col(near).alias("_near"), F.col(far).alias("_far"), F.xxhash64("src", "dst", "relation_type").alias("_id"), own.alias("_edge"))
-    step = written(step, "steps")
+    step = steps.select(F.col(near).alias("_near"), F.col(far).alias("_far"), "_id", "_edge")
     level = starts.select("start").join(step, F.col("start") == F.col("_near")).select("start", F.array("start", "_far").alias("nodes"), F.array("_id").alias("_ids"), *[F.array("_edge").alias("edges")] * (keep != "none"))
-    out = level = written(level, "trails")
     more = [F.concat("edges", F.array("_edge")).alias("edges")] if keep == "all" else [F.array("_edge").alias("edges")] if keep == "last" else []
-    for _ in range(max_depth - 1):
+    out = [level]
+    for depth in range(2, max_depth + 1):
         tip = F.element_at("nodes", -1)
         level = level.join(step, (tip == F.col("_near")) & ~F.array_contains("_ids", F.col("_id"))).select(
             "start", F.concat("nodes", F.array("_far")).alias("nodes"), F.concat("_ids", F.array("_id")).alias("_ids"), *more
         )
-        level = written(level, "trails")
-        out = out.unionByName(level)
-    return out.select("start", F.size("_ids").alias("depth"), "nodes", *["edges"] * (keep != "none"))
+        level = written(level, "trails") if depth < max_depth else level
+        out.append(level)
+    return out
+
+
+def trails(edges: DataFrame, starts: DataFrame, max_depth: int = 5, min_strength: float = 0.5, backward: bool = False, keep: str = "all") -> DataFrame:
+    """start, depth, nodes array, edges array<struct> of all trails of 1..max_depth edges from starts(start).
+
+    keep: `all` edges of a trail, the `last` one only, or `none`; without need they should not travel. A loop of max_depth
+    joins.
+    """
+    levels = _levels(_steps(edges, min_strength), starts, max_depth, backward, keep)
+    found = [x.select("start", F.size("_ids").alias("depth"), "nodes", *["edges"] * (keep != "none")) for x in levels]
+    return reduce(DataFrame.unionByName, found)
+
+
+#: Middle nodes up to this many are broadcast as a filter; more are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
+
+
+def between(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, min_strength: float = 0.5, with_edges: bool = True) -> DataFrame:
+    """start, end, depth, nodes, edges of all trails of 1..max_depth edges from start to end, for each of pairs(start, end).
+
+    Both ends expand, half the way each, and meet in the middle: a trail of n edges is a forward half of n - n div 2 and a
+    backward half of n div 2 edges that share a node and no edge, which is the one way to cut it. So branching counts to
+    the power of half the depth. The longest forward halves, which are most of the rows, go on only if their last node
+    is one that a backward half has reached. Repeated pairs count once; a pair of one node finds its closed trails.
+    """
+    wanted = written(pairs.select("start", "end").dropna().distinct(), "pairs")
+    steps, half, keep = _steps(edges, min_strength), max_depth // 2, "all" if with_edges else "none"
+    tip = F.element_at("nodes", -1)
+    back = _levels(steps, wanted.select(F.col("end").alias("start")).distinct(), half, True, keep) if half else []
+    forward = _levels(steps, wanted.select("start").distinct(), max_depth - half, False, keep)
+    if back:
+        back[-1] = written(back[-1], "backward")
+    met_by = back[-1:] if max_depth % 2 else back[-2:]  # the backward halves that the longest forward ones can meet
+    if len(met_by) == 2 - max_depth % 2:
+        middle = written(reduce(DataFrame.unionByName, [x.select(tip.alias("_tip")) for x in met_by]).distinct(), "middle")
+        longest = forward[-1].withColumn("_tip", tip)
+        forward[-1] = longest.join(F.broadcast(middle) if middle.count() <= BROADCAST_NODES else middle, "_tip", "left_semi").drop("_tip")
+    forward[-1] = written(forward[-1], "forward")
+    found = []
+    for n in range(1, max_depth + 1):
+        first = forward[n - n // 2 - 1].join(wanted, "start")
+        rows = first.where(tip == F.col("end")) if n == 1 else None
+        if rows is None:
+            second = back[n // 2 - 1].select(F.col("start").alias("end"), tip.alias("_middle"), F.col("nodes").alias("_nodes"), F.col("_ids").alias("_back"), *[F.col("edges").alias("_edges")] * with_edges)
+            rows = first.withColumn("_middle", tip).join(second, ["end", "_middle"]).where(~F.arrays_overlap("_ids", "_back"))
+            rows = rows.withColumn("nodes", F.concat("nodes", F.slice(F.reverse("_nodes"), 2, n // 2)))
+            rows = rows.withColumn("edges", F.concat("edges", F.reverse("_edges"))) if with_edges else rows
+        found.append(rows.select("start", "end", F.lit(n).alias("depth"), "nodes", *["edges"] * with_edges))
+    return reduce(DataFrame.unionByName, found)
 
 
 def active_ends(found: DataFrame, active: DataFrame) -> DataFrame:

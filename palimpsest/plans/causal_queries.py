@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import causal as G
@@ -47,6 +47,16 @@ def o_g2_trace_backward(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("start", F.col("depth").cast("long").alias("depth"), _path("nodes").alias("path"))
 
 
+@query(_trails(5, 0.5, "1") + f""", wanted AS (SELECT event_id AS start, lead(event_id, 6) OVER (PARTITION BY gid ORDER BY ts, event_id) AS finish FROM ce)
+SELECT start, finish AS "end", depth::BIGINT AS depth, list_aggregate(list_transform(nodes, lambda x: x::VARCHAR), 'string_agg', '>') AS path FROM t JOIN wanted USING (start) WHERE tip = finish""")
+def o_g1_between(spark: SparkSession, sf: str) -> DataFrame:
+    """The trails of up to five edges from every event to the same user's sixth after it."""
+    order = Window.partitionBy("group_id").orderBy("ts", "event_id")
+    pairs = B.causal_events(spark, sf).select(F.col("event_id").alias("start"), F.lead("event_id", 6).over(order).alias("end"))
+    found = G.between(B.causal_edges(spark, sf), pairs, 5, 0.5, with_edges=False)
+    return found.select("start", "end", F.col("depth").cast("long").alias("depth"), _path("nodes").alias("path"))
+
+
 @query(_trails(2, 0.5, "1") + "SELECT start, list_aggregate(list_transform(nodes, lambda x: 'event ' || x), 'string_agg', '|') AS names, strength AS last_strength FROM t")
 def o_g3_path_materialisation(spark: SparkSession, sf: str) -> DataFrame:
     found = G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 2, 0.5)
@@ -92,8 +102,6 @@ def o_g5_consequences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_trails(3, 0.6, "1") + f"SELECT start, tip AS event_id, depth::BIGINT AS steps, rank() OVER (PARTITION BY start ORDER BY {_PROB} DESC) AS rank FROM t")
 def o_w9_consequence_rank(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = G.consequences(B.causal_edges(spark, sf), _starts(spark, sf), B.scenario()).withColumn("p", F.round("probability", 6))
     return rows.select("start", "event_id", F.col("steps").cast("long").alias("steps"), F.rank().over(Window.partitionBy("start").orderBy(F.desc("p"))).cast("long").alias("rank"))
 
