@@ -12,7 +12,7 @@ from palimpsest.operators import changes as C
 from palimpsest.operators import shred, temporal, versions
 from palimpsest.plans.base import WORLD, query
 from palimpsest.plans.bindings import SESSIONS, messages_at, table, version_history, world_entries, world_texts
-from palimpsest.sources.responses import append
+from palimpsest.sources.appends import append_once, appended
 from palimpsest.sources.tables import shared_dir, written
 
 _W = f"WITH {WORLD} "
@@ -192,11 +192,11 @@ def o_p15_episode_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_STORE + "SELECT session_id, status, count(*) AS n FROM store GROUP BY 1, 2")
 def o_s4_episode_append(spark: SparkSession, sf: str) -> DataFrame:
-    """First versions appended to the table of episodes, then those of the sync."""
-    path, rows = f"{shared_dir(spark)}/episodes-{uuid.uuid4().hex}", _synced(spark, sf)
-    for part in (rows.where("version = 1"), rows.where("version > 1")):
-        append(part, path, ("status",))
-    return spark.read.schema(rows.schema).parquet(path).groupBy("session_id", "status").agg(F.count("*").alias("n"))
+    """First versions appended to the table of episodes, that batch again, then all versions, of which only those of the sync are new."""
+    path, rows = f"{shared_dir(spark)}/episodes-{uuid.uuid4().hex}", written(_synced(spark, sf), "synced")
+    for batch, part in (("first", rows.where("version = 1")), ("first", rows.where("version = 1")), ("sync", rows)):
+        append_once(part, path, batch)
+    return appended(spark, path, rows.schema).groupBy("session_id", "status").agg(F.count("*").alias("n"))
 
 
 @query(_W + "SELECT o.session_id, o.entry_id, n.name AS wanted FROM n JOIN feed USING (session_id, entry_id) JOIN o ON o.session_id = n.session_id AND o.kind = n.kind AND contains(o.name, n.name) WHERE feed.change = 'modified'")
