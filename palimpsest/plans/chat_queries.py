@@ -11,7 +11,7 @@ from palimpsest.functions import text as T
 from palimpsest.operators import analysis as A
 from palimpsest.operators import changes as C
 from palimpsest.operators import messages as M
-from palimpsest.operators import shred
+from palimpsest.operators import scoring, shred
 from palimpsest.plans.base import CHAT, PROMPT, query, trimmed
 from palimpsest.plans.bindings import chats, flat, prompts, table
 from palimpsest.sources.responses import read_messages
@@ -145,18 +145,46 @@ def _parts(parts: tuple[str, ...], *values: str) -> str:
 _HEROES = """'"hero_' || (session_id % 5) || '"'"""
 
 
+_PROMPTS = _P.rstrip() + f""", l AS (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY pos) AS dialog FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS k FROM turns) WHERE k <= 5 GROUP BY 1),
+asked AS (SELECT session_id, 'state' AS kind, {_parts(A.STATE_PARTS, _HEROES, "''", "dialog")} AS prompt FROM l
+UNION ALL SELECT session_id, 'causal', {_parts(A.CAUSAL_PARTS, "content", _HEROES, "location", "''")} FROM narr)
+"""
+
+
 @query(_P.rstrip() + f""", l AS (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY pos) AS dialog FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS k FROM turns) WHERE k <= 5 GROUP BY 1)
 SELECT session_id, 'state' AS kind, md5({_parts(A.STATE_PARTS, _HEROES, "''", "dialog")}) AS prompt, count(*) AS n FROM l GROUP BY ALL
 UNION ALL SELECT session_id, 'causal', md5({_parts(A.CAUSAL_PARTS, "content", _HEROES, "location", "''")}), count(*) FROM narr GROUP BY ALL""")
 def o_p19_analysis_prompt(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of the texts for an offline batch scorer: one for the dialog of a session, one for each narrative."""
+    return _analysis_prompts(spark, sf).groupBy("session_id", "kind", F.md5(F.col("prompt").cast("binary")).alias("prompt")).agg(F.count("*").alias("n"))
+
+
+def _analysis_prompts(spark: SparkSession, sf: str) -> DataFrame:
     rows = written(prompts(spark, sf), "prompts")
     narratives = shred.narratives(rows).select("session_id", "content", F.try_element_at("metadata", F.lit("location")).alias("place"), F.try_element_at("metadata", F.lit("character")).alias("who"))
     heroes = narratives.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("who")), ", ").alias("heroes"))
     turns = shred.dialog_turns(rows).select("session_id", F.col("pos").alias("turn"), "role", F.col("content").alias("text"))
     state = M.recent_dialog(turns, "session_id").join(heroes, "session_id", "left").select("session_id", F.lit("state").alias("kind"), A.state_prompt(F.col("heroes"), F.col("dialog")).alias("prompt"))
     causal = narratives.join(heroes, "session_id", "left").select("session_id", F.lit("causal").alias("kind"), A.causal_prompt(F.col("content"), F.col("heroes"), F.col("place"), F.lit("")).alias("prompt"))
-    return state.unionByName(causal).groupBy("session_id", "kind", F.md5(F.col("prompt").cast("binary")).alias("prompt")).agg(F.count("*").alias("n"))
+    return state.unionByName(causal)
+
+
+def _stand_in(prompt: str, attempt: int) -> str:
+    """In place of a model: counts characters. A prompt fails as often as the last digit of its length says, from 7 on always."""
+    if attempt <= len(prompt) % 10 - 5 or len(prompt) % 10 >= 7:
+        raise ValueError(f"attempt {attempt}")
+    return str(len(prompt))
+
+
+@query(_PROMPTS + """SELECT session_id, kind, length(prompt) AS n_chars, CASE WHEN length(prompt) % 10 >= 7 THEN 'dead' ELSE 'answered' END AS status, CASE WHEN length(prompt) % 10 >= 7 THEN 3 ELSE greatest(1, length(prompt) % 10 - 4) END::INTEGER AS attempts,
+  CASE WHEN length(prompt) % 10 < 7 THEN length(prompt)::VARCHAR END AS answer, CASE WHEN length(prompt) % 10 >= 7 THEN 'ValueError: attempt 3' END AS error, count(*) AS n FROM asked GROUP BY ALL""")
+def o_p19_scored_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """All analysis prompts through the batch scorer, which is cut off after its first round and started again."""
+    asked, path = written(_analysis_prompts(spark, sf), "analysis_prompts"), f"{shared_dir(spark)}/outcomes-{uuid.uuid4().hex}"
+    scoring.score(asked, _stand_in, path, rounds=1)
+    scoring.score(asked, _stand_in, path)
+    rows = scoring.answers(asked, path).select("session_id", "kind", F.length("prompt").cast("long").alias("n_chars"), "status", "attempts", "answer", "error")
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
