@@ -59,6 +59,26 @@ def o_t2_chat_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _steps(f"{at}/in", lambda: J.to_table(J.chat_changes(_source(J.configure(spark), f"{at}/in", old.schema)), f"{at}/out", f"{at}/check"), old, new)
 
 
+_HISTORIES = f"""WITH {CHAT}, rows AS (SELECT session_id, 1 AS step, 0 AS n_before, 'append' AS change, 0 AS diff_index, len(ol) AS n_messages FROM chat WHERE len(ol) > 0
+UNION ALL SELECT session_id, 2, CASE WHEN session_id % 2 = 0 THEN len(ol) ELSE 0 END, CASE WHEN session_id % 2 = 0 THEN change ELSE 'append' END, CASE WHEN session_id % 2 = 0 THEN d ELSE 0 END, len(nl) FROM chat WHERE len(nl) > 0
+UNION ALL SELECT session_id, 3, len(ol), 'ended', NULL, 0 FROM chat WHERE len(ol) > 0 AND len(nl) > 0 AND session_id % 2 <> 0
+UNION ALL SELECT session_id, 4, CASE WHEN len(nl) > 0 THEN len(nl) ELSE len(ol) END, 'ended', NULL, 0 FROM chat)
+"""
+
+
+@query(_HISTORIES + "SELECT session_id, n_before::BIGINT AS n_before, change, diff_index::BIGINT AS diff_index, n_messages::BIGINT AS n_messages FROM rows")
+def o_t2_chat_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Histories of sessions that end after an hour: those of even number come again in half an hour, others in three."""
+    at = _at(spark)
+    old, new = (c.select("session_id", "turn", "content_hash") for c in B.chats(spark, sf))
+    later = F.when(F.col("session_id") % 2 == 0, 1800).otherwise(10800)
+    steps = [c.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + wait)) for c, wait in ((old, F.lit(0)), (new, later))]
+    # Two rows of no session: one moves the watermark past all sessions, one makes a batch under it.
+    ends = [spark.range(1).select(F.lit(-1).cast(old.schema["session_id"].dataType).alias("session_id"), F.lit(k).cast(old.schema["turn"].dataType).alias("turn"), F.lit("x").alias("content_hash"), F.timestamp_seconds(F.lit(1704067200 + 90_000 * k)).alias("ts")) for k in (1, 2)]
+    sessions = lambda: J.to_table(J.chat_sessions(_source(J.configure(spark), f"{at}/in", steps[0].schema)), f"{at}/out", f"{at}/check")
+    return _steps(f"{at}/in", sessions, *steps, *ends).where("session_id >= 0")
+
+
 @query(f"WITH {PSYCH} {REASON} SELECT trn.cid AS user_id, psid AS from_state, trn.sid AS to_state, ds AS stability_change, kind AS transition_type, coalesce(reason, '自然演化') AS transition_reason, score AS rationality_score FROM trn LEFT JOIN reasons USING (cid, sid)")
 def o_t3_transition_stream(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)

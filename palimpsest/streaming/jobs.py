@@ -82,21 +82,59 @@ def store(spark: SparkSession, path: str, number: int) -> DataFrame:
     return _read(spark, path, _manifest(spark, path, number))
 
 
-# Chat histories: the list of hashes of each session is in the state store.
+# Chat histories: the hashes of each session are a list in the state store.
+
+ENDED = "ended"
 
 
 class ChatDiff(StatefulProcessor):
-    """Rows (session_id, turn, content_hash) of whole histories, one history of a session in a batch."""
+    """Rows (session_id, turn, content_hash, and ms if sessions end) of whole histories, one history of a session in a batch.
+
+    An append adds to the list and leaves what is stored alone. With an idle limit a session ends when its next history
+    begins later than the limit after its last message, or when the watermark has passed that time and nothing came: it
+    gives a row of its own and its state goes. What comes later is a new session's history.
+    """
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hashes = handle.getValueState("hashes", "hashes array<string>")
+        self.handle = handle
+        self.hashes = handle.getListState("hashes", "hash string")
+        if self.idle is not None:
+            self.seen = handle.getValueState("seen", "last long")
+
+    @staticmethod
+    def _row(key, n_before: int, change: str, at: int | None, n: int) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [key[0]], "n_before": [n_before], "change": [change], "diff_index": pd.array([at], "Int64"), "n_messages": [n]})
+
+    def _end(self, key, n: int) -> pd.DataFrame:
+        self.hashes.clear()
+        return self._row(key, n, ENDED, None, 0)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("turn")["content_hash"].tolist()
-        old = list(self.hashes.get()[0]) if self.hashes.exists() else []
+        given = pd.concat(list(rows)).sort_values("turn")
+        new, old = given["content_hash"].tolist(), [h[0] for h in self.hashes.get()] if self.hashes.exists() else []
+        if self.idle is not None:
+            if self.seen.exists() and int(given["ms"].min()) > self.seen.get()[0] + self.idle:
+                yield self._end(key, len(old))
+                old = []
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            last = int(given["ms"].max())
+            self.seen.update((last,))
+            self.handle.registerTimer(last + self.idle)
         change, at = classify(old, new)
-        self.hashes.update((new,))
-        yield pd.DataFrame({"session_id": [key[0]], "n_before": [len(old)], "change": [change], "diff_index": pd.array([at], "Int64"), "n_messages": [len(new)]})
+        if old and change == "append":
+            self.hashes.appendList([(h,) for h in new[len(old) :]])
+        elif new and change != "no_change":
+            self.hashes.put([(h,) for h in new])
+        yield self._row(key, len(old), change, at, len(new))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n = sum(1 for _ in self.hashes.get()) if self.hashes.exists() else 0
+        self.seen.clear()
+        yield self._end(key, n)
 
     def close(self) -> None:
         pass
@@ -116,8 +154,19 @@ def classify(old: list[str], new: list[str]) -> tuple[str, int | None]:
     return ("truncation" if len(new) < len(old) and at >= len(new) else "modification"), at
 
 
+CHAT_ROW = "session_id long, n_before long, change string, diff_index long, n_messages long"
+
+
 def chat_changes(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("session_id").transformWithStateInPandas(ChatDiff(), "session_id long, n_before long, change string, diff_index long, n_messages long", "Append", "None")
+    """The change of each history against the session's one before; sessions never end."""
+    return messages.groupBy("session_id").transformWithStateInPandas(ChatDiff(), CHAT_ROW, "Append", "None")
+
+
+def chat_sessions(messages: DataFrame, idle_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """The same for messages with a time `ts`, and a row `ended` for each session that was idle beyond the limit, whose
+    state is dropped. Messages behind the watermark (the latest time less `delay`) come too late and are left out."""
+    rows = messages.withWatermark("ts", delay).select("session_id", "turn", "content_hash", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("session_id").transformWithStateInPandas(ChatDiff(idle_minutes * 60_000), CHAT_ROW, "Append", "EventTime")
 
 
 # Character states: the last one of each character is in the state store.
@@ -134,7 +183,8 @@ class Transitions(StatefulProcessor):
         before = [self.last.get()[0]] if self.last.exists() else []
         both = before + new
         self.last.update((both[-1],))
-        yield pd.DataFrame({"character_id": key[0], "prev": both[:-1], "state": both[1:]})
+        if len(both) > 1:
+            yield pd.DataFrame({"character_id": key[0], "prev": both[:-1], "state": both[1:]})
 
     def close(self) -> None:
         pass
