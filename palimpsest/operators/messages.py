@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A session id in a system message. Fixed value.
+SESSION_ID = r"SESSION_ID\s*[:]\s*([^\s]+)"
+
+
 def session_ids(requests: DataFrame, key: str = "request_id") -> DataFrame:
     """Header, else body field, else SESSION_ID: of the first system message that has one, else one made of the key.
 
     requests: key, turn, role, text, header_id, body_id (the same on all rows of a request).
     """
-    given = F.regexp_extract("text", r"SESSION_ID\s*[:]\s*([^\s]+)", 1)
+    given = F.regexp_extract("text", SESSION_ID, 1)
     own = (F.col("role") == "system") & (given != "")
     system = F.min_by(F.when(own, given), F.when(own, F.col("turn"))).alias("_s")
     rows = requests.groupBy(key).agg(F.max("header_id").alias("_h"), F.max("body_id").alias("_b"), system)

@@ -18,6 +18,8 @@ TAGS = (
 #: A tagged section, and the blank lines between blocks. Fixed values.
 SECTION = r"<([^>/]+)>([\s\S]*?)</\1>"
 BLOCK_GAP = r"(?U)\n(?:[\s\x1c-\x1f&&[^\n]]*\n)+"
+#: What stands in brackets behind a word, and a quoted value in brackets. Fixed values.
+NAMED, QUOTED = r"\s*\(\s*([^)]+)\s*\)", r'\["([^"]+)"\]'
 #: Signs of a dialog. Fixed value.
 DIALOG = "User:|Assistant:"
 
@@ -42,7 +44,7 @@ def blocks(text: Column) -> Column:
 
 def metadata(block: Column) -> Column:
     """Map of location and character, as far as the block names them."""
-    place, who = (T.strip(F.regexp_extract(block, rf"{word}\s*\(\s*([^)]+)\s*\)", 1)) for word in ("地点", "角色"))
+    place, who = (T.strip(F.regexp_extract(block, word + NAMED, 1)) for word in ("地点", "角色"))
     return F.map_filter(F.create_map(F.lit("location"), place, F.lit("character"), who), lambda _, v: v != "")
 
 
@@ -149,7 +151,7 @@ def properties(content: Column) -> Column:
 
     Each pattern is run once a text, and the last of a key is found by sorting.
     """
-    hits = F.regexp_extract_all(content, F.lit(r'\["([^"]+)"\]'), 1)
+    hits = F.regexp_extract_all(content, F.lit(QUOTED), 1)
     named = F.transform(hits, lambda v, i: F.struct(F.when(i == 0, F.lit("primary_description")).otherwise(F.concat(F.lit("attribute_"), i.cast("string"))).alias("key"), v.alias("value")))
     pairs = F.transform(F.regexp_extract_all(content, F.lit(_PAIR), 0), lambda p: F.struct(F.substring_index(p, ":", 1).alias("key"), T.strip(p.substr(F.instr(p, ":") + 1, F.length(p))).alias("value")))
     placed = F.transform(F.concat(named, pairs), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))

@@ -15,7 +15,7 @@ def rows(columns, values):
     return sorted(columns), sorted(repr([v[i] for i in order]) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_rows_equal_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no tables here")
