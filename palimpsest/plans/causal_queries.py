@@ -148,15 +148,15 @@ def o_g4_store_chain(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.join(stored, "session_id", "left").join(given, "session_id", "left").fillna(0, ["n_stored", "n_given"])
 
 
-_STATE = f"WITH {PSYCH}, x AS (SELECT *, day_of AS d FROM (SELECT *, CAST(substr(sid, 9, 2) AS INTEGER) AS day_of FROM tot JOIN dom USING (cid, sid))), y AS (SELECT *, (cid + d) % 97 = 0 AS broken FROM x) "
+STATE = f"WITH {PSYCH}, x AS (SELECT *, day_of AS d FROM (SELECT *, CAST(substr(sid, 9, 2) AS INTEGER) AS day_of FROM tot JOIN dom USING (cid, sid))), y AS (SELECT *, (cid + d) % 97 = 0 AS broken FROM x) "
 
 
-@query(_STATE + "SELECT cid || '|' || sid AS response_id, NOT broken AS ok, CASE WHEN NOT broken THEN dominant END AS dominant_emotion, round(CASE WHEN broken OR d % 3 = 0 THEN 0.8 ELSE stability END + 1e-7, 3)::DOUBLE AS stability_score, round(CASE WHEN broken THEN 0.7 ELSE intensity END + 1e-7, 3)::DOUBLE AS intensity_level, 0.9::DOUBLE AS arousal_level, 0.85::DOUBLE AS confidence FROM y")
+@query(STATE + "SELECT cid || '|' || sid AS response_id, NOT broken AS ok, CASE WHEN NOT broken THEN dominant END AS dominant_emotion, round(CASE WHEN broken OR d % 3 = 0 THEN 0.8 ELSE stability END + 1e-7, 3)::DOUBLE AS stability_score, round(CASE WHEN broken THEN 0.7 ELSE intensity END + 1e-7, 3)::DOUBLE AS intensity_level, 0.9::DOUBLE AS arousal_level, 0.85::DOUBLE AS confidence FROM y")
 def o_s2_state_response(spark: SparkSession, sf: str) -> DataFrame:
     return R.states(B.state_responses(spark, sf)).select("response_id", "ok", "dominant_emotion", F.round(F.col("stability_score") + 1e-7, 3).alias("stability_score"), F.round(F.col("intensity_level") + 1e-7, 3).alias("intensity_level"), "arousal_level", "confidence")
 
 
-@query(_STATE + ", z AS (SELECT *, CASE WHEN d % 5 = 0 THEN intensity + 1 ELSE intensity END AS i, CASE WHEN d % 7 <> 0 THEN dominant END AS dm FROM y) SELECT cid AS user_id, sid AS state_id, concat_ws(',', CASE WHEN dm IS NULL THEN 'dominant: missing' END, CASE WHEN i > 1 THEN 'intensity: out of range' END) AS violations FROM z WHERE dm IS NULL OR i > 1")
+@query(STATE + ", z AS (SELECT *, CASE WHEN d % 5 = 0 THEN intensity + 1 ELSE intensity END AS i, CASE WHEN d % 7 <> 0 THEN dominant END AS dm FROM y) SELECT cid AS user_id, sid AS state_id, concat_ws(',', CASE WHEN dm IS NULL THEN 'dominant: missing' END, CASE WHEN i > 1 THEN 'intensity: out of range' END) AS violations FROM z WHERE dm IS NULL OR i > 1")
 def o_f6_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     from palimpsest.operators import quality as Q
 

@@ -12,7 +12,10 @@ from pyspark.sql.types import StructType
 
 from palimpsest.plans import bindings as B
 from palimpsest.plans.base import CHAT, PSYCH, REASON, WORLD, query
+from palimpsest.plans.causal_queries import STATE
 from palimpsest.plans.world_queries import T0
+from palimpsest.sources import response_files as RF
+from palimpsest.sources import responses as R
 from palimpsest.sources.tables import shared_dir
 from palimpsest.streaming import jobs as J
 
@@ -96,6 +99,21 @@ def o_t4_response_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").groupBy("session_id").agg(F.count_distinct("episode_id").alias("n"))
 
 
+@query(STATE + "SELECT cid || '|' || sid AS response_id, broken AS set_aside, CASE WHEN NOT broken THEN dominant END AS dominant_emotion, round(CASE WHEN NOT broken AND d % 3 <> 0 THEN stability END + 1e-7, 3)::DOUBLE AS stability_score FROM y")
+def o_t4_response_files(spark: SparkSession, sf: str) -> DataFrame:
+    """States as files of JSON lines that come in two steps, read by a stream that ends and begins anew between them."""
+    at = _at(spark)
+    rows = B.state_responses(spark, sf)
+    line = F.concat(F.lit('{"response_id":"'), "response_id", F.lit('","state":'), "response", F.lit("}"))
+    early = F.coalesce(F.col("state_id") < "2024-01-16", F.lit(False))
+    for step, part in enumerate((rows.where(early), rows.where(~early))):
+        part.select(line).write.text(f"{at}/in/step={step}")
+        out = J.to_table(RF.records(RF.line_stream(spark, f"{at}/in"), f"response_id string, state struct<{R.STATE}>"), f"{at}/out", f"{at}/check")
+    bad = F.col("value").isNull()
+    name = F.when(bad, F.regexp_extract("text", '"response_id":"([^"]*)"', 1)).otherwise(F.col("value.response_id"))
+    return out.select(name.alias("response_id"), bad.alias("set_aside"), "value.state.dominant_emotion", F.round(F.col("value.state.stability_score") + 1e-7, 3).alias("stability_score"))
+
+
 @query("SELECT conv_id AS session_id, count(DISTINCT md5(role || ':' || coalesce(text, ''))) AS n FROM conversations GROUP BY 1")
 def o_t5_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     at = _at(spark)
