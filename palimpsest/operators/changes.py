@@ -30,35 +30,44 @@ def property_changes(old: Column, new: Column) -> Column:
     return F.map_filter(F.map_zip_with(old, new, lambda _, a, b: F.struct(a.alias("old"), b.alias("new"))), lambda _, v: ~v["old"].eqNullSafe(v["new"]))
 
 
+FIELDS = ("entry_type", "name", "content", "content_hash")
+
+
 def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
     """added, removed, modified and unchanged in one full outer join; both sides have one row an id.
 
     Columns: session_id, entry_id, change, old, new (structs), diff (its fields are null but for modified entries).
-    Properties and similarities are taken behind the join, of modified entries only, and only if they are asked for.
+    The columns of both sides go through the join one by one and only as far as they are asked for: kinds and counts of
+    changes shuffle ids and hashes, no contents. Properties and similarities are taken behind the join, of modified
+    entries only, and only if they are asked for.
     """
-    fields = ("entry_type", "name", "content", "content_hash")
-    sides = [df.select(*KEYS, F.struct(*fields).alias(side)) for df, side in ((old, "old"), (new, "new"))]
+    sides = [df.select(*KEYS, F.lit(True).alias(f"_{side}"), *[F.col(c).alias(f"_{side}_{c}") for c in FIELDS]) for df, side in ((old, "old"), (new, "new"))]
     rows = sides[0].join(sides[1], list(KEYS), "full_outer")
     change = (
-        F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
-        .when(F.col("old.content_hash").eqNullSafe(F.col("new.content_hash")), "unchanged").otherwise("modified")
+        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
+        .when(F.col("_old_content_hash").eqNullSafe(F.col("_new_content_hash")), "unchanged").otherwise("modified")
     )
-    return with_difference(rows.withColumn("change", change))
+    rows = rows.withColumns({"change": change, "_similarity": T.char_jaccard(*_modified(change, "content"))})
+    whole = {side: F.when(F.col(f"_{side}"), F.struct(*[F.col(f"_{side}_{c}").alias(c) for c in FIELDS])) for side in ("old", "new")}
+    return rows.select(*KEYS, "change", *[v.alias(k) for k, v in whole.items()], _difference().alias("diff"))
+
+
+def _modified(change: Column, field: str) -> list[Column]:
+    """A field before and after, of modified entries only."""
+    return [F.when(change == "modified", F.col(f"_{side}_{field}")) for side in ("old", "new")]
 
 
-def with_difference(rows: DataFrame) -> DataFrame:
-    """Adds `diff` to rows with change, old and new."""
-    modified = F.col("change") == "modified"
-    a, b = (F.when(modified, F.col(f"{side}.content")) for side in ("old", "new"))
+def _difference() -> Column:
+    change = F.col("change")
+    modified = change == "modified"
+    (a, b), names, kinds = (_modified(change, c) for c in ("content", "name", "entry_type"))
     differ = modified & ~a.eqNullSafe(b)
-    rows = rows.withColumn("_similarity", T.char_jaccard(a, b))
-    change = F.when(differ, 1 - F.col("_similarity"))
-    props = [shred.entry_properties(F.when(modified, F.col(f"{side}.entry_type")), c) for side, c in (("old", a), ("new", b))]
-    diff = F.struct(
-        F.when(modified, ~F.col("old.name").eqNullSafe(F.col("new.name"))).alias("name_changed"), F.when(modified, differ).alias("content_changed"), F.when(modified, property_changes(*props)).alias("properties_changed"),
-        F.when(differ, T.change_type(a, b, change)).alias("change_type"), F.when(modified, F.coalesce(change, F.lit(0.0))).alias("change_percentage"),
+    share = F.when(differ, 1 - F.col("_similarity"))
+    props = [shred.entry_properties(kind, c) for kind, c in zip(kinds, (a, b))]
+    return F.struct(
+        F.when(modified, ~names[0].eqNullSafe(names[1])).alias("name_changed"), F.when(modified, differ).alias("content_changed"), F.when(modified, property_changes(*props)).alias("properties_changed"),
+        F.when(differ, T.change_type(a, b, share)).alias("change_type"), F.when(modified, F.coalesce(share, F.lit(0.0))).alias("change_percentage"),
     )
-    return rows.withColumn("diff", diff).drop("_similarity")
 
 
 def next_snapshot(feed: DataFrame) -> DataFrame:
