@@ -114,9 +114,19 @@ def memories_used(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.count("*").alias("memories_used"))
 
 
+def _listed(best: Column) -> Column:
+    return F.array_join(F.transform(best, lambda m: F.concat(F.lit("- "), m["fact"])), "\n")
+
+
 def memory_summary(found: DataFrame, key: str = "query_id", k: int = 5) -> DataFrame:
     best = F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "fact"))))
-    return found.groupBy(key).agg(F.array_join(F.transform(best, lambda m: F.concat(F.lit("- "), m["fact"])), "\n").alias("summary"))
+    return found.groupBy(key).agg(_listed(best).alias("summary"))
+
+
+def recalled(found: DataFrame, key: str = "query_id", k: int = 5) -> DataFrame:
+    """`memory_summary` and `memories_used` of each query in one grouping."""
+    best = F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "fact"))))
+    return found.groupBy(key).agg(_listed(best).alias("summary"), F.count("*").alias("memories_used"))
 
 
 def context(instructions: DataFrame, dialog: DataFrame, last: DataFrame, summaries: DataFrame, key: str = "session_id", recent: int = 5) -> DataFrame:
@@ -132,8 +142,16 @@ def context(instructions: DataFrame, dialog: DataFrame, last: DataFrame, summari
     rows = last.select(key, F.struct("role", "content").alias("_last"), "error")
     for part in (first, turns, summaries):
         rows = rows.join(part, key, "left")
-    memory = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", F.concat(F.lit("\n\n相关记忆：\n"), "summary")).otherwise("")
-    system = F.concat(F.coalesce("_first", F.lit("")), memory)
-    head = F.when(system != "", F.array(F.struct(F.lit("system").alias("role"), system.alias("content")))).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
-    whole = F.concat(head, F.coalesce("_turns", F.array().cast("array<struct<role:string,content:string>>")), F.array("_last"))
+    whole = messages(F.col("_first"), F.coalesce("_turns", F.array().cast(MESSAGES)), F.col("summary"), F.col("_last"))
     return rows.select(key, F.when(F.col("error").isNull(), whole).alias("messages"), "error")
+
+
+MESSAGES = "array<struct<role:string,content:string>>"
+
+
+def messages(instruction: Column, turns: Column, summary: Column, last: Column) -> Column:
+    """A context: a system message of instruction and memories unless both are empty, turns, the last message."""
+    memory = F.when(F.coalesce(summary, F.lit("")) != "", F.concat(F.lit("\n\n相关记忆：\n"), summary)).otherwise("")
+    system = F.concat(F.coalesce(instruction, F.lit("")), memory)
+    head = F.when(system != "", F.array(F.struct(F.lit("system").alias("role"), system.alias("content")))).otherwise(F.array().cast(MESSAGES))
+    return F.concat(head, turns, F.array(last))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,21 +101,48 @@ def dialog_turns(prompts: DataFrame, key: str = "session_id", prompt: str = "pro
     return both.select(key, "section", F.posexplode(turns(F.col("body"))).alias("pos", "t")).select(key, "section", "pos", "t.role", "t.content")
 
 
+def _of(s: Column, *kinds: str) -> Column:
+    """The sections of some kinds or types."""
+    return F.filter(s, lambda x: x["tag"].isin([t[0] for t in TAGS if t[1] in kinds or t[2] in kinds]))
+
+
+def _total(items: Column, size: Callable[[Column], Column]) -> Column:
+    return F.aggregate(items, F.lit(0), lambda n, x: n + size(x))
+
+
+def _narratives(s: Column, rest: Column) -> Column:
+    """How many narratives there are."""
+    (world,) = [t[0] for t in TAGS if t[2] == "world_info"]
+    own = _total(_of(s, "narrative"), lambda x: F.when(x["tag"] == world, F.size(blocks(x["body"]))).otherwise(1))
+    return own + F.when((rest != "") & ~is_dialog(rest), 1).otherwise(0)
+
+
+def _once(prompt: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(sections, remainder), both taken once."""
+    return T.bound(sections(prompt), lambda s: T.bound(remainder(prompt), lambda rest: use(s, rest)))
+
+
 def shredded(prompts: DataFrame, key: str = "session_id", prompt: str = "prompt") -> DataFrame:
     """Per prompt the counts of what the three tables hold, and its length: one projection, no shuffle."""
-    kinds = {kind: [t[0] for t in TAGS if t[1] == kind] for kind in ("instruction", "narrative", "dialog")}
-    (world,) = [t[0] for t in TAGS if t[2] == "world_info"]
-    total = lambda items, size: F.aggregate(items, F.lit(0), lambda n, x: n + size(x))
-    own = lambda s, kind: F.filter(s, lambda x: x["tag"].isin(kinds[kind]))
-    counts = T.bound(sections(F.col(prompt)), lambda s: T.bound(remainder(F.col(prompt)), lambda rest: F.struct(
-        F.size(own(s, "instruction")).alias("n_instructions"),
-        (total(own(s, "narrative"), lambda x: F.when(x["tag"] == world, F.size(blocks(x["body"]))).otherwise(1)) + F.when((rest != "") & ~is_dialog(rest), 1).otherwise(0)).alias("n_narratives"),
-        (total(own(s, "dialog"), lambda x: F.size(turns(x["body"]))) + F.when(is_dialog(rest), F.size(turns(rest))).otherwise(0)).alias("n_turns"),
-    )))
+    counts = _once(F.col(prompt), lambda s, rest: F.struct(
+        F.size(_of(s, "instruction")).alias("n_instructions"), _narratives(s, rest).alias("n_narratives"),
+        (_total(_of(s, "dialog"), lambda x: F.size(turns(x["body"]))) + F.when(is_dialog(rest), F.size(turns(rest))).otherwise(0)).alias("n_turns"),
+    ))
     rows = prompts.select(key, F.length(prompt).cast("long").alias("original_length"), counts.alias("_n"))
     return rows.select(key, "original_length", *[F.coalesce(F.col(f"_n.{c}").cast("long"), F.lit(0)).alias(c) for c in ("n_instructions", "n_narratives", "n_turns")])
 
 
+def request_parts(prompts: DataFrame, key: str = "session_id", prompt: str = "prompt") -> DataFrame:
+    """What a request is made of, one row a prompt: instruction (the first one), reference (texts of its reference sections),
+    turns (of all dialog sections, then of a remainder that holds dialog), n_narratives. One projection, no shuffle;
+    a null prompt has empty parts."""
+    parts = _once(F.coalesce(F.col(prompt), F.lit("")), lambda s, rest: F.struct(
+        T.strip(F.get(_of(s, "instruction"), F.lit(0))["body"]).alias("instruction"), F.transform(_of(s, "world_info"), lambda x: x["body"]).alias("reference"),
+        F.concat(F.flatten(F.transform(_of(s, "dialog"), lambda x: turns(x["body"]))), F.filter(turns(rest), lambda _: is_dialog(rest))).alias("turns"), _narratives(s, rest).cast("long").alias("n_narratives"),
+    ))
+    return prompts.select(key, parts.alias("_p")).select(key, "_p.*")
+
+
 #: How entries of each kind begin. Fixed values.
 _ENTRY = (("地点", "location"), ("角色", "character"), ("概念", "concept"))
 _PROFILE = r"(?d)^Character_Profile_of:\s*([^\n]+)"

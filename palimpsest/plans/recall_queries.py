@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
@@ -118,10 +119,11 @@ def _context(spark: SparkSession, sf: str, prompts: DataFrame, found: DataFrame)
     return R.context(shred.instructions(prompts), turns, last, R.memory_summary(found.withColumn("session_id", F.col("query_id")), "session_id"))
 
 
-def _measured(rows: DataFrame) -> DataFrame:
+def _sizes() -> list[Column]:
+    """system_chars and n_messages of contexts."""
     system = F.when(F.col("messages")[0]["role"] == "system", F.length(F.col("messages")[0]["content"])).otherwise(0)
     fine = F.col("messages").isNotNull()
-    return rows.select("session_id", F.when(fine, system).cast("long").alias("system_chars"), F.when(fine, F.size("messages")).cast("long").alias("n_messages"), F.when(fine, F.element_at("messages", -1)["content"]).alias("last_content"), "error")
+    return [F.when(fine, system).cast("long").alias("system_chars"), F.when(fine, F.size("messages")).cast("long").alias("n_messages")]
 
 
 _CONTEXT_PARTS = _MEM.replace("WITH ", f"WITH {PROMPT}, ", 1) + """, summary AS (SELECT query_id AS session_id, string_agg('- ' || fact, chr(10) ORDER BY rank) AS s FROM best WHERE rank <= 5 GROUP BY 1),
@@ -135,7 +137,8 @@ _CONTEXT = _CONTEXT_PARTS + f"SELECT session_id, {_SIZES}, content AS last_conte
 
 @query(_CONTEXT)
 def o_r2_context(spark: SparkSession, sf: str) -> DataFrame:
-    return _measured(_context(spark, sf, written(B.prompts(spark, sf), "prompts"), R.search(*B.memories(spark, sf))))
+    rows = _context(spark, sf, written(B.prompts(spark, sf), "prompts"), R.search(*B.memories(spark, sf)))
+    return rows.select("session_id", *_sizes(), F.element_at("messages", -1)["content"].alias("last_content"), "error")
 
 
 @query(_MEM.rstrip() + f""", {USAGE}, a AS (SELECT conv_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1)
@@ -163,6 +166,17 @@ FROM head JOIN lastu USING (session_id) LEFT JOIN wd USING (session_id) LEFT JOI
 """
 
 
+KINDS = ("added", "removed", "modified", "unchanged")
+
+
+def _requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The parts of all requests, the reference entries before them, and how these change, staged."""
+    parts = written(shred.request_parts(B.prompts(spark, sf)), "requests")
+    texts = parts.select("session_id", F.explode("reference").alias("text"))
+    old, new = (C.first_of_id(shred.entries(t)) for t in (B.earlier_worlds(spark, sf), texts))
+    return parts, old, written(C.change_feed(old, new).select(*C.KEYS, "change", "old", "new"), "feed")
+
+
 @query(_E1)
 def o_e1_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """All sessions' requests at once: prompts to tables, the change of the reference entries and its sync into the store
@@ -170,26 +184,25 @@ def o_e1_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
 
     The character of a session is the user of its number.
     """
-    prompts = written(B.prompts(spark, sf), "prompts")
-    key = ["session_id"]
-    texts = shred.tagged(prompts).where("type = 'world_info'").select("session_id", F.col("body").alias("text"))
-    old, new = (C.first_of_id(shred.entries(t)) for t in (B.earlier_worlds(spark, sf), texts))
-    feed = written(C.change_feed(old, new).select(*C.KEYS, "change", "old", "new"), "feed")
-    counts = versions.change_counts(feed)
-    state = C.next_snapshot(feed).groupBy(*key).agg(F.count("*").alias("n_active")).join(old.select(*key).distinct().withColumn("_had", F.lit(1)), "session_id", "left")
-    store = versions.sync(versions.initial(old, T0), feed, T1)
-    store = store.groupBy(*key).agg(F.count("*").alias("n_versions"))
+    with ThreadPoolExecutor(1) as beside:  # two chains of jobs that do not depend on each other
+        searched = beside.submit(lambda: R.search(*B.memories(spark, sf)))
+        parts, old, feed = _requests(spark, sf)
+        found = R.recalled(searched.result()).withColumnRenamed("query_id", "session_id")
+    of = lambda *kinds: F.count_if(F.col("change").isin(*kinds))
+    world = feed.groupBy("session_id").agg(*[of(c).alias(f"n_{c}") for c in KINDS], of("added", "modified", "unchanged").alias("n_active"), (F.max(F.col("old").isNotNull().cast("long")) + 1).alias("state_version"))
+    store = versions.sync(versions.initial(old, T0), feed, T1).groupBy("session_id").agg(F.count("*").alias("n_versions"))
     chat = C.chat_changes(*B.chats(spark, sf)).select("session_id", F.col("change").alias("chat_change"), F.col("diff_index").alias("chat_diff_index"))
     moves = S.transitions(B.psych_states(spark, sf), digits=B.DIGITS).groupBy(F.col("character_id").alias("session_id")).agg(
         F.max_by("transition_type", "observed_at").alias("transition_type"), F.max_by("rationality_score", "observed_at").alias("rationality_score"), F.count("*").alias("n_transitions"))
-    found = written(R.search(*B.memories(spark, sf)), "recalled_memories")
-    used = R.memories_used(found).withColumnRenamed("query_id", "session_id")
-    shredded = shred.shredded(prompts).select("session_id", F.col("n_narratives").alias("n_episodes"), "n_turns")
-    rows = _measured(_context(spark, sf, prompts, found)).drop("last_content")
-    for part in (shredded, counts, state, store, chat, moves, used):
-        rows = rows.join(part, "session_id", "left")
-    rows = rows.withColumn("state_version", F.coalesce("_had", F.lit(0)).cast("long") + 1).fillna(0, ["n_transitions", "memories_used"])
-    return rows.select("session_id", "n_episodes", "n_turns", *[F.col(c).alias(f"n_{c}") for c in ("added", "removed", "modified", "unchanged")], "n_active", "n_versions", "state_version", "chat_change", "chat_diff_index", "transition_type", F.round("rationality_score", 6).alias("rationality_score"), "n_transitions", "memories_used", "system_chars", "n_messages", "error")
+    last = M.last_user_message(B.table(spark, sf, "conversations"), "conv_id").select(F.col("conv_id").alias("session_id"), F.col("text").alias("last_text"), "error")
+    recent = F.transform(F.slice("turns", F.greatest(F.size("turns") - 4, F.lit(1)), 5), lambda t: F.struct(F.lower(t["role"]).alias("role"), t["content"].alias("content")))
+    asked = parts.select("session_id", F.lit(True).alias("asked"), "instruction", recent.alias("recent"), F.size("turns").cast("long").alias("n_turns"), F.col("n_narratives").alias("n_episodes"))
+    # Each part has at most one row a session, so one grouping of all of them stands for a join of each.
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (last, world, store, chat, moves, found), asked)
+    rows = rows.groupBy("session_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c != "session_id"]).where("asked")
+    whole = R.messages(F.col("instruction"), F.col("recent"), F.col("summary"), F.struct(F.lit("user").alias("role"), F.col("last_text").alias("content")))
+    rows = rows.withColumn("messages", F.when(F.col("error").isNull(), whole)).fillna(0, ["n_transitions", "memories_used"]).fillna(1, ["state_version"])
+    return rows.select("session_id", "n_episodes", "n_turns", *[f"n_{c}" for c in KINDS], "n_active", "n_versions", "state_version", "chat_change", "chat_diff_index", "transition_type", F.round("rationality_score", 6).alias("rationality_score"), "n_transitions", "memories_used", *_sizes(), "error")
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))"
