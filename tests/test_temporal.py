@@ -109,3 +109,21 @@ def test_states_that_are_no_longer_valid_are_left_out(spark):
     rows = spark.createDataFrame([("a", at(1), None), ("a", at(2), at(3)), ("a", at(3), at(500))], "character_id string, observed_at timestamp, valid_until timestamp")
     assert states.look_back(rows, str(at(10))).count() == 2
     assert states.look_back(rows.drop("valid_until"), str(at(10))).count() == 3
+
+
+def test_counts_of_what_intervals_hold(spark):
+    """Against all pairs: equal times, ends at a row, open, empty and turned intervals, repeated ids, one key in all ranges."""
+    r = random.Random(9)
+    at = lambda: r.choice([None, *range(12)]) if r.random() < 0.3 else r.randrange(1000)
+    stamp = lambda t: None if t is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=t)
+    events = [(r.choice("aaaabc") if i % 20 else None, at()) for i in range(600)]
+    spans = [(r.choice("aaaabd") if i % 20 else None, i // 2, at(), at()) for i in range(200)]
+    rows = spark.createDataFrame([(k, stamp(t)) for k, t in events], "k string, ts timestamp")
+    intervals = spark.createDataFrame([(k, i, stamp(s), stamp(e)) for k, i, s, e in spans], "k string, id int, valid_from timestamp, valid_until timestamp")
+    want = {}
+    for k, i, s, e in spans:
+        mine = [t for j, t in events if k is not None and j == k and None not in (t, s) and s <= t and (e is None or t < e)]
+        want.setdefault(i, []).extend(mine)
+    want = {i: (len(v), stamp(min(v, default=None))) for i, v in want.items()}
+    for tasks in (1, 7):
+        assert {x.id: (x.n, x.first) for x in temporal.held(rows, intervals, ["k"], "ts", ["id"], tasks=tasks).collect()} == want
