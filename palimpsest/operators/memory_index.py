@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.recall import cosine, norm
+from palimpsest.operators import pair_scores as P
+from palimpsest.operators.recall import BLOCK_BYTES, BLOCK_QUERIES, cosine, norm
 from palimpsest.sources.tables import written
 
 BITS, MAX_LISTS, SAMPLE, ASKED, ROUNDS = 768, 4096, 20_000, 256, 10
@@ -138,12 +139,10 @@ def search(index: Index, queries: DataFrame, k: int = 10, grouped: bool = True,
 
 
 def exact(queries: DataFrame, memories: DataFrame, k: int = 10, grouped: bool = True, digits: int = 9) -> DataFrame:
-    """The k best memories with a direction, of a bounded set of queries, by a pass over all memories: for measuring."""
-    q = queries.select("query_id", F.col("group_id").alias("_group"), F.col("embedding").cast("array<double>").alias("_q"), norm(F.col("embedding")).alias("_nq"))
-    m = memories.select("memory_id", "group_id", F.col("embedding").cast("array<double>").alias("_m"), norm(F.col("embedding")).alias("_nm"))
-    same = F.col("group_id") == F.col("_group") if grouped else F.lit(True)
-    met = m.join(F.broadcast(q), same & (F.col("memory_id") != F.col("query_id")))
-    return _best(met.select("query_id", "memory_id", cosine(F.col("_q"), F.col("_m"), F.col("_nq"), F.col("_nm")).alias("cosine")).where("cosine is not null and not isnan(cosine)"), k, digits)
+    """The k best memories with a direction, of each query, by brute force: for measuring. Pairs are scored as matrices
+    inside tasks and only the k best of each task become rows."""
+    parts = P.blocks(queries, memories, norm, ("cosine",), None, grouped, digits, BLOCK_QUERIES, BLOCK_BYTES)
+    return _best(P.union([b.best(k, defined=True) for b in parts]).select("query_id", "memory_id", "cosine"), k, digits)
 
 
 def calibrated(index: Index, wanted: float = 0.97, k: int = 10, grouped: bool = True, asked: int = ASKED, seed: int = 11) -> Index:
