@@ -8,6 +8,12 @@ walk starts anew with probability `restart`. The number of visits is fixed, so a
 An entity that many memories name (a hub) is split: its mentions are dealt over one part for each SPLIT of them, and walks
 that stand on it are copied to each part, so that no task holds a hub.
 
+`best` gives the memories that most walks of a query are at without a row for each query and memory. Queries are dealt into
+blocks of a group; a task takes a block and lets the memories of its group pass by once for each visit, as lists of their
+entities, so a visit is a few operations on arrays. It holds the masses at entities of its block (up to CELLS, or LEAST queries) and no
+list of memories but the best. What is shuffled is the graph, once for each block and visit. Ids are integers there, and
+entities are compared by a hash of 64 bits.
+
 mentions(memory_id, group_id, entity), starts(query_id, group_id, entity): entities are those of one group. Repeated
 mentions and starts count once; nulls in any column name nothing. A query whose entities are in no memory of its group
 reaches nothing; a query's own memory is left out of what it finds, not of the graph. Empty tables give empty results.
@@ -15,14 +21,23 @@ reaches nothing; a query's own memory is left out of what it finds, not of the g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import pair_scores as P
 from palimpsest.sources.tables import written
 
 #: Mentions of one entity that stay together.
 SPLIT = 10_000
 DIGITS = 12
+#: Masses that a task holds for a block, and the least and most queries of one; masses that are moved at once. Fixed values.
+CELLS, LEAST, MOST, STRIP = 1 << 23, 16, 256, 1 << 21
+#: Entities of a row of a group's vocabulary. Fixed value.
+WORDS = 1000
 
 
 def _graph(mentions: DataFrame, split: int) -> DataFrame:
@@ -58,3 +73,112 @@ def leg(walked: DataFrame, top: int) -> DataFrame:
     """(query_id, memory_id, rank, mass) of the memories that most walks of a query are at; ties: the smaller memory_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("mass"), "memory_id")
     return walked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def best(starts: DataFrame, mentions: DataFrame, top: int, visits: int = 2, restart: float = 0.3, cells: int = CELLS) -> DataFrame:
+    """(query_id, memory_id, rank, mass): the `leg` of a `walk`."""
+    rows = mentions.select("memory_id", "group_id", F.xxhash64("entity").alias("code"), F.col("entity").isNotNull().alias("named")).where("named").dropna()
+    memories = written(rows.groupBy("memory_id", "group_id").agg(F.collect_set("code").alias("codes")), "mentions")
+    entities = written(memories.select("group_id", F.explode("codes").alias("code")).groupBy("group_id", "code").agg(F.count("*").alias("named")), "entities")
+    first = starts.where(F.col("entity").isNotNull()).select("query_id", "group_id", F.xxhash64("entity").alias("code")).dropna().distinct().join(entities.select("group_id", "code"), ["group_id", "code"], "left_semi")
+    first = first.withColumn("mass", 1 / F.count("*").over(Window.partitionBy("query_id")))
+    queries = written(first.groupBy("query_id", "group_id").agg(F.collect_list("code").alias("codes"), F.first("mass").alias("mass")), "walk_starts")
+    # Queries of a block are as few as its cells need; a group without queries has no block.
+    sizes = entities.groupBy("group_id").agg(F.count("*").alias("words")).join(queries.groupBy("group_id").agg(F.count("*").alias("asked")), "group_id")
+    most = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.floor(cells / F.col("words"))))
+    sizes = written(sizes.select("group_id", F.ceil(F.col("words") / WORDS).alias("parts"), F.ceil(F.col("asked") / most).cast("int").alias("blocks")), "walk_blocks")
+    of_all = lambda df: df.join(sizes.select("group_id", "blocks"), "group_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    vocabulary = entities.join(sizes.select("group_id", "parts"), "group_id").groupBy("group_id", F.pmod("code", "parts").alias("part")).agg(F.collect_list("code").alias("codes"), F.collect_list("named").alias("counts"))
+    none, kinds = F.lit(None), F.explode(F.sequence(F.lit(2), F.lit(1 + visits)))
+    stream = of_all(vocabulary).select("group_id", "block", F.lit(0).alias("kind"), none.cast("long").alias("id"), "codes", "counts", none.cast("double").alias("mass"))
+    mine = queries.join(sizes, "group_id").select("group_id", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "codes", none.cast("array<bigint>").alias("counts"), "mass")
+    passing = of_all(memories).select("group_id", "block", kinds.alias("kind"), F.col("memory_id").alias("id"), "codes", none.cast("array<bigint>").alias("counts"), none.cast("double").alias("mass"))
+    stream = stream.unionByName(mine).unionByName(passing).withColumn("block", F.concat_ws("|", "block", F.col("group_id").cast("string"))).drop("group_id")
+    found = stream.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_walked(top, visits, restart), "query_id long, memory_id long, mass double")
+    return leg(found, top)
+
+
+class _Block:
+    """Masses of a block's queries at the entities of their group: a row for each entity, a column for each query."""
+
+    def __init__(self, top: int, visits: int, restart: float):
+        self.top, self.visits, self.restart, self.kind = top, visits, restart, 0
+        self.words, self.queries, self.best = [], [], None
+
+    def add(self, kind: int, rows: pa.RecordBatch) -> None:
+        codes, first, n = P._lists(rows.column("codes"))
+        codes = codes[P._runs(first, n)]
+        if kind == 0:
+            counts, first, m = P._lists(rows.column("counts"))
+            self.words.append((codes, counts[P._runs(first, m)]))
+            return
+        ids = rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+        if kind == 1:
+            self.queries.append((ids, codes, np.repeat(rows.column("mass").to_numpy(zero_copy_only=False), n), n))
+            return
+        if not self.queries:
+            return
+        if self.kind < kind:
+            self._begin(kind)
+        at, ends = np.searchsorted(self.codes, codes), np.cumsum(n)
+        begin = 0
+        while begin < len(ids):  # as many memories at once as STRIP allows, at least one
+            before = ends[begin] - n[begin]
+            end = max(begin + 1, int(np.searchsorted(ends, before + STRIP // len(self.ids), "right")))
+            self._visit(kind, ids[begin:end], at[before : ends[end - 1]], n[begin:end])
+            begin = end
+
+    def _begin(self, kind: int) -> None:
+        if kind == 2:
+            codes, counts = (np.concatenate(x) for x in zip(*self.words))
+            order = np.argsort(codes)
+            self.codes, self.named = codes[order], counts[order].astype(np.float64)[:, None]
+            self.ids, codes, mass, n = (np.concatenate(x) for x in zip(*self.queries))
+            self.first = np.zeros((len(self.codes), len(self.ids)))
+            self.first[np.searchsorted(self.codes, codes), np.repeat(np.arange(len(self.ids)), n)] = mass
+            here = self.first
+        else:
+            here = self.next
+        self.here = here / self.named
+        self.next = self.restart * self.first if kind <= self.visits else None
+        self.kind = kind
+
+    def _visit(self, kind: int, ids: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        mass = np.add.reduceat(self.here[at], np.cumsum(n) - n, axis=0)
+        if kind <= self.visits:
+            order = np.argsort(at, kind="stable")
+            back = ((1 - self.restart) * mass / n[:, None])[np.repeat(np.arange(len(n)), n)[order]]
+            words, begins = np.unique(at[order], return_index=True)
+            self.next[words] += np.add.reduceat(back, begins, axis=0)
+            return
+        mass = mass.T
+        key = np.where((mass > 0) & (self.ids[:, None] != ids), -P._rounded(mass, DIGITS), np.nan)
+        self.best = self.best or P._Best(len(self.ids), self.top, 0)
+        self.best.add(ids, [key])
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.best is not None:
+            q, ids, key = self.best.all()
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(ids), pa.array(-key)], names=["query_id", "memory_id", "mass"])
+
+
+def _walked(top: int, visits: int, restart: float):
+    """Rows by block and kind: 0 the vocabulary, 1 queries, 2 and more the memories at each visit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, block = None, None
+        for b in batches:
+            blocks, kinds = np.array(b.column("block").to_pylist(), object), b.column("kind").to_numpy()
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(kinds)]):
+                if begin == end:
+                    continue
+                if blocks[begin] != name:
+                    if block is not None:
+                        yield from block.found()
+                    name, block = blocks[begin], _Block(top, visits, restart)
+                block.add(int(kinds[begin]), b.slice(begin, end - begin))
+        if block is not None:
+            yield from block.found()
+
+    return run

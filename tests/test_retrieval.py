@@ -90,6 +90,30 @@ def test_walks(spark, visits):
     assert memory_graph.walk(none.withColumnRenamed("memory_id", "query_id"), none, visits=visits).count() == 0
 
 
+@pytest.mark.parametrize("visits", [1, 2, 3])
+def test_best_of_walks(spark, visits, monkeypatch):
+    monkeypatch.setattr(memory_graph, "LEAST", 3)
+    monkeypatch.setattr(memory_graph, "WORDS", 4)
+    rng = random.Random(visits)
+    mentions = [(m, "xy"[m % 2], rng.choice(["hub"] * 9 + [f"n{i}" for i in range(30)])) for m in range(200) for _ in range(4)] + [(None, "x", "a"), (50, None, "a"), (51, "x", None), (1, "y", "hub"), (1, "y", "hub")]
+    starts = [(q, "xy"[q % 2], rng.choice(["hub", "n1", "n2", "nowhere"])) for q in range(0, 60, 2) for _ in range(3)] + [(7, "y", "hub"), (7, "x", "n3"), (300, "x", "nowhere"), (301, None, "hub"), (302, "z", "hub")]
+    asked, named = (spark.createDataFrame(x, f"{id} long, group_id string, entity string") for x, id in ((starts, "query_id"), (mentions, "memory_id")))
+    shown = lambda df: {(r.query_id, r["rank"]): (r.memory_id, pytest.approx(r.mass, abs=1e-11)) for r in df.collect()}
+    assert shown(memory_graph.best(asked, named, 15, visits, cells=1)) == shown(memory_graph.leg(memory_graph.walk(asked, named, visits), 15))
+    none = named.limit(0)
+    assert memory_graph.best(none.withColumnRenamed("memory_id", "query_id"), none, 5, visits).count() == 0 and memory_graph.best(asked, none, 5).count() == 0
+
+
+def test_best_of_walks_makes_no_row_for_a_pair(spark, monkeypatch):
+    counts = []
+    write = memory_graph.written
+    monkeypatch.setattr(memory_graph, "written", lambda df, name: counts.append(write(df, name).count()) or write(df, name))
+    n = 600
+    named = spark.createDataFrame([(m, "x", e) for m in range(n) for e in ("hub", f"n{m % 7}")], "memory_id long, group_id string, entity string")
+    asked = named.where("memory_id % 5 = 0").withColumnRenamed("memory_id", "query_id")
+    assert memory_graph.best(asked, named, 5).count() == 5 * n // 5 and max(counts) <= n  # pairs: n * n / 5
+
+
 def test_fused(spark):
     legs = spark.createDataFrame([(1, 10, "cosine", 1), (1, 10, "graph", 3), (1, 11, "cosine", 2), (1, 12, "lexical", 1), (1, 12, "graph", 1), (2, 5, "graph", 1)], "query_id long, memory_id long, leg string, rank int")
     got = [(r.query_id, r.memory_id, r.n_legs, r["rank"]) for r in recall.fused(legs, 2).orderBy("query_id", "rank").collect()]
