@@ -31,7 +31,7 @@ def _path(c: str) -> F.Column:
 
 @query(_trails(3, 0.5, "1") + "SELECT start, depth::BIGINT AS depth, list_aggregate(list_transform(nodes, lambda x: x::VARCHAR), 'string_agg', '>') AS path FROM t")
 def o_g1_trace_forward(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.active_ends(G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 3, 0.5, keep="none"), B.causal_events(spark, sf))
+    found = G.active_trails(B.causal_edges(spark, sf), _starts(spark, sf), B.causal_events(spark, sf), 3, 0.5, keep="none")
     return found.select("start", F.col("depth").cast("long").alias("depth"), _path("nodes").alias("path"))
 
 
@@ -59,8 +59,8 @@ def o_g1_between(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_trails(2, 0.5, "1") + "SELECT start, list_aggregate(list_transform(nodes, lambda x: 'event ' || x), 'string_agg', '|') AS names, strength AS last_strength FROM t")
 def o_g3_path_materialisation(spark: SparkSession, sf: str) -> DataFrame:
-    found = G.trails(B.causal_edges(spark, sf), _starts(spark, sf), 2, 0.5)
-    rows = G.materialized(found, B.causal_events(spark, sf))
+    edges = B.causal_edges(spark, sf).drop("conditions", "exceptions")
+    rows = G.materialized_trails(edges, _starts(spark, sf), B.causal_events(spark, sf).select("event_id", "name"), 2, 0.5, keep="last")
     return rows.select("start", F.array_join(F.transform("events", lambda e: e["name"]), "|").alias("names"), F.element_at("edges", -1)["strength"].alias("last_strength"))
 
 
