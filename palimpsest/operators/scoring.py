@@ -1,7 +1,7 @@
 """A resumable batch scorer: prompts are sent to a model, their answers kept in a table, and only what is open is asked.
 
 A prompt is known by its digest, so equal prompts are asked once, whoever sends them. Prompts without an answer are
-asked in rounds; a round is one job of at most `parallel` tasks, each asking one prompt at a time, which bounds the calls
+dealt into rounds, all that are open at once (a pass), and asked round by round; a round is one job of at most `parallel` tasks, each asking one prompt at a time, which bounds the calls
 that run at once, and is committed when it ends. A run that dies loses the round it was in and no other. A prompt whose call
 raises is open again, in a later round of the same run or in another run; after `max_attempts` it is a dead letter,
 with the last error.
@@ -19,10 +19,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.sources.appends import append_once, appended, manifest
+from palimpsest.sources.appends import _slot, append_once, appended, manifest
 from palimpsest.sources.tables import written
 
 ANSWERED, FAILED, DEAD = "answered", "failed", "dead"
@@ -68,19 +68,33 @@ def score(prompts: DataFrame, scorer: Callable[[str, int], str | None], path: st
     texts = written(prompts.where(F.col(prompt).isNotNull()).select(digest(F.col(prompt)).alias("digest"), F.col(prompt).cast("string").alias("prompt")).dropDuplicates(["digest"]), "prompts")
     ran = 0
     while rounds is None or ran < rounds:
-        # Every round starts from what is committed: prompts asked the fewest times come first.
-        open_ = texts.join(outcomes(spark, path).select("digest", "attempts", "status"), "digest", "left").where(F.col("status").isNull() | (F.col("status") == FAILED))
-        open_ = open_.select("digest", "prompt", F.coalesce("attempts", F.lit(0)).alias("attempts"))
-        chosen = written(open_.orderBy("attempts", "digest").limit(parallel * per_task).repartition(parallel, "digest"), "round")
-        if chosen.isEmpty():
+        # A pass starts from what is committed and deals what is open into rounds: prompts asked the fewest times come first.
+        open_ = texts.select("digest").join(outcomes(spark, path).select("digest", "attempts", "status"), "digest", "left").where(F.col("status").isNull() | (F.col("status") == FAILED))
+        dealt = _dealt(open_.select("digest", F.coalesce("attempts", F.lit(0)).alias("attempts")), parallel * per_task, None if rounds is None else rounds - ran)
+        chosen = written(texts.join(dealt, "digest").repartition("_round"), "rounds", ("_round",))
+        numbers = sorted(r[0] for r in dealt.select("_round").distinct().collect())  # a row for each round
+        if not numbers:
             break
-        asked = chosen.repartition(parallel, "digest").mapInArrow(_asked(scorer, max_attempts), OUTCOME)
-        number = manifest(spark, path).select("batch").distinct().count()
-        append_once(written(asked, "outcomes"), path, f"round-{number:08d}", "outcome_id")
-        ran += 1
+        first = manifest(spark, path).select("batch").distinct().count()
+        for n in numbers:
+            asked = chosen.where(F.col("_round") == n).drop("_round").repartition(parallel, "digest").mapInArrow(_asked(scorer, max_attempts), OUTCOME)
+            append_once(written(asked, "outcomes"), path, f"round-{first + n:08d}", "outcome_id")
+            ran += 1
     return ran
 
 
+def _dealt(open_: DataFrame, size: int, most: int | None) -> DataFrame:
+    """(digest, attempts, _round) of the first `most` rounds of `size` prompts, by attempts and then by the slot of the outcome, so
+    what a round appends meets few files of the table. Places are counted within slots; how many prompts are in the slots
+    before is one number for each slot and attempt."""
+    rows = written(open_.withColumn("outcome_id", F.concat("digest", F.lit(":"), (F.col("attempts") + 1).cast("string"))).withColumn("_slot", _slot("outcome_id")).drop("outcome_id"), "open")
+    counts = rows.groupBy("attempts", "_slot").agg(F.count("*").alias("n")).withColumn("_before", F.sum("n").over(Window.orderBy("attempts", "_slot")) - F.col("n"))
+    place = F.row_number().over(Window.partitionBy("attempts", "_slot").orderBy("digest")) - 1
+    found = rows.withColumn("_place", place).join(counts.drop("n"), ["attempts", "_slot"])
+    found = found.select("digest", "attempts", F.floor((F.col("_before") + F.col("_place")) / size).cast("int").alias("_round"))
+    return written(found if most is None else found.where(F.col("_round") < most), "dealt")
+
+
 def answers(prompts: DataFrame, path: str, prompt: str = "prompt") -> DataFrame:
     """prompts with attempts, answer, error and status; status is null for a prompt that has not been asked."""
     found = outcomes(prompts.sparkSession, path).withColumnRenamed("digest", "_digest")

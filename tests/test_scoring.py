@@ -79,3 +79,19 @@ def test_nothing_to_ask(spark, tmp_path):
     prompts = spark.createDataFrame([(1, None)], "id long, prompt string")
     path = f"file://{tmp_path}/outcomes"
     assert scoring.score(prompts, str, path) == 0 and scoring.answers(prompts, path).where(F.col("status").isNull()).count() == 1
+
+
+def test_rounds_do_not_read_all_that_went_before(spark, tmp_path, monkeypatch):
+    """What is open is looked for once a pass, and an append meets few of the files of the rounds before it."""
+    from palimpsest.sources import appends
+
+    looked, met = [], []
+    outcomes, files = scoring.outcomes, appends.candidate_files
+    monkeypatch.setattr(scoring, "outcomes", lambda *a: looked.append(1) or outcomes(*a))
+    monkeypatch.setattr(appends, "candidate_files", lambda *a: met.append(len(f := files(*a))) or f)
+    prompts = spark.createDataFrame([(f"prompt {i}",) for i in range(240)], "prompt string")
+    assert scoring.score(prompts, lambda p, n: p, str(tmp_path / "o"), parallel=2, per_task=10) == 12
+    stored = scoring.manifest(spark, str(tmp_path / "o")).groupBy("batch").agg({"n": "sum"}).collect()
+    assert [r[1] for r in stored] == [20] * 12
+    assert len(looked) == 2 and max(met) <= 4
+    assert scoring.outcomes(spark, str(tmp_path / "o")).where("status = 'answered'").count() == 240
