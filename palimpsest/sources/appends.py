@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
+from palimpsest.sources.tables import CODEC
+
 SLOTS = 4096
 #: New ids that are sought by value; Parquet filters take lists up to this long.
 FEW = 10
@@ -68,7 +70,7 @@ def append_once(rows: DataFrame, path: str, batch: str, key: str = "episode_id")
     new = new if stored is None else new.join(stored, key, "left_anti").select(*rows.columns)
     data = f"{path}/data/batch={batch}"
     laid = new.withColumn("_slot", _slot(key)).repartitionByRange("_slot").sortWithinPartitions("_slot", key)
-    laid.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(data)
+    laid.write.mode("overwrite").option("compression", CODEC).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(data)
     written = spark.read.schema(laid.schema).parquet(data)
     files = written.groupBy(F.input_file_name().alias("file")).agg(F.min("_slot").alias("first_slot"), F.max("_slot").alias("last_slot"), F.count("*").alias("n"))
     files = files.select(F.lit(batch).alias("batch"), "file", "first_slot", "last_slot", "n").coalesce(1).collect()  # a row for each file of the batch
