@@ -16,7 +16,7 @@ from palimpsest.plans.causal_queries import STATE
 from palimpsest.plans.world_queries import T0
 from palimpsest.sources import response_files as RF
 from palimpsest.sources import responses as R
-from palimpsest.sources.tables import shared_dir
+from palimpsest.sources.tables import CODEC, shared_dir
 from palimpsest.streaming import jobs as J
 
 T = TypeVar("T")
@@ -31,7 +31,7 @@ def _at(spark: SparkSession) -> str:
 def _steps(path: str, run: Callable[[], T], *steps: DataFrame) -> T:
     """Writes each step as it is dealt and lets the stream take it, as one batch, before the next one; what the last run returns."""
     for df in steps:
-        df.write.mode("append").parquet(path)
+        df.write.mode("append").option("compression", CODEC).parquet(path)
         out = run()
     return out
 

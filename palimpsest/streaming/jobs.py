@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from palimpsest.operators import changes, versions
 from palimpsest.operators import states as S
+from palimpsest.sources.tables import CODEC
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,7 +61,7 @@ def sync_entries(entries: DataFrame, store_path: str, checkpoint: str, at: str =
             feed = changes.change_feed(mine.where("valid_until is null"), new)
             moment = spark.range(1).select((F.lit(at).cast("timestamp") + F.make_dt_interval(days=F.lit(number))).cast("string")).first()[0]
             out = old.join(sessions, "session_id", "left_anti").unionByName(versions.sync(mine, feed, moment))
-        _bucketed(out, buckets).repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{store_path}/data/batch={number}")
+        _bucketed(out, buckets).repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").option("compression", CODEC).parquet(f"{store_path}/data/batch={number}")
         after = before | {b: number for b in touched}
         spark.createDataFrame(sorted(after.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{store_path}/manifest/batch={number}")
         new.unpersist()
