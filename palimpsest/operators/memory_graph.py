@@ -34,8 +34,8 @@ from palimpsest.sources.tables import written
 #: Mentions of one entity that stay together.
 SPLIT = 10_000
 DIGITS = 12
-#: Masses that a task holds for a block, and the least and most queries of one; masses that are moved at once. Fixed values.
-CELLS, LEAST, MOST, STRIP = 1 << 23, 16, 256, 1 << 21
+#: Masses that a task holds for a block, and the least and most queries of one; mentions that are moved at once. Fixed values.
+CELLS, LEAST, MOST, STRIP = 1 << 24, 16, 256, 1 << 20
 #: Entities of a row of a group's vocabulary. Fixed value.
 WORDS = 1000
 
@@ -94,16 +94,21 @@ def best(starts: DataFrame, mentions: DataFrame, top: int, visits: int = 2, rest
     mine = queries.join(sizes, "group_id").select("group_id", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "codes", none.cast("array<bigint>").alias("counts"), "mass")
     passing = of_all(memories).select("group_id", "block", kinds.alias("kind"), F.col("memory_id").alias("id"), "codes", none.cast("array<bigint>").alias("counts"), none.cast("double").alias("mass"))
     stream = stream.unionByName(mine).unionByName(passing).withColumn("block", F.concat_ws("|", "block", F.col("group_id").cast("string"))).drop("group_id")
-    found = stream.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_walked(top, visits, restart), "query_id long, memory_id long, mass double")
+    tasks = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by work, not by bytes
+    found = stream.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_walked(top, visits, restart), "query_id long, memory_id long, mass double")
     return leg(found, top)
 
 
 class _Block:
-    """Masses of a block's queries at the entities of their group: a row for each entity, a column for each query."""
+    """Masses of a block's queries at the entities of their group: a row for each query, a column for each entity.
+
+    Memories are gathered up to STRIP mentions. A query's row is read at their entities and summed by memory, one query after
+    the other: a row stays in a processor's cache, as all queries' columns at once would not.
+    """
 
     def __init__(self, top: int, visits: int, restart: float):
         self.top, self.visits, self.restart, self.kind = top, visits, restart, 0
-        self.words, self.queries, self.best = [], [], None
+        self.words, self.queries, self.passing, self.held, self.best = [], [], [], 0, None
 
     def add(self, kind: int, rows: pa.RecordBatch) -> None:
         codes, first, n = P._lists(rows.column("codes"))
@@ -119,44 +124,59 @@ class _Block:
         if not self.queries:
             return
         if self.kind < kind:
+            self._pass()
             self._begin(kind)
-        at, ends = np.searchsorted(self.codes, codes), np.cumsum(n)
-        begin = 0
-        while begin < len(ids):  # as many memories at once as STRIP allows, at least one
-            before = ends[begin] - n[begin]
-            end = max(begin + 1, int(np.searchsorted(ends, before + STRIP // len(self.ids), "right")))
-            self._visit(kind, ids[begin:end], at[before : ends[end - 1]], n[begin:end])
-            begin = end
+        self.passing.append((ids, np.searchsorted(self.codes, codes), n))
+        self.held += len(codes)
+        if self.held >= STRIP:
+            self._pass()
 
     def _begin(self, kind: int) -> None:
         if kind == 2:
             codes, counts = (np.concatenate(x) for x in zip(*self.words))
             order = np.argsort(codes)
-            self.codes, self.named = codes[order], counts[order].astype(np.float64)[:, None]
+            self.codes, self.named = codes[order], counts[order].astype(np.float64)
             self.ids, codes, mass, n = (np.concatenate(x) for x in zip(*self.queries))
-            self.first = np.zeros((len(self.codes), len(self.ids)))
-            self.first[np.searchsorted(self.codes, codes), np.repeat(np.arange(len(self.ids)), n)] = mass
-            here = self.first
+            self.first = np.repeat(np.arange(len(self.ids)), n), np.searchsorted(self.codes, codes), mass
+            self.here = self._starts(1)
         else:
-            here = self.next
-        self.here = here / self.named
-        self.next = self.restart * self.first if kind <= self.visits else None
+            self.here = self.next
+        self.here /= self.named
+        self.next = self._starts(self.restart) if kind <= self.visits else None
         self.kind = kind
 
-    def _visit(self, kind: int, ids: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        mass = np.add.reduceat(self.here[at], np.cumsum(n) - n, axis=0)
-        if kind <= self.visits:
-            order = np.argsort(at, kind="stable")
-            back = ((1 - self.restart) * mass / n[:, None])[np.repeat(np.arange(len(n)), n)[order]]
-            words, begins = np.unique(at[order], return_index=True)
-            self.next[words] += np.add.reduceat(back, begins, axis=0)
+    def _starts(self, share: float) -> np.ndarray:
+        query, at, mass = self.first
+        out = np.zeros((len(self.ids), len(self.codes)))
+        out[query, at] = share * mass
+        return out
+
+    def _pass(self) -> None:
+        """The memories that were gathered, as many at once as make STRIP masses if these are kept."""
+        if not self.passing:
+            return
+        ids, at, n = (np.concatenate(x) for x in zip(*self.passing))
+        self.passing, self.held = [], 0
+        ends = np.cumsum(n)
+        step = len(ids) if self.kind <= self.visits else max(1, STRIP // len(self.ids))
+        for begin in range(0, len(ids), step):
+            end = min(begin + step, len(ids))
+            self._visit(ids[begin:end], at[ends[begin] - n[begin] : ends[end - 1]], n[begin:end])
+
+    def _visit(self, ids: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        begins = np.cumsum(n) - n
+        if self.kind <= self.visits:
+            share = (1 - self.restart) / n
+            for here, later in zip(self.here, self.next):
+                later += np.bincount(at, np.repeat(share * np.add.reduceat(here[at], begins), n), len(later))
             return
-        mass = mass.T
+        mass = np.stack([np.add.reduceat(here[at], begins) for here in self.here])
         key = np.where((mass > 0) & (self.ids[:, None] != ids), -P._rounded(mass, DIGITS), np.nan)
         self.best = self.best or P._Best(len(self.ids), self.top, 0)
         self.best.add(ids, [key])
 
     def found(self) -> Iterator[pa.RecordBatch]:
+        self._pass()
         if self.best is not None:
             q, ids, key = self.best.all()
             yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(ids), pa.array(-key)], names=["query_id", "memory_id", "mass"])
