@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -106,25 +106,30 @@ class ChatDiff(StatefulProcessor):
             self.seen = handle.getValueState("seen", "last long")
 
     @staticmethod
-    def _row(key, n_before: int, change: str, at: int | None, n: int) -> pd.DataFrame:
-        return pd.DataFrame({"session_id": [key[0]], "n_before": [n_before], "change": [change], "diff_index": pd.array([at], "Int64"), "n_messages": [n]})
+    def _row(key, n_before: int, change: str, at: int | None, n: int) -> Row:
+        return Row(session_id=key[0], n_before=n_before, change=change, diff_index=at, n_messages=n)
 
-    def _end(self, key, n: int) -> pd.DataFrame:
-        self.hashes.clear()
-        return self._row(key, n, ENDED, None, 0)
+    # Each call of the state is a message to the JVM, so what is known is not asked for: `seen` says whether a session has
+    # any state, and its only timer is at `seen` plus the limit.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows)).sort_values("turn")
-        new, old = given["content_hash"].tolist(), [h[0] for h in self.hashes.get()] if self.hashes.exists() else []
-        if self.idle is not None:
-            if self.seen.exists() and int(given["ms"].min()) > self.seen.get()[0] + self.idle:
-                yield self._end(key, len(old))
-                old = []
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            last = int(given["ms"].max())
-            self.seen.update((last,))
-            self.handle.registerTimer(last + self.idle)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        given = sorted(rows, key=lambda r: (r["turn"] is None, r["turn"]))
+        new = [r["content_hash"] for r in given]
+        if self.idle is None:
+            old = self._stored()
+        else:
+            seen = self.seen.get()
+            old = self._stored() if seen is not None else []
+            times = [r["ms"] for r in given if r["ms"] is not None]
+            if seen is not None and min(times) > seen[0] + self.idle:
+                yield self._row(key, len(old), ENDED, None, 0)
+                old = []  # the new history, which is not empty, takes the place of what is stored
+            last = max(times)
+            if seen is None or seen[0] != last:
+                if seen is not None:
+                    self.handle.deleteTimer(seen[0] + self.idle)
+                self.seen.update((last,))
+                self.handle.registerTimer(last + self.idle)
         change, at = classify(old, new)
         if old and change == "append":
             self.hashes.appendList([(h,) for h in new[len(old) :]])
@@ -132,10 +137,14 @@ class ChatDiff(StatefulProcessor):
             self.hashes.put([(h,) for h in new])
         yield self._row(key, len(old), change, at, len(new))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n = sum(1 for _ in self.hashes.get()) if self.hashes.exists() else 0
+    def _stored(self) -> list[str]:
+        return [h[0] for h in self.hashes.get()]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        n = len(self._stored())
         self.seen.clear()
-        yield self._end(key, n)
+        self.hashes.clear()
+        yield self._row(key, n, ENDED, None, 0)
 
     def close(self) -> None:
         pass
@@ -160,14 +169,14 @@ CHAT_ROW = "session_id long, n_before long, change string, diff_index long, n_me
 
 def chat_changes(messages: DataFrame) -> DataFrame:
     """The change of each history against the session's one before; sessions never end."""
-    return messages.groupBy("session_id").transformWithStateInPandas(ChatDiff(), CHAT_ROW, "Append", "None")
+    return messages.groupBy("session_id").transformWithState(ChatDiff(), CHAT_ROW, "Append", "None")
 
 
 def chat_sessions(messages: DataFrame, idle_minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
     """The same for messages with a time `ts`, and a row `ended` for each session that was idle beyond the limit, whose
     state is dropped. Messages behind the watermark (the latest time less `delay`) come too late and are left out."""
     rows = messages.withWatermark("ts", delay).select("session_id", "turn", "content_hash", "ts", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("session_id").transformWithStateInPandas(ChatDiff(idle_minutes * 60_000), CHAT_ROW, "Append", "EventTime")
+    return rows.groupBy("session_id").transformWithState(ChatDiff(idle_minutes * 60_000), CHAT_ROW, "Append", "EventTime")
 
 
 # Character states: the last one of each character is in the state store.

@@ -3,6 +3,8 @@
 import collections
 import datetime
 
+from pyspark.sql import Row
+
 from palimpsest.streaming import jobs as J
 
 BASE = datetime.datetime(2024, 1, 1)
@@ -42,3 +44,68 @@ def test_idle_sessions_end(spark, tmp_path):
     assert step(history(3, "z", 400) + history(2, "late", 5)) == {(3, 2, "ended", None, 0), (3, 0, "append", 0, 1), (1, 4, "ended", None, 0)}
     lists = spark.read.format("statestore").option("path", f"{tmp_path}/check").option("stateVarName", "hashes").load()
     assert {r.key[0] for r in lists.select("key").collect()} == {3} and "z" in str(lists.collect())
+
+
+class Told:
+    """A state and its timers in memory, and the messages that it was sent."""
+
+    def __init__(self):
+        self.held, self.timers, self.sent = {}, set(), []
+
+    def getListState(self, name, schema):
+        return Variable(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.sent.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.sent.append("delete")
+        self.timers.remove(at)
+
+
+class Variable:
+    def __init__(self, told, name):
+        self.told, self.name = told, name
+
+    def _tell(self, what):
+        self.told.sent.append(f"{self.name} {what}")
+
+    def get(self):
+        self._tell("get")
+        return self.told.held.get(self.name, None if self.name != "hashes" else [])
+
+    def update(self, value):
+        self._tell("update")
+        self.told.held[self.name] = value
+
+    put = update
+
+    def appendList(self, values):
+        self._tell("append")
+        self.told.held[self.name] = self.told.held[self.name] + values
+
+    def clear(self):
+        self._tell("clear")
+        self.told.held.pop(self.name)
+
+
+def test_a_history_asks_its_state_for_no_more_than_it_needs():
+    """Rows in, rows out, and at most six messages for a history; one timer whatever comes."""
+    told, chat = Told(), J.ChatDiff(60_000)
+    chat.init(told)
+
+    def step(hashes, ms, *expected):
+        told.sent.clear()
+        rows = [Row(session_id=7, turn=i, content_hash=h, ms=ms + i) for i, h in enumerate(hashes)]
+        assert [tuple(r) for r in chat.handleInputRows((7,), iter(rows[::-1]), None)] == list(expected)
+        assert told.timers == {ms + len(hashes) - 1 + 60_000} and told.held == {"seen": (ms + len(hashes) - 1,), "hashes": [(h,) for h in hashes]}
+        return len(told.sent)
+
+    assert step("ab", 0, (7, 0, "append", 0, 2)) == 4
+    assert step("abc", 30_000, (7, 2, "append", 2, 3)) == 6
+    assert step("abc", 30_000, (7, 3, "no_change", None, 3)) == 2
+    assert step("x", 200_000, (7, 3, "ended", None, 0), (7, 0, "append", 0, 1)) == 6
+    assert [tuple(r) for r in chat.handleExpiredTimer((7,), None, None)] == [(7, 1, "ended", None, 0)] and told.held == {}
