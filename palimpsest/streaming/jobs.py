@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -183,18 +182,20 @@ def chat_sessions(messages: DataFrame, idle_minutes: int = 60, delay: str = "10
 
 
 class Transitions(StatefulProcessor):
-    """Rows (character_id, observed_at, state_id, state as text) to consecutive pairs, by time within a batch."""
+    """Rows (character_id, micros, state_id, state as text) to consecutive pairs, by time within a batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "state string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["observed_at", "state_id"])["state"].tolist()
-        before = [self.last.get()[0]] if self.last.exists() else []
-        both = before + new
-        self.last.update((both[-1],))
-        if len(both) > 1:
-            yield pd.DataFrame({"character_id": key[0], "prev": both[:-1], "state": both[1:]})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        given = sorted(rows, key=lambda r: (r["micros"] is None, r["micros"], r["state_id"] is None, r["state_id"]))
+        prev = self.last.get()
+        self.last.update((given[-1]["state"],))
+        prev = None if prev is None else prev[0]
+        for r in given:
+            if prev is not None:
+                yield Row(character_id=key[0], prev=prev, state=r["state"])
+            prev = r["state"]
 
     def close(self) -> None:
         pass
@@ -209,8 +210,8 @@ def transitions(states: DataFrame, trigger: str = "对话", digits: int | None =
     The last state of a character is kept as text, so the stateful step only pairs rows; all else is column expressions.
     """
     text = F.to_json(F.struct("state_id", F.unix_micros("observed_at").alias("micros"), "emotions", "traits", "stability"))
-    rows = states.select("character_id", "observed_at", "state_id", text.alias("state"))
-    pairs = rows.groupBy("character_id").transformWithStateInPandas(Transitions(), "character_id long, prev string, state string", "Append", "None")
+    rows = states.select("character_id", F.unix_micros("observed_at").alias("micros"), "state_id", text.alias("state"))
+    pairs = rows.groupBy("character_id").transformWithState(Transitions(), "character_id long, prev string, state string", "Append", "None")
     pairs = pairs.select("character_id", F.from_json("prev", STATE).alias("prev"), F.from_json("state", STATE).alias("s"))
     pairs = pairs.select("character_id", "s.state_id", F.timestamp_micros("s.micros").alias("observed_at"), "s.emotions", "s.traits", "s.stability", "prev")
     return S.described(S.compared(pairs, digits), trigger, digits)

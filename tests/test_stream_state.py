@@ -109,3 +109,19 @@ def test_a_history_asks_its_state_for_no_more_than_it_needs():
     assert step("abc", 30_000, (7, 3, "no_change", None, 3)) == 2
     assert step("x", 200_000, (7, 3, "ended", None, 0), (7, 0, "append", 0, 1)) == 6
     assert [tuple(r) for r in chat.handleExpiredTimer((7,), None, None)] == [(7, 1, "ended", None, 0)] and told.held == {}
+
+
+def test_transitions_pair_rows_by_time_with_two_messages():
+    told, job = Told(), J.Transitions()
+    job.init(told)
+
+    def step(*rows):
+        told.sent.clear()
+        out = [(r["prev"], r["state"]) for r in job.handleInputRows((7,), iter([Row(character_id=7, micros=m, state_id=s, state=f"{m}{s}") for m, s in rows]), None)]
+        assert told.sent == ["last get", "last update"]
+        return out
+
+    assert step((None, "z"), (2, "b"), (2, "a"), (1, None), (1, "c")) == [("1c", "1None"), ("1None", "2a"), ("2a", "2b"), ("2b", "Nonez")]
+    assert step((9, "d")) == [("Nonez", "9d")]
+    told.held.clear()
+    assert step((9, "d")) == []
