@@ -75,6 +75,26 @@ def test_open_intervals_are_few_rows(spark):
     assert met.count() == rows.crossJoin(spans).where("valid_from <= ts").count()
 
 
+def test_intervals_are_written_whole_and_dealt_out(spark, monkeypatch):
+    """One written row for each interval that can meet a row, in several files, however many bins it is cut into."""
+    tables = []
+    monkeypatch.setattr(temporal, "written", lambda df, name, write=temporal.written: tables.append(write(df, name)) or tables[-1])
+    rows = spark.range(3000).select("id", F.timestamp_seconds(F.col("id") * 977).alias("ts"))
+    spans = spark.range(0, 400, 1, 1).select(F.col("id").alias("span"), F.timestamp_seconds(F.col("id") * 1000).alias("valid_from"), F.timestamp_seconds(F.col("id") * 1000 + 700_001).alias("valid_until"))
+    assert temporal.holding(rows, spans, [], "ts").count() == rows.join(spans, F.expr("valid_from <= ts and ts < valid_until")).count()
+    assert sum(t.count() for t in tables) == 400
+    assert tables[0].select(F.input_file_name()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_whole_bins_are_those_between_the_ends(spark, levels):
+    n = 8**levels
+    ends = spark.range(n).select(F.col("id").alias("_lo")).crossJoin(spark.range(n).select(F.col("id").alias("_hi"))).where("_lo <= _hi")
+    for lo, hi, pieces in ends.select("_lo", "_hi", temporal._pieces(levels)).collect():
+        bins = [b for p in pieces for level, at in [(p % temporal.STRIDE, p // temporal.STRIDE)] for b in range(at << 3 * level, (at + 1) << 3 * level)]
+        assert sorted(bins) == list(range(lo + 1, hi)) and len(pieces) <= 14 * (levels + 1)
+
+
 def test_interval_joins_of_nothing(spark):
     rows, spans = spark.createDataFrame([], "row_id long, ts timestamp"), spark.createDataFrame([], "span_id long, valid_from timestamp, valid_until timestamp")
     assert temporal.holding(rows, spans, [], "ts").count() == 0
