@@ -86,6 +86,16 @@ def test_intervals_are_written_whole_and_dealt_out(spark, monkeypatch):
     assert tables[0].select(F.input_file_name()).distinct().count() > 1
 
 
+def test_intervals_cut_into_bins_are_not_broadcast(spark):
+    """The written table of intervals is small enough for Spark's default limit; the rows that each of them is cut into are not measured."""
+    rows = spark.range(500).select("id", F.timestamp_seconds(F.col("id") * 977).alias("ts"))
+    spans = spark.range(100).select(F.col("id").alias("span"), F.timestamp_seconds(F.col("id") * 1000).alias("valid_from"), F.timestamp_seconds(F.col("id") * 1000 + 300_001).alias("valid_until"))
+    met = temporal.holding(rows, spans, [], "ts")
+    assert len(met.collect()) == rows.join(spans, F.expr("valid_from <= ts and ts < valid_until")).count()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("levels", [1, 2])
 def test_whole_bins_are_those_between_the_ends(spark, levels):
     n = 8**levels
